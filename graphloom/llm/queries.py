@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -13,6 +14,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ._shared import written
+    from .mixing import mix, word_count
+
+    docs = _table(spark, sf_dir, "documents")
+    narrow = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("text_hash")), "words")
+    return mix(narrow, F.array("source"), F.col("words"), key=F.xxhash64("doc_id", "text_hash")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import fingerprint_edits
 
@@ -38,4 +54,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import sharding
+
+    return {"op4_sharding": sharding.oracle()}
