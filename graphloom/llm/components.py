@@ -2,33 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import written
 
 
-def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """``node, component`` (the smallest node reachable) for every node of ``edges`` (a, b).
 
-    Each round takes the smallest label among the neighbours, hooks the neighbours' old roots to it,
-    and then jumps to the label's own label, so paths shorten by a factor each round. Minima combine
-    before the shuffle, and the joins may be split by AQE where one node has many edges. Null
-    endpoints are left out; no edges give no rows. Raises RuntimeError if ``rounds`` don't suffice.
+    Alternates two steps until nothing moves. Large star: each edge's larger end is tied to the smallest
+    neighbour of its smaller end. Small star: the smaller neighbours of a node and the node itself are tied to the
+    smallest of them. Both are window minima over two-column rows, which spill if a node has many; each
+    round is written once. Null ends and loops are left out; no edges give no rows. Raises RuntimeError if ``rounds``
+    don't suffice.
     """
-    pairs = edges.select(F.col("a").alias("a"), F.col("b").alias("b")).dropna()
-    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")
+    least = F.min("v").over(Window.partitionBy("u"))
+    pairs = edges.select("a", "b").where("a <> b")
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("there")), "b").select("a", "there")
-        heard = near.join(labels.select(F.col("node").alias("a"), F.col("label").alias("old")), "a").where(F.col("there") < F.col("old"))
-        hooks = heard.select(F.explode(F.array("a", "old")).alias("node"), F.col("there").alias("label"))
-        best = written(labels.unionByName(hooks).groupBy("node").agg(F.min("label").alias("label")), "best")
-        jump = best.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        before = labels.select("node", F.col("label").alias("before"))
-        after = best.join(jump, "label", "left").select("node", F.least("label", "further").alias("label"))
-        after = written(after.join(before, "node", "left").withColumn("moved", F.col("label") != F.col("before")), "labels")
-        labels = after.select("node", "label")
+        both = pairs.select(ends).select("e.u", "e.v").repartition(F.col("u")).distinct().withColumn("m", F.least("u", least))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") < F.col("u")).alias("moved"))
+        large = large.repartition(F.col("u")).groupBy("u", "v").agg(F.max("moved").alias("moved")).withColumn("m", least)
+        tied = F.when(F.col("v") == F.col("m"), F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b"), F.col("moved")))).otherwise(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b"), F.lit(True).alias("moved"))))
+        after = written(large.select(F.explode(tied).alias("t")).select("t.a", "t.b", "t.moved"), "stars")
+        pairs = after.select("a", "b")
         if not after.where("moved").head(1):
-            return labels.select("node", F.col("label").alias("component"))
+            return pairs.select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("component")).distinct()
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -22,7 +22,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import mix64, shingle_hashes, signed, slices, texts_of, whole_hash, word_hashes, written
@@ -233,58 +233,47 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, threshold: Fraction =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     features = written(rows.mapInArrow(_features(shingle), "doc_id long, n_shingles long, node long"), "features")
     nodes = features.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"))
-    nodes = written(nodes, "nodes")
-
-    from pyspark.sql import Window
 
     keys = rows.mapInArrow(_keys(shingle, numerator, denominator), "key long, node long")
     hub = F.min("node").over(Window.partitionBy("key"))
-    candidates = components(keys.select("node", hub.alias("hub")).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-
-    ends = [int(x) for x in size_buckets(numerator, denominator)]
-    bucket = F.expr("int(0)")
-    for e in ends[1:]:
-        bucket = bucket + (F.col("n") >= F.lit(e)).cast("int")
-    member = candidates.join(nodes, "node").where(F.col("first_id").isNotNull())
-    whole = member.groupBy("component").agg(F.sum("n").alias("all_n"))
-    cell = member.withColumn("bucket", bucket).join(whole, "component").withColumn("bucket", F.when(F.col("all_n") > CHUNK, F.col("bucket")).otherwise(0))
-    parts = cell.groupBy("component", "bucket").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("parts"))
-    cell = written(cell.join(parts, ["component", "bucket"]).select("node", "first_id", "component", "bucket", F.expr("pmod(xxhash64(node), parts)").cast("int").alias("part")), "cells")
-    chunks = cell.select("component", "bucket", "part").distinct()
-
-    def compare(tasks: DataFrame) -> DataFrame:
-        """tasks: component, and (bucket, part) of both sides."""
-        tasks = tasks.withColumn("task", F.xxhash64("component", "b1", "p1", "b2", "p2"))
-        left = tasks.select("component", F.col("b1").alias("bucket"), F.col("p1").alias("part"), "task", F.lit(0).alias("side"))
-        right = tasks.where("b1 <> b2 or p1 <> p2").select("component", F.col("b2").alias("bucket"), F.col("p2").alias("part"), "task", F.lit(1).alias("side"))
-        wanted = cell.join(left.unionByName(right), ["component", "bucket", "part"]).select(F.col("first_id").alias("doc_id"), "node", "task", "side")
-        texts = wanted.join(rows, "doc_id").select("task", "side", "node", "text")
-        sets = texts.repartition(F.col("task")).sortWithinPartitions("task")
+    candidates = components(keys.select(F.col("node").alias("a"), hub.alias("b")))
+
+    # Chunks of a candidate component: as many as its shingles ask for, each text read once.
+    all_n = F.sum("n").over(Window.partitionBy("component"))
+    member = candidates.join(nodes, "node").where("first_id is not null").withColumn("parts", F.ceil(all_n / CHUNK).cast("int"))
+    member = member.select("node", F.col("first_id").alias("doc_id"), "component", "parts", F.expr("pmod(xxhash64(node), parts)").cast("int").alias("part"))
+    cells = written(member.join(rows, "doc_id").select("node", "component", "parts", "part", "text"), "cells")
+
+    def compare(wanted: DataFrame) -> DataFrame:
+        """wanted: node, text, task, side."""
+        sets = wanted.select("task", "side", "node", "text").repartition(F.col("task")).sortWithinPartitions("task")
         return sets.mapInArrow(_verify(shingle, numerator, denominator), "a long, b long")
 
-    def pairs(first: DataFrame) -> DataFrame:
-        other = chunks.select("component", F.col("bucket").alias("b2"), F.col("part").alias("p2"))
-        return first.select("component", F.col("bucket").alias("b1"), F.col("part").alias("p1")).join(other, "component").where("b2 in (b1, b1 + 1)")
-
-    diagonal = "b1 = b2 and p1 = p2"
-    every = pairs(chunks)
-    once = f"({diagonal} or p1 = 0)"  # within the chunks, and between each and the first of its range and the one below
-    links = written(compare(every.where(once)), "links")
-    label = components(links)
-    # What is left to compare: chunks whose members aren't all linked yet.
-    state = cell.join(label.withColumnRenamed("component", "linked"), "node", "left").select("component", "bucket", "part", F.coalesce("linked", "node").alias("linked"))
-    state = state.groupBy("component", "bucket", "part").agg(F.min("linked").alias("low"), F.max("linked").alias("high"))
-    s1 = state.select("component", F.col("bucket").alias("b1"), F.col("part").alias("p1"), F.col("low").alias("l1"), F.col("high").alias("h1"))
-    s2 = state.select("component", F.col("bucket").alias("b2"), F.col("part").alias("p2"), F.col("low").alias("l2"), F.col("high").alias("h2"))
-    rest = every.where(f"not {once} and (b1 <> b2 or p1 < p2)").join(s1, ["component", "b1", "p1"]).join(s2, ["component", "b2", "p2"])
-    rest = written(rest.where("not (l1 = h1 and l2 = h2 and l1 = l2)").select("component", "b1", "p1", "b2", "p2"), "rest")
-    if rest.head(1):
-        links = written(links.unionByName(compare(rest)), "links")
-        label = components(links)
-
-    smallest = label.join(nodes, "node").groupBy("component").agg(F.min("first_id").alias("linked_id"))
-    linked = label.join(smallest, "component").select("node", "linked_id")
-    known = nodes.join(linked, "node", "left").select("node", F.coalesce("linked_id", "first_id").alias("component_id"))
-    # Hot sets are one row of `known`; AQE splits the rows of `features` where one set has many.
+    # First within each chunk, and between each and the component's first.
+    def task(low, high) -> Column:
+        return F.struct(F.xxhash64("component", low, high).alias("task"), (F.col("part") == high).cast("int").alias("side"))
+
+    zero = F.lit(0)
+    rest_of = F.expr("if(parts > 1, sequence(1, parts - 1), array())")
+    firsts = F.when(F.col("part") > 0, F.array(task(F.col("part"), F.col("part")), task(zero, F.col("part")))).otherwise(F.concat(F.array(task(zero, zero)), F.transform(rest_of, lambda q: task(zero, q))))
+    links = written(compare(cells.withColumn("t", F.explode(firsts)).select("node", "text", "t.task", "t.side")), "links")
+    label = written(components(links), "labels")
+
+    # Then between other chunks, unless all their members are linked already.
+    large = cells.where("parts > 2").select("node", "component", "part")
+    if large.head(1):
+        state = large.join(label.select("node", F.col("component").alias("linked")), "node", "left").withColumn("linked", F.coalesce("linked", "node"))
+        state = written(state.where("part > 0").groupBy("component", "part").agg(F.min("linked").alias("low"), F.max("linked").alias("high")), "states")
+        other = state.select("component", *[F.col(c).alias(f"{c}2") for c in ("part", "low", "high")])
+        rest = state.join(other, "component").where("part < part2 and not (low = high and low2 = high2 and low = low2)")
+        rest = written(rest.select("component", F.col("part").alias("p"), F.col("part2").alias("q"), F.xxhash64("component", "part", "part2").alias("task")), "rest")
+        if rest.head(1):
+            sides = rest.select("component", "task", F.explode(F.array(F.struct(F.col("p").alias("part"), zero.alias("side")), F.struct(F.col("q").alias("part"), F.lit(1).alias("side")))).alias("s"))
+            wanted = cells.join(sides.select("component", "task", "s.part", "s.side"), ["component", "part"])
+            links = written(links.unionByName(compare(wanted)), "links")
+            label = written(components(links), "labels")
+
+    known = nodes.join(label, "node", "left").select("node", F.min("first_id").over(Window.partitionBy(F.coalesce("component", "node"))).alias("component_id"))
+    # A set that many rows have is one row of `known`; AQE can split those rows of `features`.
     out = features.join(known, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
