@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import mix64, shingle_hashes, signed, slices, written
+from ._shared import mix64, shingle_hashes, signed, slices, texts_of, written
 
 #: Template tokens in a window, and words of its own (no placeholders) that a re-parameterised window must have.
 WINDOW, OWN_WORDS = 8, 5
@@ -31,7 +31,6 @@ UNITS = frozenset(
 #: Window hashes of the benchmark that each task may hold; beyond that both sides are joined by a shuffle.
 HELD_WINDOWS = 2_000_000
 
-_TOKEN = regex.compile(r"[^\x20\x09-\x0D]+")
 _CORE = regex.compile(r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", regex.DOTALL)
 _NUMBER = regex.compile(r"[+-]?\p{N}[\p{N}.,:/]*")
 _ENDS = regex.compile(r"[.!?:]\W*$")
@@ -47,42 +46,51 @@ def _hash(word: str) -> int:
 
 
 class Templates:
-    """Tokens of texts as arrays, with what is known of each spelling kept for the next."""
+    """Tokens of texts as arrays, with what is known of each spelling kept in a table for the next."""
 
     KEPT = 300_000
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int, int, bool]] = {}
+        self.known: dict[bytes, int] = {}
+        self.size = 0
+        self.word, self.kind, self.end = np.zeros(1024, np.uint64), np.zeros(1024, np.int8), np.zeros(1024, bool)
 
-    def _learn(self, token: str) -> tuple[int, int, int, bool]:
-        """Hash of the word, what it may become, hash of its value, whether a sentence ends with it."""
-        if len(self.known) > self.KEPT:
-            self.known.clear()
+    def _learn(self, spelling: bytes) -> int:
+        """Row of the hash of the word, what it may become (-1: only marks), and whether a sentence ends with it."""
+        token = spelling.decode("utf-8", "replace")
         core = _CORE.search(token)
         core = core[0] if core else ""
         word = core.lower()
-        kind = NUM if core and _NUMBER.fullmatch(core) else UNIT if word in UNITS else NAME if core[:1].isupper() else WORD
-        value = _hash(word)
-        made = (value, kind if core else -1, value, bool(_ENDS.search(token)))
-        if len(token) <= 64:
-            self.known[token] = made
-        return made
-
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        if self.size == len(self.word):
+            self.word, self.kind, self.end = (np.concatenate([x, np.zeros_like(x)]) for x in (self.word, self.kind, self.end))
+        row = self.size
+        self.word[row] = _hash(word)
+        self.kind[row] = -1 if not core else NUM if _NUMBER.fullmatch(core) else UNIT if word in UNITS else NAME if core[:1].isupper() else WORD
+        self.end[row] = bool(_ENDS.search(token))
+        self.size += 1
+        if len(spelling) <= 64:
+            self.known[spelling] = row
+        return row
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Template hash, value hash and kind of every token of all texts, and the offsets of each text's."""
-        known, learn, flat, at = self.known, self._learn, [], [0]
+        if self.size > self.KEPT:
+            self.known.clear()
+            self.size = 0
+        known, learn, at, parts = self.known, self._learn, [0], []
         for text in texts:
-            tokens = _TOKEN.findall(text)
+            tokens = text.split()  # bytes split at exactly \x20 and \x09-\x0D
             rows = list(map(known.get, tokens))
             if None in rows:
-                rows = [r or known.get(t) or learn(t) for r, t in zip(rows, tokens, strict=True)]
-            flat += rows
-            at.append(len(flat))
-        offsets = np.array(at)
-        if not flat:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8), offsets
-        words, kinds, values, ends = zip(*flat, strict=True)
-        word, kind, value, end = np.array(words, np.uint64), np.array(kinds, np.int8), np.array(values, np.uint64), np.array(ends)
+                for i, r in enumerate(rows):
+                    if r is None:
+                        r = known.get(tokens[i])
+                        rows[i] = learn(tokens[i]) if r is None else r
+            parts.append(np.array(rows, np.int64))
+            at.append(at[-1] + len(rows))
+        offsets, flat = np.array(at), np.concatenate([np.zeros(0, np.int64), *parts])
+        word, kind, end = self.word[flat], self.kind[flat], self.end[flat]
+        value = word
         begins = np.zeros(len(word) + 1, bool)
         begins[1:] = end
         begins[offsets[offsets <= len(word)]] = True
@@ -116,18 +124,14 @@ def _consistent(one: np.ndarray, two: np.ndarray, kind: np.ndarray, own_words: i
     return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
-def _slices(texts: list[str]):
-    return slices(texts)  # type: ignore[arg-type]
-
-
 def window_rows(window: int):
     """(id, text) -> (id, position, hash, values, kinds) of every window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
         for batch in batches:
-            ids, texts = batch["id"].to_pylist(), [t or "" for t in batch["text"].to_pylist()]
-            for a, b in _slices(texts):
+            ids, texts = batch["id"].to_pylist(), texts_of(batch["text"])
+            for a, b in slices(texts):
                 made = templates.of(texts[a:b])
                 rows = [(ids[a + i], j, int(h), made[1][first + j : first + j + window].tobytes(), made[2][first + j : first + j + window].tobytes()) for i, hashes, first in _windows(made, window) for j, h in enumerate(signed(hashes).tolist())]
                 for c in range(0, len(rows), 20_000):
@@ -150,8 +154,8 @@ def _held_join(items: "pa.Table", window: int, own_words: int):
         owner = items["id"].to_numpy()[order]
         values = np.frombuffer(b"".join(items["values"].to_pylist()), np.uint64).reshape(-1, window)[order]
         for batch in batches:
-            ids, texts, out = batch["id"].to_pylist(), [t or "" for t in batch["text"].to_pylist()], []
-            for a, b in _slices(texts):
+            ids, texts, out = batch["id"].to_pylist(), texts_of(batch["text"]), []
+            for a, b in slices(texts):
                 made = templates.of(texts[a:b])
                 for i, hashes, first in _windows(made, window):
                     mine = signed(hashes)

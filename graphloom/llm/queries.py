@@ -52,6 +52,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fixity import damaged, fixity
+
+    pages = _table(spark, sf_dir, "pages")
+    return fixity(pages, damaged(pages))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -63,6 +70,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import sharding
+    from . import fixity, sharding
 
-    return {"op4_sharding": sharding.oracle()}
+    return {"op4_sharding": sharding.oracle(), "op8_fixity": fixity.ORACLE}
