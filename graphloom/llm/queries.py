@@ -59,6 +59,15 @@ def op8_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity(pages, damaged(pages))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import events_of, fold, read_back, render
+
+    said = "\\### Assistant: </turn> ok"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return read_back(render(fold(events_of(rows.unionByName(more)))))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -72,4 +81,16 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from . import fixity, sharding
 
-    return {"op4_sharding": sharding.oracle(), "op8_fixity": fixity.ORACLE}
+    chat = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS escaped FROM rows)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(4 + length(role) + 2 + length(escaped) + 8)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+    return {"op9_chat_format": chat, "op4_sharding": sharding.oracle(), "op8_fixity": fixity.ORACLE}
