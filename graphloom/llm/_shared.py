@@ -63,6 +63,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Every ASCII byte but letters and digits, for words without marks.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWERS = np.ones(1, np.uint64)
@@ -78,24 +80,27 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[:n], _BACK[:n]
 
 
-def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool = True, between: np.ndarray = _SPACE, prefix: int = 0) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the maximal runs of bytes outside ``\\x20\\x09-\\x0D`` of all texts, in
     order, and the offsets of each text's words (one more than there are texts).
 
+    ``between``: the bytes that part words. With ``prefix``, a third array has the hashes of the words' first bytes.
+
     A word's hash is a polynomial over its bytes, taken from one running sum for the whole batch.
     """
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     if lower:
         data = _LOWER[data]
-    solid = ~_SPACE[data]
+    solid = ~between[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).view(np.int8)))
     start, end = edge[::2], edge[1::2]
     powers, back = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * powers[:-1], out=total[1:])
-    words = mix64((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+    hashed = lambda stop: mix64((total[stop] - total[start]) * back[start] + (stop - start).astype(np.uint64))
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    return words, np.concatenate([[0], np.searchsorted(start, ends)])
+    at = np.concatenate([[0], np.searchsorted(start, ends)])
+    return (hashed(end), at, hashed(np.minimum(end, start + prefix))) if prefix else (hashed(end), at)
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -17,6 +17,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, held_out, score
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score(docs.select("doc_id", "text"), fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ._shared import written
     from .mixing import mix, word_count
