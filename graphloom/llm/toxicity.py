@@ -14,16 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import MARKS, mix64, slices, word_hashes
 
 #: Labelled rows used for training at most, of either label: those with the smallest hash of their id.
-MOST_TOXIC, MOST_CLEAN = 2500, 3500
+MOST_TOXIC, MOST_CLEAN = 2000, 2500
 BUCKETS, DIM, FILTERS, WIDTHS, PREFIX = 1 << 16, 12, 8, (1, 2, 3), 5
 EPOCHS, BATCH, RATE, FOLDS = 2, 64, 0.05, 3
 CUT = 0.3
+WORDS_AT_ONCE = 60_000
 #: Texts of prior evidence that a bucket's log odds are shrunk by.
 SHRINK = 4
 #: Languages with fewer kept rows of either label use the threshold of all.
@@ -62,6 +64,9 @@ class Model:
     scale: float = 1.0
     table: np.ndarray | None = None
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
+
     def compiled(self) -> "Model":
         """With the products of every bucket with every column of every filter."""
         parts = [self.embedding @ f[j] for f in self.filters for j in range(len(f))]
@@ -69,8 +74,18 @@ class Model:
         return self
 
     def logits(self, word: np.ndarray, prefix: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The text's logit and the number of its language."""
-        assert self.table is not None
+        """Of each text the logit and the number of its language; some texts at a time."""
+        out, first = [(np.zeros(0), np.zeros(0, np.int64))], 0
+        while first < len(at) - 1:
+            stop = max(first + 1, int(np.searchsorted(at, at[first] + WORDS_AT_ONCE, "right")) - 1)
+            own = slice(at[first], at[stop])
+            out.append(self._logits(word[own], prefix[own], at[first : stop + 1] - at[first]))
+            first = stop
+        return np.concatenate([z for z, _ in out]), np.concatenate([k for _, k in out])
+
+    def _logits(self, word: np.ndarray, prefix: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.table is None:
+            self.compiled()
         every = self.table[word] + self.table[prefix]
         pooled, column = [], 0
         for k, width in enumerate(WIDTHS):
@@ -114,7 +129,7 @@ def train(word: np.ndarray, prefix: np.ndarray, at: np.ndarray, label: np.ndarra
         z, told = np.zeros(n), np.zeros(n, np.int64)
         for k in range(FOLDS):
             part = np.flatnonzero(fold == k)
-            rows = np.concatenate([np.arange(at[i], at[i + 1]) for i in part]) if len(part) else np.zeros(0, np.int64)
+            rows = np.isin(np.repeat(np.arange(n), np.diff(at)), part)
             edges = np.concatenate([[0], np.cumsum(at[part + 1] - at[part])])
             z[part], told[part] = _trained(word, prefix, at, label, language, np.flatnonzero(fold != k), seed + k).logits(word[rows], prefix[rows], edges)
     general = threshold(z, label)
@@ -198,7 +213,7 @@ def _trained(word: np.ndarray, prefix: np.ndarray, at: np.ndarray, label: np.nda
         np.add.at(odds[:, number[i]], word[at[i] : at[i + 1]], 1)
     odds = np.log((odds + 0.5) / (odds.sum(0) + 0.5 * BUCKETS))
     odds[BUCKETS // 2 :] = 0
-    return Model(embedding, filters, flat, weights, offset, names, odds - odds.mean(1, keepdims=True), np.zeros(len(names))).compiled()
+    return Model(embedding, filters, flat, weights, offset, names, (odds - odds.mean(1, keepdims=True)).astype(np.float32), np.zeros(len(names)))
 
 
 def threshold(z: np.ndarray, label: np.ndarray) -> float:
@@ -225,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = MOST_TOXIC, clean: int
     """A model from docs (doc_id, text, lang) and labels (doc_id, toxic), never from held-out rows.
 
     Of either label at most ``toxic`` and ``clean`` ids, those with the smallest hash. An id with labels that differ is toxic; null
-    labels and ids don't count; of several texts under one id the first in order counts.
+    labels and ids don't count; of several texts under one id the shortest counts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -243,14 +258,17 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = MOST_TOXIC, clean: int
                 out += [np.stack([word[at[i] : at[i + 1]], prefix[at[i] : at[i + 1]]]).tobytes() for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], batch["lang"], pa.array(out, pa.binary())], ["doc_id", "toxic", "lang", "buckets"])
 
-    got = texts.mapInArrow(run, "doc_id long, toxic int, lang string, buckets binary").toArrow().to_pylist()
-    rows = {}
-    for r in sorted(got, key=lambda r: (r["doc_id"], r["buckets"])):
-        rows.setdefault(r["doc_id"], r)
-    arrays = [np.frombuffer(r["buckets"], np.int32).reshape(2, -1) for r in rows.values()]
-    at = np.concatenate([[0], np.cumsum([a.shape[1] for a in arrays])]).astype(np.int64)
-    both = np.concatenate([np.zeros((2, 0), np.int32), *arrays], 1)
-    return train(both[0], both[1], at, np.array([r["toxic"] for r in rows.values()], np.int64), [r["lang"] for r in rows.values()])
+    got = texts.mapInArrow(run, "doc_id long, toxic int, lang string, buckets binary").toArrow().combine_chunks()
+    ids, sizes = got["doc_id"].to_numpy(), pa.compute.binary_length(got["buckets"]).to_numpy()
+    order = np.lexsort((sizes, ids))
+    order = order[np.concatenate([[True], np.diff(ids[order]) != 0])] if len(order) else order
+    at = np.concatenate([[0], np.cumsum(sizes[order] // 8)]).astype(np.int64)
+    both = np.zeros((2, at[-1]), np.int32)
+    for i, k in enumerate(order):
+        both[:, at[i] : at[i + 1]] = np.frombuffer(got["buckets"][int(k)].as_buffer(), np.int32).reshape(2, -1)
+    label, language = got["toxic"].to_numpy()[order].astype(np.int64), got["lang"].take(pa.array(order)).to_pylist()
+    del got
+    return train(both[0], both[1], at, label, language)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
