@@ -7,7 +7,6 @@ penalty for every switch, labels spans; the language with most letters is the te
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import slices
+from ._shared import mix64, slices
 from .toxicity import held_out
 
 #: Texts of a language that are learned from, about (chosen by hash of the id), languages, and words kept of each.
@@ -44,16 +43,19 @@ def script(letter: str) -> str:
     return next((name for name, a, b in SCRIPTS if a <= point <= b), "other")
 
 
-def _grams(word: str) -> list[int]:
-    """Buckets of the n-grams of 1 to 4 characters of the word between marks."""
-    data, out = f"<{word}>".encode("utf-32-le", "surrogatepass"), []
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of 2 to 4 characters of each word between marks, and the number of the word of each; by n, then word."""
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    owner, stop = np.repeat(np.arange(len(words)), size), np.repeat(np.cumsum(size), size)
+    place, h = np.arange(len(points)), points.copy()
+    buckets, owners = [], []
     for n in (2, 3, 4):
-        for i in range(0, len(data) - 4 * n + 4, 4):
-            h = 0xCBF29CE484222325
-            for b in data[i : i + 4 * n : 2]:
-                h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            out.append((h >> 20) % GRAM_BUCKETS)
-    return out
+        h = h[:-1] * np.uint64(0x100000001B3) + points[n - 1 :] if len(h) > 1 else h[:0]
+        fits = place[: len(h)] + n <= stop[: len(h)]
+        buckets.append((mix64(h[fits] + np.uint64(n)) % np.uint64(GRAM_BUCKETS)).astype(np.int64))
+        owners.append(owner[: len(h)][fits])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 @dataclass
@@ -63,44 +65,52 @@ class Model:
     grams: np.ndarray  # GRAM_BUCKETS, languages
     uses: dict[str, list[int]]  # languages by script
     known: dict[str, int] = field(default_factory=dict)
-    table: list[np.ndarray] = field(default_factory=list)
+    table: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "table": []}
-
-    def evidence(self, word: str) -> np.ndarray:
-        """Score of each language, those of other scripts far behind."""
-        own = self.words.get(word)
-        if own is None:
-            some = self.grams[_grams(word)]
-            own = np.clip(some.mean(0) * math.sqrt(len(word)), -MOST, MOST)
-        fits = self.uses.get(script(word[0]))
-        if fits and len(fits) < len(self.languages):
-            own = own.copy()
-            own[[i for i in range(len(own)) if i not in fits]] = -10 * MOST
-        return own
-
-    def number(self, word: str) -> int:
-        n = self.known.get(word)
-        if n is None:
-            n = len(self.table)
-            self.table.append(self.evidence(word).astype(np.float32))
-            self.known[word] = n
-        return n
-
-    def labels(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
-        """The language number of every word of all texts, its letters, the offsets of each text's words, the words."""
-        if len(self.table) > KEPT:
+        return self.__dict__ | {"known": {}, "table": None}
+
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """Score of each language for each word, those of other scripts far behind."""
+        buckets, owner = grams_of(words)
+        wide = len(self.languages)
+        sums = np.stack([np.bincount(owner, self.grams[buckets, k], len(words)) for k in range(wide)], 1)
+        size = np.array([len(w) for w in words])
+        out = np.clip(sums / np.bincount(owner, minlength=len(words))[:, None] * np.sqrt(size)[:, None], -MOST, MOST).astype(np.float32)
+        for i, w in enumerate(words):
+            own = self.words.get(w)
+            if own is not None:
+                out[i] = own
+            fits = self.uses.get(script(w[0]))
+            if fits and len(fits) < wide:
+                away = np.ones(wide, bool)
+                away[fits] = False
+                out[i, away] = -10 * MOST
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        fresh, n = list(dict.fromkeys(words)), len(self.known)
+        if self.table is None or len(self.table) < n + len(fresh):
+            larger = np.zeros((2 * (n + len(fresh)), len(self.languages)), np.float32)
+            larger[:n] = self.table[:n] if self.table is not None else 0
+            self.table = larger
+        self.table[n : n + len(fresh)] = self.evidence(fresh)
+        self.known.update(zip(fresh, range(n, n + len(fresh)), strict=True))
+
+    def labels(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The language number of every word of all texts, its letters, the offsets of each text's words."""
+        if len(self.known) > KEPT:
             self.known.clear()
-            self.table.clear()
         found = [_WORD.findall(t.lower()) for t in texts]
         at = np.concatenate([[0], np.cumsum([len(w) for w in found])]).astype(np.int64)
         every = [w for ws in found for w in ws]
+        letters = np.fromiter(map(len, every), np.int64, len(every))
         rows = list(map(self.known.get, every))
         if None in rows:
-            rows = [self.number(w) if r is None else r for r, w in zip(rows, every, strict=True)]
-        scores = np.stack(self.table)[np.array(rows, np.int64)] if rows else np.zeros((0, len(self.languages)), np.float32)
-        return viterbi(scores, at), np.fromiter(map(len, every), np.int64, len(every)), at, found
+            self.learn([w for w, r in zip(every, rows, strict=True) if r is None])
+            rows = list(map(self.known.get, every))
+        scores = self.table[np.array(rows, np.int64)] if rows else np.zeros((0, len(self.languages)), np.float32)
+        return viterbi(scores, at), letters, at
 
 
 def viterbi(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -113,24 +123,28 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.nd
     out = np.zeros(n, np.int8)
     if not n:
         return out
-    wide = scores.astype(np.float64)
-    sums = np.concatenate([np.zeros((1, wide.shape[1])), np.cumsum(wide, 0)])
+    wide = scores
+    sums = np.zeros((n + 1, wide.shape[1]))
+    np.cumsum(wide, 0, np.float64, sums[1:])
     best = np.argmax(sums[at[1:]] - sums[at[:-1]], 1)
     size = np.diff(at)
     owner = np.repeat(np.arange(count), size)
-    out[:] = best[owner]
-    gain = wide - wide[np.arange(n), best[owner]][:, None]
-    run = np.cumsum(gain, 0)
-    drop = owner[:, None] * (np.abs(gain).sum() + switch + 1)  # so that a minimum never comes from the text before
-    low = np.minimum.accumulate(run - gain - drop, 0)
-    open_ = np.zeros(count, bool)
-    np.logical_or.at(open_, owner[((run - drop - low) > switch / 2).any(1)], True)
+    mine = best[owner]
+    out[:] = mine
+    # Gains up to each row, less an offset that keeps a minimum from coming out of the text before.
+    run = sums
+    run -= np.concatenate([[0.0], np.cumsum(wide[np.arange(n), mine], dtype=np.float64)])[:, None]
+    step = 2 * (float(np.abs(run).max()) + switch + 1)
+    before = run[:-1] - (owner * step)[:, None]
+    np.minimum.accumulate(before, 0, out=before)
+    run[1:] -= (owner * step)[:, None]
+    open_ = np.bincount(owner[((run[1:] - before).max(1)) > switch / 2], minlength=count) > 0
     some = np.flatnonzero(open_)
     if not len(some):
         return out
     some = some[np.argsort(-size[some], kind="stable")]
     lengths, begin = size[some], at[some]
-    value = wide[begin].copy()
+    value = wide[begin].astype(np.float64)
     stays: list[np.ndarray] = []
     for t in range(1, int(lengths[0])):
         k = int(np.searchsorted(-lengths, -t, "left"))  # texts longer than t
@@ -173,11 +187,13 @@ def fit(docs: DataFrame, texts: int = TEXTS) -> Model | None:
         return None
     names = sorted(counts)
     number, counted = {x: i for i, x in enumerate(names)}, {}
-    grams, scripts = np.zeros((GRAM_BUCKETS, len(names))), {}
+    buckets, owner = grams_of([r["word"] for r in table])
+    language = np.array([number[r["lang"]] for r in table])[owner]
+    often = np.sqrt(np.array([r["count"] for r in table], np.float64))[owner]
+    grams, scripts = np.bincount(buckets * len(names) + language, often, GRAM_BUCKETS * len(names)).reshape(-1, len(names)), {}
     for r in table:
         k = number[r["lang"]]
         counted.setdefault(r["word"], np.zeros(len(names)))[k] += r["count"]
-        np.add.at(grams, (_grams(r["word"]), k), math.sqrt(r["count"]))
         scripts.setdefault(script(r["word"][0]), np.zeros(len(names)))[k] += r["count"]
 
     def odds(counts: np.ndarray, smooth: float) -> np.ndarray:
@@ -216,7 +232,7 @@ def identify(docs: DataFrame, model: Model | None, spans: bool = False) -> DataF
                     number += [0] * (b - a)
                     listed += [[]] * (b - a)
                     continue
-                label, letters, at, _ = own.labels(texts[a:b])
+                label, letters, at = own.labels(texts[a:b])
                 width, doc = len(own.languages), np.repeat(np.arange(b - a), np.diff(at))
                 held = np.bincount(doc * width + label, letters, (b - a) * width).reshape(-1, width)
                 top, total = held.argmax(1), held.sum(1)
