@@ -110,4 +110,16 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(4 + length(role) + 2 + length(escaped) + 8)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
-    return {"op9_chat_format": chat, "op4_sharding": sharding.oracle(), "op8_fixity": fixity.ORACLE}
+    jaccard = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s), n AS (SELECT doc_id, len(sh) AS k FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * c >= 90 * (i.k + j.k - c)),
+r AS (SELECT doc_id AS d, doc_id AS m FROM n UNION SELECT r.d, l.y FROM r JOIN l ON r.m = l.x)
+SELECT n.doc_id, n.k::BIGINT AS n_shingles, min(r.m) AS component_id FROM n JOIN r ON r.d = n.doc_id GROUP BY n.doc_id, n.k
+"""
+    return {"op10_jaccard_join": jaccard, "op9_chat_format": chat, "op4_sharding": sharding.oracle(), "op8_fixity": fixity.ORACLE}
