@@ -56,9 +56,43 @@ class EdgeKind:
     deprecated: bool = False
 
 
+_ATOMS = {
+    "string": T.StringType(), "double": T.DoubleType(), "float": T.FloatType(), "int": T.IntegerType(), "bigint": T.LongType(), "long": T.LongType(),
+    "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "date": T.DateType(), "variant": T.VariantType(),
+}
+
+
+def _parts(text: str) -> list[str]:
+    """What commas outside of angle brackets part."""
+    out, depth = [""], 0
+    for c in text:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [p.strip() for p in out if p.strip()]
+
+
+def data_type(text: str) -> T.DataType:
+    """A type from DDL such as ``array<struct<a: int>>``, without a session."""
+    text = text.strip()
+    name, _, inner = text.partition("<")
+    inner = inner[:-1]
+    if name == "array":
+        return T.ArrayType(data_type(inner))
+    if name == "map":
+        return T.MapType(*map(data_type, _parts(inner)))
+    if name == "struct":
+        return T.StructType([T.StructField(n.strip(), data_type(t)) for n, t in (p.split(":", 1) for p in _parts(inner))])
+    if text not in _ATOMS:
+        raise ValidationError(f"type {text}")
+    return _ATOMS[text]
+
+
 def struct(ddl: str) -> T.StructType:
-    """Schema of properties from DDL, such as ``"name string, age double"``."""
-    return T.StructType.fromDDL(ddl) if ddl else T.StructType()
+    """Schema of properties from DDL, such as ``"name string, tags array<string>"``."""
+    return T.StructType([T.StructField(n, data_type(t)) for n, t in (p.split(None, 1) for p in _parts(ddl))])
 
 
 def closure(pairs: Iterable[tuple[str, str]]) -> dict[str, set[str]]:

@@ -20,6 +20,33 @@ from ..store import GraphStore
 HOPS, MOST_HOPS, ROUNDS = 10, 1000, 1000
 #: Largest weight of an edge, so that sums over a path stay finite.
 MOST_WEIGHT = 1.7976931348623157e308 / 2.0**64
+#: Nodes and edges of a graph that one task iterates over in memory; larger ones take a job for some rounds.
+IN_TASK = 500_000
+
+
+def _scores(damping: float, tolerance: float, rounds: int):
+    """One graph in one task: rows (s, t, share) and (s, null, null) with p of node s."""
+
+    def run(pdf: Any) -> Any:
+        import numpy as np
+
+        own = pdf[pdf["t"].isna()]
+        number = {n: i for i, n in enumerate(own["s"])}
+        p = own["p"].to_numpy(float)
+        links = pdf[~pdf["t"].isna()]
+        a, b, share = links["s"].map(number).to_numpy(int), links["t"].map(number).to_numpy(int), links["share"].to_numpy(float)
+        dangling = np.ones(len(p), bool)
+        dangling[a] = False
+        score = np.full(len(p), 1 / len(p))
+        for _ in range(rounds):
+            after = p * (1 - damping + damping * score[dangling].sum()) + damping * np.bincount(b, score[a] * share, len(p))
+            moved = np.abs(after - score).max()
+            score = after
+            if moved <= tolerance:
+                return pdf.__class__({"s": own["s"], "score": score})
+        raise ConvergenceError(f"scores still move after {rounds} rounds")
+
+    return run
 
 
 def key(kind: str = "kind", id_: str = "id") -> Column:
@@ -225,6 +252,14 @@ class Algorithms:
         out = flows.groupBy("s").agg(F.sum("w").alias("out"))
         flows = materialize(flows.join(out, "s").select("s", "t", (F.col("w") / F.col("out")).alias("share")), "flows")
         base = materialize(base.join(out.select(F.col("s").alias("n"), "out"), "n", "left").select("n", "p", (F.col("out").isNull() | (F.col("out") == 0)).alias("dangling")), "base")
+        if n <= IN_TASK and flows.count() <= IN_TASK:
+            kind = nodes.schema["n"].dataType.simpleString()
+            text = lambda c: F.to_json(c).alias(c)
+            none = F.lit(None)
+            rows = base.select(text("n").alias("s"), none.cast("string").alias("t"), none.cast("double").alias("share"), "p").unionAll(flows.select(text("s"), text("t"), "share", none.cast("double").alias("p")))
+            solved = rows.withColumn("graph", F.lit(0)).groupBy("graph").applyInPandas(_scores(damping, tolerance, max_iterations), "s string, score double")
+            ranked = solved.select(F.from_json("s", kind).alias("n"), "score").select("n.id", "n.kind", "score").orderBy(F.col("score").desc(), "id", "kind")
+            return ranked.limit(top_k) if top_k else ranked
         score = base.select("n", "p", "dangling", F.lit(1.0 / n).alias("score"))
         done = 0
         while done < max_iterations:

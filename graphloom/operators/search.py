@@ -1,6 +1,6 @@
 """Vector, full-text and fused search.
 
-Distances are sums over the query vector's positions, so they are compiled code and not a loop over arrays. Full-text ranks are BM25
+Distances are computed on Arrow batches as numpy matrices. Full-text ranks are BM25
 over an analyser of our own (lower case, words of letters and digits, accents dropped); its scores aren't
 those of any database.
 """
@@ -14,6 +14,9 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,31 +29,50 @@ K1, B = 1.2, 0.75
 _ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
 
-# Vectors
 def _sum(parts: list[Column]) -> Column:
-    """A balanced tree of additions: deep chains overflow the planner at hundreds of dimensions."""
+    """A balanced tree of additions."""
     while len(parts) > 1:
         parts = [a + b for a, b in zip(parts[::2], parts[1::2], strict=False)] + (parts[-1:] if len(parts) % 2 else [])
     return parts[0]
 
 
+# Vectors
 def distance(vector: Column, query: Sequence[float], metric: str) -> Column:
-    """Distance of a vector column from a query; null where lengths differ or cosine has no direction."""
+    """Distance of a vector column from a query; null where lengths differ, values are null or cosine has no direction.
+
+    Arrow batches: the values of a batch are one numpy matrix, so a row costs one pass over its numbers.
+    """
     if metric not in METRICS:
         raise QueryError(f"metric: {metric}")
     if not query or not all(math.isfinite(x) for x in query):
         raise QueryError("a query vector has finite numbers")
-    at = [F.get(vector, F.lit(i)).cast("double") for i in range(len(query))]
-    dot = lambda: _sum([x * F.lit(float(q)) for x, q in zip(at, query, strict=True)])
-    if metric == "cosine":
-        norm = math.sqrt(sum(x * x for x in query))
-        out = 1 - dot() / (F.sqrt(_sum([x * x for x in at])) * F.lit(norm))
-        out = F.when(_sum([x * x for x in at]) > 0, out) if norm else F.lit(None).cast("double")
-    elif metric == "l2":
-        out = F.sqrt(_sum([(x - F.lit(float(q))) * (x - F.lit(float(q))) for x, q in zip(at, query, strict=True)]))
-    else:
-        out = -dot()
-    return F.when(F.array_size(vector) == len(query), out)
+    asked = [float(x) for x in query]
+
+    def batch(v: pa.Array) -> pa.Array:
+        q = np.array(asked)
+        v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+        sizes = pa.compute.list_value_length(v).fill_null(-1).to_numpy(zero_copy_only=False)
+        values = v.flatten()
+        bad = np.zeros(len(v), bool)
+        if values.null_count:
+            at = np.repeat(np.arange(len(v)), np.maximum(sizes, 0))
+            bad[at[np.asarray(values.is_null())]] = True
+        flat = values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
+        fits, out = (sizes == len(q)) & ~bad, np.full(len(v), np.nan)
+        begin = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))[:-1]]) if len(v) else np.zeros(0, np.int64)
+        rows = np.flatnonzero(fits)
+        if len(rows):
+            m = flat[begin[rows][:, None] + np.arange(len(q))]
+            if metric == "l2":
+                out[rows] = np.sqrt(((m - q) ** 2).sum(1))
+            else:
+                dot = m @ q
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    out[rows] = -dot if metric == "inner_product" else 1 - dot / (np.sqrt((m * m).sum(1)) * math.sqrt((q * q).sum()))
+        return pa.array(out, pa.float64(), mask=~np.isfinite(out))
+
+    batch.__annotations__ = {"v": pa.Array, "return": pa.Array}
+    return F.arrow_udf(batch, "double")(vector)
 
 
 def vector_score(d: Column, metric: str) -> Column:

@@ -276,7 +276,7 @@ def project_whole(s: GraphStore) -> DataFrame:
 _NB = "nb AS (SELECT n AS a, n + s AS b, CASE WHEN s = 1 THEN 1.0 ELSE 3.0 END + n % 3 AS w FROM range(25) t(n) CROSS JOIN (VALUES (1), (7)) v(s) WHERE n + s < 25), ub AS (SELECT a, b, w FROM nb UNION ALL SELECT b, a, w FROM nb)"
 
 
-@query(f"WITH RECURSIVE {_NB}, r AS (SELECT 0::BIGINT AS x, 0 AS d, [0::BIGINT] AS path UNION ALL SELECT b, d + 1, list_append(path, b) FROM r JOIN ub ON a = x WHERE d < 4 AND NOT list_contains(path, b)) SELECT x::VARCHAR AS id, d::INT AS depth, list_transform(path, p -> p::VARCHAR) AS path FROM r WHERE d >= 1")
+@query(f"WITH RECURSIVE {_NB}, r AS (SELECT 0::BIGINT AS x, 0 AS d, [0::BIGINT] AS path UNION ALL SELECT b, d + 1, list_append(path, b) FROM r JOIN ub ON a = x WHERE d < 4 AND NOT list_contains(path, b)) SELECT x::VARCHAR AS id, d::INT AS depth, list_transform(path, lambda p: p::VARCHAR) AS path FROM r WHERE d >= 1")
 def recursive_paths(s: GraphStore) -> DataFrame:
     q = s.query().from_("Nation", "n").where_node("n", lambda n: n.id.eq("0")).traverse("neighbour", "e").recursive(max_hops=4, path="path", depth="depth").to("Nation", "m")
     return q.select({"id": ("m", "id")}).to_df()
@@ -467,17 +467,17 @@ def _pagerank_sql(rounds: int, seed: str) -> str:
         lost = f"(SELECT coalesce(sum(s), 0) FROM s{i} WHERE x NOT IN (SELECT a FROM o))"
         got = f"(SELECT b, sum(s / k) AS g FROM nb JOIN s{i} ON x = a JOIN o USING (a) GROUP BY b)"
         steps.append(f"s{i + 1} AS MATERIALIZED (SELECT p.x, p.p * (0.15 + 0.85 * {lost}) + 0.85 * coalesce(g, 0) AS s FROM p LEFT JOIN {got} ON b = p.x)")
-    return f"WITH {', '.join(steps)} SELECT x::VARCHAR AS id, 'Nation' AS kind, round(s, 5) AS score FROM s{rounds}"
+    return f"WITH {', '.join(steps)} SELECT x::VARCHAR AS id, 'Nation' AS kind, round(s, 4) AS score FROM s{rounds}"
 
 
 @query(_pagerank_sql(60, "1.0::DOUBLE / 25"))
 def algo_page_rank(s: GraphStore) -> DataFrame:
-    return Algorithms(s).page_rank(["neighbour"]).withColumn("score", F.round("score", 5))
+    return Algorithms(s).page_rank(["neighbour"]).withColumn("score", F.round("score", 4))
 
 
 @query(_pagerank_sql(60, "CASE n WHEN 0 THEN 0.75 WHEN 7 THEN 0.25 ELSE 0 END"))
 def algo_personalized_page_rank(s: GraphStore) -> DataFrame:
-    return Algorithms(s).personalized_page_rank({("Nation", "0"): 3.0, ("Nation", "7"): 1.0}, ["neighbour"]).withColumn("score", F.round("score", 5))
+    return Algorithms(s).personalized_page_rank({("Nation", "0"): 3.0, ("Nation", "7"): 1.0}, ["neighbour"]).withColumn("score", F.round("score", 4))
 
 
 @query("SELECT 'node' AS what, count(*) AS n FROM (SELECT c_custkey FROM customer WHERE c_custkey = 8 UNION ALL SELECT o_orderkey FROM orders WHERE o_custkey = 8 UNION ALL SELECT DISTINCT l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey = 8) UNION ALL SELECT 'edge', count(*) FROM (SELECT o_orderkey FROM orders WHERE o_custkey = 8 UNION ALL SELECT l_orderkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey = 8)")
@@ -489,10 +489,10 @@ def algo_subgraph(s: GraphStore) -> DataFrame:
 # Search
 _VEC = [0.1 * ((i % 7) - 3) for i in range(64)]
 _Q = "[" + ", ".join(repr(x) for x in _VEC) + "]"
-_DOT = f"list_sum(list_transform(list_zip(embedding, {_Q}), z -> z[1]::DOUBLE * z[2]))"
-_NORM = "sqrt(list_sum(list_transform(embedding, z -> z::DOUBLE * z)))"
+_DOT = f"list_sum(list_transform(list_zip(embedding, {_Q}), lambda z: z[1]::DOUBLE * z[2]))"
+_NORM = "sqrt(list_sum(list_transform(embedding, lambda z: z::DOUBLE * z)))"
 _COS = f"1 - {_DOT} / ({_NORM} * {sum(x * x for x in _VEC) ** 0.5!r})"
-_L2 = f"sqrt(list_sum(list_transform(list_zip(embedding, {_Q}), z -> (z[1]::DOUBLE - z[2]) ** 2)))"
+_L2 = f"sqrt(list_sum(list_transform(list_zip(embedding, {_Q}), lambda z: (z[1]::DOUBLE - z[2]) ** 2)))"
 
 
 @query(f"SELECT vec_id::VARCHAR AS id, round(1 - ({_COS}), 6) AS score FROM embeddings ORDER BY {_COS}, id LIMIT 10")
@@ -517,12 +517,12 @@ def vector_query_min_score(s: GraphStore) -> DataFrame:
 
 
 def _bm25(terms: list[str], holds: str, k: int, extra: str = "") -> str:
-    tf = lambda t: f"len(list_filter(tok, x -> x = '{t}'))::DOUBLE"
+    tf = lambda t: f"len(list_filter(tok, lambda x: x = '{t}'))::DOUBLE"
     idf = lambda t: f"ln(1 + (n - d_{t} + 0.5) / (d_{t} + 0.5))"
     parts = " + ".join(f"{idf(t)} * {tf(t)} * 2.2 / ({tf(t)} + 1.2 * (0.25 + 0.75 * len(tok) / size))" for t in terms)
     counts = ", ".join(f"sum(list_contains(tok, '{t}')::INT)::BIGINT AS d_{t}" for t in terms)
     clean = "regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+', ' ', 'g')"
-    return f"WITH t AS (SELECT doc_id::VARCHAR AS id, lang, list_filter(string_split({clean}, ' '), x -> x <> '') AS tok FROM documents), u AS (SELECT *, ' ' || array_to_string(tok, ' ') || ' ' AS line FROM t WHERE len(tok) > 0), c AS (SELECT count(*) AS n, avg(len(tok)) AS size, {counts} FROM u) SELECT id, round({parts}, 5) AS score FROM u CROSS JOIN c WHERE {holds} {extra} ORDER BY {parts} DESC, id LIMIT {k}"
+    return f"WITH t AS (SELECT doc_id::VARCHAR AS id, lang, list_filter(string_split({clean}, ' '), lambda x: x <> '') AS tok FROM documents), u AS (SELECT *, ' ' || array_to_string(tok, ' ') || ' ' AS line FROM t WHERE len(tok) > 0), c AS (SELECT count(*) AS n, avg(len(tok)) AS size, {counts} FROM u) SELECT id, round({parts}, 5) AS score FROM u CROSS JOIN c WHERE {holds} {extra} ORDER BY {parts} DESC, id LIMIT {k}"
 
 
 @query(_bm25(["the", "idiot"], "list_contains(tok, 'the') AND list_contains(tok, 'idiot')", 10))
@@ -577,10 +577,10 @@ def _identity(s: GraphStore) -> Identity:
     return Identity(store)
 
 
-_CLASS = "CASE WHEN k BETWEEN 41 AND 45 THEN least(k::VARCHAR, (k - 40)::VARCHAR) WHEN k <= 5 THEN least(k::VARCHAR, (k + 40)::VARCHAR) ELSE k::VARCHAR END"
+_CLASS = "CASE WHEN k BETWEEN 41 AND 45 THEN least(k::VARCHAR, (k - 40)::VARCHAR) WHEN k BETWEEN 1 AND 5 THEN least(k::VARCHAR, (k + 40)::VARCHAR) ELSE k::VARCHAR END"
 
 
-@query(f"WITH p AS (SELECT 'Customer' AS kind, c_custkey AS k FROM customer UNION ALL SELECT 'Supplier', s_suppkey FROM supplier) SELECT kind, k::VARCHAR AS id, CASE WHEN k <= 50 THEN 'Customer' ELSE kind END AS class_kind, {_CLASS} AS class_id FROM p")
+@query(f"WITH p AS (SELECT 'Customer' AS kind, c_custkey AS k FROM customer UNION ALL SELECT 'Supplier', s_suppkey FROM supplier) SELECT kind, k::VARCHAR AS id, CASE WHEN k BETWEEN 1 AND 50 THEN 'Customer' ELSE kind END AS class_kind, {_CLASS} AS class_id FROM p")
 def identity_classes(s: GraphStore) -> DataFrame:
     return _identity(s).classes(["Customer", "Supplier"])
 
@@ -596,7 +596,7 @@ def identity_different(s: GraphStore) -> DataFrame:
     return _identity(s).are_different(pairs).select("a_id", "b_id", "different")
 
 
-@query("SELECT s_suppkey::VARCHAR AS supplier, count(*) AS n FROM supplier JOIN (SELECT s_suppkey AS k, s_suppkey AS c FROM supplier UNION SELECT k, k + 40 FROM range(1, 6) t(k) UNION SELECT k + 40, k FROM range(1, 6) t(k)) m ON m.k = s_suppkey JOIN orders ON o_custkey = m.c WHERE s_suppkey <= 50 GROUP BY 1")
+@query("SELECT s_suppkey::VARCHAR AS supplier, count(*) AS n FROM supplier JOIN (SELECT s_suppkey AS k, s_suppkey AS c FROM supplier UNION SELECT k, k + 40 FROM range(1, 6) t(k) UNION SELECT k + 40, k FROM range(1, 6) t(k)) m ON m.k = s_suppkey JOIN orders ON o_custkey = m.c WHERE s_suppkey BETWEEN 1 AND 50 GROUP BY 1")
 def identity_hop(s: GraphStore) -> DataFrame:
     q = _identity(s).store.query().from_("Supplier", "s").traverse("placed", "e", identity=True).to("Order", "o")
     return q.group_by_node("s").aggregate({"supplier": ("s", "id"), "n": count("o")}).to_df()
@@ -667,7 +667,7 @@ def merge_conflicts(s: GraphStore) -> DataFrame:
 def merge_last_write_wins(s: GraphStore) -> DataFrame:
     props, _ = mg.merged_props(_changes(s).where("change = 'modified'"), "lastWriteWins")
     value = F.regexp_extract(F.try_element_at("props", F.lit("acctbal")), "([0-9.]+)", 1)
-    return props.where("int(id) % 7 = 0 and int(id) % 11 <> 3").select("id", value.alias("acctbal"))
+    return props.where("try_cast(id as int) % 7 = 0 and try_cast(id as int) % 11 <> 3").select("id", value.alias("acctbal"))
 
 
 @query("SELECT c_custkey::VARCHAR AS id, 'kept' AS outcome FROM customer WHERE c_custkey % 11 = 3")
@@ -680,7 +680,7 @@ def merge_resolve(s: GraphStore) -> DataFrame:
     base, a, b = _branches(s)
     edges = s.edges(["placed"]).select("id", "kind", "from_kind", "from_id", "to_kind", "to_id")
     plan = mg.plan_merge(base, {"a": a, "b": b}, edges, mg.Options(0.999, block=lambda: F.col("text"), delete_policy="modifyWins"))
-    return plan.survivors.where("id <> to_id").select("id", "to_id").where(F.expr("int(to_id) % 11") != 3)
+    return plan.survivors.where("id <> to_id").select("id", "to_id").where(F.expr("try_cast(to_id as int) % 11") != 3)
 
 
 @query("SELECT 1.0::DOUBLE AS same, round(6.0 / 14, 6) AS near, 0.0::DOUBLE AS far, 1.0::DOUBLE AS empty")

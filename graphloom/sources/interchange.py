@@ -12,18 +12,15 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import ImportConflictError, ValidationError
-from ..model import GraphDef
+from ..model import GraphDef, struct
 from ..operators.writes import create, create_edges, enforce, upsert
 from ..store import GraphStore
 
 VERSION = "2.0"
 _END = "struct<kind: string, id: string>"
-SCHEMA = T._parse_datatype_string(
-    f"type string, kind string, id string, properties string, validFrom timestamp, validTo timestamp, `from` {_END}, `to` {_END}, meta struct<version: int, createdAt: timestamp, updatedAt: timestamp, deletedAt: timestamp>"
-)
+SCHEMA = struct(f"type string, kind string, id string, properties string, validFrom timestamp, validTo timestamp, from {_END}, to {_END}, meta struct<version: int, createdAt: timestamp, updatedAt: timestamp, deletedAt: timestamp>")
 
 
 def export_graph(store: GraphStore, node_kinds: Iterable[str] | None = None, edge_kinds: Iterable[str] | None = None, temporal: bool = True, meta: bool = False, deleted: bool = False) -> DataFrame:
