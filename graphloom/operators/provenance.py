@@ -31,13 +31,14 @@ class Provenance:
                 mark = ids.select("id").distinct().withColumn("__mark", F.lit(value))
                 rows = rows.join(mark, "id", "left").withColumn("gone", F.coalesce("__mark", "gone")).drop("__mark")
         known = materialize(rows.where("not gone and not deleted").select("id"), "known")
-        pairs = self.premises.select("justification", "premise").distinct()
-        need = materialize(self.derives.select("justification").distinct().join(pairs.groupBy("justification").agg(F.count("*").alias("need")), "justification", "left").fillna(0, ["need"]), "need")
+        pairs = materialize(self.premises.select("justification", "premise").distinct(), "premises")
+        derives = materialize(self.derives.select("justification", "fact").distinct(), "derives")
+        need = materialize(derives.select("justification").distinct().join(pairs.groupBy("justification").agg(F.count("*").alias("need")), "justification", "left").fillna(0, ["need"]), "need")
         believed = None
         while True:
             met = pairs.join(known.withColumnRenamed("id", "premise"), "premise", "left_semi").groupBy("justification").agg(F.count("*").alias("met"))
             fired = need.join(met, "justification", "left").where("coalesce(met, 0) = need").select("justification")
-            facts = self.derives.join(fired, "justification", "left_semi").select(F.col("fact").alias("id")).distinct()
+            facts = derives.join(fired, "justification", "left_semi").select(F.col("fact").alias("id")).distinct()
             fresh = materialize(facts.join(known, "id", "left_anti"), "fresh")
             if not fresh.head(1):
                 break

@@ -101,7 +101,7 @@ def content(rows: DataFrame, fields: Sequence[str]) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.translate(F.lower(text), *_ACCENTS), r"[^\p{L}\p{N}]+", " "), " "), lambda t: t != "")
+    return F.regexp_extract_all(F.translate(F.lower(text), *_ACCENTS), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def _words(text: str) -> list[str]:
@@ -175,7 +175,10 @@ def matching(rows: DataFrame, fields: Sequence[str], query: str, k: int, mode: s
     )
     stats = counted.first()
     text = F.concat(F.lit(" "), F.array_join("__tokens", " "), F.lit(" "))
-    found = with_tokens(rows).where("__size > 0").where(parsed.holds(F.col("__tokens"), text))
+    # A row without any of the words can't match: that is seen before it is cut into words.
+    line = F.translate(F.lower(content(rows, fields)), *_ACCENTS)
+    near = rows.where(functools.reduce(lambda a, b: a | b, [line.contains(t) for t in terms])) if terms else rows.limit(0)
+    found = with_tokens(near).where("__size > 0").where(parsed.holds(F.col("__tokens"), text))
     parts = [F.lit(0.0)]
     for i, t in enumerate(terms):
         df = stats[f"d{i}"] or 0

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import CardinalityError, DisjointnessError, EndpointError, RestrictedDeleteError, UniquenessError, ValidationError
 from ..functions.predicates import Predicate, Ref
 from ..model import NodeKind
-from ..store import EDGE_ROW, NODE_ROW, GraphStore, unique_key
+from ..store import EDGE_ROW, NODE_ROW, GraphStore, LazyFrames, unique_key
 from ..temporal import OPEN_REVISION
 
 
@@ -25,8 +25,8 @@ def _flat(store: GraphStore, kind: str, edge: bool = False) -> DataFrame:
 
 
 def _with(store: GraphStore, kind: str, frame: DataFrame, edge: bool = False) -> GraphStore:
-    nodes, edges = dict(store.frames), dict(store.edge_frames)
-    (edges if edge else nodes)[kind] = frame
+    put = lambda frames: frames.put(kind, frame) if isinstance(frames, LazyFrames) else {**frames, kind: frame}
+    nodes, edges = (store.frames, put(store.edge_frames)) if edge else (put(store.frames), store.edge_frames)
     return GraphStore(store.spark, store.graph, nodes, edges, store.coordinate, store.recorded_nodes, store.recorded_edges, store.assertions)
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import EdgeKind, GraphDef, NodeKind, Unique, struct
-from ..store import GraphStore
+from ..store import GraphStore, LazyFrames
 from ..temporal import Coordinate
 
 #: "Now" of queries over these tables, so that results don't depend on the clock.
@@ -57,40 +59,55 @@ def _key(name: str) -> Column:
 
 def load(spark: SparkSession, sf_dir: str) -> GraphStore:
     """The tables of a folder as a store. Scans read only the columns that a query uses."""
-    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    line, orders, events, customer = t("lineitem"), t("orders"), t("events"), t("customer")
-    place = Window.partitionBy("l_orderkey").orderBy(*[F.col(c) for c in line.columns])
-    line_id = F.concat_ws("-", _key("l_orderkey"), F.row_number().over(place).cast("string"))
-    revenue = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    bound = lambda df, key, **props: df.select(_key(key).alias("id"), *[F.col(c).alias(n) for n, c in props.items()])
-    ends = lambda df, a, b, id_, *more: df.select(id_.alias("id"), _key(a).alias("from_id"), _key(b).alias("to_id"), *more)
-    nodes: dict[str, DataFrame] = {
-        "Region": bound(t("region"), "r_regionkey", name="r_name"),
-        "Nation": bound(t("nation"), "n_nationkey", name="n_name"),
-        "Customer": bound(customer, "c_custkey", name="c_name", acctbal="c_acctbal", mktsegment="c_mktsegment"),
-        "Supplier": bound(t("supplier"), "s_suppkey", name="s_name", acctbal="s_acctbal"),
-        "Part": bound(t("part"), "p_partkey", name="p_name", brand="p_brand", type="p_type", size="p_size", retailprice="p_retailprice"),
-        "Order": bound(orders, "o_orderkey", status="o_orderstatus", totalprice="o_totalprice", priority="o_orderpriority", orderdate="o_orderdate", valid_from="o_orderdate"),
-        "Document": bound(t("documents"), "doc_id", text="text", lang="lang", source="source", n_chars="n_chars"),
-        "Vector": bound(t("embeddings"), "vec_id", label="label", embedding="embedding"),
-        "User": events.select(_key("user_id").alias("id")).distinct(),
-        "EventType": events.select(F.col("event_type").alias("id")).distinct(),
-        "Event": events.select(_key("event_id").alias("id"), "ts", "value", F.parse_json("props").alias("props"), F.split("event_type", "r").alias("tags"), "event_type"),
+    t = functools.cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+    def bound(table: str, key: str, **props: str) -> Callable[[], DataFrame]:
+        return lambda: t(table).select(_key(key).alias("id"), *[F.col(c).alias(n) for n, c in props.items()])
+
+    def ends(table: str, a: str, b: str, id_: Column, *more: Column) -> Callable[[], DataFrame]:
+        return lambda: t(table).select(id_.alias("id"), _key(a).alias("from_id"), _key(b).alias("to_id"), *more)
+
+    def lines(a: str, b: str, *more: Column) -> Callable[[], DataFrame]:
+        """Line items as edges; their ids number equal order keys in the order of all columns."""
+
+        def make() -> DataFrame:
+            place = Window.partitionBy("l_orderkey").orderBy(*[F.col(c) for c in t("lineitem").columns])
+            return ends("lineitem", a, b, F.concat_ws("-", _key("l_orderkey"), F.row_number().over(place).cast("string")), *more)()
+
+        return make
+
+    def neighbours() -> DataFrame:
+        """Each nation with the next key and with the one seven further: a small graph for path queries."""
+        n = F.col("n").cast("string")
+        to = (F.col("n") + F.col("step")).cast("string")
+        pairs = spark.range(25).select(F.explode(F.array(F.lit(1), F.lit(7))).alias("step"), F.col("id").alias("n")).where("n + step < 25")
+        return pairs.select(F.concat_ws("-", n, to).alias("id"), n.alias("from_id"), to.alias("to_id"), (F.when(F.col("step") == 1, 1.0).otherwise(3.0) + F.col("n") % 3).alias("weight"))
+
+    nodes = {
+        "Region": bound("region", "r_regionkey", name="r_name"),
+        "Nation": bound("nation", "n_nationkey", name="n_name"),
+        "Customer": bound("customer", "c_custkey", name="c_name", acctbal="c_acctbal", mktsegment="c_mktsegment"),
+        "Supplier": bound("supplier", "s_suppkey", name="s_name", acctbal="s_acctbal"),
+        "Part": bound("part", "p_partkey", name="p_name", brand="p_brand", type="p_type", size="p_size", retailprice="p_retailprice"),
+        "Order": bound("orders", "o_orderkey", status="o_orderstatus", totalprice="o_totalprice", priority="o_orderpriority", orderdate="o_orderdate", valid_from="o_orderdate"),
+        "Document": bound("documents", "doc_id", text="text", lang="lang", source="source", n_chars="n_chars"),
+        "Vector": bound("embeddings", "vec_id", label="label", embedding="embedding"),
+        "User": lambda: t("events").select(_key("user_id").alias("id")).distinct(),
+        "EventType": lambda: t("events").select(F.col("event_type").alias("id")).distinct(),
+        "Event": lambda: t("events").select(_key("event_id").alias("id"), "ts", "value", F.parse_json("props").alias("props"), F.split("event_type", "r").alias("tags"), "event_type"),
     }
     until = F.col("o_orderdate") + F.expr("interval 90 days")
     gone = F.when(F.col("o_orderkey") % 17 == 0, F.col("o_orderdate") + F.expr("interval 30 days"))
+    measures = [F.col(f"l_{n}").alias(n) for n in ("quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus", "shipdate")]
     edges = {
-        "inRegion": ends(t("nation"), "n_nationkey", "n_regionkey", _key("n_nationkey")),
-        "customerIn": ends(customer, "c_custkey", "c_nationkey", F.concat(F.lit("c"), _key("c_custkey"))),
-        "supplierIn": ends(t("supplier"), "s_suppkey", "s_nationkey", F.concat(F.lit("s"), _key("s_suppkey"))),
-        "placed": ends(orders, "o_custkey", "o_orderkey", _key("o_orderkey"), F.col("o_orderdate").alias("valid_from")),
-        "openFor": ends(orders, "o_custkey", "o_orderkey", F.concat(F.lit("open"), _key("o_orderkey")), F.col("o_orderdate").alias("valid_from"), until.alias("valid_to"), gone.alias("deleted_at")),
-        "contains": ends(line, "l_orderkey", "l_partkey", line_id, *[F.col(f"l_{n}").alias(n) for n in ("quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus", "shipdate")], revenue.alias("revenue")),
-        "supplies": ends(line, "l_suppkey", "l_partkey", line_id, F.col("l_quantity").alias("quantity")),
-        "performed": ends(events, "user_id", "event_type", _key("event_id"), F.col("value")),
-        # Nations are neighbours of the next key, and of the one seven further: a small graph for path queries.
-        "neighbour": spark.range(25).select(F.explode(F.array(F.lit(1), F.lit(7))).alias("step"), F.col("id").alias("n")).where("n + step < 25").select(
-            F.concat_ws("-", F.col("n").cast("string"), (F.col("n") + F.col("step")).cast("string")).alias("id"), F.col("n").cast("string").alias("from_id"), (F.col("n") + F.col("step")).cast("string").alias("to_id"),
-            (F.when(F.col("step") == 1, 1.0).otherwise(3.0) + F.col("n") % 3).alias("weight")),
-    }
-    return GraphStore(spark, GRAPH, nodes, edges, Coordinate(now=NOW))
+        "inRegion": ends("nation", "n_nationkey", "n_regionkey", _key("n_nationkey")),
+        "customerIn": ends("customer", "c_custkey", "c_nationkey", F.concat(F.lit("c"), _key("c_custkey"))),
+        "supplierIn": ends("supplier", "s_suppkey", "s_nationkey", F.concat(F.lit("s"), _key("s_suppkey"))),
+        "placed": ends("orders", "o_custkey", "o_orderkey", _key("o_orderkey"), F.col("o_orderdate").alias("valid_from")),
+        "openFor": ends("orders", "o_custkey", "o_orderkey", F.concat(F.lit("open"), _key("o_orderkey")), F.col("o_orderdate").alias("valid_from"), until.alias("valid_to"), gone.alias("deleted_at")),
+        "contains": lines("l_orderkey", "l_partkey", *measures, (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue")),
+        "supplies": lines("l_suppkey", "l_partkey", F.col("l_quantity").alias("quantity")),
+        "performed": ends("events", "user_id", "event_type", _key("event_id"), F.col("value")),
+        "neighbour": neighbours,
+    }
+    return GraphStore(spark, GRAPH, LazyFrames(nodes), LazyFrames(edges), Coordinate(now=NOW))

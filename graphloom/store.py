@@ -32,6 +32,29 @@ def unique_key(unique: Unique, prefix: str = "p__") -> Column:
     return F.concat_ws("\0", *parts)
 
 
+class LazyFrames(Mapping):
+    """Frames by kind that are built when first asked for: a query pays for the tables that it reads."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]) -> None:
+        self._makers, self._made = dict(makers), {}
+
+    def __getitem__(self, kind: str) -> DataFrame:
+        if kind not in self._made:
+            self._made[kind] = self._makers[kind]()
+        return self._made[kind]
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+    def put(self, kind: str, frame: DataFrame) -> LazyFrames:
+        out = LazyFrames(self._makers | {kind: lambda: frame})
+        out._made = {k: f for k, f in self._made.items() if k != kind}
+        return out
+
+
 class GraphStore:
     """Frames by kind. A node frame has id and the kind's properties, an edge frame also from_id and to_id (and from_kind and
     to_kind where its kind has several); version, valid_from, valid_to, created_at, updated_at and deleted_at are optional.
@@ -41,7 +64,7 @@ class GraphStore:
 
     def __init__(self, spark: SparkSession, graph: GraphDef, nodes: Mapping[str, DataFrame], edges: Mapping[str, DataFrame], coordinate: Coordinate | None = None, recorded_nodes: Mapping[str, DataFrame] | None = None, recorded_edges: Mapping[str, DataFrame] | None = None, assertions: DataFrame | None = None) -> None:
         self.spark, self.graph = spark, graph
-        self.frames, self.edge_frames = dict(nodes), dict(edges)
+        self.frames, self.edge_frames = (f if isinstance(f, LazyFrames) else dict(f) for f in (nodes, edges))
         self.recorded_nodes, self.recorded_edges = dict(recorded_nodes or {}), dict(recorded_edges or {})
         self.assertions = assertions
         self.coordinate = (coordinate or Coordinate()).pinned()
