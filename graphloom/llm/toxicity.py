@@ -22,7 +22,7 @@ from ._shared import MARKS, mix64, slices, word_hashes
 
 #: Labelled rows used for training at most, of either label: those with the smallest hash of their id.
 MOST_TOXIC, MOST_CLEAN = 2000, 2500
-BUCKETS, DIM, FILTERS, WIDTHS, PREFIX = 1 << 16, 12, 8, (1, 2, 3), 5
+BUCKETS, DIM, FILTERS, WIDTHS, PREFIX = 1 << 18, 12, 8, (1, 2, 3), 5
 EPOCHS, BATCH, RATE, FOLDS = 2, 64, 0.05, 3
 CUT = 0.3
 WORDS_AT_ONCE = 60_000
@@ -149,7 +149,7 @@ def _trained(word: np.ndarray, prefix: np.ndarray, at: np.ndarray, label: np.nda
         picked = np.concatenate([np.arange(at[i], at[i + 1]) for i in some]) if len(some) else np.zeros(0, np.int64)
         return word[picked], prefix[picked], np.concatenate([[0], np.cumsum(at[some + 1] - at[some])])
 
-    embedding = draw.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
+    embedding = 0.05 * draw.standard_normal((BUCKETS, DIM), np.float32)
     embedding[:, 0] += np.clip(_log_odds(*only(rows), label[rows]), -3, 6) / 2
     filters = [draw.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     for f in filters:
