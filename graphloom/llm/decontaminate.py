@@ -157,20 +157,22 @@ def _held_join(items: "pa.Table", window: int, own_words: int):
             ids, texts, out = batch["id"].to_pylist(), texts_of(batch["text"]), []
             for a, b in slices(texts):
                 made = templates.of(texts[a:b])
-                for i, hashes, first in _windows(made, window):
-                    mine = signed(hashes)
-                    low = np.searchsorted(held, mine)
-                    hits = np.flatnonzero(held[np.minimum(low, len(held) - 1)] == mine) if len(held) else low[:0]
-                    found: dict[int, int] = {}
-                    for j in hits.tolist():
-                        span = slice(first + j, first + j + window)
-                        seen = set()
-                        for k in range(low[j], np.searchsorted(held, mine[j], "right")):
-                            item = int(owner[k])
-                            if item not in seen and _consistent(values[k], made[1][span], made[2][span], own_words):
-                                seen.add(item)
-                                found[item] = found.get(item, 0) + 1
-                    out += [(ids[a + i], item, n) for item, n in found.items()]
+                at, mine = made[3], signed(shingle_hashes(mix64(made[0]), window))
+                if not len(held) or not len(mine):
+                    continue
+                low = np.searchsorted(held, mine)
+                hits = np.flatnonzero(held[np.minimum(low, len(held) - 1)] == mine)
+                text = np.searchsorted(at, hits, "right") - 1
+                within = hits + window <= at[text + 1]  # windows that run over the end of a text are none
+                found: dict[tuple[int, int], int] = {}
+                for i, j in zip(text[within].tolist(), hits[within].tolist(), strict=True):
+                    span, seen = slice(j, j + window), set()
+                    for k in range(low[j], np.searchsorted(held, mine[j], "right")):
+                        item = int(owner[k])
+                        if item not in seen and _consistent(values[k], made[1][span], made[2][span], own_words):
+                            seen.add(item)
+                            found[i, item] = found.get((i, item), 0) + 1
+                out += [(ids[a + i], item, n) for (i, item), n in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["doc_id", "item_id", "windows"])
 
     return run

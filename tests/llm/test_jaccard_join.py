@@ -8,9 +8,9 @@ from graphloom.llm import jaccard_join as jj
 from graphloom.llm._shared import word_hashes
 
 
-def shingles(text):
+def shingles(text, k=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
-    return frozenset([tuple(words)] if 0 < len(words) < 3 else [tuple(words[i : i + 3]) for i in range(len(words) - 2)])
+    return frozenset([tuple(words)] if 0 < len(words) < k else [tuple(words[i : i + k]) for i in range(len(words) - k + 1)])
 
 
 def expected(rows):
