@@ -3,8 +3,8 @@
 Shingles are hashed into groups. Two uses are made of them:
 
 * Distribution. Sets A and B with J(A, B) >= t differ in at most d = floor(s (1 - t) / t) shingles,
-  s being the smaller size. Dealt by hash into d + 1 groups, at least one group is the same in both;
-  its content is the key by which they meet. The number of groups depends on a bucket of sizes, so
+  s being the smaller size. Dealt by hash into groups of which more than d are filled, at least one filled group is
+  the same in both; its content is the key by which they meet. The number of groups depends on a bucket of sizes, so
   a set makes keys for its own bucket and for the one below, where its smaller partners are.
 * Search. Sets that share a key (directly or through others) form a candidate component. Its members
   are compared in chunks of bounded size: the counts of ``DIMS`` groups are points in an R-tree, a
@@ -17,6 +17,7 @@ ever brought into one task with its texts, and no list of pairs is made.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -63,8 +64,18 @@ def digest(hashes: np.ndarray) -> int:
     return int(signed(mix64(np.array([total])))[0])
 
 
+def spare_groups(size: int, differ: int) -> int:
+    """Groups beyond differ + 1 that a set of this size is likely to leave empty, and some more."""
+    empty = (differ + 1) * math.exp(-size / (differ + 1))
+    return math.ceil(empty + 3 * math.sqrt(empty))
+
+
 def group_keys(hashes: np.ndarray, ends: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
-    """Hashes of the content of every group, under the set's own scheme and the one below."""
+    """Hashes of the content of every filled group, under the set's own scheme and the one below.
+
+    If a set fills more groups than two sets can differ in, one filled group is the same in the other. A set that fills
+    fewer also has keys for its empty groups, and so meets others of that kind.
+    """
     n, out = len(hashes), []
     own = int(np.searchsorted(ends, n, "right")) - 1
     for k in (own, own - 1):
@@ -74,10 +85,13 @@ def group_keys(hashes: np.ndarray, ends: np.ndarray, numerator: int, denominator
         if differ == 0:  # only equal sets, which are one node, link here
             continue
         salt = np.uint64(k * 0x2545F4914F6CDD1D & (1 << 64) - 1)
-        group = (mix64(hashes + salt) >> np.uint64(33)) % np.uint64(differ + 1)
-        content = np.zeros(differ + 1, np.uint64)
-        np.add.at(content, group.astype(np.int64), mix64(hashes ^ np.uint64(0x14057B7EF767814F)))
-        out.append(mix64(content + mix64(np.arange(differ + 1, dtype=np.uint64) + salt)))
+        groups = differ + 1 + spare_groups(int(ends[k]), differ)
+        group = ((mix64(hashes + salt) >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
+        content = np.zeros(groups, np.uint64)
+        np.add.at(content, group, mix64(hashes ^ np.uint64(0x14057B7EF767814F)))
+        keys = mix64(content + mix64(np.arange(groups, dtype=np.uint64) + salt))
+        filled = np.bincount(group, minlength=groups) > 0
+        out.append(keys[filled] if filled.sum() > differ else keys)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

@@ -91,6 +91,38 @@ def test_bounds_and_index():
     assert all(keys[i] & keys[j] for i, j in whole)
 
 
+def test_five_words(documents):
+    rows = near_copies(5, 120, edits=5)
+    parent = {}
+    sets = [shingles(t, 5) for _, t in rows]
+    from fractions import Fraction
+
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jj.jaccard_components(documents(rows), 5, Fraction(4, 5)).collect()}
+    parent = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and 100 * len(a & b) >= 80 * len(a | b):
+                parent[jj._find(parent, i)] = jj._find(parent, j)
+    for i, (d, _) in enumerate(rows):
+        assert got[d, len(sets[i])] == min(rows[j][0] for j in range(len(rows)) if jj._find(parent, j) == jj._find(parent, i))
+
+
+def test_linked_sets_share_a_key():
+    r = np.random.default_rng(8)
+    for numerator, denominator in ((4, 5), (9, 10), (1, 2)):
+        ends = jj.size_buckets(numerator, denominator)
+        for n in [*range(1, 60), 200, 777]:
+            a = r.integers(0, 1 << 63, n).astype(np.uint64)
+            most = n * (denominator - numerator) // numerator
+            b = np.unique(np.concatenate([a, r.integers(0, 1 << 63, r.integers(0, most + 1)).astype(np.uint64)]))
+            drop = max(0, (n * denominator // denominator) * (denominator - numerator) // (2 * denominator))
+            c = np.unique(a)[drop:]
+            for x, y in ((a, b), (a, c)):
+                x, y = np.unique(x), np.unique(y)
+                if not np.array_equal(x, y) and denominator * len(np.intersect1d(x, y)) >= numerator * len(np.union1d(x, y)):
+                    assert set(jj.group_keys(x, ends, numerator, denominator)) & set(jj.group_keys(y, ends, numerator, denominator)), (n, numerator)
+
+
 def test_words_are_those_of_the_pattern():
     texts = ["a b", "", "  x\ty\x0bz ", "ä ö"]
     hashes, at = word_hashes([t.encode() for t in texts])
