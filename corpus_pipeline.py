@@ -6,8 +6,6 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group that Jaccard similarities of 0.8 or more of their five-word
-    shingles link. Of rows with the same id and text one stays; rows without an id stay."""
+    """One document, that of the smallest id, of each group that Jaccard similarities of 0.9 or more of their three-word
+    shingles link, as in op10_jaccard_join. Of rows with the same id and text one stays; rows without an id stay."""
     ship(spark)
-    found = written(jaccard_join.jaccard_components(docs, 5, Fraction(4, 5)), "components")
+    found = written(jaccard_join.jaccard_components(docs), "components")
     go = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(go, docs["doc_id"] == go["__id"], "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
