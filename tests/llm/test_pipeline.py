@@ -42,3 +42,12 @@ def test_repeated_and_null_rows(spark):
 def test_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names and len(cp.STAGES) == 5
+
+
+def test_near_copies_by_five_words(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = {r["doc_id"]: shingles(r["text"], 5) for r in docs.collect()}
+    kept = {r["doc_id"] for r in cp.drop_near_copies(spark, docs, SF).collect()}
+    linked = [(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and x and 10 * len(x & y) >= 8 * len(x | y)]
+    assert linked and not [(a, b) for a, b in linked if a in kept and b in kept]
+    assert sets.keys() - {a for pair in linked for a in pair} <= kept
