@@ -1,14 +1,16 @@
 """Benchmark decontamination by template windows.
 
 A text is turned into template tokens: words in lower case without marks around them; numbers become
-``<num>``, a unit after a number ``<unit>``, a capitalised word inside a sentence ``<name>``. Windows of template
-tokens are hashed on both sides and joined by hash, so a question is found again with other numbers, names or
-units. A window with placeholders must be consistent: one value on one side stands for one value on the
-other, throughout the windows of the match. Windows that hardly hold a word of their own count only if the values are the same.
+``<num>``, a unit after a number ``<unit>``, a capitalised word ``<name>``, or, where it begins a sentence, ``<name>`` or
+the word. Windows of template tokens are hashed on both sides, in both readings, so a question is found again with other
+numbers, names or units. What meets by hash is compared token by token along the item, and decided by runs: stretches of
+an item in which one value on one side stands for one value on the other. A run counts if its values are the same, if it
+holds enough words of its own, or if it is the whole item and holds one.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +19,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import mix64, shingle_hashes, signed, slices, texts_of, written
+from ._shared import mix64, signed, slices, texts_of, written
 
-#: Template tokens in a window, and words of its own (no placeholders) that a re-parameterised window must have.
+#: Template tokens in a window, and words of its own (no placeholders) that a re-parameterised run must have.
 WINDOW, OWN_WORDS = 8, 5
 #: Units of measure that become a placeholder after a number.
 UNITS = frozenset(
@@ -34,7 +36,11 @@ HELD_WINDOWS = 2_000_000
 _CORE = regex.compile(r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", regex.DOTALL)
 _NUMBER = regex.compile(r"[+-]?\p{N}[\p{N}.,:/]*")
 _ENDS = regex.compile(r"[.!?:]\W*$")
-NUM, NAME, UNIT, WORD = 1, 2, 3, 0
+NUM, NAME, UNIT, EITHER, WORD = 1, 2, 3, 4, 0
+#: An item's window with so many sentence starts at most is hashed in every mixture of readings; others all as words and all as names.
+MIXED = 6
+_CODE = mix64(np.arange(1, 6, dtype=np.uint64))
+_POLY = 0x9E3779B97F4A7C15
 
 
 def _hash(word: str) -> int:
@@ -42,7 +48,8 @@ def _hash(word: str) -> int:
     h = 0xCBF29CE484222325
     for b in word.encode("utf-8", "surrogatepass"):
         h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return h
+    h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD & 0xFFFFFFFFFFFFFFFF
+    return h ^ h >> 29
 
 
 class Templates:
@@ -72,8 +79,8 @@ class Templates:
             self.known[spelling] = row
         return row
 
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Template hash, value hash and kind of every token of all texts, and the offsets of each text's."""
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Value hash and kind of every token of all texts, and the offsets of each text's."""
         if self.size > self.KEPT:
             self.known.clear()
             self.size = 0
@@ -90,27 +97,43 @@ class Templates:
             at.append(at[-1] + len(rows))
         offsets, flat = np.array(at), np.concatenate([np.zeros(0, np.int64), *parts])
         word, kind, end = self.word[flat], self.kind[flat], self.end[flat]
-        value = word
         begins = np.zeros(len(word) + 1, bool)
         begins[1:] = end
         begins[offsets[offsets <= len(word)]] = True
-        kind[(kind == NAME) & begins[:-1]] = WORD
+        kind[(kind == NAME) & begins[:-1]] = EITHER
         after = np.concatenate([[False], kind[:-1] == NUM])
         kind[(kind == UNIT) & ~after] = WORD
         real = kind >= 0
         kept = np.concatenate([[0], np.cumsum(real)])
-        template = np.where(kind == WORD, word, kind.astype(np.uint64))
-        return template[real], value[real], kind[real], kept[offsets]
+        return word[real], kind[real], kept[offsets]
 
 
-def _windows(made, window: int) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(text, hashes of its windows, first token). A text of fewer tokens has none."""
-    template, _, _, at = made
-    every = shingle_hashes(mix64(template), window)
-    for i in range(len(at) - 1):
-        n = at[i + 1] - at[i] - window + 1
-        if n > 0:
-            yield i, every[at[i] : at[i] + n], int(at[i])
+def _reading(value: np.ndarray, kind: np.ndarray, names: bool) -> np.ndarray:
+    """Codes of template tokens; first words of sentences are names or words."""
+    code = _CODE[np.where(kind == EITHER, NAME, kind)]
+    return np.where((kind == WORD) | ((kind == EITHER) & (not names)), value, code)
+
+
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(_POLY, n, 1 << 64))
+
+
+def _hashes(code: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
+    """For each length the hashes of so many tokens from each position on, put together from those of 1, 2, 4 ... tokens."""
+    doubled, step, out = {1: code}, 1, {}
+    while 2 * step <= max(lengths, default=0):
+        h = doubled[step]
+        doubled[2 * step] = h[:-step] * _power(step) + h[step:] if len(h) > step else h[:0]
+        step *= 2
+    for n in lengths:
+        m, have, total = max(0, len(code) - n + 1), 0, None
+        for step in sorted(doubled, reverse=True):
+            if n & step:
+                part = doubled[step][have : have + m] if m else code[:0]
+                total = part if total is None else total * _power(step) + part
+                have += step
+        out[n] = total
+    return out
 
 
 def _consistent(one: np.ndarray, two: np.ndarray, kind: np.ndarray, own_words: int) -> bool:
@@ -124,88 +147,256 @@ def _consistent(one: np.ndarray, two: np.ndarray, kind: np.ndarray, own_words: i
     return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
-def window_rows(window: int):
-    """(id, text) -> (id, position, hash, values, kinds) of every window."""
+def _stretches(fit: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Where ``fit`` holds ``least`` times in a row or more."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], fit, [False]]).view(np.int8)))
+    return [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a >= least]
+
+
+def _one_to_one(pairs: set[tuple[int, int]]) -> bool:
+    return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def _runs(pairs: list[tuple[int, int] | None], least: int) -> list[tuple[int, int]]:
+    """The longest stretches, ``least`` or more, whose pairs of values (None: a word of its own) are one to one."""
+    if _one_to_one({x for x in pairs if x}):
+        return [(0, len(pairs))]
+    out, left = [], 0
+    to: dict[int, list[int]] = {}
+    back: dict[int, list[int]] = {}  # value: partner, times
+    for right, pair in enumerate(pairs):
+        if not pair:
+            continue
+        x, y = pair
+        first = left
+        while to.get(x, [y])[0] != y or back.get(y, [x])[0] != x:
+            if left == first and right - left >= least:
+                out.append((left, right))
+            if gone := pairs[left]:
+                for side, k in zip((to, back), gone, strict=True):
+                    side[k][1] -= 1
+                    if not side[k][1]:
+                        del side[k]
+            left += 1
+        to.setdefault(x, [y, 0])[1] += 1
+        back.setdefault(y, [x, 0])[1] += 1
+    return [*out, (left, len(pairs))] if len(pairs) - left >= least else out
+
+
+class Items:
+    """Token arrays of benchmark items, and tables of the hashes of their windows by length."""
+
+    def __init__(self, values: list[bytes], kinds: list[bytes], window: int, own_words: int) -> None:
+        self.value, self.kind = np.frombuffer(b"".join(values), np.uint64), np.frombuffer(b"".join(kinds), np.int8)
+        sizes = np.array([len(k) for k in kinds], np.int64)
+        self.at, self.window, self.own_words = np.concatenate([[0], np.cumsum(sizes)]), window, own_words
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        place, length = np.arange(len(owner)), np.minimum(sizes, window)[owner]
+        starts = np.flatnonzero(place + length <= self.at[owner + 1])
+        lengths = np.unique(length).tolist()
+        rows: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in lengths}
+        for names in (False, True):
+            for n, h in _hashes(_reading(self.value, self.kind, names), lengths).items():
+                own = starts[length[starts] == n]
+                rows[n].append((h[own], own))
+        either = np.concatenate([[0], np.cumsum(self.kind == EITHER)])
+        many = either[starts + length[starts]] - either[starts]
+        for j in starts[(many > 1) & (many <= MIXED)].tolist():
+            n = int(length[j])
+            value, kind = self.value[j : j + n], self.kind[j : j + n]
+            free = np.flatnonzero(kind == EITHER)
+            code = np.repeat(_reading(value, kind, False)[None], 1 << len(free), 0)
+            named = (np.arange(1 << len(free))[:, None] >> np.arange(len(free))) & 1
+            code[:, free] = np.where(named, _CODE[NAME], code[:, free])
+            total = code[:, 0]
+            for c in range(1, n):
+                total = total * _power(1) + code[:, c]
+            rows[n].append((total[1:-1], np.full((1 << len(free)) - 2, j)))
+        self.tables = {}
+        for n, parts in rows.items():
+            h, own = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+            order = np.lexsort((own, h))
+            h, own = h[order], own[order]
+            once = np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])])
+            h, own = h[once], own[once]
+            mask = (1 << min(25, max(16, (16 * len(h)).bit_length()))) - 1
+            near = np.zeros(mask + 1, bool)
+            near[(h & np.uint64(mask)).view(np.int64)] = True
+            self.tables[n] = h, own, owner[own], near, np.uint64(mask)
+
+    def met(self, made) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(window length, starts in the texts, first and last row of the table) of windows whose hash the items have."""
+        value, kind, at = made
+        for names in (False, True):
+            for n, every in _hashes(_reading(value, kind, names), list(self.tables)).items():
+                held, _, _, near, mask = self.tables[n]
+                hits = np.flatnonzero(near[(every & mask).view(np.int64)])
+                low, high = (np.searchsorted(held, every[hits], side) for side in ("left", "right"))
+                text = np.searchsorted(at, hits, "right") - 1
+                sure = (high > low) & (hits + n <= at[text + 1])  # windows that run over the end of a text are none
+                yield n, hits[sure], low[sure], high[sure]
+
+    def find(self, made) -> list[tuple[int, int, int]]:
+        """(text, item, windows of the text that are in runs that count)."""
+        at, lines = made[2], set()
+        for n, hits, low, high in self.met(made):
+            _, own, owner, _, _ = self.tables[n]
+            text = np.searchsorted(at, hits, "right") - 1
+            for i, j, a, b in zip(text.tolist(), hits.tolist(), low.tolist(), high.tolist(), strict=True):
+                lines.update((i, k, j - p) for k, p in zip(owner[a:b].tolist(), own[a:b].tolist(), strict=True))
+        found: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for i, k, shift in lines:
+            if got := self._along(made, i, k, shift):
+                found[i, k].update(got)
+        return [(i, k, len(x)) for (i, k), x in found.items()]
+
+    def _along(self, made, i: int, k: int, shift: int) -> list[int]:
+        """Starts of the windows of text i in runs that count, where item k lies ``shift`` tokens before it."""
+        value, kind, at = made
+        size = int(self.at[k + 1] - self.at[k])
+        begin, end = max(int(at[i]), int(self.at[k]) + shift), min(int(at[i + 1]), int(self.at[k + 1]) + shift)
+        one, two = self.value[begin - shift : end - shift], value[begin:end]
+        own_kind, its_kind = self.kind[begin - shift : end - shift], kind[begin:end]
+        is_name = ((own_kind == NAME) | (own_kind == EITHER)) & ((its_kind == NAME) | (its_kind == EITHER))
+        same = one == two
+        own = same & ((own_kind == WORD) | (own_kind == EITHER) | (its_kind == WORD) | (its_kind == EITHER))
+        out, least = [], min(self.window, size)
+        slot = np.where(own, WORD, NUM)  # for _consistent: what is no word of its own is a placeholder
+        strict = (own_kind != WORD) | (its_kind != WORD)
+        for a, b in _stretches(same | is_name | ((own_kind == its_kind) & ((own_kind == NUM) | (own_kind == UNIT))), least):
+            pairs = [(x, y) if s else None for x, y, s in zip(one[a:b].tolist(), two[a:b].tolist(), strict[a:b].tolist(), strict=True)]
+            good: list[tuple[int, int]] = []
+            for c, d in _runs(pairs, least):
+                run = slice(a + c, a + d)
+                if _consistent(one[run], two[run], slot[run], 1 if d - c == size else self.own_words):
+                    good.append((c, d))
+                else:
+                    good += [(c + x, c + y) for x, y in _stretches(same[run], least)]
+            taken: set[tuple[int, int]] = set()
+            for c, d in sorted(good, key=lambda x: x[0] - x[1]):  # one mapping for the stretch: that of its longest run
+                if _one_to_one(both := taken | {x for x in pairs[c:d] if x}):
+                    taken = both
+                    out += range(begin + a + c, begin + a + d - least + 1)
+        return out
+
+
+def _rows_of(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names)
+
+
+def _tokens(window: int):
+    """(id, text) -> (id, number of windows, values, kinds)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
         for batch in batches:
             ids, texts = batch["id"].to_pylist(), texts_of(batch["text"])
             for a, b in slices(texts):
-                made = templates.of(texts[a:b])
-                rows = [(ids[a + i], j, int(h), made[1][first + j : first + j + window].tobytes(), made[2][first + j : first + j + window].tobytes()) for i, hashes, first in _windows(made, window) for j, h in enumerate(signed(hashes).tolist())]
-                for c in range(0, len(rows), 20_000):
-                    part = rows[c : c + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["id", "position", "hash", "values", "kinds"])
+                value, kind, at = templates.of(texts[a:b])
+                spans = [(ids[a + i], slice(at[i], at[i + 1])) for i in range(b - a) if at[i + 1] - at[i] >= window]
+                sizes = [max(1, int(x.stop - x.start) - window + 1) for _, x in spans]
+                columns = [pa.array([i for i, _ in spans], pa.int64()), pa.array(sizes, pa.int64()), *[pa.array([y[x].tobytes() for _, x in spans], pa.binary()) for y in (value, kind)]]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "windows", "values", "kinds"])
 
     return run
 
 
-_ROWS = "id long, position long, hash long, values binary, kinds binary"
+_FOUND = "doc_id long, row long, item_id long, item_row long, windows long"
 
 
 def _held_join(items: "pa.Table", window: int, own_words: int):
-    """Documents against windows held in memory: (id, item_id, matched windows)."""
+    """Documents (id, row, text) against items held in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
-        order = np.argsort(items["hash"].to_numpy(), kind="stable")
-        held = items["hash"].to_numpy()[order]
-        owner = items["id"].to_numpy()[order]
-        values = np.frombuffer(b"".join(items["values"].to_pylist()), np.uint64).reshape(-1, window)[order]
+        held = Items(items["values"].to_pylist(), items["kinds"].to_pylist(), window, own_words)
+        names, keys = items["id"].to_pylist(), items["item_row"].to_pylist()
         for batch in batches:
-            ids, texts, out = batch["id"].to_pylist(), texts_of(batch["text"]), []
+            ids, rows, texts, out = batch["id"].to_pylist(), batch["row"].to_pylist(), texts_of(batch["text"]), []
             for a, b in slices(texts):
-                made = templates.of(texts[a:b])
-                at, mine = made[3], signed(shingle_hashes(mix64(made[0]), window))
-                if not len(held) or not len(mine):
-                    continue
-                low = np.searchsorted(held, mine)
-                hits = np.flatnonzero(held[np.minimum(low, len(held) - 1)] == mine)
-                text = np.searchsorted(at, hits, "right") - 1
-                within = hits + window <= at[text + 1]  # windows that run over the end of a text are none
-                found: dict[tuple[int, int], int] = {}
-                for i, j in zip(text[within].tolist(), hits[within].tolist(), strict=True):
-                    span, seen = slice(j, j + window), set()
-                    for k in range(low[j], np.searchsorted(held, mine[j], "right")):
-                        item = int(owner[k])
-                        if item not in seen and _consistent(values[k], made[1][span], made[2][span], own_words):
-                            seen.add(item)
-                            found[i, item] = found.get((i, item), 0) + 1
-                out += [(ids[a + i], item, n) for (i, item), n in found.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["doc_id", "item_id", "windows"])
+                out += [(ids[a + i], rows[a + i], names[k], keys[k], n) for i, k, n in held.find(templates.of(texts[a:b]))]
+            yield _rows_of(out, ["doc_id", "row", "item_id", "item_row", "windows"])
+
+    return run
+
+
+def _item_hashes(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch["item_row"].to_pylist()
+            tables = Items(batch["values"].to_pylist(), batch["kinds"].to_pylist(), window, 1).tables
+            for n, (h, _, owner, _, _) in tables.items():
+                yield _rows_of(list(zip(signed(h).tolist(), [n] * len(h), [keys[k] for k in owner.tolist()], strict=True)), ["hash", "n", "item_row"])
+
+    return run
+
+
+def _text_hashes(lengths: list[int]):
+    """(row, text) -> (hash, n, row) of every window in both readings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates = Templates()
+        for batch in batches:
+            rows, texts = batch["row"].to_numpy(), texts_of(batch["text"])
+            for a, b in slices(texts):
+                value, kind, at = templates.of(texts[a:b])
+                for names in (False, True):
+                    for n, h in _hashes(_reading(value, kind, names), lengths).items():
+                        text = np.searchsorted(at, np.arange(len(h)), "right") - 1
+                        sure = np.flatnonzero(np.arange(len(h)) + n <= at[text + 1])
+                        for c in range(0, len(sure), 50_000):
+                            own = sure[c : c + 50_000]
+                            yield pa.RecordBatch.from_arrays([pa.array(signed(h[own])), pa.array(np.full(len(own), n)), pa.array(rows[a + text[own]])], ["hash", "n", "row"])
 
     return run
 
 
 def _checked(window: int, own_words: int):
+    """Rows sorted by item_row: one item and one text that share a window's hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates, last, held = Templates(), None, None
         for batch in batches:
-            one, two, kinds = (batch[c].to_pylist() for c in ("values", "item_values", "kinds"))
-            keep = [_consistent(np.frombuffer(b, np.uint64), np.frombuffer(a, np.uint64), np.frombuffer(k, np.int8), own_words) for a, b, k in zip(one, two, kinds, strict=True)]
-            yield batch.select(["doc_id", "item_id", "position"]).filter(pa.array(keep, pa.bool_()))
+            out, columns = [], [batch[c].to_pylist() for c in ("id", "row", "item_id", "item_row", "values", "kinds")]
+            for text, doc, row, item, key, value, kind in zip(texts_of(batch["text"]), *columns, strict=True):
+                if key != last:
+                    last, held = key, Items([value], [kind], window, own_words)
+                out += [(doc, row, item, key, n) for _, _, n in held.find(templates.of([text]))]
+            yield _rows_of(out, ["doc_id", "row", "item_id", "item_row", "windows"])
 
     return run
 
 
+def _row(doc_id, text):
+    return F.xxhash64(doc_id.cast("long"), text.cast("string"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, own_words: int, held: int) -> DataFrame:
+    """``doc_id, row, item_id, item_row, windows`` of pairs of a distinct document row and a distinct item row."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), _row(F.col("doc_id"), F.col("text")).alias("row"), F.col("text").cast("string").alias("text")).where("id is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null").distinct()
+    items = written(items.mapInArrow(_tokens(window), "id long, windows long, values binary, kinds binary"), "items")
+    items = items.withColumn("item_row", F.xxhash64("id", "values", "kinds"))
+    if (items.agg(F.sum("windows")).head()[0] or 0) <= held:
+        return texts.mapInArrow(_held_join(items.select("id", "item_row", "values", "kinds").toArrow(), window, own_words), _FOUND).distinct()
+    own = items.mapInArrow(_item_hashes(window), "hash long, n long, item_row long").distinct()
+    lengths = sorted(r[0] for r in own.select("n").distinct().collect())  # as many as a window has tokens at most
+    near = texts.select("row", "text").mapInArrow(_text_hashes(lengths), "hash long, n long, row long").join(own, ["hash", "n"]).select("row", "item_row").distinct()
+    pairs = near.join(texts, "row").join(items.select(F.col("id").alias("item_id"), "item_row", "values", "kinds"), "item_row").dropDuplicates(["row", "item_row"])
+    columns = ["id", "row", "item_id", "item_row", "values", "kinds", "text"]
+    return pairs.select(*columns).sortWithinPartitions("item_row").mapInArrow(_checked(window, own_words), _FOUND)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, own_words: int = OWN_WORDS, least: int = 1, held: int = HELD_WINDOWS) -> DataFrame:
-    """``doc_id, item_id, windows``: the documents that repeat a benchmark item, and how many of its windows.
+    """``doc_id, item_id, windows``: the documents that repeat a benchmark item, and how many of their windows do.
 
-    docs (doc_id, text), benchmark (item_id, text). Every window of ``window`` template tokens of every text is looked up. A
-    null or shorter text has none: an item of fewer tokens can't be found. Rows with null ids are left out, several texts under one
-    id are counted together, a repeated item adds nothing. The benchmark's windows are counted, and held by each task if they
-    are ``held`` at most; otherwise both sides are joined by hash. Empty tables give none; extra columns are ignored.
+    docs (doc_id, text), benchmark (item_id, text). Every window of ``window`` template tokens of every text is looked up; an
+    null or shorter text has none, an item of fewer tokens is not found. Rows with null ids are left out,
+    repeated rows and items add nothing, windows of several texts under one id add up. The benchmark's windows are counted, and
+    its items held by each task if they are ``held`` at most; otherwise hashes of both sides are joined first, and texts
+    and items that share one compared in the same way. Empty tables give none; extra columns are ignored.
     """
-    ship_docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null").distinct()
-    items = written(items.mapInArrow(window_rows(window), _ROWS), "windows")
-    if items.count() <= held:
-        pairs = ship_docs.mapInArrow(_held_join(items.toArrow(), window, own_words), "doc_id long, item_id long, windows long")
-    else:
-        own = items.select(F.col("id").alias("item_id"), "hash", F.col("values").alias("item_values"))
-        near = ship_docs.mapInArrow(window_rows(window), _ROWS).withColumnRenamed("id", "doc_id").join(own, "hash")
-        sure = near.select("doc_id", "item_id", "position", "values", "item_values", "kinds").mapInArrow(_checked(window, own_words), "doc_id long, item_id long, position long")
-        pairs = sure.distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"))
+    pairs = _found(docs, benchmark, window, own_words, held)
     return pairs.groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows")).where(F.col("windows") >= least)
 
 

@@ -33,6 +33,18 @@ def test_decontamination(spark, documents):
     assert {r[0] for r in kept.select("doc_id").collect()} >= {3, 4, 5, None} and kept.columns == documents([]).columns
 
 
+def windows(df, bench, **how):
+    return sorted(tuple(r) for r in dc.contaminated(df, bench, **how).collect())
+
+
+def test_number_dense_items_and_first_names(spark, documents):
+    items = ["John paid 15 dollars for 3 books and 2 pens.", "Calculate 12 + 7 * 3 - 4 / 5 + 8 * 6 - 1 .", "The river runs past seven mills and farms"]
+    texts = ["Mary paid 40 dollars for 6 books and 5 pens.", "so Calculate 15 + 9 * 2 - 7 / 11 + 3 * 20 - 8 . then", "text without an end The river runs past seven mills and farms", "Mary paid 40 dollars for 6 books and a coat."]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = documents(list(enumerate(texts)))
+    assert windows(df, bench) == windows(df, bench, held=0) == [(0, 0, 3), (1, 1, 2), (2, 2, 1)]
+
+
 def test_slots_must_agree():
     kinds = np.array([0, 0, 0, 0, 0, 1, 1, 2], np.int8)
     a = np.array([1, 2, 3, 4, 5, 6, 6, 7], np.uint64)
