@@ -293,7 +293,7 @@ def _tokens(window: int):
             ids, texts = batch["id"].to_pylist(), texts_of(batch["text"])
             for a, b in slices(texts):
                 value, kind, at = templates.of(texts[a:b])
-                spans = [(ids[a + i], slice(at[i], at[i + 1])) for i in range(b - a) if at[i + 1] - at[i] >= window]
+                spans = [(ids[a + i], slice(at[i], at[i + 1])) for i in range(b - a) if at[i + 1] > at[i]]
                 sizes = [max(1, int(x.stop - x.start) - window + 1) for _, x in spans]
                 columns = [pa.array([i for i, _ in spans], pa.int64()), pa.array(sizes, pa.int64()), *[pa.array([y[x].tobytes() for _, x in spans], pa.binary()) for y in (value, kind)]]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "windows", "values", "kinds"])
@@ -391,7 +391,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ow
     """``doc_id, item_id, windows``: the documents that repeat a benchmark item, and how many of their windows do.
 
     docs (doc_id, text), benchmark (item_id, text). Every window of ``window`` template tokens of every text is looked up; an
-    null or shorter text has none, an item of fewer tokens is not found. Rows with null ids are left out,
+    item of fewer tokens is one window of its own length. A text without tokens has none. Rows with null ids are left out,
     repeated rows and items add nothing, windows of several texts under one id add up. The benchmark's windows are counted, and
     its items held by each task if they are ``held`` at most; otherwise hashes of both sides are joined first, and texts
     and items that share one compared in the same way. Empty tables give none; extra columns are ignored.

@@ -45,6 +45,12 @@ def test_number_dense_items_and_first_names(spark, documents):
     assert windows(df, bench) == windows(df, bench, held=0) == [(0, 0, 3), (1, 1, 2), (2, 2, 1)]
 
 
+def test_short_items(spark, documents):
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "Add 3 and 4"), (3, "7 8")], "item_id long, text string")
+    df = documents([(1, "so What is the capital of France? we ask"), (2, "is the capital of France? we ask"), (3, "please add 5 and 9"), (4, "1 2"), (5, "x 7 8 y"), (6, "What is"), (7, "the capital of France?")])
+    assert windows(df, bench) == windows(df, bench, held=0) == [(1, 1, 1), (3, 2, 1), (5, 3, 1)]
+
+
 def test_slots_must_agree():
     kinds = np.array([0, 0, 0, 0, 0, 1, 1, 2], np.int8)
     a = np.array([1, 2, 3, 4, 5, 6, 6, 7], np.uint64)
