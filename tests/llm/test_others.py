@@ -51,6 +51,13 @@ def test_short_items(spark, documents):
     assert windows(df, bench) == windows(df, bench, held=0) == [(1, 1, 1), (3, 2, 1), (5, 3, 1)]
 
 
+def test_windows_of_repeated_rows(spark, documents):
+    bench = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, ITEM)], "item_id long, text string")
+    df = documents([(1, ITEM), (1, ITEM), (1, "so " + OTHER), (2, ITEM), (3, ITEM + " " + ITEM)])
+    one = windows(documents([(2, ITEM)]), bench)[0][2]
+    assert windows(df, bench) == windows(df, bench, held=0) == [(d, i, n * one) for d, n in ((1, 2), (2, 1), (3, 2)) for i in (1, 2)]
+
+
 def test_slots_must_agree():
     kinds = np.array([0, 0, 0, 0, 0, 1, 1, 2], np.int8)
     a = np.array([1, 2, 3, 4, 5, 6, 6, 7], np.uint64)
