@@ -58,6 +58,16 @@ def test_windows_of_repeated_rows(spark, documents):
     assert windows(df, bench) == windows(df, bench, held=0) == [(d, i, n * one) for d, n in ((1, 2), (2, 1), (3, 2)) for i in (1, 2)]
 
 
+def test_one_mapping_along_an_item(spark, documents):
+    item = "In the village Anna Berg sold 12 kg of apples to her friend Otto for 30 euros and then Anna went home to the other village by train"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    whole, parted = item.replace("Anna", "Maria"), item.replace("Anna", "Maria", 1).replace("Anna", "Lisa")
+    df = documents([(1, whole), (2, parted)])
+    size = len(item.split()) - dc.WINDOW + 1
+    got = windows(df, bench)
+    assert got == windows(df, bench, held=0) and got[0] == (1, 1, size) and got[1][2] < size
+
+
 def test_slots_must_agree():
     kinds = np.array([0, 0, 0, 0, 0, 1, 1, 2], np.int8)
     a = np.array([1, 2, 3, 4, 5, 6, 6, 7], np.uint64)
