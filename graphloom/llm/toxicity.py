@@ -3,8 +3,9 @@
 A word is the sum of the embeddings of its hash and of its prefix's hash. Filters of widths 1, 2 and 3 run over the whole
 text, each keeps its maximum, and a logistic layer weighs those. Embeddings start from smoothed log odds of
 the buckets in the training sample, and all parts are then trained by Adagrad. Since a filter is linear in the words'
-embeddings, scoring looks its products up in one table by bucket. Thresholds are calibrated on rows kept from
-training, for each language as told from the words; a score of ``CUT`` is the threshold of the text's language.
+embeddings, scoring looks its products up in one table by bucket. Thresholds are calibrated on all labelled rows, at their own
+share of labels, by models that haven't seen the row; for each language as told from the words. A score of ``CUT`` is the
+threshold of the text's language.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ CUT = 0.3
 WORDS_AT_ONCE = 60_000
 #: Texts of prior evidence that a bucket's log odds are shrunk by.
 SHRINK = 4
-#: Languages with fewer kept rows of either label use the threshold of all.
+#: Languages with fewer rows of either label use the threshold of all.
 LEAST_ROWS = 8
+#: Logits of rows outside the sample are counted in steps of 1 / STEPS, up to MOST on either side.
+STEPS, MOST = 64, 40
 
 
 def word_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,8 +119,8 @@ def _log_odds(word: np.ndarray, prefix: np.ndarray, at: np.ndarray, label: np.nd
     return np.log((counts[1] + SHRINK * rate) / (counts[0] + SHRINK) / rate)
 
 
-def train(word: np.ndarray, prefix: np.ndarray, at: np.ndarray, label: np.ndarray, language: list[str | None], seed: int = 5) -> Model | None:
-    """None if there are not both labels. Thresholds come from logits of rows that the fold's model hasn't seen."""
+def train(word: np.ndarray, prefix: np.ndarray, at: np.ndarray, label: np.ndarray, language: list[str | None], seed: int = 5) -> tuple[Model, np.ndarray, np.ndarray] | None:
+    """None if there are not both labels. A model without thresholds, and each row's logit and language by a fold's model that hasn't seen it."""
     n = len(label)
     if n == 0 or label.min() == label.max():
         return None
@@ -132,11 +135,16 @@ def train(word: np.ndarray, prefix: np.ndarray, at: np.ndarray, label: np.ndarra
             rows = np.isin(np.repeat(np.arange(n), np.diff(at)), part)
             edges = np.concatenate([[0], np.cumsum(at[part + 1] - at[part])])
             z[part], told[part] = _trained(word, prefix, at, label, language, np.flatnonzero(fold != k), seed + k).logits(word[rows], prefix[rows], edges)
-    general = threshold(z, label)
+    return model, z, told
+
+
+def calibrate(model: Model, z: np.ndarray, told: np.ndarray, label: np.ndarray, times: np.ndarray) -> Model:
+    """Sets the threshold of each language from logits that stand for ``times`` rows each."""
+    general = threshold(z, label, times)
     for k in range(len(model.languages)):
         own = told == k
-        few = min((label[own] == v).sum() for v in (0, 1)) < LEAST_ROWS
-        model.thresholds[k] = general if few else threshold(z[own], label[own])
+        few = min(times[own & (label == v)].sum() for v in (0, 1)) < LEAST_ROWS
+        model.thresholds[k] = general if few else threshold(z[own], label[own], times[own])
     return model
 
 
@@ -216,14 +224,14 @@ def _trained(word: np.ndarray, prefix: np.ndarray, at: np.ndarray, label: np.nda
     return Model(embedding, filters, flat, weights, offset, names, (odds - odds.mean(1, keepdims=True)).astype(np.float32), np.zeros(len(names)))
 
 
-def threshold(z: np.ndarray, label: np.ndarray) -> float:
-    """The middle of the gap between logits at which F1 is highest; of equal ones the widest gap."""
-    order = np.argsort(z)
-    z, label = z[order], label[order]
+def threshold(z: np.ndarray, label: np.ndarray, times: np.ndarray) -> float:
+    """The middle of the gap between logits at which F1 is highest; of equal ones the widest gap. A logit counts ``times``."""
+    order = np.argsort(z, kind="stable")
+    z, toxic, times = z[order], (label * times)[order], times[order]
     gaps = np.diff(z)
-    above = label.sum() - np.cumsum(label)[:-1]  # toxic rows above the gap
-    flagged = len(z) - 1 - np.arange(len(gaps))
-    f1 = np.where(gaps > 0, 2 * above / (flagged + label.sum()), -1)
+    above = toxic.sum() - np.cumsum(toxic)[:-1]  # toxic rows above the gap
+    flagged = times.sum() - np.cumsum(times)[:-1]
+    f1 = np.where(gaps > 0, 2 * above / (flagged + toxic.sum()), -1)
     if not len(f1) or f1.max() < 0:
         return float(z.mean())
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
@@ -231,6 +239,32 @@ def threshold(z: np.ndarray, label: np.ndarray) -> float:
     return float((z[k] + z[k + 1]) / 2)
 
 
+def outside_sample(docs: DataFrame, known: DataFrame, sample: DataFrame, model: Model) -> np.ndarray:
+    """Columns logit, language, label and number of rows, of the labelled texts that the model hasn't been trained on.
+
+    Counted in steps of the logit, so what comes to the driver is bounded. Of several texts under one id the shortest counts.
+    All texts that are not held out are scored, and their logits joined with the labels: no text is shuffled.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    rest = known.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, made = batch["text"].to_pylist(), [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+            for a, b in slices(texts):
+                word, prefix, at = word_buckets(texts[a:b])
+                made.append((np.diff(at), *sent.value.logits(word, prefix, at)))
+            size, z, told = (np.concatenate(x) for x in zip(*made, strict=True))
+            step = np.clip(np.rint(z * STEPS), -MOST * STEPS, MOST * STEPS)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(x.astype(np.int64)) for x in (size, step, told)]], ["doc_id", "size", "step", "told"])
+
+    each = texts.mapInArrow(run, "doc_id long, size long, step long, told long").join(rest, "doc_id").groupBy("doc_id").agg(F.min(F.struct("size", "step", "told", "toxic")).alias("x"))
+    rows = each.groupBy("x.step", "x.told", "x.toxic").count().collect()
+    got = np.array([tuple(r) for r in rows], np.float64).reshape(-1, 4)
+    return got / np.array([STEPS, 1, 1, 1])
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether the crc32 of the id as text leaves 2 by 4; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
@@ -239,7 +273,7 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = MOST_TOXIC, clean: int = MOST_CLEAN) -> Model | None:
     """A model from docs (doc_id, text, lang) and labels (doc_id, toxic), never from held-out rows.
 
-    Of either label at most ``toxic`` and ``clean`` ids, those with the smallest hash. An id with labels that differ is toxic; null
+    Trained on at most ``toxic`` and ``clean`` ids of either label, those with the smallest hash; thresholds come from all ids. An id with labels that differ is toxic; null
     labels and ids don't count; of several texts under one id the shortest counts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().where(~held_out(F.col("doc_id")))
@@ -268,7 +302,13 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = MOST_TOXIC, clean: int
         both[:, at[i] : at[i + 1]] = np.frombuffer(got["buckets"][int(k)].as_buffer(), np.int32).reshape(2, -1)
     label, language = got["toxic"].to_numpy()[order].astype(np.int64), got["lang"].take(pa.array(order)).to_pylist()
     del got
-    return train(both[0], both[1], at, label, language)
+    made = train(both[0], both[1], at, label, language)
+    if made is None:
+        return None
+    model, z, told = made
+    more = outside_sample(docs, known, sample, model)
+    z, told, label = (np.concatenate([x, more[:, i]]) for i, x in enumerate((z, told, label)))
+    return calibrate(model, z, told, label, np.concatenate([np.ones(len(z) - len(more)), more[:, 3]]))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

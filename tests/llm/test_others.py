@@ -195,6 +195,25 @@ def test_toxicity(spark, documents):
     assert tx.score(documents([]), model).count() == 0
 
 
+def test_thresholds_from_all_labels(spark, documents, monkeypatch):
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(1200):
+        lang = "xx" if i % 6 == 0 else "yy"
+        words = [f"{lang}{r.randrange(60)}" for _ in range(r.randint(5, 30))]
+        if toxic := r.random() < 0.1:
+            words[0] = "vile"
+        rows.append((i, " ".join(words), lang))
+        labels.append((i, int(toxic)))
+    seen = []
+    monkeypatch.setattr(tx, "threshold", lambda z, label, times, f=tx.threshold: seen.append((sum(times), sum(times * label))) or f(z, label, times))
+    df, marks = documents(rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = tx.fit(df, marks, 40, 50)
+    free = {x[0] for x in marks.where(~tx.held_out(F.col("doc_id"))).collect()}
+    used = [(x, t) for (i, _, x), (_, t) in zip(rows, labels, strict=True) if i in free]
+    assert seen == [(len(used), sum(t for _, t in used)), *[(len(own), sum(own)) for own in ([t for x, t in used if x == k] for k in model.languages)]]
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)] + [(3, 3), (None, 1)]
