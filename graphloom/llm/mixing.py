@@ -19,7 +19,7 @@ from ._shared import written
 #: The driver holds one number for each source and each pattern: more than this many are refused.
 MAX_PATTERNS = 1_000_000
 #: Hash ranges into which the documents of a pattern are summed; only the one where the words run out is sorted.
-RANGES = 4096
+RANGES = 1 << 15
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,8 +49,7 @@ def targets(sizes: list[int], weights: list[float], total: float, most: float =
 def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], most: int) -> list[dict[int, int]]:
     """Words of each pattern that each source takes: {source: words}, by successive shortest paths.
 
-    patterns: (sources, words). The r-th repetition of a pattern's words costs r - 1 a word. Patterns of one source
-    that no other pattern shares are routed at once, since their arcs have no alternative.
+    patterns: (sources, words). The r-th repetition of a pattern's words costs r - 1 a word.
     """
     flow: list[dict[int, int]] = [{} for _ in patterns]
     sharers: dict[int, list[int]] = {}
@@ -59,13 +58,6 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
             sharers.setdefault(s, []).append(p)
     left = list(quotas)
     used = [0] * len(patterns)
-    alone = {s for s, ps in sharers.items() if len(ps) == 1 and len(patterns[ps[0]][0]) == 1}
-    for s in alone:
-        p = sharers[s][0]
-        take = min(left[s], most * patterns[p][1])
-        if take > 0:
-            flow[p][s] = used[p] = take
-            left[s] -= take
 
     def level(p: int) -> int:
         return used[p] // patterns[p][1]
@@ -73,7 +65,7 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
     # Breadth first from a source that wants more: to its patterns, from a full pattern to the sources that hold
     # its words, from those to their other patterns. All steps cost nothing; the pattern at the end costs its level.
     for s in sorted(sharers):
-        while s not in alone and left[s] > 0:
+        while left[s] > 0:
             came: dict[int, int | None] = {~s: None}
             queue, ends = deque([~s]), []
             while queue:
@@ -110,7 +102,9 @@ def mix(docs: DataFrame, sources: Column, size: Column, weight_cycle: tuple[floa
     order. Sources in code point order weigh ``weight_cycle``, repeating, and share ``share`` times all words; none
     gets more than ``most`` times its own. Rows are taken whole: all rows of a pattern as often as the flow asks, and
     one time more those that come first by seeded hash of ``key`` (the id and the text), as far as the words
-    go, and then the row whose size comes nearest to what is short. Equal rows have equal hashes; reruns agree. A row without words takes 0. Empty tables give none.
+    go, and then the row whose size comes nearest to what is short. Of equal rows, as many are taken once more as there
+    are words for; which ones of them makes no difference, so reruns agree. A row without words takes 0. Empty tables give none.
+    More than MAX_PATTERNS patterns are refused.
     """
     given = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     key = F.xxhash64(F.col("doc_id").cast("string"), F.xxhash64("text")) if key is None else key
@@ -147,19 +141,42 @@ def mix(docs: DataFrame, sources: Column, size: Column, weight_cycle: tuple[floa
     sums = sums.withColumn("upto", upto).withColumn("base", F.col("upto") - F.col("words")).join(known.select("__p", "__rest"), "__p")
     edge = sums.where("base < __rest and upto >= __rest").select("__p", F.col("__range").alias("__edge"), "base", "__rest")
     inside = rows.select("__p", "__range", "__h", "__size").join(edge, "__p").where("__range = __edge")
-    run = F.sum("__size").over(Window.partitionBy("__p").orderBy("__h", "__size").rowsBetween(Window.unboundedPreceding, 0))
+    inside = inside.groupBy("__p", "__h").agg(*[F.max(c).alias(c) for c in ("__edge", "base", "__rest")], F.max("__size").alias("one"), F.sum("__size").alias("words"), F.count("*").alias("rows"))
+    run = F.sum("words").over(Window.partitionBy("__p").orderBy("__h").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("s", F.col("base") + run)
-    last = inside.where("s <= __rest").groupBy("__p").agg(F.max("__h").alias("__last"), F.max("s").alias("got"))
-    edge = edge.join(last, "__p", "left").select("__p", "__edge", "__last", (F.col("__rest") - F.coalesce("got", "base")).alias("short"))
-    edge = written(edge, "edge")
+    whole = F.max(F.when(F.col("s") <= F.col("__rest"), F.col("__h"))).alias("__last")
+    got = F.coalesce(F.max(F.when(F.col("s") <= F.col("__rest"), F.col("s"))), F.max("base"))
+    cross = F.min(F.when(F.col("s") > F.col("__rest"), F.struct("__h", "rows", "one"))).alias("cross")
+    edge = inside.groupBy("__p").agg(F.max("__edge").alias("__edge"), whole, (F.max("__rest") - got).alias("short"), cross)
+    # Of equal rows where the words run out, as many as fit.
+    some = F.when(F.col("cross.rows") > 1, F.floor(F.col("short") / F.col("cross.one"))).otherwise(0)
+    edge = edge.withColumn("__some", some).withColumn("short", F.col("short") - F.coalesce(F.col("__some") * F.col("cross.one"), F.lit(0)))
+    edge = written(edge.select("__p", "__edge", "__last", "short", F.col("cross.__h").alias("__cross"), "__some"), "edge")
     # What is short then is less than a row; of the rows not chosen, the one whose size comes nearest to it.
-    free = rows.join(F.broadcast(edge) if len(plan) <= 10_000 else edge, "__p").where("__range > __edge or (__range = __edge and (__last is null or __h > __last))")
+    few = len(plan) <= 10_000
+    free = rows.join(F.broadcast(edge) if few else edge, "__p").where("__range > __edge or (__range = __edge and (__last is null or __h > __last))")
     off = F.abs(F.col("__size") - F.col("short"))
     fill = free.where(off < F.col("short")).groupBy("__p").agg(F.min_by("__h", F.struct(off, "__h")).alias("__fill"))
     edge = edge.join(fill, "__p", "left").drop("short")
-    edge = F.broadcast(edge) if len(plan) <= 10_000 else edge
-
-    out = keyed.join(known, "__p", "left").join(edge, "__p", "left")
-    extra = F.coalesce((F.col("__range") < F.col("__edge")) | ((F.col("__range") == F.col("__edge")) & (F.col("__h") <= F.col("__last"))) | (F.col("__h") == F.col("__fill")), F.lit(False))
-    out = out.withColumn("size", F.col("__size")).withColumn("taken", F.col("__size") * (F.col("__times") + extra.cast("long")))
+    picked = edge.select("__p", F.explode(F.array_distinct(F.array("__cross", "__fill"))).alias("__h"), "__cross", "__some", "__fill").where("__h is not null")
+    more = F.when(F.col("__h") == F.col("__cross"), F.col("__some")).otherwise(0) + F.coalesce((F.col("__h") == F.col("__fill")).cast("long"), F.lit(0))
+    picked = picked.select("__p", "__h", more.alias("__more")).where("__more > 0")
+    several = rows.join(F.broadcast(picked) if few else picked, ["__p", "__h"]).groupBy("__p", "__h").agg(F.max("__more").alias("__more"), F.count("*").alias("n"))
+    several = written(several, "picked")
+    edge = written(edge.select("__p", "__edge", "__last"), "edge")
+
+    out = keyed.join(known, "__p", "left").join(F.broadcast(edge) if few else edge, "__p", "left").join(F.broadcast(several) if few else several, ["__p", "__h"], "left")
+    before = (F.col("__range") < F.col("__edge")) | ((F.col("__range") == F.col("__edge")) & (F.col("__h") <= F.col("__last")))
+    out = out.withColumn("__extra", F.coalesce(before | (F.col("__more") >= F.col("n")), F.lit(False)))
+    if several.where("n > __more").head(1):
+        # Equal rows of which only some are taken: numbered within the partitions they come from, and those by their counts.
+        tied = F.coalesce(F.col("n") > F.col("__more"), F.lit(False))
+        rows_ = written(out.where(tied).withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id()), "tied")
+        group = ["__p", "__h"]
+        upto = F.sum("count").over(Window.partitionBy(*group).orderBy("__part")) - F.col("count")
+        base = rows_.groupBy(*group, "__part").count().withColumn("__base", upto).drop("count")
+        place = F.row_number().over(Window.partitionBy(*group, "__part").orderBy("__place"))
+        rows_ = rows_.join(base, [*group, "__part"]).withColumn("__extra", F.col("__base") + place <= F.col("__more"))
+        out = out.where(~tied).unionByName(rows_.select(*out.columns))
+    out = out.withColumn("size", F.col("__size")).withColumn("taken", F.col("__size") * (F.col("__times") + F.col("__extra").cast("long")))
     return out.select(*given, "size", "source_size", "target", "taken")

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import mixing, sharding
@@ -106,3 +107,42 @@ def test_overlapping_sources(spark):
     df = spark.createDataFrame([(i, "w " * 10, ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b"]) for i in range(90)], "doc_id long, text string, sources array<string>")
     out = mixing.mix(df, F.col("sources"), mixing.word_count(F.col("text"))).collect()
     assert abs(sum(r["taken"] for r in out) - 1.5 * 900) <= 60 and all(r["taken"] <= 20 for r in out)
+
+
+def test_mix_of_equal_rows(documents):
+    """Of a thousand equal rows as many are taken as the target asks for."""
+    data = [(k, "w " * 10, "en", f"s{k}") for k in range(3) for _ in range(1000)]
+    df = documents(data).repartition(7)
+    taken = defaultdict(int)
+    for r in mixed(df):
+        assert r["taken"] in (0, 10, 20)
+        taken[r["source"]] += r["taken"]
+        assert abs({"s0": 20_000, "s1": 25_000 / 3, "s2": 50_000 / 3}[r["source"]] - r["target"]) < 1e-6
+    assert taken == {"s0": 20_000, "s1": 8_330, "s2": 16_670}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mix_against_brute_force(documents, seed):
+    """Every row of a source as often as its target holds all of them; then by hash, then the one that fits best."""
+    r = random.Random(seed)
+    data = [(r.randrange(40), "w " * r.randrange(9), "en", r.choice(["a", "b", None, "a"])) for _ in range(r.randint(1, 90))]
+    df = documents(data)
+    hashed = df.select("source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(7), F.xxhash64(F.col("doc_id").cast("string"), F.xxhash64("text"))).alias("h"))
+    by = defaultdict(list)
+    for x in hashed.withColumn("range", F.pmod("h", F.lit(mixing.RANGES))).collect():
+        by[x["source"]].append((x["range"], x["h"], x["size"]))
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    sizes = [sum(x[2] for x in by[s]) for s in names]
+    want = {}
+    for s, size, target in zip(names, sizes, mixing.targets(sizes, [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(sizes)), strict=True):
+        times, left = divmod(min(round(target), 2 * size), size) if size else (0, 0)
+        own, total = sorted(by[s]), times * size
+        i = 0
+        while i < len(own) and own[i][2] <= left:
+            left, total, i = left - own[i][2], total + own[i][2], i + 1
+        fits = [(abs(n - left), h, n) for _, h, n in own[i:] if abs(n - left) < left]
+        want[s] = total + (min(fits)[2] if fits else 0)
+    taken = defaultdict(int)
+    for x in mixed(df):
+        taken[x["source"]] += x["taken"]
+    assert dict(taken) == want
