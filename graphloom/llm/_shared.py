@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..functions.tables import materialize
 
 #: Bytes of text that one vectorised step works on; numpy needs about 60 times as much.
 SLICE_BYTES = 1 << 20
@@ -21,15 +22,6 @@ _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, unless they find it where the driver does."""
     root = Path(__file__).resolve().parents[2]
@@ -43,12 +35,7 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._graphloom = True  # type: ignore[attr-defined]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: the lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+written = materialize
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

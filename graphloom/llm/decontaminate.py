@@ -30,8 +30,8 @@ UNITS = frozenset(
     "kilogram kilograms litre litres liter liters mile miles inch inches foot feet dollar dollars euro euros cent cents usd eur "
     "percent degree degrees c f k w kw v a j kj hz n pa bar".split()
 )
-#: Window hashes of the benchmark that each task may hold; beyond that both sides are joined by a shuffle.
-HELD_WINDOWS = 2_000_000
+#: Windows and bytes of token arrays of the benchmark that each task may hold; beyond either both sides are joined by a shuffle.
+HELD_WINDOWS, HELD_BYTES = 2_000_000, 64 << 20
 
 _CORE = regex.compile(r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", regex.DOTALL)
 _NUMBER = regex.compile(r"[+-]?\p{N}[\p{N}.,:/]*")
@@ -332,12 +332,12 @@ def _item_hashes(window: int):
 
 
 def _text_hashes(lengths: list[int]):
-    """(row, text) -> (hash, n, row) of every window in both readings."""
+    """(id, row, text) -> (hash, n, id, row) of every window in both readings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
         for batch in batches:
-            rows, texts = batch["row"].to_numpy(), texts_of(batch["text"])
+            ids, rows, texts = batch["id"], batch["row"].to_numpy(), texts_of(batch["text"])
             for a, b in slices(texts):
                 value, kind, at = templates.of(texts[a:b])
                 for names in (False, True):
@@ -346,7 +346,8 @@ def _text_hashes(lengths: list[int]):
                         sure = np.flatnonzero(np.arange(len(h)) + n <= at[text + 1])
                         for c in range(0, len(sure), 50_000):
                             own = sure[c : c + 50_000]
-                            yield pa.RecordBatch.from_arrays([pa.array(signed(h[own])), pa.array(np.full(len(own), n)), pa.array(rows[a + text[own]])], ["hash", "n", "row"])
+                            columns = [pa.array(signed(h[own])), pa.array(np.full(len(own), n)), ids.take(pa.array(a + text[own])), pa.array(rows[a + text[own]])]
+                            yield pa.RecordBatch.from_arrays(columns, ["hash", "n", "id", "row"])
 
     return run
 
@@ -367,22 +368,25 @@ def _checked(window: int, own_words: int):
     return run
 
 
-def _row(doc_id, text):
-    return F.xxhash64(doc_id.cast("long"), text.cast("string"))
-
-
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, own_words: int, held: int) -> DataFrame:
-    """``doc_id, row, item_id, item_row, windows`` of pairs of a distinct document row and a distinct item row."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), _row(F.col("doc_id"), F.col("text")).alias("row"), F.col("text").cast("string").alias("text")).where("id is not null")
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null").distinct()
+    """``doc_id, row, item_id, item_row, windows`` of pairs of a distinct document row and a distinct item row; null ids
+    are ids like others. ``row`` is the hash of the text."""
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("id"), text.alias("text")).distinct()
     items = written(items.mapInArrow(_tokens(window), "id long, windows long, values binary, kinds binary"), "items")
     items = items.withColumn("item_row", F.xxhash64("id", "values", "kinds"))
-    if (items.agg(F.sum("windows")).head()[0] or 0) <= held:
-        return texts.mapInArrow(_held_join(items.select("id", "item_row", "values", "kinds").toArrow(), window, own_words), _FOUND).distinct()
+    size = items.agg(F.sum("windows"), F.sum(F.octet_length("values") + F.octet_length("kinds"))).head()
+    if (size[0] or 0) <= held and (size[1] or 0) <= HELD_BYTES:
+        own = items.select("id", "item_row", "values", "kinds").toArrow()  # HELD_BYTES at most
+        return texts.mapInArrow(_held_join(own, window, own_words), _FOUND).distinct()
     own = items.mapInArrow(_item_hashes(window), "hash long, n long, item_row long").distinct()
     lengths = sorted(r[0] for r in own.select("n").distinct().collect())  # as many as a window has tokens at most
-    near = texts.select("row", "text").mapInArrow(_text_hashes(lengths), "hash long, n long, row long").join(own, ["hash", "n"]).select("row", "item_row").distinct()
-    pairs = near.join(texts, "row").join(items.select(F.col("id").alias("item_id"), "item_row", "values", "kinds"), "item_row").dropDuplicates(["row", "item_row"])
+    near = texts.select("id", "row", "text").mapInArrow(_text_hashes(lengths), "hash long, n long, id long, row long")
+    near = near.join(own, ["hash", "n"]).select("id", "row", "item_row").distinct().select(F.col("id").alias("d"), F.col("row").alias("r"), "item_row")
+    once = texts.dropDuplicates(["id", "row"])
+    pairs = near.join(once, (F.col("r") == F.col("row")) & F.col("d").eqNullSafe(F.col("id"))).drop("d", "r")
+    pairs = pairs.join(items.select(F.col("id").alias("item_id"), "item_row", "values", "kinds").dropDuplicates(["item_row"]), "item_row")
     columns = ["id", "row", "item_id", "item_row", "values", "kinds", "text"]
     return pairs.select(*columns).sortWithinPartitions("item_row").mapInArrow(_checked(window, own_words), _FOUND)
 
@@ -391,16 +395,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ow
     """``doc_id, item_id, windows``: the documents that repeat a benchmark item, and how many of their windows do.
 
     docs (doc_id, text), benchmark (item_id, text). Every window of ``window`` template tokens of every text is looked up; an
-    item of fewer tokens is one window of its own length. A text without tokens has none. Rows with null ids are left out,
-    repeated rows and items add nothing, windows of several texts under one id add up. The benchmark's windows are counted, and
-    its items held by each task if they are ``held`` at most; otherwise hashes of both sides are joined first, and texts
-    and items that share one compared in the same way. Empty tables give none; extra columns are ignored.
+    item of fewer tokens is one window of its own length. A text without tokens has none. A null id is an id
+    like others (``decontaminate`` drops such rows too); repeated rows and items add nothing, windows of several texts under
+    one id add up. The benchmark's windows and bytes are counted, and its items held by each task if they are ``held``
+    and HELD_BYTES at most; otherwise hashes of both sides are joined first, and texts and items that share one
+    compared in the same way, with the same results. Empty tables give none; extra columns are ignored.
     """
     pairs = _found(docs, benchmark, window, own_words, held)
     return pairs.groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows")).where(F.col("windows") >= least)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` without the rows whose doc_id ``contaminated`` returns; rows with a null id stay."""
-    found = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__id"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, own_words: int = OWN_WORDS, least: int = 1, held: int = HELD_WINDOWS) -> DataFrame:
+    """``docs`` without the rows whose text repeats a benchmark item in ``least`` windows or more. Rows are told apart by
+    id and text: another text under the same id stays, and rows with a null id are judged like others."""
+    pairs = _found(docs, benchmark, window, own_words, held)
+    go = pairs.groupBy("doc_id", "row", "item_row").agg(F.sum("windows").alias("n")).where(F.col("n") >= least)
+    go = go.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    same = (F.xxhash64(F.col("text").cast("string")) == F.col("__row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    return docs.join(go, same, "left_anti")

@@ -26,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import forget, with_totals
+from ..operators.components import components
 from ._shared import mix64, shingle_hashes, signed, slices, texts_of, whole_hash, word_hashes, written
-from .components import components
 
 #: Coordinates of a point, and points in a leaf of the R-tree.
 DIMS, LEAF = 32, 16
 #: Shingles in a chunk of sets that are compared in one task; one set may have more.
 CHUNK = 150_000
+#: Keys that a task folds at once: of a key that many sets in the task share, one goes on.
+FOLD = 1 << 19
 
 
 def size_buckets(numerator: int, denominator: int, largest: int = 1 << 40) -> np.ndarray:
@@ -170,7 +173,8 @@ def _features(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [(len(s), digest(s)) for s in shingle_sets(texts_of(batch["text"]), shingle)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.int64())], ["doc_id", "n_shingles", "node"])
+            more = [pa.array([x[i] for x in made], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], *more], ["doc_id", "text_hash", "n_shingles", "node"])
 
     return run
 
@@ -188,39 +192,57 @@ def _keys(shingle: int, numerator: int, denominator: int):
                         part = signed(keys[a : a + (1 << 16)])
                         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), d))], ["key", "node"])
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in run(batches):
-            held.append(batch)
-            if sum(map(len, held)) > 50_000 or len(held) >= 1000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held = []
+            held.append((batch["key"].to_numpy(), batch["node"].to_numpy()))
+            size += len(held[-1][0])
+            if size >= FOLD or len(held) >= 20_000:
+                yield from _packed(*fold_keys(*(np.concatenate(x) for x in zip(*held, strict=True))))
+                held, size = [], 0
         if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            yield from _packed(*fold_keys(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
-    return packed
+    return folded
+
+
+def _packed(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(keys), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in (keys, nodes)], ["key", "node"])
+
+
+def fold_keys(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer (key, node) rows that tie the same nodes: each key with its smallest node alone, and each other
+    node of the key tied to that one by a key of their own. So a key in all sets leaves a task once."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+    hub = nodes[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
+    tied = np.unique(np.stack([hub, nodes], 1)[~first & (hub != nodes)], axis=0)
+    own = signed(mix64(mix64(tied[:, 0].view(np.uint64)) + tied[:, 1].view(np.uint64))) if len(tied) else np.zeros(0, np.int64)
+    return np.concatenate([keys[first], own, own]), np.concatenate([nodes[first], tied[:, 0], tied[:, 1]])
 
 
 def _verify(shingle: int, numerator: int, denominator: int):
     """Rows sorted by task: (task, side, node, text) -> links (a, b). Holds one task's sets at a time."""
 
-    def solve(rows: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
-        kept = {(side, node): s for side, node, s in rows}
+    def solve(kept: dict[tuple[int, int], np.ndarray]) -> list[tuple[int, int]]:
         names = [n for _, n in kept]
         found = links_between(list(kept.values()), np.array([side for side, _ in kept]), numerator, denominator)
         return [(names[a], names[b]) for a, b in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, rows = None, []
+        task, rows = None, {}
         for batch in batches:
             out: list[tuple[int, int]] = []
             columns = batch["task"].to_pylist(), batch["side"].to_pylist(), batch["node"].to_pylist()
             for t, side, node, s in zip(*columns, shingle_sets(texts_of(batch["text"]), shingle), strict=True):
                 if t != task:
                     out += solve(rows)
-                    task, rows = t, []
-                if digest(s) == node:  # else another text under the same id
-                    rows.append((side, node, s))
+                    task, rows = t, {}
+                if (side, node) not in rows and digest(s) == node:  # else another text under the same id
+                    rows[side, node] = s
             yield _pairs(out)
         yield _pairs(solve(rows))
 
@@ -230,33 +252,30 @@ def _verify(shingle: int, numerator: int, denominator: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, shingle: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs`` (doc_id, text).
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
-    ``component_id`` is the smallest doc_id that links reach; a link is a Jaccard similarity of
-    ``threshold`` or more between the sets of distinct ``shingle``-word shingles (A-Z lowered, words
-    are runs of characters other than space and \\x09-\\x0D). A text of fewer words is one shingle; a
-    null text or one without words has an empty set, links with nothing and is its own component.
 
-    Repeated rows come back as often; several texts under one id link each by themselves. Rows with
-    a null id take part through other rows with the same set and have a null component if
-    there is no id in reach. Other columns of ``docs`` are not looked at. An empty table gives none.
-    Sets are told apart by 64-bit digests.
-    """
+def _linked(docs: DataFrame, shingle: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Features of every row (doc_id, text_hash, n_shingles, node: the digest of its set), and of every node that isn't
+    empty its first row (null ids last) and the label of what it is linked with (node, first, label)."""
     numerator, denominator = threshold.numerator, threshold.denominator
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    features = written(rows.mapInArrow(_features(shingle), "doc_id long, n_shingles long, node long"), "features")
-    nodes = features.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"))
+    rows = _keyed(docs)
+    features = written(rows.mapInArrow(_features(shingle), "doc_id long, text_hash long, n_shingles long, node long"), "features")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    nodes = features.where("n_shingles > 0").groupBy("node").agg(first.alias("first"), F.max("n_shingles").alias("n"))
 
-    keys = rows.mapInArrow(_keys(shingle, numerator, denominator), "key long, node long")
-    hub = F.min("node").over(Window.partitionBy("key"))
+    keys = rows.select("text").mapInArrow(_keys(shingle, numerator, denominator), "key long, node long")
+    hub = F.min("node").over(Window.partitionBy("key"))  # of a key, one row for each FOLD keys of a task at most
     candidates = components(keys.select(F.col("node").alias("a"), hub.alias("b")))
 
     # Chunks of a candidate component: as many as its shingles ask for, each text read once.
-    all_n = F.sum("n").over(Window.partitionBy("component"))
-    member = candidates.join(nodes, "node").where("first_id is not null").withColumn("parts", F.ceil(all_n / CHUNK).cast("int"))
-    member = member.select("node", F.col("first_id").alias("doc_id"), "component", "parts", F.expr("pmod(xxhash64(node), parts)").cast("int").alias("part"))
-    cells = written(member.join(rows, "doc_id").select("node", "component", "parts", "part", "text"), "cells")
+    member = written(candidates.join(nodes, "node").select("node", "component", "n", "first.doc_id", "first.text_hash"), "members")
+    member = with_totals(member, "component", [("all_n", F.sum("n"))]).withColumn("parts", F.ceil(F.col("all_n") / CHUNK).cast("int"))
+    member = member.select("node", F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), "component", "parts", F.expr("pmod(xxhash64(node), parts)").cast("int").alias("part"))
+    same = (F.col("h") == F.col("text_hash")) & F.col("id").eqNullSafe(F.col("doc_id"))
+    cells = written(member.join(rows, same).select("node", "component", "parts", "part", "text"), "cells")
 
     def compare(wanted: DataFrame) -> DataFrame:
         """wanted: node, text, task, side."""
@@ -269,7 +288,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, threshold: Fraction =
 
     zero = F.lit(0)
     rest_of = F.expr("if(parts > 1, sequence(1, parts - 1), array())")
-    firsts = F.when(F.col("part") > 0, F.array(task(F.col("part"), F.col("part")), task(zero, F.col("part")))).otherwise(F.concat(F.array(task(zero, zero)), F.transform(rest_of, lambda q: task(zero, q))))
+    others = F.array(task(F.col("part"), F.col("part")), task(zero, F.col("part")))
+    firsts = F.when(F.col("part") > 0, others).otherwise(F.concat(F.array(task(zero, zero)), F.transform(rest_of, lambda q: task(zero, q))))
     links = written(compare(cells.withColumn("t", F.explode(firsts)).select("node", "text", "t.task", "t.side")), "links")
     label = written(components(links), "labels")
 
@@ -282,12 +302,53 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, threshold: Fraction =
         rest = state.join(other, "component").where("part < part2 and not (low = high and low2 = high2 and low = low2)")
         rest = written(rest.select("component", F.col("part").alias("p"), F.col("part2").alias("q"), F.xxhash64("component", "part", "part2").alias("task")), "rest")
         if rest.head(1):
-            sides = rest.select("component", "task", F.explode(F.array(F.struct(F.col("p").alias("part"), zero.alias("side")), F.struct(F.col("q").alias("part"), F.lit(1).alias("side")))).alias("s"))
+            ends = F.array(F.struct(F.col("p").alias("part"), zero.alias("side")), F.struct(F.col("q").alias("part"), F.lit(1).alias("side")))
+            sides = rest.select("component", "task", F.explode(ends).alias("s"))
             wanted = cells.join(sides.select("component", "task", "s.part", "s.side"), ["component", "part"])
             links = written(links.unionByName(compare(wanted)), "links")
             label = written(components(links), "labels")
 
-    known = nodes.join(label, "node", "left").select("node", F.min("first_id").over(Window.partitionBy(F.coalesce("component", "node"))).alias("component_id"))
+    known = written(nodes.join(label, "node", "left").select("node", "first", F.coalesce("component", "node").alias("label")), "known")
+    forget(cells, links, label)
+    return features, known
+
+
+def jaccard_components(docs: DataFrame, shingle: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``docs`` (doc_id, text).
+
+    ``component_id`` is the smallest doc_id that links reach; a link is a Jaccard similarity of
+    ``threshold`` or more between the sets of distinct ``shingle``-word shingles (A-Z lowered, words
+    are runs of characters other than space and \\x09-\\x0D). A text of fewer words is one shingle; a
+    null text or one without words has an empty set, links with nothing and is its own component.
+
+    Repeated rows come back as often; several texts under one id link each by themselves. Rows with
+    a null id link like others, and have a null component if there is no id in reach. Other columns of ``docs`` are
+    not looked at. An empty table gives none. Sets are told apart by 64-bit digests.
+    """
+    features, known = _linked(docs, shingle, threshold)
+    known = with_totals(known, "label", [("component_id", F.min("first.doc_id"))]).select("node", "component_id")
     # A set that many rows have is one row of `known`; AQE can split those rows of `features`.
     out = features.join(known, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """``docs`` with one row of each group that links join: that of the smallest doc_id, then of the smallest text hash.
+
+    Rows are told apart by id and text, so another text under the id of a copy stays, and a null id is like
+    any other (after all ids). Of equal rows one stays. A null text or one without words has no copies: all such rows stay.
+    """
+    features, known = _linked(docs, shingle, threshold)
+    first = with_totals(known, "label", [("keep", F.min("first"))]).select("node", "keep")
+    each = features.where("n_shingles > 0").groupBy("node", "doc_id", "text_hash").count().join(first, "node")
+    same = F.col("text_hash").eqNullSafe(F.col("keep.text_hash")) & F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))
+    each = written(each.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), same.alias("stays"), "count"), "decided")
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    found = (text_hash == F.col("__h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    kept = docs.join(each.where("not stays").select("__id", "__h"), found, "left_anti")
+    several = each.where("stays and count > 1").select("__id", "__h")
+    if several.head(1):
+        once = kept.join(several, found, "left_anti")
+        more = kept.join(several, found, "left_semi").withColumn("__h", text_hash).dropDuplicates(["doc_id", "__h"]).drop("__h")
+        kept = once.unionByName(more)
+    return kept

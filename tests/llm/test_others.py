@@ -11,7 +11,7 @@ from graphloom.llm import decontaminate as dc
 from graphloom.llm import fixity as fx
 from graphloom.llm import language_id as li
 from graphloom.llm import toxicity as tx
-from graphloom.llm.components import components
+from graphloom.operators.components import components
 
 ITEM = "In the village Anna Berg sold 12 kg of apples to her friend Otto for 30 euros. How many apples did she keep after the market closed?"
 OTHER = "In the village Maria Lund sold 45 kg of apples to her friend Karl for 99 euros. How many apples did she keep after the market closed?"
@@ -30,7 +30,8 @@ def test_decontamination(spark, documents):
     assert found(documents(rows), bench, held=0) == found(documents(rows), bench)
     assert found(documents([]), bench) == set() and found(documents(rows), bench.limit(0)) == set()
     kept = dc.decontaminate(documents(rows), bench)
-    assert {r[0] for r in kept.select("doc_id").collect()} >= {3, 4, 5, None} and kept.columns == documents([]).columns
+    ids = sorted((r[0] for r in kept.select("doc_id").collect()), key=repr)
+    assert set(ids) >= {3, 4, 5, 8} and None not in ids and ids.count(8) == 1 and kept.columns == documents([]).columns
 
 
 def windows(df, bench, **how):
@@ -172,6 +173,23 @@ def test_languages(documents):
     assert {x["lang_pred"] for x in li.identify(documents(rows), None).collect()} == {"und"}
 
 
+def test_many_languages(documents):
+    """More languages than a byte can number, each with words of its own."""
+    r = random.Random(5)
+    own = {f"l{k:03}": [f"{a}{chr(97 + k % 26)}{chr(97 + k // 26)}{b}" for a in "bdfg" for b in "aeo"] for k in range(150)}
+    rows = [(i, " ".join(r.choice(own[lang]) for _ in range(25)), lang) for i, lang in enumerate(list(own) * 6)]
+    out = li.identify(documents(rows), li.fit(documents(rows))).collect()
+    assert not [x for x, (_, _, lang) in zip(out, rows, strict=True) if x["lang_pred"] != lang]
+
+
+def test_letters_and_ties(documents):
+    """Numbers of any kind are no letters; of languages with as many letters the first is told."""
+    model = li.fit(documents([(i, "uno dos" if lang == "xx" else "one two", lang) for i, lang in enumerate(["xx", "yy"] * 40)]))
+    rows = [(1, "½ ² ①"), (2, "ⅷ 12 _"), (3, "uno " * 20 + "one " * 20), (4, "one " * 20 + "uno " * 20), (5, "½uno")]
+    out = li.identify(documents(rows), model).collect()
+    assert [x["lang_pred"] for x in out] == ["und", "und", "xx", "xx", "xx"] and [x["score"] for x in out[:3]] == [0, 0, 0.5]
+
+
 def test_toxicity(spark, documents):
     r = random.Random(2)
     clean, bad = [f"w{i}" for i in range(300)], ["vile", "nasty", "foul"]
@@ -231,3 +249,14 @@ def test_components(spark):
     got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in linked}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    """Hubs are looked up, not dealt to one task; labels are the same."""
+    from graphloom.functions import tables
+
+    monkeypatch.setattr(tables, "HOT_ROWS", 10)
+    monkeypatch.setattr(tables, "HOT_KEYS", 3)
+    edges = [(0, i) for i in range(1, 80)] + [(500 + i, 500) for i in range(60)] + [(700 + i, 900) for i in range(50)] + [(900, 559)] + [(1000 + i, 1001 + i) for i in range(30)]
+    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: 0 if n < 80 else 500 if n < 1000 else 1000 for e in edges for n in e}
