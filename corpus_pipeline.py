@@ -25,15 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group that Jaccard similarities of 0.8 or more of their five-word
-    shingles link. Of rows with the same id and text one stays; rows without an id stay."""
+    shingles link. Rows are told apart by id and text, null ids included; documents without words stay."""
     ship(spark)
-    found = written(jaccard_join.jaccard_components(docs, 5, Fraction(4, 5)), "components")
-    go = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(go, docs["doc_id"] == go["__id"], "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
-        given = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-        kept = given.unionByName(kept.where("doc_id is null"))
-    return kept.select(*docs.columns)
+    return jaccard_join.keep_one(docs, 5, Fraction(4, 5)).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +37,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each document as often as the mix takes it: not at all, once or twice. Documents without words hold nothing to
+    mix and leave here."""
     ship(spark)
     taken = mixing.mix(docs, F.array("source"), mixing.word_count(F.col("text")))
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
