@@ -5,7 +5,10 @@ Shingles are hashed into groups. Two uses are made of them:
 * Distribution. Sets A and B with J(A, B) >= t differ in at most d = floor(s (1 - t) / t) shingles,
   s being the smaller size. Dealt by hash into groups of which more than d are filled, at least one filled group is
   the same in both; its content is the key by which they meet. The number of groups depends on a bucket of sizes, so
-  a set makes keys for its own bucket and for the one below, where its smaller partners are.
+  a set makes keys for its own bucket and for the one below, where its smaller partners are. Passages that many texts share
+  would bring all of those together, so common shingles are left out first: that takes from both sets alike, so
+  the same bound holds for what is left. Only sets that then fill too few groups meet by their whole content as well.
+  Which shingles count as common decides how many candidates there are, never which pairs are found.
 * Search. Sets that share a key (directly or through others) form a candidate component. Its members
   are compared in chunks of bounded size: the counts of ``DIMS`` groups are points in an R-tree, a
   pair of nodes is dropped if the sum of coordinate minima can't reach the overlap needed, and
@@ -23,6 +26,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +38,10 @@ from ._shared import mix64, shingle_hashes, signed, slices, texts_of, whole_hash
 DIMS, LEAF = 32, 16
 #: Shingles in a chunk of sets that are compared in one task; one set may have more.
 CHUNK = 150_000
-#: Keys that a task folds at once: of a key that many sets in the task share, one goes on.
-FOLD = 1 << 19
+#: Shingles that are counted at once, times they must be seen in all such lots (twice in a lot) to be common, and how many can be.
+LOT, COMMON, MOST_COMMON = 1 << 20, 24, 1 << 20
+#: Keys that a task folds at once, and sets that share a key there before it is folded: of such a key one set goes on.
+FOLD, SHARED = 1 << 19, 16
 
 
 def size_buckets(numerator: int, denominator: int, largest: int = 1 << 40) -> np.ndarray:
@@ -73,13 +79,17 @@ def spare_groups(size: int, differ: int) -> int:
     return math.ceil(empty + 3 * math.sqrt(empty))
 
 
-def group_keys(hashes: np.ndarray, ends: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
+def group_keys(hashes: np.ndarray, ends: np.ndarray, numerator: int, denominator: int, common: np.ndarray | None = None) -> np.ndarray:
     """Hashes of the content of every filled group, under the set's own scheme and the one below.
 
-    If a set fills more groups than two sets can differ in, one filled group is the same in the other. A set that fills
-    fewer also has keys for its empty groups, and so meets others of that kind.
+    If a set fills more groups than two sets can differ in, one filled group is the same in the other. Groups are
+    made of the shingles outside ``common`` (ascending). A set that fills too few of them also has keys for the groups
+    of all its shingles; and if those are too few as well, for the empty ones, and so meets others of that kind.
     """
     n, out = len(hashes), []
+    rare = hashes
+    if common is not None and len(common):
+        rare = hashes[common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] != hashes]
     own = int(np.searchsorted(ends, n, "right")) - 1
     for k in (own, own - 1):
         if k < 0:
@@ -87,14 +97,19 @@ def group_keys(hashes: np.ndarray, ends: np.ndarray, numerator: int, denominator
         differ = int((ends[k + 1] - 1) * (denominator - numerator) // numerator)
         if differ == 0:  # only equal sets, which are one node, link here
             continue
-        salt = np.uint64(k * 0x2545F4914F6CDD1D & (1 << 64) - 1)
-        groups = differ + 1 + spare_groups(int(ends[k]), differ)
-        group = ((mix64(hashes + salt) >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
-        content = np.zeros(groups, np.uint64)
-        np.add.at(content, group, mix64(hashes ^ np.uint64(0x14057B7EF767814F)))
-        keys = mix64(content + mix64(np.arange(groups, dtype=np.uint64) + salt))
-        filled = np.bincount(group, minlength=groups) > 0
-        out.append(keys[filled] if filled.sum() > differ else keys)
+        # Groups enough for a set half of whose shingles are common, then for whole sets.
+        for of, size, scheme in ((rare, int(ends[k]) // 2, 2 * k + 1), (hashes, int(ends[k]), 2 * k)):
+            salt = np.uint64(scheme * 0x2545F4914F6CDD1D & (1 << 64) - 1)
+            groups = differ + 1 + spare_groups(size, differ)
+            group = ((mix64(of + salt) >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
+            content = np.zeros(groups, np.uint64)
+            np.add.at(content, group, mix64(of ^ np.uint64(0x14057B7EF767814F)))
+            keys = mix64(content + mix64(np.arange(groups, dtype=np.uint64) + salt))
+            filled = np.bincount(group, minlength=groups) > 0
+            enough = filled.sum() > differ
+            out.append(keys[filled] if enough or of is rare and rare is not hashes else keys)
+            if enough or rare is hashes:
+                break
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -169,17 +184,51 @@ def links_between(sets: list[np.ndarray], side: np.ndarray, numerator: int, deno
     return found
 
 
+_FEATURES = "doc_id long, text_hash long, n_shingles long, node long, often array<long>, times array<long>"
+
+
 def _features(shingle: int):
+    """(doc_id, text_hash, text) -> size and digest of the set; and, in rows of their own, shingles seen twice in a lot."""
+
+    def row_of(lot: list[np.ndarray]) -> pa.RecordBatch:
+        held, times = np.unique(np.concatenate(lot), return_counts=True)
+        some = times > 1
+        arrays = [pa.array([x[some].tolist()], pa.list_(pa.int64())) for x in (signed(held), times)]
+        return pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64()) for _ in range(4)], *arrays], names)
+
+    names = ["doc_id", "text_hash", "n_shingles", "node", "often", "times"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot, seen, size = [], set(), 0
         for batch in batches:
-            made = [(len(s), digest(s)) for s in shingle_sets(texts_of(batch["text"]), shingle)]
+            made = []
+            for s in shingle_sets(texts_of(batch["text"]), shingle):
+                made.append((len(s), digest(s)))
+                if made[-1][1] not in seen:
+                    seen.add(made[-1][1])
+                    lot.append(s)
+                    size += len(s)
+                if size >= LOT:
+                    yield row_of(lot)
+                    lot, seen, size = [], set(), 0
             more = [pa.array([x[i] for x in made], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], *more], ["doc_id", "text_hash", "n_shingles", "node"])
+            none = [pa.nulls(len(made), pa.list_(pa.int64()))] * 2
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], *more, *none], names)
+        if size:
+            yield row_of(lot)
 
     return run
 
 
-def _keys(shingle: int, numerator: int, denominator: int):
+def _common(features: DataFrame) -> np.ndarray:
+    """Hashes of the shingles seen most, ascending: MOST_COMMON at most."""
+    pairs = features.where("node is null").select(F.explode(F.arrays_zip("often", "times")).alias("x"))
+    sums = pairs.groupBy("x.often").agg(F.sum("x.times").alias("n")).where(F.col("n") >= COMMON)
+    found = sums.orderBy(F.col("n").desc(), "often").limit(MOST_COMMON).select("often").toArrow()
+    return np.sort(found["often"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _keys(shingle: int, numerator: int, denominator: int, common: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = size_buckets(numerator, denominator)
         for batch in batches:
@@ -187,7 +236,7 @@ def _keys(shingle: int, numerator: int, denominator: int):
             for s in shingle_sets(texts_of(batch["text"]), shingle):
                 if len(s) and (d := digest(s)) not in seen:
                     seen[d] = None
-                    keys = group_keys(s, ends, numerator, denominator)
+                    keys = group_keys(s, ends, numerator, denominator, common.value)
                     for a in range(0, len(keys), 1 << 16):
                         part = signed(keys[a : a + (1 << 16)])
                         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), d))], ["key", "node"])
@@ -213,12 +262,15 @@ def _packed(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def fold_keys(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fewer (key, node) rows that tie the same nodes: each key with its smallest node alone, and each other
-    node of the key tied to that one by a key of their own. So a key in all sets leaves a task once."""
+    """(key, node) rows that tie the same nodes, with fewer of a key that more than SHARED nodes share: its smallest
+    node alone, and each other one tied to that by a key of their own. So no key leaves a task with many rows."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-    hub = nodes[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
+    begin = np.flatnonzero(first)
+    size = np.diff(np.append(begin, len(keys)))
+    first |= np.repeat(size <= SHARED, size)
+    hub = nodes[np.repeat(begin, size)]
     tied = np.unique(np.stack([hub, nodes], 1)[~first & (hub != nodes)], axis=0)
     own = signed(mix64(mix64(tied[:, 0].view(np.uint64)) + tied[:, 1].view(np.uint64))) if len(tied) else np.zeros(0, np.int64)
     return np.concatenate([keys[first], own, own]), np.concatenate([nodes[first], tied[:, 0], tied[:, 1]])
@@ -262,11 +314,13 @@ def _linked(docs: DataFrame, shingle: int, threshold: Fraction) -> tuple[DataFra
     empty its first row (null ids last) and the label of what it is linked with (node, first, label)."""
     numerator, denominator = threshold.numerator, threshold.denominator
     rows = _keyed(docs)
-    features = written(rows.mapInArrow(_features(shingle), "doc_id long, text_hash long, n_shingles long, node long"), "features")
+    features = written(rows.mapInArrow(_features(shingle), _FEATURES), "features")
+    common = docs.sparkSession.sparkContext.broadcast(_common(features))  # 8 bytes each of MOST_COMMON at most
+    features = features.where("node is not null").drop("often", "times")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     nodes = features.where("n_shingles > 0").groupBy("node").agg(first.alias("first"), F.max("n_shingles").alias("n"))
 
-    keys = rows.select("text").mapInArrow(_keys(shingle, numerator, denominator), "key long, node long")
+    keys = rows.select("text").mapInArrow(_keys(shingle, numerator, denominator, common), "key long, node long")
     hub = F.min("node").over(Window.partitionBy("key"))  # of a key, one row for each FOLD keys of a task at most
     candidates = components(keys.select(F.col("node").alias("a"), hub.alias("b")))
 

@@ -63,6 +63,39 @@ def test_many_chunks(documents, monkeypatch):
     assert got(documents(rows)) == expected(rows)
 
 
+@pytest.mark.parametrize("lot", [50, 1 << 20])
+def test_shared_passages(documents, monkeypatch, lot):
+    """Passages that many texts share are common; links are the same, whatever is told to be."""
+    monkeypatch.setattr(jj, "LOT", lot)
+    monkeypatch.setattr(jj, "COMMON", 4)
+    monkeypatch.setattr(jj, "SHARED", 2)
+    r = random.Random(6)
+    passages = [" ".join(f"p{k}x{i}" for i in range(r.choice([3, 12, 30]))) for k in range(4)]
+    rows = [(i, " ".join([r.choice(passages), text, r.choice(passages)][r.randint(0, 1) : r.randint(2, 3)])) for i, (_, text) in enumerate(near_copies(7, 110, words=40))]
+    assert got(documents(rows)) == expected(rows)
+
+
+def test_folded_keys_tie_the_same():
+    r = np.random.default_rng(9)
+    keys, nodes = r.integers(0, 9, 400), r.integers(0, 300, 400)
+
+    def groups(keys, nodes):
+        parent = {("n", n): ("n", n) for n in nodes} | {("k", k): ("k", k) for k in keys}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for k, n in zip(keys, nodes):
+            parent[find(("k", k))] = find(("n", n))
+        return {frozenset(m for m in set(nodes) if find(("n", m)) == find(("n", n))) for n in set(nodes)}
+
+    few = jj.fold_keys(keys, nodes)
+    assert groups(keys.tolist(), nodes.tolist()) == groups(few[0].tolist(), few[1].tolist())
+    assert max(np.bincount(np.unique(few[0], return_inverse=True)[1])) <= jj.SHARED
+
+
 def test_corner_cases(documents):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [(5, None), (6, ""), (7, " \t\n"), (1, "One"), (2, "one "), (3, "one two"), (4, "ONE  TWO"), (8, "a b c"), (8, "a b c"), (8, "q r s t"), (9, "Q R s t"), (None, "a b c"), (None, "zz yy xx"), (10, long), (11, long + " end"), (12, "É b c"), (13, "é b c"), (14, "a\x85b c d"), (15, "a b c d")]
@@ -111,7 +144,7 @@ def test_linked_sets_share_a_key():
     r = np.random.default_rng(8)
     for numerator, denominator in ((4, 5), (9, 10), (1, 2)):
         ends = jj.size_buckets(numerator, denominator)
-        for n in [*range(1, 60), 200, 777]:
+        for n in [*range(1, 60), *[40] * 20, 200, 777]:
             a = r.integers(0, 1 << 63, n).astype(np.uint64)
             most = n * (denominator - numerator) // numerator
             b = np.unique(np.concatenate([a, r.integers(0, 1 << 63, r.integers(0, most + 1)).astype(np.uint64)]))
@@ -120,7 +153,10 @@ def test_linked_sets_share_a_key():
             for x, y in ((a, b), (a, c)):
                 x, y = np.unique(x), np.unique(y)
                 if not np.array_equal(x, y) and denominator * len(np.intersect1d(x, y)) >= numerator * len(np.union1d(x, y)):
-                    assert set(jj.group_keys(x, ends, numerator, denominator)) & set(jj.group_keys(y, ends, numerator, denominator)), (n, numerator)
+                    union = np.union1d(x, y)
+                    for part in (0, 0.3, 0.6, 0.9, 1):  # whatever is common
+                        common = np.union1d(union[r.random(len(union)) < part], r.integers(0, 1 << 63, 5).astype(np.uint64))
+                        assert set(jj.group_keys(x, ends, numerator, denominator, common)) & set(jj.group_keys(y, ends, numerator, denominator, common)), (n, numerator, part)
 
 
 def test_words_are_those_of_the_pattern():
