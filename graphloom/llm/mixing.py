@@ -19,7 +19,7 @@ from ._shared import written
 #: The driver holds one number for each source and each pattern: more than this many are refused.
 MAX_PATTERNS = 1_000_000
 #: Hash ranges into which the documents of a pattern are summed; only the one where the words run out is sorted.
-RANGES = 1 << 15
+RANGES = 4096
 
 WORD = r"[^\x20\x09-\x0D]+"
 
