@@ -16,9 +16,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Consecutive values of seq in a block of a log, for which one task looks for later regenerations.
+BLOCK = 4096
 #: Characters after which a part of a conversation ends (at the end of a turn).
 PART_CHARS = 1 << 20
 START, BETWEEN, STOP = "### ", ": ", "</turn>"
@@ -73,9 +75,15 @@ def fold(events: DataFrame) -> DataFrame:
     the last one given. Null texts are empty; events with a null kind or turn are left out. Unknown kinds count as message.
     """
     known = events.where("kind is not null and turn is not null").select("conv_id", "seq", "kind", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    later = Window.partitionBy("conv_id").orderBy(F.col("seq").desc_nulls_last(), F.col("kind").desc(), F.col("text").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.min(F.when(F.col("kind") == "regenerate", F.col("turn"))).over(later)
-    alive = known.withColumn("cut", cut).where("cut is null or cut > turn")
+    # The smallest turn that a later event regenerates: of later blocks of the log, and within the event's own.
+    known = known.withColumn("block", F.floor(F.coalesce("seq", F.lit(-(1 << 62))) / BLOCK))
+    again = F.when(F.col("kind") == "regenerate", F.col("turn"))
+    blocks = known.groupBy("conv_id", "block").agg(F.min(again).alias("again"))
+    after = Window.partitionBy("conv_id").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.min("again").over(after).alias("far")).where("far is not null")
+    known = known.join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")), "left").drop("c", "b")
+    later = Window.partitionBy("conv_id", "block").orderBy(F.col("seq").desc_nulls_last(), F.col("kind").desc(), F.col("text").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    alive = known.withColumn("cut", F.least("far", F.min(again).over(later))).where("cut is null or cut > turn")
     turn = Window.partitionBy("conv_id", "turn").orderBy(F.col("seq").asc_nulls_first(), "kind", "text")
     alive = alive.withColumn("n", F.row_number().over(turn))
     base = F.max(F.when(F.col("kind") != "delta", F.col("n"))).over(Window.partitionBy("conv_id", "turn"))
@@ -169,6 +177,32 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
 
 def events_of(rows: DataFrame) -> DataFrame:
-    """Finished turns (conv_id, turn, role, text) as an event log: each row is a message of its own, repeated rows too."""
+    """An event log (conv_id, seq, kind, turn, role, text) that folds into the rows (conv_id, turn, role, text) given:
+    each row is a turn of its own, in order of turn (nulls first), role and text; repeated rows too.
+
+    By hash of its place, a turn is said at once; or streamed in three deltas; or as a draft that is edited; or it
+    and the next turn are drafted, and both regenerated and streamed anew.
+    """
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")).cast("long")
-    return rows.select("conv_id", place.alias("seq"), F.lit("message").alias("kind"), place.alias("turn"), "role", "text")
+    turns = rows.select("conv_id", place.alias("place"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    size = F.char_length("text")
+    third, draft = F.floor(size / 3).cast("int"), F.lit("(draft)")
+    cut = [F.substring("text", F.lit(1), third), F.substring("text", third + 1, third), F.substring("text", 2 * third + 1, size)]
+
+    def event(i: int, kind: str, text: Column, ahead: int = 0) -> Column:
+        return F.struct((F.col("place") * 8 + i).alias("seq"), F.lit(kind).alias("kind"), (F.col("place") + ahead).alias("turn"), "role", text.alias("text"))
+
+    def streamed(i: int) -> list[Column]:
+        return [event(i + k, "delta", x) for k, x in enumerate(cut)]
+
+    ways = [
+        F.array(event(0, "message", F.col("text"))),
+        F.array(*streamed(0)),
+        F.array(event(0, "message", draft), event(1, "delta", draft), event(2, "edit", F.col("text"))),
+        F.array(event(0, "message", draft), event(1, "message", draft, 1), event(2, "regenerate", F.lit(None).cast("string")), *streamed(3)),
+    ]
+    way = F.pmod(F.xxhash64("conv_id", "place"), F.lit(len(ways)))
+    chosen = ways[0]
+    for k in range(1, len(ways)):
+        chosen = F.when(way == k, ways[k]).otherwise(chosen)
+    return turns.select("conv_id", F.explode(chosen).alias("e")).select("conv_id", "e.*")
