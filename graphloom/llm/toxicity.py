@@ -16,13 +16,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import MARKS, mix64, slices, word_hashes
+from ._shared import MARKS, mix64, slices, word_hashes, written
 
-#: Labelled rows used for training at most, of either label: those with the smallest hash of their id.
-MOST_TOXIC, MOST_CLEAN = 2000, 2500
+#: Labelled rows used for training at most, of either label: those with the smallest hash of their id; and bytes of text of either.
+MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 2000, 2500, 16 << 20
 BUCKETS, DIM, FILTERS, WIDTHS, PREFIX = 1 << 18, 12, 8, (1, 2, 3), 5
 EPOCHS, BATCH, RATE, FOLDS = 2, 64, 0.05, 3
 CUT = 0.3
@@ -273,15 +273,23 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = MOST_TOXIC, clean: int = MOST_CLEAN) -> Model | None:
     """A model from docs (doc_id, text, lang) and labels (doc_id, toxic), never from held-out rows.
 
-    Trained on at most ``toxic`` and ``clean`` ids of either label, those with the smallest hash; thresholds come from all ids. An id with labels that differ is toxic; null
-    labels and ids don't count; of several texts under one id the shortest counts.
+    Trained on at most ``toxic`` and ``clean`` ids of either label, those with the smallest hash whose texts have
+    MOST_BYTES together; thresholds come from all ids. An id with labels that differ is toxic; null labels and ids
+    don't count; of several texts under one id the shortest counts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    parts = [known.where(F.col("toxic") == v).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(n) for v, n in ((1, toxic), (0, clean))]
-    sample = F.broadcast(parts[0].unionByName(parts[1]))  # toxic + clean rows at most
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("bytes")).groupBy("doc_id").agg(F.min("bytes").alias("bytes")).join(known, "doc_id")
+    order = [F.xxhash64(F.lit(3), "doc_id"), "doc_id"]
+    parts = [sizes.where(F.col("toxic") == v).orderBy(*order).limit(n) for v, n in ((1, toxic), (0, clean))]
+    upto = F.sum("bytes").over(Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    sample = written(parts[0].unionByName(parts[1]).withColumn("upto", upto).where(F.col("upto") <= MOST_BYTES).drop("upto"), "sample")
     language = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), language.alias("lang")).join(sample, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), language.alias("lang"))
+    texts = texts.join(F.broadcast(sample), "doc_id")  # toxic + clean rows at most
+    texts = texts.where(F.octet_length("text") == F.col("bytes")).groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("x"))
+    texts = texts.select("doc_id", "toxic", "x.text", "x.lang").repartition(16, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,9 +301,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = MOST_TOXIC, clean: int
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], batch["lang"], pa.array(out, pa.binary())], ["doc_id", "toxic", "lang", "buckets"])
 
     got = texts.mapInArrow(run, "doc_id long, toxic int, lang string, buckets binary").toArrow().combine_chunks()
-    ids, sizes = got["doc_id"].to_numpy(), pa.compute.binary_length(got["buckets"]).to_numpy()
-    order = np.lexsort((sizes, ids))
-    order = order[np.concatenate([[True], np.diff(ids[order]) != 0])] if len(order) else order
+    sizes = pa.compute.binary_length(got["buckets"]).to_numpy()
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     at = np.concatenate([[0], np.cumsum(sizes[order] // 8)]).astype(np.int64)
     both = np.zeros((2, at[-1]), np.int32)
     for i, k in enumerate(order):

@@ -1,7 +1,9 @@
 import hashlib
 import random
+from collections import defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -100,6 +102,26 @@ def test_fold_events(spark):
     assert got == {(1, 1): ("user", "Hey"), (1, 2): ("assistant", "Good day"), (2, 1): ("user", "a"), (2, 2): ("assistant", "B"), (4, 1): ("assistant", "late"), (None, 1): ("user", "n")}
 
 
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_fold_in_blocks(spark, monkeypatch, block):
+    """The fold agrees with a plain replay of the log, however the log is cut into blocks."""
+    monkeypatch.setattr(chat, "BLOCK", block)
+    r, log = random.Random(7), []
+    for conv in (1, 2, None):
+        for seq in range(60):
+            kind = r.choice(["message", "delta", "delta", "edit", "regenerate"])
+            log.append((conv, seq, kind, r.randint(0, 6), r.choice(["user", "assistant"]), r.choice(["a", "bc", None])))
+    want = {}
+    for conv, _, kind, turn, role, text in log:
+        if kind == "regenerate":
+            for key in [k for k in want if k[0] == conv and k[1] >= turn]:
+                del want[key]
+        old = want.get((conv, turn))
+        want[conv, turn] = (role, (old[1] if kind == "delta" and old else "") + (text or ""))
+    events = spark.createDataFrame(r.sample(log, len(log)), "conv_id long, seq long, kind string, turn long, role string, text string")
+    assert {(x["conv_id"], x["turn"]): (x["role"], x["text"]) for x in chat.fold(events).collect()} == want
+
+
 def test_conversations(spark, monkeypatch):
     monkeypatch.setattr(chat, "PART_CHARS", 40)
     r = random.Random(2)
@@ -125,12 +147,29 @@ def test_fixity(spark):
     out = fx.fixity(pages, bad).collect()
     assert len(out) == 303 and {(r["page_id"]) for r in out if r["status"] != "intact"} == {20, 33}
     at = 0
-    for r in sorted((r for r in out if r["file"] == 0), key=lambda r: r["warc_offset"]):
+    files = defaultdict(list)
+    for r in out:
+        files[r["file"]].append(r)
+    assert [(r["nodes"], r["visited"]) for r in files[1]][:1] == [(11 + 3 + 1 + 1, 1)] and files[0][0]["visited"] < files[0][0]["nodes"] / 3
+    for r in sorted(files[0], key=lambda r: r["warc_offset"]):
         assert r["warc_offset"] == at
         at += r["warc_length"] * r["n"]
     assert fx.fixity(pages.limit(0), pages.limit(0)).count() == 0
 
 
+def test_fixity_of_hot_ids_and_long_records(spark):
+    """Very many records under one id and without one, and a record far longer than others; damage is found among them."""
+    rows = [(5, "u", f"text {i}") for i in range(400)] + [(None, "u", f"other {i}") for i in range(300)] + [(6, "u", "x" * 2_000_000), (9, None, "after")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    bad = pages.where("html <> 'text 7'").withColumn("html", F.when(F.col("html") == "other 9", "changed").otherwise(F.col("html")))
+    found = {(r["page_id"], r["status"]) for r in fx.audit(fx.manifest(pages), fx.manifest(bad)).collect()}
+    assert (5, "missing") in found and {s for p, s in found if p is None} <= {"missing", "extra", "corrupt"} and {p for p, _ in found} == {5, None}
+    at = 0
+    for r in sorted((r for r in fx.manifest(pages).collect() if r["file"] == 0), key=lambda r: (r["page_id"], r["record_sha256"])):
+        assert r["warc_offset"] == at
+        at += r["warc_length"] * r["n"]
+
+
 def best_path(scores, switch):
     value, back = scores[0].astype(float), []
     for row in scores[1:]:
