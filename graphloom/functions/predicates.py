@@ -94,8 +94,12 @@ def pointer(path: str | Sequence[str | int]) -> list[str]:
     return [p.replace("~1", "/").replace("~0", "~") for p in path[1:].split("/")]
 
 
-def variant_path(steps: Sequence[str]) -> str:
-    return "$" + "".join(f"[{s}]" if s.isdigit() else "['" + s.replace("\\", "\\\\").replace("'", "\\'") + "']" for s in steps)
+def variant_at(column: Column, steps: Sequence[str]) -> Column:
+    """What a variant has at the steps; digits are an index of an array or a key of an object."""
+    for s in steps:
+        member = F.try_variant_get(column, "$['" + s.replace("\\", "\\\\").replace("'", "\\'") + "']", "variant")
+        column = F.coalesce(F.try_variant_get(column, f"$[{int(s)}]", "variant"), member) if s.isdecimal() and len(s) < 10 else member
+    return column
 
 
 def _sql_type(value: Any) -> str:
@@ -121,12 +125,13 @@ class Field:
             value = instant(value)
         return F.lit(value)
 
+    def _as(self, value: Any) -> Column:
+        """The column; of a variant what is a scalar of the value's type in it."""
+        return F.try_variant_get(self.column, "$", _sql_type(bound(value))) if isinstance(self.kind, T.VariantType) else self.column
+
     def _compare(self, value: Any, how: Callable[[Column, Column], Column]) -> Predicate:
         self._scalar()
-        column = self.column
-        if isinstance(self.kind, T.VariantType):
-            column = F.try_variant_get(column, "$", _sql_type(bound(value)))
-        return Predicate(how(column, self._lit(value)))
+        return Predicate(how(self._as(value), self._lit(value)))
 
     def eq(self, v: Any) -> Predicate:
         return self._compare(v, lambda a, b: a == b)
@@ -161,11 +166,11 @@ class Field:
 
     def in_(self, values: Any) -> Predicate:
         values = self._listed(values)
-        return Predicate(self.column.isin(values) if values else F.lit(False))
+        return Predicate(self._as(values[0]).isin(values) if values else F.lit(False))
 
     def not_in(self, values: Any) -> Predicate:
         values = self._listed(values)
-        return Predicate(~self.column.isin(values) if values else F.lit(True))
+        return Predicate(~self._as(values[0]).isin(values) if values else F.lit(True))
 
     def is_null(self) -> Predicate:
         return Predicate(F.try_variant_get(self.column, "$", "string").isNull() if isinstance(self.kind, T.VariantType) else self.column.isNull())
@@ -175,9 +180,9 @@ class Field:
 
     # Strings
     def _lower(self, value: Any) -> tuple[Column, Column]:
-        if not isinstance(self.kind, T.StringType):
+        if not isinstance(self.kind, (T.StringType, T.VariantType)):
             raise UnsupportedPredicateError(f"{self.name} is {self.kind.simpleString()}, not a string")
-        return F.lower(self.column), F.lower(F.lit(bound(value)))
+        return F.lower(self._as("")), F.lower(F.lit(bound(value)))
 
     def contains(self, value: Any) -> Predicate:
         """Strings: a part of it, case ignored. Arrays: an element (None: false)."""
@@ -197,11 +202,11 @@ class Field:
 
     def like(self, pattern: Any) -> Predicate:
         self._lower(pattern)
-        return Predicate(self.column.like(bound(pattern)))
+        return Predicate(self._as("").like(bound(pattern)))
 
     def ilike(self, pattern: Any) -> Predicate:
         self._lower(pattern)
-        return Predicate(self.column.ilike(bound(pattern)))
+        return Predicate(self._as("").ilike(bound(pattern)))
 
     # Arrays
     def _array(self) -> T.DataType:
@@ -252,7 +257,7 @@ class Field:
         column, kind = self.column, self.kind
         for i, s in enumerate(steps):
             if isinstance(kind, T.VariantType):
-                return F.try_variant_get(column, variant_path(steps[i:]), "variant"), kind
+                return variant_at(column, steps[i:]), kind
             if isinstance(kind, T.StructType):
                 if s not in kind.fieldNames():
                     raise QueryError(f"{self.name} has no field {s}")

@@ -49,6 +49,23 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+class Growing:
+    """A table in the shared folder that loops append to; reading it is one scan, however often it grew."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.place, self.schema = spark, new_table(spark, name), None
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """Writes the rows, and returns them read back."""
+        place = f"{self.place}/{uuid.uuid4().hex}"
+        df.write.parquet(place)
+        self.schema = df.schema
+        return self.spark.read.schema(df.schema).parquet(place)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(self.place)
+
+
 def forget(*tables: DataFrame) -> None:
     """Removes tables that ``materialize`` wrote and that nothing reads any more."""
     for df in tables:

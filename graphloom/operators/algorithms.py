@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConvergenceError, InvalidEdgeWeightError, NodeNotFoundError, OscillationError, QueryError
-from ..functions.tables import materialize
+from ..functions.tables import forget, materialize
 from ..store import GraphStore
 
 HOPS, MOST_HOPS, ROUNDS = 10, 1000, 1000
@@ -24,8 +24,8 @@ MOST_WEIGHT = 1.7976931348623157e308 / 2.0**64
 IN_TASK = 500_000
 
 
-def _scores(damping: float, tolerance: float, rounds: int):
-    """One graph in one task: rows (s, t, share) and (s, null, null) with p of node s."""
+def _scores(damping: float, tolerance: float, rounds: int, every: int):
+    """One graph in one task, with the looks of the other way: rows (s, t, share) and (s, null, null) with p of node s."""
 
     def run(pdf: Any) -> Any:
         import numpy as np
@@ -38,11 +38,11 @@ def _scores(damping: float, tolerance: float, rounds: int):
         dangling = np.ones(len(p), bool)
         dangling[a] = False
         score = np.full(len(p), 1 / len(p))
-        for _ in range(rounds):
+        for done in range(1, rounds + 1):
             after = p * (1 - damping + damping * score[dangling].sum()) + damping * np.bincount(b, score[a] * share, len(p))
             moved = np.abs(after - score).max()
             score = after
-            if moved <= tolerance:
+            if moved <= tolerance and (done % every == 0 or done == rounds):
                 return pdf.__class__({"s": own["s"], "score": score})
         raise ConvergenceError(f"scores still move after {rounds} rounds")
 
@@ -231,9 +231,10 @@ class Algorithms:
                 raise ConvergenceError(f"labels still move after {max_iterations} rounds")
         return now.select("n.id", "n.kind", F.col("label.id").alias("label_id"), F.col("label.kind").alias("label_kind")).orderBy("id", "kind")
 
-    def page_rank(self, edges: Iterable[str], node_kinds: Iterable[str] | None = None, direction: str = "out", damping: float = 0.85, tolerance: float = 1e-8, max_iterations: int = ROUNDS, weight: str | None = None, seeds: Mapping[tuple[str, str], float] | None = None, top_k: int | None = None, every: int = 5) -> DataFrame:
+    def page_rank(self, edges: Iterable[str], node_kinds: Iterable[str] | None = None, direction: str = "out", damping: float = 0.85, tolerance: float = 1e-8, max_iterations: int = ROUNDS, weight: str | None = None, seeds: Mapping[tuple[str, str], float] | None = None, top_k: int | None = None, every: int = 5, in_task: int = IN_TASK) -> DataFrame:
         """id, kind, score. Parallel edges count each; a loop counts half a side in ``both``. Mass of nodes without
-        outgoing weight goes where a jump goes. ``every``: rounds between two looks at the largest change."""
+        outgoing weight goes where a jump goes. ``every``: rounds between two looks at the largest change. Graphs of
+        ``in_task`` nodes and edges at most are iterated in one task, with the same looks; others a job for every look."""
         nodes, links = self._scope(edges, node_kinds, direction)
         if direction == "both":
             links = links.withColumn("w", F.when(F.col("s") == F.col("t"), F.col("w") / 2).otherwise(F.col("w")))
@@ -252,25 +253,26 @@ class Algorithms:
         out = flows.groupBy("s").agg(F.sum("w").alias("out"))
         flows = materialize(flows.join(out, "s").select("s", "t", (F.col("w") / F.col("out")).alias("share")), "flows")
         base = materialize(base.join(out.select(F.col("s").alias("n"), "out"), "n", "left").select("n", "p", (F.col("out").isNull() | (F.col("out") == 0)).alias("dangling")), "base")
-        if n <= IN_TASK and flows.count() <= IN_TASK:
+        if n <= in_task and flows.count() <= in_task:
             kind = nodes.schema["n"].dataType.simpleString()
             text = lambda c: F.to_json(c).alias(c)
             none = F.lit(None)
             rows = base.select(text("n").alias("s"), none.cast("string").alias("t"), none.cast("double").alias("share"), "p").unionAll(flows.select(text("s"), text("t"), "share", none.cast("double").alias("p")))
-            solved = rows.withColumn("graph", F.lit(0)).groupBy("graph").applyInPandas(_scores(damping, tolerance, max_iterations), "s string, score double")
+            solved = rows.withColumn("graph", F.lit(0)).groupBy("graph").applyInPandas(_scores(damping, tolerance, max_iterations, every), "s string, score double")
             ranked = solved.select(F.from_json("s", kind).alias("n"), "score").select("n.id", "n.kind", "score").orderBy(F.col("score").desc(), "id", "kind")
             return ranked.limit(top_k) if top_k else ranked
-        score = base.select("n", "p", "dangling", F.lit(1.0 / n).alias("score"))
-        done = 0
-        while done < max_iterations:
-            for _ in range(min(every, max_iterations - done)):
-                lost = score.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)).alias("lost")).scalar()
-                got = flows.join(score.select(F.col("n").alias("s"), "score"), "s").groupBy(F.col("t").alias("n")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-                step = score.join(got, "n", "left")
-                score = step.select("n", "p", "dangling", (F.col("p") * ((1 - damping) + damping * lost) + damping * F.coalesce("got", F.lit(0.0))).alias("score"), F.col("score").alias("was"))
-                done += 1
-            score = materialize(score, "scores")
-            if score.agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0] <= tolerance:
+        # Each round is written, since it is read twice (for what flows and what is lost); so the plan stays one round deep.
+        score = materialize(base.select("n", "p", "dangling", F.lit(1.0 / n).alias("score"), F.lit(1.0).alias("was")), "scores")
+        look = [F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)), F.max(F.abs(F.col("score") - F.col("was")))]
+        lost = score.agg(*look).first()[0]
+        for done in range(1, max_iterations + 1):
+            got = flows.join(score.select(F.col("n").alias("s"), "score"), "s").groupBy(F.col("t").alias("n")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+            after = F.col("p") * (1 - damping + damping * lost) + damping * F.coalesce("got", F.lit(0.0))
+            step = materialize(score.join(got, "n", "left").select("n", "p", "dangling", after.alias("score"), F.col("score").alias("was")), "scores")
+            forget(score)
+            score = step
+            lost, moved = score.agg(*look).first()
+            if moved <= tolerance and (done % every == 0 or done == max_iterations):
                 break
         else:
             raise ConvergenceError(f"scores still move after {max_iterations} rounds")

@@ -136,9 +136,12 @@ def widen(store: GraphStore, prev: DataFrame, kind: str, id_: str, at: Coordinat
     """``prev`` with a row for each visible member of the class of (kind, id): __w_kind, __w_id."""
     closure = Identity(store, at).closure
     seen = store.nodes(sorted(store.frames), at).select(key().alias("peer"))
-    peers = closure.select(F.col("member").alias("__m"), "class").join(closure.select(F.col("member").alias("peer"), "class"), "class").join(seen, "peer", "left_semi").select("__m", "peer")
-    out = prev.withColumn("__n", key(kind, id_)).join(peers, F.col("__n") == F.col("__m"), "left").withColumn("peer", F.coalesce("peer", "__n"))
-    return out.withColumn("__w_kind", F.col("peer.kind")).withColumn("__w_id", F.col("peer.id")).drop("__n", "__m", "peer")
+    peers = closure.select(F.col("member").alias("peer"), F.col("class").alias("__class")).join(seen, "peer", "left_semi")
+    own = closure.select(F.col("member").alias("__n"), F.col("class").alias("__of"))
+    # From each row to its class, and from there to the members: nothing grows with the square of a class.
+    out = prev.withColumn("__n", key(kind, id_)).join(own, "__n", "left")
+    out = out.join(peers, F.col("__of") == F.col("__class"), "left").withColumn("peer", F.coalesce("peer", "__n"))
+    return out.withColumn("__w_kind", F.col("peer.kind")).withColumn("__w_id", F.col("peer.id")).drop("__n", "__of", "__class", "peer")
 
 
 def empty_assertions(spark: SparkSession) -> DataFrame:

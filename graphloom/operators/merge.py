@@ -21,6 +21,8 @@ from ..store import GraphStore
 from .components import components
 
 PROPS = "map<string,string>"
+#: Rows of a stretch of the order that one task looks for neighbours in, at least.
+STRETCH = 4096
 
 
 def canonical(store: GraphStore, kinds: Sequence[str]) -> DataFrame:
@@ -56,6 +58,45 @@ def diff(base: DataFrame, fork: DataFrame) -> DataFrame:
     return out.where("change is not null")
 
 
+ENDS = ["from_kind", "from_id", "to_kind", "to_id"]
+
+
+def canonical_edges(store: GraphStore, kinds: Sequence[str]) -> DataFrame:
+    """Edges of the kinds as merge frames: id, kind, ends, props, valid_from, valid_to, deleted_at."""
+    parts = []
+    for k in kinds:
+        rows = store.edges([k], visible=False)
+        pairs = [F.struct(F.lit(f.name).alias("key"), F.when(F.col(f"p__{f.name}").isNotNull(), F.to_json(F.struct(F.col(f"p__{f.name}").alias("v")))).alias("value")) for f in sorted(store.graph.edge(k).schema, key=lambda f: f.name)]
+        props = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())) if pairs else F.create_map()
+        parts.append(rows.select("id", "kind", *ENDS, props.cast(PROPS).alias("props"), "valid_from", "valid_to", "deleted_at"))
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
+def diff_edges(base: DataFrame, fork: DataFrame) -> DataFrame:
+    """The same of edge frames; an edge whose ends moved is modified. The ends of the fork (of the base, if it is gone) come along."""
+
+    def packed(edges: DataFrame) -> DataFrame:
+        ends = F.create_map(F.lit("@ends"), F.to_json(F.struct(*ENDS)))
+        return edges.withColumn("props", F.map_concat(F.coalesce("props", F.create_map().cast(PROPS)), ends))
+
+    def plain(c: str) -> Column:
+        return F.map_filter(c, lambda k, _: k != "@ends").alias(c)
+
+    ends = F.from_json(F.coalesce(F.try_element_at("props", F.lit("@ends")), F.try_element_at("base_props", F.lit("@ends"))), ", ".join(f"{c} string" for c in ENDS))
+    out = diff(packed(base), packed(fork)).withColumn("ends", ends)
+    return out.select("kind", "id", "change", *[F.col(f"ends.{c}") for c in ENDS], plain("base_props"), plain("props"), "window_changed", "valid_from", "valid_to")
+
+
+def merged_edges(base: DataFrame, branches: Sequence[DataFrame]) -> DataFrame:
+    """Edges of the base and of branches (in rank order): gone if a branch deleted them and none changed them, as the
+    last branch that changed them has them, and new ones of all branches."""
+    all_ = functools.reduce(DataFrame.unionByName, [diff_edges(base, b).withColumn("rank", F.lit(i)) for i, b in enumerate(branches)])
+    value = F.struct(*ENDS, "props", "valid_from", "valid_to")
+    each = materialize(all_.groupBy("kind", "id").agg(F.max_by(value, F.when(F.col("change") != "deleted", F.col("rank"))).alias("v")), "edge-changes")
+    live = base.where("deleted_at is null").select("kind", "id", *ENDS, "props", "valid_from", "valid_to")
+    return live.join(each, ["kind", "id"], "left_anti").unionByName(each.where("v is not null").select("kind", "id", "v.*"))
+
+
 # Similarity
 def trigrams(text: Column) -> Column:
     """Three-letter pieces of the text in lower case, a space at either end."""
@@ -110,23 +151,23 @@ def blocked_pairs(rows: DataFrame, block: Column, ceiling: int | None = None) ->
 def window_pairs(rows: DataFrame, window: int, parts: int = 64) -> DataFrame:
     """Each row with the next ``window`` of its kind in order of text, then id: sorted neighbourhood without a key.
 
-    Rows are dealt into ranges of the order by sampled bounds, and the first rows of a range are also
-    appended to the range before, so no single task orders a whole kind.
+    Rows are dealt into ranges of the order by sampled bounds and numbered by prefix sums over the ranges; stretches of
+    equal length are then ordered each by itself, with the first ``window`` rows of the next one at their end, so no single task
+    orders a whole kind and no neighbour is lost at a border.
     """
-    spark = rows.sparkSession
-    ordered = rows.select("kind", "id", "text", "vector", F.concat_ws("\0", "kind", F.coalesce("text", F.lit("")), "id").alias("at"))
-    ranged = ordered.repartitionByRange(parts, "at").withColumn("part", F.spark_partition_id())
-    ranged = materialize(ranged, "ranges")
-    n = Window.partitionBy("part").orderBy("at")
-    placed = ranged.withColumn("n", F.row_number().over(n))
-    heads = placed.where(F.col("n") <= window)
-    used = materialize(placed.select("part").distinct(), "parts")
-    before = used.withColumn("goes_to", F.lag("part").over(Window.orderBy("part")))  # one row for each range
-    guests = heads.join(F.broadcast(before.where("goes_to is not null")), "part").select(*rows.select("kind", "id", "text", "vector").columns, "at", F.col("goes_to").alias("part"), F.lit(True).alias("guest"))
-    every = ranged.select("kind", "id", "text", "vector", "at", "part", F.lit(False).alias("guest")).unionByName(guests)
-    following = F.collect_list(F.struct("kind", "id", "text", "vector")).over(Window.partitionBy("part").orderBy("at").rowsBetween(1, window))
-    del spark
-    pairs = every.withColumn("next", following).where("not guest").select("kind", F.struct("id", "text", "vector").alias("a"), F.explode("next").alias("m"))
+    columns = ["kind", "id", "text", "vector"]
+    ordered = rows.select(*columns, F.concat_ws("\0", "kind", F.coalesce("text", F.lit("")), "id").alias("at"))
+    ranged = materialize(ordered.repartitionByRange(parts, "at").withColumn("part", F.spark_partition_id()), "ranges")
+    upto = F.sum("count").over(Window.orderBy("part")) - F.col("count")  # one row for each range
+    before = ranged.groupBy("part").count().select("part", upto.alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1
+    numbered = ranged.withColumn("n", place).join(F.broadcast(before), "part").withColumn("n", F.col("n") + F.col("before"))
+    size = max(window, STRETCH)
+    own, shared = F.floor(F.col("n") / size), F.col("n") % size < window
+    stretch = F.explode(F.when(shared & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))).alias("stretch")
+    every = numbered.select(*columns, "n", own.alias("own"), stretch)
+    following = F.collect_list(F.struct(*columns)).over(Window.partitionBy("stretch").orderBy("n").rowsBetween(1, window))
+    pairs = every.withColumn("next", following).where("own = stretch").select("kind", F.struct("id", "text", "vector").alias("a"), F.explode("next").alias("m"))
     return pairs.where("kind = m.kind").select("kind", "a", F.struct("m.id", "m.text", "m.vector").alias("b"))
 
 
@@ -256,6 +297,7 @@ class Plan:
     deletions: DataFrame
     provenance: DataFrame
     survivors: DataFrame
+    windows: DataFrame
     digest: str = field(default="")
 
 
@@ -273,9 +315,56 @@ class Options:
     weights: dict[str, float] = field(default_factory=dict)
 
 
-def plan_merge(base: DataFrame, branches: dict[str, DataFrame], edges: DataFrame, options: Options = Options()) -> Plan:
+def retyped(graph: GraphDef, members: DataFrame) -> DataFrame:
+    """cluster, kind of clusters (members: cluster, kind) of several kinds: the most specific one that all others are
+    superclasses of; null if there is none. What comes to the driver are sets of kinds, as many as the schema allows."""
+    sets = materialize(members.groupBy("cluster").agg(F.array_sort(F.collect_set("kind")).alias("kinds")).where(F.size("kinds") > 1), "kinds")
+    known = [(r["kinds"], common_kind(graph, r["kinds"])) for r in sets.select("kinds").distinct().collect()]
+    table = sets.sparkSession.createDataFrame(known, "kinds array<string>, kind string")
+    return sets.join(F.broadcast(table), "kinds").select("cluster", "kind")
+
+
+def apply(base: DataFrame, plan: Plan, when: Any = None) -> tuple[DataFrame, DataFrame]:
+    """Node and edge frames after a plan: merged nodes with their validity, tombstones (if ``when`` is given) for
+    nodes that are gone or went into others, and the plan's edges."""
+    window = base.select("kind", "id", "valid_from", "valid_to").unionByName(plan.windows.withColumn("new", F.lit(True)), allowMissingColumns=True)
+    window = window.groupBy("kind", "id").agg(F.max_by(F.struct("valid_from", "valid_to"), F.coalesce("new", F.lit(False))).alias("w"))
+    nodes = plan.nodes.join(window, ["kind", "id"], "left").select("id", "kind", "props", "w.valid_from", "w.valid_to", F.lit(None).cast("timestamp").alias("deleted_at"))
+    if when is not None:
+        gone = base.join(plan.nodes.select("kind", "id"), ["kind", "id"], "left_anti")
+        nodes = nodes.unionByName(gone.withColumn("deleted_at", F.coalesce("deleted_at", F.lit(when).cast("timestamp"))).select(*nodes.columns))
+    return nodes, plan.edges
+
+
+def merge_next(base: DataFrame, main: DataFrame, name: str, fork: DataFrame, edges: DataFrame, options: Options = Options(), **more: Any) -> Plan:
+    """Incremental merge: ``fork`` was taken from ``base``, which has become ``main`` by earlier merges. Main is the branch
+    of lowest rank, so what it changed since is weighed against what the fork changed."""
+    return plan_merge(base, {"main": main, name: fork}, edges, options, **more)
+
+
+def merge_assertions(base: DataFrame, branches: Sequence[DataFrame], survivors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Identity assertions (id, rel, a_kind, a_id, b_kind, b_id and others) of a base and branches after a merge: those that
+    a branch dropped are gone, new ones come in, ends become their survivors, and of equal ones the smallest id stays. The
+    second table has assertions that a merge contradicts (different, of what has become one node)."""
+    ids = [b.select("id").withColumn("n", F.lit(1)) for b in branches]
+    in_all = functools.reduce(DataFrame.unionByName, ids).groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") == len(branches)).select("id")
+    fresh = functools.reduce(DataFrame.unionByName, [b.join(base.select("id"), "id", "left_anti") for b in branches])
+    rows = base.join(in_all, "id", "left_semi").unionByName(fresh)
+    for side in ("a", "b"):
+        to = survivors.select(F.col("kind").alias(f"{side}_kind"), F.col("id").alias(f"{side}_id"), F.col("to_kind").alias("__k"), F.col("to_id").alias("__i"))
+        rows = rows.join(to, [f"{side}_kind", f"{side}_id"], "left").withColumn(f"{side}_kind", F.coalesce("__k", f"{side}_kind")).withColumn(f"{side}_id", F.coalesce("__i", f"{side}_id")).drop("__k", "__i")
+    rows = materialize(rows.select(*base.columns), "assertions")
+    one = (F.col("a_kind") == F.col("b_kind")) & (F.col("a_id") == F.col("b_id"))
+    a, b = (F.struct(F.col(f"{side}_kind").alias("kind"), F.col(f"{side}_id").alias("id")) for side in ("a", "b"))
+    kept = rows.where(~one).withColumn("__n", F.row_number().over(Window.partitionBy("rel", F.least(a, b), F.greatest(a, b)).orderBy("id")))
+    return kept.where("__n = 1").drop("__n"), rows.where(one & (F.col("rel") == "different"))
+
+
+def plan_merge(base: DataFrame, branches: dict[str, DataFrame], edges: DataFrame, options: Options = Options(), branch_edges: Sequence[DataFrame] = (), forced: DataFrame | None = None, graph: GraphDef | None = None) -> Plan:
     """``branches`` in rank order, all as merge frames. New nodes of branches are resolved against each other and the base by
-    similarity of a property; clusters go to their smallest member, those of the base before new ones."""
+    similarity of a property and by ``forced`` links (a, b: structs of kind and id, such as those of a shared key); clusters go
+    to their smallest member, those of the base before new ones, and with ``graph`` to the most specific of their
+    kinds. ``edges``: those of the base; with ``branch_edges`` (edge frames as ``canonical_edges`` makes them) three-way merged."""
     changes = None
     for rank, (name, fork) in enumerate(branches.items()):
         one = diff(base, fork).withColumn("branch", F.lit(name)).withColumn("rank", F.lit(rank))
@@ -293,13 +382,17 @@ def plan_merge(base: DataFrame, branches: dict[str, DataFrame], edges: DataFrame
     rows = kept.select("kind", "id", text.alias("text"), F.lit(None).cast("array<double>").alias("vector")).where("text is not null")
     pairs = window_pairs(rows, options.window) if options.window else blocked_pairs(rows, options.block() if options.block else F.substring("text", 1, 3), options.ceiling)
     fresh = changes.where("change = 'new'").select("kind", "id").distinct().withColumn("fresh", F.lit(True))
-    links = accepted(scored(pairs, options.how), options.threshold)
+    links = accepted(scored(pairs, options.how), options.threshold, forced)
     marks = fresh.select(F.struct("kind", "id").alias("n"), "fresh")
     links = links.join(marks.withColumnRenamed("n", "a").withColumnRenamed("fresh", "fa"), "a", "left").join(marks.withColumnRenamed("n", "b").withColumnRenamed("fresh", "fb"), "b", "left")
-    links = links.where("fa or fb").select("a", "b", "score")  # two nodes of the base are never joined by a guess
+    links = links.where("fa or fb or score = 1 and a.kind <> b.kind" if forced is not None else "fa or fb").select("a", "b", "score")  # two nodes of the base are never joined by a guess
     owner = materialize(clusters(links, options.diameter), "clusters")
     ranked = owner.join(marks.withColumnRenamed("n", "node"), "node", "left").withColumn("r", F.struct(F.coalesce("fresh", F.lit(False)), "node"))
     first = ranked.groupBy("cluster").agg(F.min("r").alias("r")).select("cluster", F.col("r.node").alias("to"))
+    if graph is not None:
+        kinds = retyped(graph, owner.select("cluster", "node.kind")).where("kind is not null")
+        to = F.when(F.col("kind").isNotNull(), F.struct("kind", F.col("to.id").alias("id"))).otherwise(F.col("to"))
+        first = first.join(kinds, "cluster", "left").select("cluster", to.alias("to"))
     survivors = materialize(owner.join(first, "cluster").select("node.kind", "node.id", F.col("to.kind").alias("to_kind"), F.col("to.id").alias("to_id")), "survivors")
     merged = kept.join(survivors, ["kind", "id"], "left").select(F.coalesce("to_kind", "kind").alias("kind"), F.coalesce("to_id", "id").alias("id"), F.col("id").alias("source_id"), "props")
     each = merged.select("kind", "id", "source_id", F.explode_outer("props").alias("key", "value"))
@@ -310,4 +403,7 @@ def plan_merge(base: DataFrame, branches: dict[str, DataFrame], edges: DataFrame
     provenance = changes.join(survivors, ["kind", "id"], "left").select(F.coalesce("to_kind", "kind").alias("kind"), F.coalesce("to_id", "id").alias("id"), "branch", F.col("id").alias("source_id"), "change")
     out = materialize(nodes.unionByName(bare), "merged")
     digest = out.select(F.sum(F.xxhash64("kind", "id", entries(F.col("props"))).cast("decimal(38,0)")).alias("d")).first()["d"]
-    return Plan(out, repoint(edges, survivors, deleted), conflicts, gone, provenance, survivors, str(digest))
+    claims = changes.where("window_changed").join(survivors, ["kind", "id"], "left")
+    windows = valid_window(claims.select(F.coalesce("to_kind", "kind").alias("kind"), F.coalesce("to_id", "id").alias("id"), "valid_from", "valid_to"))
+    edges = merged_edges(edges, branch_edges) if branch_edges else edges
+    return Plan(out, repoint(edges, survivors, deleted), conflicts, gone, provenance, survivors, windows, str(digest))

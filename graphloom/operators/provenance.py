@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import materialize
+from ..functions.tables import Growing, materialize
 
 
 @dataclass
@@ -30,21 +30,27 @@ class Provenance:
             if ids is not None:
                 mark = ids.select("id").distinct().withColumn("__mark", F.lit(value))
                 rows = rows.join(mark, "id", "left").withColumn("gone", F.coalesce("__mark", "gone")).drop("__mark")
-        known = materialize(rows.where("not gone and not deleted").select("id"), "known")
+        spark = rows.sparkSession
         pairs = materialize(self.premises.select("justification", "premise").distinct(), "premises")
         derives = materialize(self.derives.select("justification", "fact").distinct(), "derives")
-        need = materialize(derives.select("justification").distinct().join(pairs.groupBy("justification").agg(F.count("*").alias("need")), "justification", "left").fillna(0, ["need"]), "need")
-        believed = None
+        need = derives.select("justification").distinct().join(pairs.groupBy("justification").agg(F.count("*").alias("need")), "justification", "left").fillna(0, ["need"])
+        need = materialize(need, "need")
+        # Semi-naive: only justifications that the last round's facts are premises of are looked at, and their
+        # counts of premises met are kept, so a justification fires in the one round that completes it.
+        known, counts, believed = Growing(spark, "known"), Growing(spark, "met"), Growing(spark, "believed")
+        fresh = known.append(rows.where("not gone and not deleted").select("id").distinct())
+        fired = need.where("need = 0").select("justification")
         while True:
-            met = pairs.join(known.withColumnRenamed("id", "premise"), "premise", "left_semi").groupBy("justification").agg(F.count("*").alias("met"))
-            fired = need.join(met, "justification", "left").where("coalesce(met, 0) = need").select("justification")
-            facts = derives.join(fired, "justification", "left_semi").select(F.col("fact").alias("id")).distinct()
-            fresh = materialize(facts.join(known, "id", "left_anti"), "fresh")
+            hits = pairs.join(fresh.withColumnRenamed("id", "premise"), "premise", "left_semi").groupBy("justification").agg(F.count("*").alias("met"))
+            hits = counts.append(hits)
+            total = counts.read().join(hits.select("justification"), "justification", "left_semi").groupBy("justification").agg(F.sum("met").alias("met"))
+            done = need.join(total, "justification").where("met = need").select("justification").unionAll(fired)
+            facts = believed.append(derives.join(done, "justification", "left_semi").select(F.col("fact").alias("id")).distinct())
+            fired = fired.limit(0)
+            fresh = known.append(facts.join(known.read(), "id", "left_anti"))
             if not fresh.head(1):
                 break
-            known = materialize(known.unionAll(fresh), "known")
-            believed = fresh if believed is None else believed.unionAll(fresh)
-        supported = facts.distinct()
+        supported = believed.read().distinct()
         if self.facts is not None:
             supported = supported.join(self.facts.where(F.coalesce("deleted", F.lit(False))), "id", "left_anti")
         return materialize(supported, "believed")

@@ -53,11 +53,13 @@ PREDICATES: list[tuple[str, str, Callable[[Ref], Any], str]] = [
     ("not_in", "Customer", lambda n: n.mktsegment.not_in(["BUILDING", "MACHINERY"]), _C + "c_mktsegment NOT IN ('BUILDING', 'MACHINERY')"),
     ("not_in_empty", "Customer", lambda n: n.mktsegment.not_in([]), _C + "true"),
     ("between", "Order", lambda n: n.orderdate.between("1996-01-01T00:00:00.000Z", "1996-12-31T00:00:00.000Z"), _O + "o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'"),
-    ("is_null", "Order", lambda n: n.valid_to.is_null(), _O + "true"),
+    ("is_null", "Event", lambda n: n.props.get("k").is_null(), _E + f"{_K} IS NULL"),
+    ("is_null_all", "Order", lambda n: n.valid_to.is_null(), _O + "true"),
     ("is_not_null", "Customer", lambda n: n.name.is_not_null(), _C + "c_name IS NOT NULL"),
     ("contains", "Customer", lambda n: n.mktsegment.contains("uild"), _C + "contains(lower(c_mktsegment), 'uild')"),
     ("contains_wildcard", "Customer", lambda n: n.name.contains("%"), _C + "contains(c_name, '%')"),
-    ("starts_with", "Part", lambda n: n.name.starts_with("PART#00000000"), _P + "starts_with(lower(p_name), lower('PART#00000000'))"),
+    ("contains_percent", "Document", lambda n: n.text.contains("%"), "SELECT doc_id::VARCHAR AS id FROM documents WHERE contains(text, '%')"),
+    ("starts_with", "Part", lambda n: n.name.starts_with("SMALL r"), _P + "starts_with(lower(p_name), 'small r')"),
     ("ends_with", "Customer", lambda n: n.name.ends_with("7"), _C + "ends_with(c_name, '7')"),
     ("like", "Customer", lambda n: n.name.like("Customer#%5_"), _C + "c_name LIKE 'Customer#%5_'"),
     ("ilike", "Customer", lambda n: n.mktsegment.ilike("m%y"), _C + "c_mktsegment ILIKE 'm%y'"),
@@ -67,6 +69,7 @@ PREDICATES: list[tuple[str, str, Callable[[Ref], Any], str]] = [
     ("contains_any", "Event", lambda n: n.tags.contains_any(["pu", "view"]), _E + f"list_has_any({_TAGS}, ['pu', 'view'])"),
     ("contains_any_empty", "Event", lambda n: n.tags.contains_any([]), _E + "false"),
     ("is_empty", "Event", lambda n: n.tags.is_empty(), _E + f"len({_TAGS}) = 0"),
+    ("is_empty_some", "Event", lambda n: n.long_parts.is_empty(), _E + f"len(list_filter({_TAGS}, lambda x: length(x) > 4)) = 0"),
     ("is_not_empty", "Event", lambda n: n.tags.is_not_empty(), _E + f"len({_TAGS}) > 0"),
     ("length_eq", "Event", lambda n: n.tags.length_eq(2), _E + f"len({_TAGS}) = 2"),
     ("length_gt", "Event", lambda n: n.tags.length_gt(1), _E + f"len({_TAGS}) > 1"),
@@ -75,9 +78,17 @@ PREDICATES: list[tuple[str, str, Callable[[Ref], Any], str]] = [
     ("length_lte", "Event", lambda n: n.tags.length_lte(1), _E + f"len({_TAGS}) <= 1"),
     ("has_key", "Event", lambda n: n.props.has_key("k"), _E + "json_exists(props, '$.k')"),
     ("has_path_missing", "Event", lambda n: n.props.has_path("/k/x"), _E + "json_exists(props, '$.k.x')"),
+    ("has_path", "Event", lambda n: n.nested.has_path("/a/0"), _E + f"({_K})::INT % 2 = 0"),
+    ("has_path_digit_key", "Event", lambda n: n.nested.has_path("/0"), _E + f"({_K})::INT % 3 = 0"),
+    ("path_contains", "Event", lambda n: n.nested.path_contains("/a", 8), _E + f"({_K})::INT = 8"),
     ("path_equals", "Event", lambda n: n.props.path_equals("/k", 42), _E + f"({_K})::DOUBLE = 42"),
     ("path_is_null", "Event", lambda n: n.props.path_is_null("/none"), _E + "props::JSON->>'none' IS NULL"),
     ("path_is_not_null", "Event", lambda n: n.props.path_is_not_null("/k"), _E + f"{_K} IS NOT NULL"),
+    ("nested_in", "Event", lambda n: n.props.get("k").in_([3, 14, 15]), _E + f"({_K})::DOUBLE IN (3, 14, 15)"),
+    ("nested_not_in", "Event", lambda n: n.props.get("k").not_in([3, 14, 15]), _E + f"({_K})::DOUBLE NOT IN (3, 14, 15)"),
+    ("nested_contains", "Event", lambda n: n.nested.get("s").contains("LIC"), _E + "contains(event_type, 'lic')"),
+    ("nested_starts_with", "Event", lambda n: n.nested.get("s").starts_with("v"), _E + "starts_with(event_type, 'v')"),
+    ("nested_like", "Event", lambda n: n.nested.get("s").like("%ck"), _E + "event_type LIKE '%ck'"),
     ("nested_get", "Event", lambda n: n.props.get("k").gt(50), _E + f"({_K})::DOUBLE > 50"),
 ]
 
@@ -119,6 +130,12 @@ def prepared_params(s: GraphStore) -> DataFrame:
     return run(segments=["FURNITURE", "BUILDING"], least=100, n=7)
 
 
+@query("SELECT c_custkey::VARCHAR AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+def pred_not_in_subquery_some(s: GraphStore) -> DataFrame:
+    large = s.query().from_("Customer", "c").traverse("placed", "e").to("Order", "o").where_node("o", lambda n: n.totalprice.gt(400000)).select({"id": ("c", "id")})
+    return s.query().from_("Customer", "c").where_node("c", lambda n: n.id.not_in_subquery(large)).select({"id": ("c", "id")}).to_df()
+
+
 # Scans
 @query("SELECT 'Customer' AS kind, c_custkey::VARCHAR AS id, c_name AS name FROM customer UNION ALL SELECT 'Supplier', s_suppkey::VARCHAR, s_name FROM supplier")
 def scan_sub_classes(s: GraphStore) -> DataFrame:
@@ -357,6 +374,18 @@ def page_second(s: GraphStore) -> DataFrame:
     return s.spark.createDataFrame(page.data, "name string")
 
 
+@query("SELECT supplier, part, edge FROM (SELECT l_suppkey::VARCHAR AS supplier, l_partkey::VARCHAR AS part, l_orderkey || '-' || row_number() OVER (PARTITION BY l_orderkey ORDER BY lineitem) AS edge FROM lineitem) ORDER BY supplier, part, edge LIMIT 30")
+def page_parallel_edges(s: GraphStore) -> DataFrame:
+    """Pages of seven over edges of which several join the same nodes: none is lost at a border."""
+    q = s.query().from_("Supplier", "s").traverse("supplies", "e").to("Part", "p").select({"supplier": ("s", "id"), "part": ("p", "id"), "edge": ("e", "id")}).order_by("s", "id")
+    page = q.paginate(first=7)
+    rows = list(page.data)
+    while len(rows) < 30 and page.end_cursor:
+        page = q.paginate(first=7, after=page.end_cursor)
+        rows += page.data
+    return s.spark.createDataFrame(rows[:30], "supplier string, part string, edge string")
+
+
 @query("SELECT c_name AS name FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey::VARCHAR LIMIT 10 OFFSET 10")
 def page_backward(s: GraphStore) -> DataFrame:
     q = s.query().from_("Customer", "c").select({"name": ("c", "name")}).order_by("c", "mktsegment").order_by("c", "acctbal", "desc")
@@ -545,6 +574,21 @@ def fulltext_where(s: GraphStore) -> DataFrame:
     return StoreSearch(s).fulltext("Document", "moron", 8, where=lambda n: n.lang.eq("en")).select("id", F.round("score", 5).alias("score"))
 
 
+_PASSAGES = _bm25(["der", "scum"], "list_contains(tok, 'scum') OR list_contains(tok, 'der')", 20).replace("FROM documents)", "FROM documents JOIN embeddings ON doc_id = vec_id)")
+_PV = f"SELECT vec_id::VARCHAR AS id, row_number() OVER (ORDER BY {_COS}, vec_id::VARCHAR) AS o FROM embeddings JOIN documents ON doc_id = vec_id QUALIFY o <= 20"
+
+
+@query(f"WITH f AS (SELECT id, row_number() OVER () AS o FROM ({_PASSAGES})), v AS ({_PV}) SELECT 'Passage' AS kind, coalesce(v.id, f.id) AS id, round(coalesce(1.0 / (60 + v.o), 0) + coalesce(1.0 / (60 + f.o), 0), 8) AS score FROM v FULL JOIN f ON v.id = f.id ORDER BY coalesce(1.0 / (60 + v.o), 0) + coalesce(1.0 / (60 + f.o), 0) DESC, 2 LIMIT 10")
+def hybrid_text_vector(s: GraphStore) -> DataFrame:
+    return StoreSearch(s).hybrid("Passage", "embedding", _VEC, "scum OR der", 10, per_source=20).withColumn("score", F.round("score", 8))
+
+
+@query(f"SELECT id FROM ({_bm25(['moron'], 'list_contains(tok, chr(109) || chr(111) || chr(114) || chr(111) || chr(110))', 6)})")
+def fulltext_in_query(s: GraphStore) -> DataFrame:
+    q = s.query().from_("Document", "d").where_node("d", lambda n: n.fulltext.matches("moron", k=6)).select({"id": ("d", "id")})
+    return q.to_df().select("id")
+
+
 @query("SELECT true AS marked, true AS short")
 def fulltext_snippet(s: GraphStore) -> DataFrame:
     out = StoreSearch(s).fulltext("Document", "moron", 5, snippets=True)
@@ -663,11 +707,17 @@ def merge_conflicts(s: GraphStore) -> DataFrame:
     return conflicts.select("id", "property", F.concat_ws(",", F.transform("values", lambda v: F.regexp_extract(v, "([0-9.]+)", 1))).alias("vals"))
 
 
-@query("SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 14 = 0 THEN '2.0' ELSE '1.0' END AS acctbal FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 11 <> 3")
+def _value(name: str) -> Any:
+    return F.from_json(F.try_element_at("props", F.lit(name)), "v double" if name == "acctbal" else "v string")["v"]
+
+
+_ACCTBAL = "CASE WHEN c_custkey % 11 = 3 THEN c_acctbal WHEN c_custkey % 14 = 0 THEN 2.0 WHEN c_custkey % 7 = 0 THEN 1.0 ELSE c_acctbal END::DOUBLE AS acctbal"
+
+
+@query(f"SELECT c_custkey::VARCHAR AS id, {_ACCTBAL} FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 11 = 3")
 def merge_last_write_wins(s: GraphStore) -> DataFrame:
     props, _ = mg.merged_props(_changes(s).where("change = 'modified'"), "lastWriteWins")
-    value = F.regexp_extract(F.try_element_at("props", F.lit("acctbal")), "([0-9.]+)", 1)
-    return props.where("try_cast(id as int) % 7 = 0 and try_cast(id as int) % 11 <> 3").select("id", value.alias("acctbal"))
+    return props.select("id", _value("acctbal").alias("acctbal"))
 
 
 @query("SELECT c_custkey::VARCHAR AS id, 'kept' AS outcome FROM customer WHERE c_custkey % 11 = 3")
@@ -680,7 +730,63 @@ def merge_resolve(s: GraphStore) -> DataFrame:
     base, a, b = _branches(s)
     edges = s.edges(["placed"]).select("id", "kind", "from_kind", "from_id", "to_kind", "to_id")
     plan = mg.plan_merge(base, {"a": a, "b": b}, edges, mg.Options(0.999, block=lambda: F.col("text"), delete_policy="modifyWins"))
-    return plan.survivors.where("id <> to_id").select("id", "to_id").where(F.expr("try_cast(to_id as int) % 11") != 3)
+    return plan.survivors.where("id <> to_id").select("id", "to_id")
+
+
+def _by_name() -> mg.Options:
+    return mg.Options(0.999, policy="lastWriteWins", block=lambda: F.col("text"), delete_policy="modifyWins")
+
+
+_APPLIED = f"SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 11 = 3 THEN 'kept' ELSE c_name END AS name, {_ACCTBAL} FROM customer UNION ALL SELECT 'new' || c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 50 = 0 AND c_custkey % 11 = 3"
+
+
+@query(_APPLIED)
+def merge_apply(s: GraphStore) -> DataFrame:
+    base, a, b = _branches(s)
+    edges = s.edges(["placed"]).select("id", "kind", *mg.ENDS)
+    nodes, _ = mg.apply(base, mg.plan_merge(base, {"a": a, "b": b}, edges, _by_name()))
+    return nodes.select("id", _value("name").alias("name"), _value("acctbal").alias("acctbal"))
+
+
+@query(_APPLIED)
+def merge_incremental(s: GraphStore) -> DataFrame:
+    """Branch a is merged, then b, which was taken from the same base."""
+    base, a, b = _branches(s)
+    edges = s.edges(["placed"]).select("id", "kind", *mg.ENDS)
+    main, edges = mg.apply(base, mg.plan_merge(base, {"a": a}, edges, _by_name()))
+    nodes, _ = mg.apply(base, mg.merge_next(base, main, "b", b, edges, _by_name()))
+    return nodes.select("id", _value("name").alias("name"), _value("acctbal").alias("acctbal"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS id, o_custkey::VARCHAR AS from_id FROM orders WHERE o_orderkey % 13 <> 0 OR o_orderkey % 26 = 0 UNION ALL SELECT 'e' || c_custkey, CASE WHEN c_custkey % 11 = 3 THEN 'new' ELSE '' END || c_custkey FROM customer WHERE c_custkey % 50 = 0")
+def merge_edges(s: GraphStore) -> DataFrame:
+    """Branch a drops some orders' edges, b closes half of those (a change, so they stay) and ties its new nodes to new ends."""
+    base, a, b = _branches(s)
+    edges = mg.canonical_edges(s, ["placed"])
+    k = F.col("id").cast("long")
+    dropped = edges.where(k % 13 != 0)
+    ended = edges.withColumn("valid_to", F.when(k % 26 == 0, F.lit(dt.datetime(2020, 1, 1)).cast("timestamp")).otherwise(F.col("valid_to")))
+    fresh = b.where("id like 'new%'").select(F.concat(F.lit("e"), F.expr("substring(id, 4, 20)")).alias("id"), F.lit("placed").alias("kind"), F.lit("Customer").alias("from_kind"), F.col("id").alias("from_id"), F.lit("Order").alias("to_kind"), F.concat(F.lit("x"), "id").alias("to_id"))
+    plan = mg.plan_merge(base, {"a": a, "b": b}, edges, _by_name(), [dropped, ended.unionByName(fresh, allowMissingColumns=True)])
+    return plan.edges.select("id", "from_id")
+
+
+@query("SELECT 'kept' AS outcome, count(*) AS n FROM range(1, 51) t(k) WHERE k % 10 <> 0 UNION ALL SELECT 'new', 2 UNION ALL SELECT 'contradicted', 1")
+def merge_identity(s: GraphStore) -> DataFrame:
+    """One branch drops every tenth assertion, the other adds four: two hold, one says again what is known, one is contradicted by the merge."""
+    base = _identity(s).store.assertions.where("rel = 'same' and a_kind = 'Supplier'")
+    survivors = s.spark.createDataFrame([("Customer", "new60", "Customer", "60"), ("Customer", "new1", "Customer", "1")], "kind string, id string, to_kind string, to_id string")
+    said = [("z1", "same", "Supplier", "90", "Customer", "new60"), ("z2", "different", "Customer", "new1", "Customer", "60"), ("z3", "same", "Customer", "new1", "Supplier", "1"), ("z4", "different", "Customer", "new60", "Customer", "60")]
+    fresh = s.spark.createDataFrame(said, "id string, rel string, a_kind string, a_id string, b_kind string, b_id string")
+    rows, wrong = mg.merge_assertions(base, [base.where("int(a_id) % 10 <> 0"), base.unionByName(fresh, allowMissingColumns=True)], survivors)
+    named = rows.select(F.when(F.col("id").startswith("z"), "new").otherwise("kept").alias("outcome")).unionAll(wrong.select(F.lit("contradicted")))
+    return named.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("WITH o AS (SELECT s_suppkey::VARCHAR AS id, row_number() OVER (ORDER BY s_name, s_suppkey::VARCHAR) AS n FROM supplier) SELECT x.id AS a, y.id AS b FROM o x JOIN o y ON y.n BETWEEN x.n + 1 AND x.n + 5")
+def merge_window_pairs(s: GraphStore) -> DataFrame:
+    rows = s.nodes(["Supplier"]).select("kind", "id", F.col("p__name").alias("text"), F.lit(None).cast("array<double>").alias("vector"))
+    return mg.window_pairs(rows, 5).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 @query("SELECT 1.0::DOUBLE AS same, round(6.0 / 14, 6) AS near, 0.0::DOUBLE AS far, 1.0::DOUBLE AS empty")
@@ -702,6 +808,12 @@ def rules_violations(s: GraphStore) -> DataFrame:
     return wr.violations(store, ["Region"], ["placed", "customerIn"]).select("constraint", "key", "n")
 
 
+@query("SELECT r_regionkey::VARCHAR AS id, r_name AS name, 1 AS version FROM region UNION ALL SELECT '77', 'OCEANIA', 1")
+def write_create(s: GraphStore) -> DataFrame:
+    rows = s.spark.createDataFrame([("77", "OCEANIA")], "id string, name string")
+    return wr.create(s, "Region", rows).nodes(["Region"]).select("id", F.col("p__name").alias("name"), "version")
+
+
 @query("SELECT c_custkey::VARCHAR AS id, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS acctbal, CASE WHEN c_acctbal < 0 THEN 2 ELSE 1 END AS version FROM customer")
 def write_update_where(s: GraphStore) -> DataFrame:
     out = wr.update_where(s, "Customer", lambda n: n.acctbal.lt(0), {"acctbal": F.lit(0.0)})

@@ -336,6 +336,12 @@ class Query:
         if not edges_only:
             node = self._scan(h.alias, self.store.nodes(targets, self.at()))
             steps = steps.join(node, (F.col("__t_kind") == F.col(f"{h.alias}__kind")) & (F.col("__t_id") == F.col(f"{h.alias}__id")))
+        if edges_only and self._edges_alone():
+            # Counted before the join: one row for each node that edges start at.
+            numbers = [F.count("*").alias(f"{h.edge_alias}____n")]
+            if any(spec.how == "count_distinct_edges" for _, spec in self.aggregates if isinstance(spec, Agg)):
+                numbers.append(F.countDistinct(f"{h.edge_alias}__id").alias(f"{h.edge_alias}____d"))
+            steps = steps.groupBy("__s_kind", "__s_id").agg(*numbers)
         on = (F.col(s_kind) == F.col("__s_kind")) & (F.col(s_id) == F.col("__s_id"))
         return prev.join(steps, on, "left" if h.optional else "inner").drop("__s_kind", "__s_id", "__t_kind", "__t_id", "__w_kind", "__w_id")
 
@@ -355,7 +361,8 @@ class Query:
         move = steps.select("__s_kind", "__s_id", "__t_kind", "__t_id")
         # A node must be visible and fit at every step, so edges to others are dropped before the loop.
         fits = node.select(F.col(f"{reach}kind").alias("__t_kind"), F.col(f"{reach}id").alias("__t_id"))
-        move = move.join(fits, ["__t_kind", "__t_id"], "left_semi")
+        if most > 1:  # of a single step the join with the node is enough
+            move = move.join(fits, ["__t_kind", "__t_id"], "left_semi")
         if most > 3:
             move = materialize(move, "moves")
         levels = [frontier.where(F.col("__f_kind").isin(sorted({*first} & {*targets})))] if r.min_hops == 0 else []
@@ -395,6 +402,13 @@ class Query:
                 return False
         return any(isinstance(spec, Agg) and spec.how.endswith("edges") for _, spec in self.aggregates)
 
+    def _edges_alone(self) -> bool:
+        """Whether all aggregates count the edges of the hop, so that they can be counted by source first."""
+        h, made = self.hops[0], [spec for _, spec in self.aggregates if isinstance(spec, Agg)]
+        by_node = (h.source, "id") in self.keys  # else a distinct edge might start at several nodes of a group
+        plain = all(spec.alias == h.edge_alias and (spec.how == "count_edges" or spec.how == "count_distinct_edges" and by_node) for spec in made)
+        return plain and not h.identity and not any(k == h.edge_alias for k, _ in self.keys)
+
     def matched(self) -> DataFrame:
         """All columns of all aliases, before projection."""
         if self.start is None:
@@ -484,6 +498,10 @@ class Query:
             if not isinstance(spec, Agg):
                 plain[name] = ctx.column(*spec)
                 continue
+            counted = f"{spec.alias}____{'n' if spec.how == 'count_edges' else 'd'}"
+            if spec.how.endswith("edges") and f"{spec.alias}____n" in rows.columns:
+                made.append(F.coalesce(F.sum(counted), F.lit(0)).alias(name))
+                continue
             c = ctx.column(spec.alias, "id" if spec.name is None else spec.name)
             if spec.how in ("sum", "avg"):
                 c = c.cast("double")
@@ -525,7 +543,9 @@ class Query:
         if not self.orders or self.aggregates:
             raise QueryError("pages need an order")
         keyed = {(o.alias, o.name) for o in self.orders}
-        ids = [Order(a, "id") for a, (_, edge) in self.aliases().items() if not edge and (a, "id") not in keyed]
+        known = self.aliases()
+        looped = {h.edge_alias for h in self.hops if h.recursion}  # those have no edge of their own
+        ids = [Order(a, "id") for a in sorted(known, key=lambda a: known[a][1]) if a not in looped and (a, "id") not in keyed]
         return [*self.orders, *ids]
 
     def paginate(self, first: int | None = None, after: str | None = None, last: int | None = None, before: str | None = None) -> Page:

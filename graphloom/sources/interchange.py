@@ -58,9 +58,10 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def import_graph(store: GraphStore, rows: DataFrame, on_conflict: str = "error", on_unknown: str = "error", validate: bool = True) -> GraphStore:
-    """The store with the rows of a document. ``on_conflict``: skip, update or error for ids that live already;
+    """The store with the rows of a document. ``on_conflict``: skip, update or error for ids that live already, or trust
+    that there are none, nor any twice;
     ``on_unknown``: error, strip or allow for properties that the kind doesn't declare (allow keeps declared ones only)."""
-    if on_conflict not in ("skip", "update", "error") or on_unknown not in ("error", "strip", "allow"):
+    if on_conflict not in ("skip", "update", "error", "trust") or on_unknown not in ("error", "strip", "allow"):
         raise ValidationError(f"{on_conflict}, {on_unknown}")
     known = {("node", k) for k in store.graph.nodes} | {("edge", k) for k in store.graph.edges}
     kinds = [(r["type"], r["kind"]) for r in rows.select("type", "kind").distinct().limit(len(known) + 1).collect()]  # as many as the schema has, or an error
@@ -82,7 +83,7 @@ def import_graph(store: GraphStore, rows: DataFrame, on_conflict: str = "error",
             fresh = parsed.select("id", F.col("from.kind").alias("from_kind"), F.col("from.id").alias("from_id"), F.col("to.kind").alias("to_kind"), F.col("to.id").alias("to_id"), *time, *fields)
         else:
             fresh = parsed.select("id", *time, *fields)
-        if fresh.groupBy("id").count().where("count > 1").head(1):
+        if on_conflict != "trust" and fresh.groupBy("id").count().where("count > 1").head(1):
             raise ImportConflictError(f"a {k} id comes twice")
         have = (out.edges([k], visible=False) if what == "edge" else out.nodes([k], visible=False)).where("deleted_at is null").select("id")
         if on_conflict == "error" and fresh.join(have, "id", "left_semi").head(1):
@@ -101,7 +102,7 @@ def import_graph(store: GraphStore, rows: DataFrame, on_conflict: str = "error",
 
 def trusted_import(store: GraphStore, rows: DataFrame) -> GraphStore:
     """Bulk load of rows that are known to be good: nothing is checked."""
-    return import_graph(store, rows, "skip", "strip", False)
+    return import_graph(store, rows, "trust", "strip", False)
 
 
 def to_document(graph: GraphDef) -> str:

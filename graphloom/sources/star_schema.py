@@ -28,9 +28,10 @@ GRAPH = GraphDef(
         NodeKind("Order", struct("status string, totalprice double, orderdate timestamp, priority string")),
         NodeKind("Document", struct("text string, lang string, source string, n_chars bigint"), searchable=("text",)),
         NodeKind("Vector", struct("label int, embedding array<float>"), embeddings={"embedding": "cosine"}),
+        NodeKind("Passage", struct("text string, embedding array<float>"), embeddings={"embedding": "cosine"}, searchable=("text",)),
         NodeKind("User", struct("")),
         NodeKind("EventType", struct("")),
-        NodeKind("Event", struct("ts timestamp, value double, props variant, tags array<string>, event_type string")),
+        NodeKind("Event", struct("ts timestamp, value double, props variant, nested variant, tags array<string>, long_parts array<string>, event_type string")),
     ],
     edges=[
         EdgeKind("inRegion", ("Nation",), ("Region",), cardinality="one"),
@@ -83,6 +84,9 @@ def load(spark: SparkSession, sf_dir: str) -> GraphStore:
         pairs = spark.range(25).select(F.explode(F.array(F.lit(1), F.lit(7))).alias("step"), F.col("id").alias("n")).where("n + step < 25")
         return pairs.select(F.concat_ws("-", n, to).alias("id"), n.alias("from_id"), to.alias("to_id"), (F.when(F.col("step") == 1, 1.0).otherwise(3.0) + F.col("n") % 3).alias("weight"))
 
+    # An object with an array for even k, with a member named 0 for multiples of 3, and with a string.
+    k, tags = F.get_json_object("props", "$.k").cast("int"), F.split("event_type", "r")
+    nested = F.parse_json(F.to_json(F.struct(F.when(k % 2 == 0, F.array(k)).alias("a"), F.when(k % 3 == 0, k).alias("0"), F.col("event_type").alias("s"))))
     nodes = {
         "Region": bound("region", "r_regionkey", name="r_name"),
         "Nation": bound("nation", "n_nationkey", name="n_name"),
@@ -92,9 +96,10 @@ def load(spark: SparkSession, sf_dir: str) -> GraphStore:
         "Order": bound("orders", "o_orderkey", status="o_orderstatus", totalprice="o_totalprice", priority="o_orderpriority", orderdate="o_orderdate", valid_from="o_orderdate"),
         "Document": bound("documents", "doc_id", text="text", lang="lang", source="source", n_chars="n_chars"),
         "Vector": bound("embeddings", "vec_id", label="label", embedding="embedding"),
+        "Passage": lambda: t("documents").join(t("embeddings"), F.col("doc_id") == F.col("vec_id")).select(_key("doc_id").alias("id"), "text", "embedding"),
         "User": lambda: t("events").select(_key("user_id").alias("id")).distinct(),
         "EventType": lambda: t("events").select(F.col("event_type").alias("id")).distinct(),
-        "Event": lambda: t("events").select(_key("event_id").alias("id"), "ts", "value", F.parse_json("props").alias("props"), F.split("event_type", "r").alias("tags"), "event_type"),
+        "Event": lambda: t("events").select(_key("event_id").alias("id"), "ts", "value", F.parse_json("props").alias("props"), nested.alias("nested"), tags.alias("tags"), F.filter(tags, lambda x: F.char_length(x) > 4).alias("long_parts"), "event_type"),
     }
     until = F.col("o_orderdate") + F.expr("interval 90 days")
     gone = F.when(F.col("o_orderkey") % 17 == 0, F.col("o_orderdate") + F.expr("interval 30 days"))
