@@ -24,8 +24,8 @@ LIMIT = 1 << 20
 
 
 def row_hash(doc_id: Column, text: Column) -> Column:
-    """60 bits of MD5 of the id as text; rows without one go by their text."""
-    key = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.coalesce(text, F.lit(""))))
+    """60 bits of MD5 of the id and the MD5 of the text; nulls are empty."""
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(F.encode(text, "UTF-8")), F.lit("")))
     return F.conv(F.substring(F.md5(F.encode(key, "UTF-8")), 1, BITS // 4), 16, 10).cast("long")
 
 
@@ -61,7 +61,7 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     doc_bytes (UTF-8 bytes of the text, null: 0), shard_bytes and oversized.
 
     Every shard has ``limit`` bytes or less, but for a row that is larger by itself or rows with the
-    same hash (the same id, or no id and the same text), which no bit tells apart: those
+    same id and text, which no bit tells apart: those
     fill a shard of full depth and are marked oversized. An empty table gives none; columns of these names are
     replaced, others stay.
     """
@@ -93,7 +93,7 @@ def oracle(limit: int = LIMIT, table: str = "documents") -> str:
     return f"""
 WITH rows AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS doc_bytes,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))), 1, {BITS // 4}))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')), 1, {BITS // 4}))::BIGINT AS h
   FROM {table}),
 sums AS (
   SELECT d.depth, r.h >> ({BITS} - d.depth)::INT AS prefix, sum(r.doc_bytes)::BIGINT AS shard_bytes
