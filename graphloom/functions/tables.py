@@ -9,8 +9,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The keys with most rows, so many at most and of more than HOT_ROWS each, are hot.
-HOT_KEYS, HOT_ROWS = 1024, 1000
+#: The keys with most rows, so many at most and of more than HOT_ROWS each, are hot; of a table of SMALL rows at most none is.
+HOT_KEYS, HOT_ROWS, SMALL = 1024, 1000, 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,13 +79,14 @@ def with_totals(rows: DataFrame, key: str, totals: Iterable[tuple[str, Column]])
 
     ``rows`` is read several times, so it should be a written table; keys aren't null. Hot keys (HOT_KEYS at most)
     are aggregated with map-side combination and looked up in a broadcast table of as many rows; only the rest,
-    where no key has more than a HOT_KEYS-th of all rows, is dealt by key.
+    where no key has more than a HOT_KEYS-th of all rows, is dealt by key. Tables of SMALL rows at most are dealt as they are.
     """
-    totals = list(totals)
+    totals, each = list(totals), Window.partitionBy(key)
+    if rows.count() <= SMALL:
+        return rows.select("*", *[c.over(each).alias(name) for name, c in totals])
     found = rows.groupBy(key).agg(F.count("*").alias("__n"), *[c.alias(name) for name, c in totals])
     hot = found.where(F.col("__n") > HOT_ROWS).orderBy(F.col("__n").desc(), key).limit(HOT_KEYS).drop("__n")
     some = hot.collect()  # HOT_KEYS rows at most
-    each = Window.partitionBy(key)
     if not some:
         return rows.select("*", *[c.over(each).alias(name) for name, c in totals])
     held = F.broadcast(rows.sparkSession.createDataFrame(some, hot.schema))
