@@ -39,9 +39,9 @@ DIMS, LEAF = 32, 16
 #: Shingles in a chunk of sets that are compared in one task; one set may have more.
 CHUNK = 150_000
 #: Shingles that are counted at once, times they must be seen in all such lots (twice in a lot) to be common, and how many can be.
-LOT, COMMON, MOST_COMMON = 1 << 20, 24, 1 << 20
+LOT, COMMON, MOST_COMMON = 1 << 20, 256, 1 << 20
 #: Keys that a task folds at once, and sets that share a key there before it is folded: of such a key one set goes on.
-FOLD, SHARED = 1 << 19, 256
+FOLD, SHARED = 1 << 19, 64
 
 
 def size_buckets(numerator: int, denominator: int, largest: int = 1 << 40) -> np.ndarray:

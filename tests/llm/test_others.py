@@ -295,6 +295,7 @@ def test_components_of_hubs(spark, monkeypatch):
     from graphloom.functions import tables
 
     monkeypatch.setattr(tables, "HOT_ROWS", 10)
+    monkeypatch.setattr(tables, "SMALL", 0)
     monkeypatch.setattr(tables, "HOT_KEYS", 3)
     edges = [(0, i) for i in range(1, 80)] + [(500 + i, 500) for i in range(60)] + [(700 + i, 900) for i in range(50)] + [(900, 559)] + [(1000 + i, 1001 + i) for i in range(30)]
     got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
