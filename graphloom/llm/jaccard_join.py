@@ -329,7 +329,8 @@ def _linked(docs: DataFrame, shingle: int, threshold: Fraction) -> tuple[DataFra
     member = with_totals(member, "component", [("all_n", F.sum("n"))]).withColumn("parts", F.ceil(F.col("all_n") / CHUNK).cast("int"))
     member = member.select("node", F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), "component", "parts", F.expr("pmod(xxhash64(node), parts)").cast("int").alias("part"))
     same = (F.col("h") == F.col("text_hash")) & F.col("id").eqNullSafe(F.col("doc_id"))
-    cells = written(member.join(rows, same).select("node", "component", "parts", "part", "text"), "cells")
+    # Members are no bounded table: texts are dealt to them by key at every size.
+    cells = written(member.hint("merge").join(rows, same).select("node", "component", "parts", "part", "text"), "cells")
 
     def compare(wanted: DataFrame) -> DataFrame:
         """wanted: node, text, task, side."""
