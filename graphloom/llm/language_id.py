@@ -7,7 +7,6 @@ penalty for every switch, labels spans; the language with most letters is the te
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,11 +29,15 @@ GRAM_BUCKETS = 1 << 15
 KEPT = 300_000
 
 
-@functools.cache
-def word_pattern() -> re.Pattern:
-    """Runs of letters: of what Python calls alphanumeric, neither decimal digits nor other numbers (such as one half)."""
-    numbers = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[^\W\d_{numbers}]+")
+_RUN = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters. The pattern's runs may also hold numbers that are no decimal digits (such as one half); those are parted there."""
+    found = _RUN.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 #: First and last code point of the letters of each script; fixed values of Unicode.
@@ -145,7 +148,7 @@ class Model:
         """The language number of every word of all texts, its letters, the offsets of each text's words."""
         if len(self.known) > KEPT:
             self.known.clear()
-        found = [word_pattern().findall(t.lower()) for t in texts]
+        found = [words_of(t.lower()) for t in texts]
         at = np.concatenate([[0], np.cumsum([len(w) for w in found])]).astype(np.int64)
         every = [w for ws in found for w in ws]
         letters = np.fromiter(map(len, every), np.int64, len(every))
@@ -229,7 +232,7 @@ def fit(docs: DataFrame, texts: int = TEXTS) -> Model | None:
     top = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("count").desc(), "word"))
     table = words.withColumn("r", top).where(F.col("r") <= most).drop("r").toArrow()  # VOCABULARY rows at most
     spelled, said, often = (table[c].to_pylist() for c in ("word", "lang", "count"))
-    fits = [i for i, w in enumerate(spelled) if word_pattern().fullmatch(w)]
+    fits = [i for i, w in enumerate(spelled) if w.isalpha()]
     if not fits:
         return None
     names = sorted(counts)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -221,6 +222,20 @@ def test_many_languages(documents):
     assert not [x for x, (_, _, lang) in zip(out, rows, strict=True) if x["lang_pred"] != lang]
 
 
+def test_words_are_runs_of_letters():
+    kinds = ["aé ßЯ漢ª", "½²Ⅷ①", "09٣", " _-.\n"]
+    texts = ["".join(kinds[(i * 7 + j * j) % 4][(i + j) % 4 % len(kinds[(i * 7 + j * j) % 4])] for j in range(30)) for i in range(200)]
+    for text in [*texts, "", "a½b", "x" * 100_000]:
+        parts, run = [], ""
+        for c in text + " ":
+            if unicodedata.category(c).startswith("L"):
+                run += c
+            elif run:
+                parts.append(run)
+                run = ""
+        assert li.words_of(text) == parts
+
+
 def test_letters_and_ties(documents):
     """Numbers of any kind are no letters; of languages with as many letters the first is told."""
     model = li.fit(documents([(i, "uno dos" if lang == "xx" else "one two", lang) for i, lang in enumerate(["xx", "yy"] * 40)]))
