@@ -40,6 +40,8 @@ DIMS, LEAF = 32, 16
 CHUNK = 150_000
 #: Shingles that are counted at once, times they must be seen in all such lots (twice in a lot) to be common, and how many can be.
 LOT, COMMON, MOST_COMMON = 1 << 20, 256, 1 << 20
+#: The same for near copies: their sets may differ in more shingles, so their key groups are smaller and shared passages fill more of them.
+COMMON_NEAR = 24
 #: Keys that a task folds at once, and sets that share a key there before it is folded: of such a key one set goes on.
 FOLD, SHARED = 1 << 19, 64
 
@@ -220,10 +222,10 @@ def _features(shingle: int):
     return run
 
 
-def _common(features: DataFrame) -> np.ndarray:
-    """Hashes of the shingles seen most, ascending: MOST_COMMON at most."""
+def _common(features: DataFrame, least: int) -> np.ndarray:
+    """Hashes of the shingles seen ``least`` times or more, ascending: the MOST_COMMON of them seen most."""
     pairs = features.where("node is null").select(F.explode(F.arrays_zip("often", "times")).alias("x"))
-    sums = pairs.groupBy("x.often").agg(F.sum("x.times").alias("n")).where(F.col("n") >= COMMON)
+    sums = pairs.groupBy("x.often").agg(F.sum("x.times").alias("n")).where(F.col("n") >= least)
     found = sums.orderBy(F.col("n").desc(), "often").limit(MOST_COMMON).select("often").toArrow()
     return np.sort(found["often"].to_numpy().astype(np.int64).view(np.uint64))
 
@@ -309,13 +311,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def _linked(docs: DataFrame, shingle: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+def _linked(docs: DataFrame, shingle: int, threshold: Fraction, common_from: int) -> tuple[DataFrame, DataFrame]:
     """Features of every row (doc_id, text_hash, n_shingles, node: the digest of its set), and of every node that isn't
     empty its first row (null ids last) and the label of what it is linked with (node, first, label)."""
     numerator, denominator = threshold.numerator, threshold.denominator
     rows = _keyed(docs)
     features = written(rows.mapInArrow(_features(shingle), _FEATURES), "features")
-    common = docs.sparkSession.sparkContext.broadcast(_common(features))  # 8 bytes each of MOST_COMMON at most
+    common = docs.sparkSession.sparkContext.broadcast(_common(features, common_from))  # 8 bytes each of MOST_COMMON at most
     features = features.where("node is not null").drop("often", "times")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     nodes = features.where("n_shingles > 0").groupBy("node").agg(first.alias("first"), F.max("n_shingles").alias("n"))
@@ -368,7 +370,7 @@ def _linked(docs: DataFrame, shingle: int, threshold: Fraction) -> tuple[DataFra
     return features, known
 
 
-def jaccard_components(docs: DataFrame, shingle: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
+def jaccard_components(docs: DataFrame, shingle: int = 3, threshold: Fraction = Fraction(9, 10), common_from: int | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs`` (doc_id, text).
 
     ``component_id`` is the smallest doc_id that links reach; a link is a Jaccard similarity of
@@ -378,22 +380,24 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, threshold: Fraction =
 
     Repeated rows come back as often; several texts under one id link each by themselves. Rows with
     a null id link like others, and have a null component if there is no id in reach. Other columns of ``docs`` are
-    not looked at. An empty table gives none. Sets are told apart by 64-bit digests.
+    not looked at. An empty table gives none. Sets are told apart by 64-bit digests. ``common_from`` (how often a shingle
+    is seen before keys leave it out, COMMON if not given) changes the work, not the result.
     """
-    features, known = _linked(docs, shingle, threshold)
+    features, known = _linked(docs, shingle, threshold, common_from or COMMON)
     known = with_totals(known, "label", [("component_id", F.min("first.doc_id"))]).select("node", "component_id")
     # A set that many rows have is one row of `known`; AQE can split those rows of `features`.
     out = features.join(known, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, threshold: Fraction = Fraction(4, 5), common_from: int = COMMON_NEAR) -> DataFrame:
     """``docs`` with one row of each group that links join: that of the smallest doc_id, then of the smallest text hash.
 
     Rows are told apart by id and text, so another text under the id of a copy stays, and a null id is like
     any other (after all ids). Of equal rows one stays. A null text or one without words has no copies: all such rows stay.
+    ``common_from`` as in ``jaccard_components``.
     """
-    features, known = _linked(docs, shingle, threshold)
+    features, known = _linked(docs, shingle, threshold, common_from)
     first = with_totals(known, "label", [("keep", F.min("first"))]).select("node", "keep")
     each = features.where("n_shingles > 0").groupBy("node", "doc_id", "text_hash").count().join(first, "node")
     same = F.col("text_hash").eqNullSafe(F.col("keep.text_hash")) & F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))
