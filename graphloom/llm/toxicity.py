@@ -10,6 +10,7 @@ threshold of the text's language.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -72,8 +73,11 @@ class Model:
 
     def compiled(self) -> "Model":
         """With the products of every bucket with every column of every filter."""
-        parts = [self.embedding @ f[j] for f in self.filters for j in range(len(f))]
-        self.table = np.concatenate([*parts, self.language_odds], 1).astype(np.float32)
+        parts = [part for f in self.filters for part in f]
+        self.table = np.empty((BUCKETS, len(parts) * FILTERS + len(self.languages)), np.float32)
+        for k, part in enumerate(parts):
+            self.table[:, k * FILTERS : (k + 1) * FILTERS] = self.embedding @ part
+        self.table[:, len(parts) * FILTERS :] = self.language_odds
         return self
 
     def logits(self, word: np.ndarray, prefix: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,19 +304,29 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = MOST_TOXIC, clean: int
                 out += [np.stack([word[at[i] : at[i + 1]], prefix[at[i] : at[i + 1]]]).tobytes() for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], batch["lang"], pa.array(out, pa.binary())], ["doc_id", "toxic", "lang", "buckets"])
 
-    got = texts.mapInArrow(run, "doc_id long, toxic int, lang string, buckets binary").toArrow().combine_chunks()
-    sizes = pa.compute.binary_length(got["buckets"]).to_numpy()
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    at = np.concatenate([[0], np.cumsum(sizes[order] // 8)]).astype(np.int64)
-    both = np.zeros((2, at[-1]), np.int32)
-    for i, k in enumerate(order):
-        both[:, at[i] : at[i + 1]] = np.frombuffer(got["buckets"][int(k)].as_buffer(), np.int32).reshape(2, -1)
-    label, language = got["toxic"].to_numpy()[order].astype(np.int64), got["lang"].take(pa.array(order)).to_pylist()
-    del got
-    made = train(both[0], both[1], at, label, language)
-    if made is None:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        got = pa.Table.from_batches(held).combine_chunks()
+        sizes = pa.compute.binary_length(got["buckets"]).to_numpy()
+        order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+        at = np.concatenate([[0], np.cumsum(sizes[order] // 8)]).astype(np.int64)
+        both = np.zeros((2, at[-1]), np.int32)
+        for i, k in enumerate(order):
+            both[:, at[i] : at[i + 1]] = np.frombuffer(got["buckets"][int(k)].as_buffer(), np.int32).reshape(2, -1)
+        label, language = got["toxic"].to_numpy()[order].astype(np.int64), got["lang"].take(pa.array(order)).to_pylist()
+        made = train(both[0], both[1], at, label, language)
+        if made is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((*made, label))], pa.binary())], ["model"])
+
+    # The sample is bounded, so one task holds it; the driver gets the model alone.
+    buckets = texts.mapInArrow(run, "doc_id long, toxic int, lang string, buckets binary")
+    made = buckets.repartition(1).mapInArrow(learn, "model binary").toArrow()["model"]
+    if not len(made):
         return None
-    model, z, told = made
+    model, z, told, label = pickle.loads(made[0].as_buffer())
+    del made
     more = outside_sample(docs, known, sample, model)
     z, told, label = (np.concatenate([x, more[:, i]]) for i, x in enumerate((z, told, label)))
     return calibrate(model, z, told, label, np.concatenate([np.ones(len(z) - len(more)), more[:, 3]]))
