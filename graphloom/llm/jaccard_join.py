@@ -278,6 +278,36 @@ def fold_keys(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([keys[first], own, own]), np.concatenate([nodes[first], tied[:, 0], tied[:, 1]])
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that tie the same nodes as edges (a, b), one for each node but the smallest it reaches: to that one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root, (u, v) = np.arange(len(nodes)), at.reshape(2, -1)
+    while (apart := root[u] != root[v]).any():
+        u, v = u[apart], v[apart]
+        np.minimum.at(root, np.maximum(root[u], root[v]), np.minimum(root[u], root[v]))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    tied = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[tied], nodes[root[tied]]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) -> forests of FOLD edges at a time."""
+    held, size = [], 0
+    for batch in batches:
+        held.append((batch["a"].to_numpy(), batch["b"].to_numpy()))
+        size += len(batch)
+        if size >= FOLD:
+            yield _edges(*forest(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            held, size = [], 0
+    if held:
+        yield _edges(*forest(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _verify(shingle: int, numerator: int, denominator: int):
     """Rows sorted by task: (task, side, node, text) -> links (a, b). Holds one task's sets at a time."""
 
@@ -324,7 +354,9 @@ def _linked(docs: DataFrame, shingle: int, threshold: Fraction, common_from: int
 
     keys = rows.select("text").mapInArrow(_keys(shingle, numerator, denominator, common), "key long, node long")
     hub = F.min("node").over(Window.partitionBy("key"))  # of a key, one row for each FOLD keys of a task at most
-    candidates = components(keys.select(F.col("node").alias("a"), hub.alias("b")))
+    # Near copies share many keys and so have edges to many hubs: forests first, which are far fewer.
+    edges = keys.select(F.col("node").alias("a"), hub.alias("b")).where("a <> b").distinct()
+    candidates = components(edges.mapInArrow(_forests, "a long, b long"))
 
     # Chunks of a candidate component: as many as its shingles ask for, each text read once.
     member = written(candidates.join(nodes, "node").select("node", "component", "n", "first.doc_id", "first.text_hash"), "members")

@@ -164,3 +164,19 @@ def test_words_are_those_of_the_pattern():
     hashes, at = word_hashes([t.encode() for t in texts])
     assert np.diff(at).tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts]
     assert len(set(hashes.tolist())) == 7
+
+
+def test_forest_ties_what_edges_tie():
+    draw = np.random.default_rng(11)
+    for n in (1, 2, 7, 60, 400):
+        a, b = draw.integers(-n, n, (2, n))
+        least = {x: x for x in {*a.tolist(), *b.tolist()}}
+        for _ in range(2 * n):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                least[x] = least[y] = min(least[x], least[y])
+        u, v = jj.forest(a, b)
+        assert len(set(u.tolist())) == len(u) and {x: x for x in least} | dict(zip(u.tolist(), v.tolist(), strict=True)) == least
+    chain = np.arange(3000)
+    assert not len(jj.forest(chain[:0], chain[:0])[0])
+    u, v = jj.forest(chain[1:], chain[:-1])
+    assert len(u) == 2999 and not v.any()
