@@ -354,8 +354,11 @@ def _linked(docs: DataFrame, shingle: int, threshold: Fraction, common_from: int
 
     keys = rows.select("text").mapInArrow(_keys(shingle, numerator, denominator, common), "key long, node long")
     hub = F.min("node").over(Window.partitionBy("key"))  # of a key, one row for each FOLD keys of a task at most
-    # Near copies share many keys and so have edges to many hubs: forests first, which are far fewer.
+    # Near copies share many keys and so have edges to many hubs. One edge to the least of a node's hubs stays, and the
+    # others are tied to that one hub to hub, which is the same edge for many nodes; then forests, which are fewer still.
     edges = keys.select(F.col("node").alias("a"), hub.alias("b")).where("a <> b").distinct()
+    edges = edges.withColumn("m", F.min("b").over(Window.partitionBy("a")))  # as many rows as the node has keys at most
+    edges = edges.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
     candidates = components(edges.mapInArrow(_forests, "a long, b long"))
 
     # Chunks of a candidate component: as many as its shingles ask for, each text read once.
