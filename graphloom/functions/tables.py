@@ -74,15 +74,16 @@ def forget(*tables: DataFrame) -> None:
             files.delete(path, True)
 
 
-def with_totals(rows: DataFrame, key: str, totals: Iterable[tuple[str, Column]]) -> DataFrame:
+def with_totals(rows: DataFrame, key: str, totals: Iterable[tuple[str, Column]], size: int | None = None) -> DataFrame:
     """``rows`` with aggregates over all rows of their ``key``, like a window, but spread out.
 
     ``rows`` is read several times, so it should be a written table; keys aren't null. Hot keys (HOT_KEYS at most)
     are aggregated with map-side combination and looked up in a broadcast table of as many rows; only the rest,
     where no key has more than a HOT_KEYS-th of all rows, is dealt by key. Tables of SMALL rows at most are dealt as they are.
+    ``size``: how many rows there are, where that is known; else they are counted.
     """
     totals, each = list(totals), Window.partitionBy(key)
-    if rows.count() <= SMALL:
+    if (rows.count() if size is None else size) <= SMALL:
         return rows.select("*", *[c.over(each).alias(name) for name, c in totals])
     found = rows.groupBy(key).agg(F.count("*").alias("__n"), *[c.alias(name) for name, c in totals])
     hot = found.where(F.col("__n") > HOT_ROWS).orderBy(F.col("__n").desc(), key).limit(HOT_KEYS).drop("__n")

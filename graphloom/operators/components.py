@@ -22,8 +22,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     def row(u: str, v: str, *more):
         return F.struct(F.col(u).alias("u"), F.col(v).alias("v"), *more)
 
-    def least(rows: DataFrame) -> DataFrame:
-        return with_totals(rows, "u", [("m", F.min("v"))])
+    def least(rows: DataFrame, size: int | None = None) -> DataFrame:
+        return with_totals(rows, "u", [("m", F.min("v"))], size)
 
     def both(rows: DataFrame) -> DataFrame:
         return rows.select(F.explode(F.array(row("u", "v"), row("v", "u"))).alias("e")).select("e.*")
@@ -31,7 +31,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     state = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     state = materialize(state, "edges")
     for _ in range(rounds):
-        large = least(both(state)).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"), (F.col("m") < F.col("u")).alias("moved"))
+        large = least(both(state), 2 * state.count()).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"), (F.col("m") < F.col("u")).alias("moved"))
         large = materialize(large.groupBy("u", "v").agg(F.max("moved").alias("moved")), "large")
         tie = F.when(F.col("v") == F.col("m"), row("u", "m", "moved")).otherwise(row("v", "m", F.lit(True).alias("moved")))
         small = least(large).select(tie.alias("e")).select("e.*").groupBy("u", "v").agg(F.max("moved").alias("moved"))
