@@ -9,6 +9,9 @@ Shingles are hashed into groups. Two uses are made of them:
   would bring all of those together, so common shingles are left out first: that takes from both sets alike, so
   the same bound holds for what is left. Only sets that then fill too few groups meet by their whole content as well.
   Which shingles count as common decides how many candidates there are, never which pairs are found.
+  The lower the threshold, the smaller the groups: at 0.8 many hold one shingle, which texts of a large table share by chance, until
+  chains of such pairs tie most of it. Below GROUPED shingles a group, keys are windows over the sorted set instead
+  (``window_keys``), each of as many shingles.
 * Search. Sets that share a key (directly or through others) form a candidate component. Its members
   are compared in chunks of bounded size: the counts of ``DIMS`` groups are points in an R-tree, a
   pair of nodes is dropped if the sum of coordinate minima can't reach the overlap needed, and
@@ -40,8 +43,11 @@ DIMS, LEAF = 32, 16
 CHUNK = 150_000
 #: Shingles that are counted at once, times they must be seen in all such lots (twice in a lot) to be common, and how many can be.
 LOT, COMMON, MOST_COMMON = 1 << 20, 256, 1 << 20
-#: The same for near copies: their sets may differ in more shingles, so their key groups are smaller and shared passages fill more of them.
+#: The same for near copies: their sets may differ in more shingles, so their keys hold fewer and shared passages make up more of them.
 COMMON_NEAR = 24
+#: Shingles that a group holds on average, t / (1 - t), from which keys are groups; below, they are windows of WIDTHS
+#: shingles, the first of these for which a set has enough.
+GROUPED, WIDTHS = 8, (3, 2, 1)
 #: Keys that a task folds at once, and sets that share a key there before it is folded: of such a key one set goes on.
 FOLD, SHARED = 1 << 19, 64
 
@@ -89,9 +95,7 @@ def group_keys(hashes: np.ndarray, ends: np.ndarray, numerator: int, denominator
     of all its shingles; and if those are too few as well, for the empty ones, and so meets others of that kind.
     """
     n, out = len(hashes), []
-    rare = hashes
-    if common is not None and len(common):
-        rare = hashes[common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] != hashes]
+    rare = _without(hashes, common)
     own = int(np.searchsorted(ends, n, "right")) - 1
     for k in (own, own - 1):
         if k < 0:
@@ -115,6 +119,38 @@ def group_keys(hashes: np.ndarray, ends: np.ndarray, numerator: int, denominator
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def window_keys(hashes: np.ndarray, numerator: int, denominator: int, common: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of windows of consecutive shingles of a set (ascending), one of which every set that links with it has too.
+
+    A shingle that only this set has is in w windows of width w at most, one that only the other set has parts w - 1. With
+    J >= t that changes n max(w (1 - t), (w - 1) (1 - t) / t) windows at most of a set of n. Where the set has more windows
+    than that, its smallest ones beyond that number are enough (a prefix in an order that all sets share). Windows are made
+    of the shingles outside ``common`` (ascending); a set with too few also has keys for narrower ones, and then for windows of all
+    its shingles. The set of a pair that stops first has its last kind in common with the other; single shingles always suffice.
+    """
+    n, out = len(hashes), []
+    if n * (denominator - numerator) < numerator:  # only equal sets, which are one node, link here
+        return np.zeros(0, np.uint64)
+    rare = _without(hashes, common)
+    for kind, of in enumerate((rare, hashes)):
+        for width in WIDTHS:
+            lost = max(n * width * (denominator - numerator) // denominator, n * (width - 1) * (denominator - numerator) // numerator)
+            windows = max(len(of) - width + 1, 0)
+            keys = np.full(windows, (8 * kind + width) * 0x2545F4914F6CDD1D & (1 << 64) - 1, np.uint64)
+            for j in range(width):
+                keys = mix64(keys + of[j : j + windows])
+            out.append(keys if windows <= lost else np.partition(keys, lost)[: lost + 1])
+            if windows > lost:
+                return np.concatenate(out)
+    raise AssertionError("single shingles suffice")
+
+
+def _without(hashes: np.ndarray, common: np.ndarray | None) -> np.ndarray:
+    if common is None or not len(common):
+        return hashes
+    return hashes[common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] != hashes]
+
+
 class RTree:
     """Count vectors packed bottom up: sorted by size and by their largest coordinates, then ``LEAF`` to a node."""
 
@@ -233,12 +269,13 @@ def _common(features: DataFrame, least: int) -> np.ndarray:
 def _keys(shingle: int, numerator: int, denominator: int, common: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = size_buckets(numerator, denominator)
+        grouped = numerator >= GROUPED * (denominator - numerator)
         for batch in batches:
             seen: dict[int, None] = {}
             for s in shingle_sets(texts_of(batch["text"]), shingle):
                 if len(s) and (d := digest(s)) not in seen:
                     seen[d] = None
-                    keys = group_keys(s, ends, numerator, denominator, common.value)
+                    keys = group_keys(s, ends, numerator, denominator, common.value) if grouped else window_keys(s, numerator, denominator, common.value)
                     for a in range(0, len(keys), 1 << 16):
                         part = signed(keys[a : a + (1 << 16)])
                         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), d))], ["key", "node"])

@@ -1,7 +1,9 @@
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import jaccard_join as jj
@@ -180,3 +182,40 @@ def test_forest_ties_what_edges_tie():
     assert not len(jj.forest(chain[:0], chain[:0])[0])
     u, v = jj.forest(chain[1:], chain[:-1])
     assert len(u) == 2999 and not v.any()
+
+
+def test_linked_sets_share_a_window():
+    r = np.random.default_rng(12)
+    linked = 0
+    for numerator, denominator in ((4, 5), (3, 4), (9, 10), (1, 2), (17, 20)):
+        for n in [*range(1, 40), *[40] * 20, 200, 777] * 3:
+            a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+            more = r.integers(0, 1 << 63, r.integers(0, n * (denominator - numerator) // numerator + 1)).astype(np.uint64)
+            drop = r.integers(0, n * (denominator - numerator) // denominator + 1)
+            swap = r.integers(0, 2 * n * (denominator - numerator) // (denominator + numerator) // 2 + 1)
+            for b in (np.union1d(a, more), r.permutation(a)[drop:], np.union1d(r.permutation(a)[swap:], more[:swap])):
+                x, y = a, np.unique(b)
+                union, both = np.union1d(x, y), np.intersect1d(x, y)
+                if np.array_equal(x, y) or denominator * len(both) < numerator * len(union):
+                    continue
+                linked += 1
+                for part in (0, 0.1, 0.3, 0.5, 0.6, 0.7, 0.9, 1):  # whatever is common
+                    common = np.union1d(union[r.random(len(union)) < part], r.integers(0, 1 << 63, 5).astype(np.uint64))
+                    keys = [set(jj.window_keys(s, numerator, denominator, common).tolist()) for s in (x, y)]
+                    assert keys[0] & keys[1], (n, numerator, part)
+    assert linked > 1000
+
+
+def test_phrases_shared_by_chance_make_no_candidates():
+    """Unlike texts that have a phrase with one and another with others aren't tied to one large candidate component."""
+    r = random.Random(13)
+    phrases = [" ".join(f"p{k}x{i}" for i in range(5)) for k in range(300)]
+    texts = [" ".join(x for j in range(8) for x in (r.choice(phrases), *(f"t{i}x{j}x{k}" for k in range(8)))) for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    rows = pa.Table.from_batches(jj._keys(5, 4, 5, SimpleNamespace(value=np.zeros(0, np.uint64)))([batch]))
+    keys, nodes = rows["key"].to_numpy(), rows["node"].to_numpy()
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    hub = nodes[np.searchsorted(keys, keys)]
+    tied = jj.forest(nodes[hub != nodes], hub[hub != nodes])[1]
+    assert len(np.unique(nodes)) == 400 and (not len(tied) or np.unique(tied, return_counts=True)[1].max() < 20)
