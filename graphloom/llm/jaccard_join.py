@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import forget, with_totals
+from ..functions.tables import forget, release, with_totals
 from ..operators.components import components
 from ._shared import mix64, shingle_hashes, signed, slices, texts_of, whole_hash, word_hashes, written
 
@@ -400,11 +400,13 @@ def _linked(docs: DataFrame, shingle: int, threshold: Fraction, common_from: int
 
     # Chunks of a candidate component: as many as its shingles ask for, each text read once.
     member = written(candidates.join(nodes, "node").select("node", "component", "n", "first.doc_id", "first.text_hash"), "members")
+    release(docs.sparkSession)  # the keys, the largest shuffle of all; texts are dealt next
     member = with_totals(member, "component", [("all_n", F.sum("n"))]).withColumn("parts", F.ceil(F.col("all_n") / CHUNK).cast("int"))
     member = member.select("node", F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), "component", "parts", F.expr("pmod(xxhash64(node), parts)").cast("int").alias("part"))
     same = (F.col("h") == F.col("text_hash")) & F.col("id").eqNullSafe(F.col("doc_id"))
     # Members are no bounded table: texts are dealt to them by key at every size.
     cells = written(member.hint("merge").join(rows, same).select("node", "component", "parts", "part", "text"), "cells")
+    release(docs.sparkSession)
 
     def compare(wanted: DataFrame) -> DataFrame:
         """wanted: node, text, task, side."""
@@ -421,6 +423,7 @@ def _linked(docs: DataFrame, shingle: int, threshold: Fraction, common_from: int
     firsts = F.when(F.col("part") > 0, others).otherwise(F.concat(F.array(task(zero, zero)), F.transform(rest_of, lambda q: task(zero, q))))
     links = written(compare(cells.withColumn("t", F.explode(firsts)).select("node", "text", "t.task", "t.side")), "links")
     label = written(components(links), "labels")
+    release(docs.sparkSession)
 
     # Then between other chunks, unless all their members are linked already.
     large = cells.where("parts > 2").select("node", "component", "part")
@@ -439,6 +442,7 @@ def _linked(docs: DataFrame, shingle: int, threshold: Fraction, common_from: int
 
     known = written(nodes.join(label, "node", "left").select("node", "first", F.coalesce("component", "node").alias("label")), "known")
     forget(cells, links, label)
+    release(docs.sparkSession)
     return features, known
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from types import SimpleNamespace
 
 import numpy as np
@@ -219,3 +220,24 @@ def test_phrases_shared_by_chance_make_no_candidates():
     hub = nodes[np.searchsorted(keys, keys)]
     tied = jj.forest(nodes[hub != nodes], hub[hub != nodes])[1]
     assert len(np.unique(nodes)) == 400 and (not len(tied) or np.unique(tied, return_counts=True)[1].max() < 20)
+
+
+def test_shuffles_of_finished_steps_are_freed(spark, documents, monkeypatch):
+    """When texts are dealt, the keys' shuffle and those of the component rounds are gone."""
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    left, write = [], jj.written
+
+    def spy(df, name):
+        if name == "cells":
+            until = time.time() + 10
+            while held() > before + 2 and time.time() < until:  # files go in the background
+                time.sleep(0.1)
+            left.append(held())
+        return write(df, name)
+
+    monkeypatch.setattr(jj, "written", spy)
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
+    before = held()
+    jj.keep_one(documents(near_copies(4, 60)))
+    assert left and left[0] <= before + 2
