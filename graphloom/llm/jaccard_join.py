@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import forget, release, with_totals
+from ..functions.tables import Growing, forget, release, with_totals
 from ..operators.components import components
 from ._shared import mix64, shingle_hashes, signed, slices, texts_of, whole_hash, word_hashes, written
 
@@ -41,6 +41,8 @@ from ._shared import mix64, shingle_hashes, signed, slices, texts_of, whole_hash
 DIMS, LEAF = 32, 16
 #: Shingles in a chunk of sets that are compared in one task; one set may have more.
 CHUNK = 150_000
+#: Shingles that a round of such comparisons deals, where the table has fewer.
+ROUND = 1 << 24
 #: Shingles that are counted at once, times they must be seen in all such lots (twice in a lot) to be common, and how many can be.
 LOT, COMMON, MOST_COMMON = 1 << 20, 256, 1 << 20
 #: The same for near copies: their sets may differ in more shingles, so their keys hold fewer and shared passages make up more of them.
@@ -433,11 +435,16 @@ def _linked(docs: DataFrame, shingle: int, threshold: Fraction, common_from: int
         other = state.select("component", *[F.col(c).alias(f"{c}2") for c in ("part", "low", "high")])
         rest = state.join(other, "component").where("part < part2 and not (low = high and low2 = high2 and low = low2)")
         rest = written(rest.select("component", F.col("part").alias("p"), F.col("part2").alias("q"), F.xxhash64("component", "part", "part2").alias("task")), "rest")
-        if rest.head(1):
+        if pairs := rest.count():
+            # Each round deals about as many shingles as the table has, so disk doesn't grow with the pairs of chunks.
+            rounds = -(-2 * pairs * CHUNK // max(nodes.agg(F.sum("n")).head()[0], ROUND))
             ends = F.array(F.struct(F.col("p").alias("part"), zero.alias("side")), F.struct(F.col("q").alias("part"), F.lit(1).alias("side")))
-            sides = rest.select("component", "task", F.explode(ends).alias("s"))
-            wanted = cells.join(sides.select("component", "task", "s.part", "s.side"), ["component", "part"])
-            links = written(links.unionByName(compare(wanted)), "links")
+            more = Growing(docs.sparkSession, "more")
+            for k in range(rounds):
+                sides = rest.where(F.expr(f"pmod(task, {rounds}) = {k}")).select("component", "task", F.explode(ends).alias("s"))
+                more.append(compare(cells.join(sides.select("component", "task", "s.part", "s.side"), ["component", "part"])))
+                release(docs.sparkSession)
+            links = written(links.unionByName(more.read()), "links")
             label = written(components(links), "labels")
 
     known = written(nodes.join(label, "node", "left").select("node", "first", F.coalesce("component", "node").alias("label")), "known")

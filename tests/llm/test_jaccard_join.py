@@ -66,6 +66,21 @@ def test_many_chunks(documents, monkeypatch):
     assert got(documents(rows)) == expected(rows)
 
 
+def test_chunks_in_rounds(documents, monkeypatch):
+    """Pairs of chunks are compared in rounds that deal the table's shingles about once each."""
+    monkeypatch.setattr(jj, "CHUNK", 300)
+    monkeypatch.setattr(jj, "ROUND", 1)
+    rounds, append = [], jj.Growing.append
+    monkeypatch.setattr(jj.Growing, "append", lambda self, df: rounds.append(1) or append(self, df))
+    r, rows = random.Random(14), []
+    for i in range(50):  # they have about 80 of 100 shingles in common, so keys, but hardly any link
+        text = [f"w{k}" for k in range(100)]
+        for k in r.sample(range(100), 3 + i % 2):
+            text[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(text)))
+    assert got(documents(rows)) == expected(rows) and len(rounds) > 1
+
+
 @pytest.mark.parametrize("lot", [50, 1 << 20])
 def test_shared_passages(documents, monkeypatch, lot):
     """Passages that many texts share are common; links are the same, whatever is told to be."""
