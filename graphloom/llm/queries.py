@@ -91,12 +91,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with damage by hash, repaired: one row of figures and a digest for each."""
+    from .turn_repair import Repair, damage
+
+    return Repair(damage(_table(spark, sf_dir, "conversations"))).digests()
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import fixity, sharding
+    from . import fixity, sharding, turn_repair
 
     chat = r"""
 WITH rows AS (
@@ -122,4 +129,4 @@ l AS (SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE
 r AS (SELECT doc_id AS d, doc_id AS m FROM n UNION SELECT r.d, l.y FROM r JOIN l ON r.m = l.x)
 SELECT n.doc_id, n.k::BIGINT AS n_shingles, min(r.m) AS component_id FROM n JOIN r ON r.d = n.doc_id GROUP BY n.doc_id, n.k
 """
-    return {"op10_jaccard_join": jaccard, "op9_chat_format": chat, "op4_sharding": sharding.oracle(), "op8_fixity": fixity.ORACLE}
+    return {"op10_jaccard_join": jaccard, "op9_chat_format": chat, "op4_sharding": sharding.oracle(), "op8_fixity": fixity.ORACLE, "op11_turn_repair": turn_repair.ORACLE}
