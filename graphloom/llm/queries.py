@@ -98,12 +98,26 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Repair(damage(_table(spark, sf_dir, "conversations"))).digests()
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of known form and those that patterns around them add, one row for each document."""
+    from .personal_data import personal_data
+
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 collocations of each language with the highest scores."""
+    from .phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import fixity, sharding, turn_repair
+    from . import fixity, phrases, sharding, turn_repair
 
     chat = r"""
 WITH rows AS (
@@ -129,4 +143,4 @@ l AS (SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE
 r AS (SELECT doc_id AS d, doc_id AS m FROM n UNION SELECT r.d, l.y FROM r JOIN l ON r.m = l.x)
 SELECT n.doc_id, n.k::BIGINT AS n_shingles, min(r.m) AS component_id FROM n JOIN r ON r.d = n.doc_id GROUP BY n.doc_id, n.k
 """
-    return {"op10_jaccard_join": jaccard, "op9_chat_format": chat, "op4_sharding": sharding.oracle(), "op8_fixity": fixity.ORACLE, "op11_turn_repair": turn_repair.ORACLE}
+    return {"op10_jaccard_join": jaccard, "op9_chat_format": chat, "op4_sharding": sharding.oracle(), "op8_fixity": fixity.ORACLE, "op11_turn_repair": turn_repair.ORACLE, "op13_phrases": phrases.ORACLE}
