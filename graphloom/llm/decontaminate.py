@@ -2,8 +2,8 @@
 
 A text is turned into template tokens: words in lower case without marks around them; numbers become
 ``<num>``, a unit after a number ``<unit>``, a capitalised word ``<name>``, or, where it begins a sentence, ``<name>`` or
-the word. Windows of template tokens are hashed on both sides, in both readings, so a question is found again with other
-numbers, names or units. What meets by hash is compared token by token along the item, and decided by runs: stretches of
+the word. Windows of KEY template tokens (or the whole of a shorter item or window) are hashed on both sides, in every mixture of readings of
+their sentence starts, so a question is found again with other numbers, names, units or full stops. What meets by hash is compared token by token along the item, and decided by runs: stretches of
 an item in which one value on one side stands for one value on the other. A run counts if its values are the same, if it
 holds enough words of its own, or if it is the whole item and holds one.
 """
@@ -37,8 +37,8 @@ _CORE = regex.compile(r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", regex.DOTALL)
 _NUMBER = regex.compile(r"[+-]?\p{N}[\p{N}.,:/]*")
 _ENDS = regex.compile(r"[.!?:]\W*$")
 NUM, NAME, UNIT, EITHER, WORD = 1, 2, 3, 4, 0
-#: An item's window with so many sentence starts at most is hashed in every mixture of readings; others all as words and all as names.
-MIXED = 6
+#: Tokens that are hashed together at most: a longer window holds windows of so many, and these have 2^KEY mixtures of readings at most.
+KEY = 8
 _CODE = mix64(np.arange(1, 6, dtype=np.uint64))
 _POLY = 0x9E3779B97F4A7C15
 
@@ -136,6 +136,37 @@ def _hashes(code: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
     return out
 
 
+def _mixtures(value: np.ndarray, kind: np.ndarray, lengths: list[int], starts: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, starts, hashes) of all windows of these lengths (that begin at ``starts``) in every mixture of readings of their
+    sentence starts: all as words and all as names first, then those between of windows that have two or more."""
+    as_words, as_names = (_hashes(_reading(value, kind, names), lengths) for names in (False, True))
+    free = np.flatnonzero(kind == EITHER)
+    before = np.concatenate([[0], np.cumsum(kind == EITHER)])
+    change = _CODE[NAME] - value[free]
+    for n in lengths:
+        own = np.arange(len(as_words[n])) if starts is None else starts[starts < len(as_words[n])]
+        if not len(own):
+            continue
+        yield n, own, as_words[n][own]
+        many = before[own + n] - before[own]
+        some = own[many > 0]
+        yield n, some, as_names[n][some]
+        power = np.array([pow(_POLY, n - 1 - i, 1 << 64) for i in range(n)], np.uint64)
+        for j in range(2, n + 1):
+            every = own[many == j]
+            for c in range(0, len(every), 1 << 16):
+                at = every[c : c + (1 << 16)]
+                place = before[at][:, None] + np.arange(j)
+                step = change[place] * power[free[place] - at[:, None]]
+                h, mask = as_words[n][at].copy(), 0
+                for i in range(1, 1 << j):  # Gray code: one reading changes at a time
+                    bit = (i & -i).bit_length() - 1
+                    mask ^= 1 << bit
+                    h = h + step[:, bit] if mask >> bit & 1 else h - step[:, bit]
+                    if mask != (1 << j) - 1:
+                        yield n, at, h
+
+
 def _consistent(one: np.ndarray, two: np.ndarray, kind: np.ndarray, own_words: int) -> bool:
     """Whether the values of two windows of one template map onto each other one to one (all the same, if few words are its own)."""
     slots = kind != WORD
@@ -191,27 +222,13 @@ class Items:
         sizes = np.array([len(k) for k in kinds], np.int64)
         self.at, self.window, self.own_words = np.concatenate([[0], np.cumsum(sizes)]), window, own_words
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        place, length = np.arange(len(owner)), np.minimum(sizes, window)[owner]
+        place, length = np.arange(len(owner)), np.minimum(sizes, min(window, KEY))[owner]
         starts = np.flatnonzero(place + length <= self.at[owner + 1])
         lengths = np.unique(length).tolist()
         rows: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in lengths}
-        for names in (False, True):
-            for n, h in _hashes(_reading(self.value, self.kind, names), lengths).items():
-                own = starts[length[starts] == n]
-                rows[n].append((h[own], own))
-        either = np.concatenate([[0], np.cumsum(self.kind == EITHER)])
-        many = either[starts + length[starts]] - either[starts]
-        for j in starts[(many > 1) & (many <= MIXED)].tolist():
-            n = int(length[j])
-            value, kind = self.value[j : j + n], self.kind[j : j + n]
-            free = np.flatnonzero(kind == EITHER)
-            code = np.repeat(_reading(value, kind, False)[None], 1 << len(free), 0)
-            named = (np.arange(1 << len(free))[:, None] >> np.arange(len(free))) & 1
-            code[:, free] = np.where(named, _CODE[NAME], code[:, free])
-            total = code[:, 0]
-            for c in range(1, n):
-                total = total * _power(1) + code[:, c]
-            rows[n].append((total[1:-1], np.full((1 << len(free)) - 2, j)))
+        for n in lengths:
+            for _, own, h in _mixtures(self.value, self.kind, [n], starts[length[starts] == n]):
+                rows[n].append((h, own))
         self.tables = {}
         for n, parts in rows.items():
             h, own = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
@@ -227,14 +244,14 @@ class Items:
     def met(self, made) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(window length, starts in the texts, first and last row of the table) of windows whose hash the items have."""
         value, kind, at = made
-        for names in (False, True):
-            for n, every in _hashes(_reading(value, kind, names), list(self.tables)).items():
-                held, _, _, near, mask = self.tables[n]
-                hits = np.flatnonzero(near[(every & mask).view(np.int64)])
-                low, high = (np.searchsorted(held, every[hits], side) for side in ("left", "right"))
-                text = np.searchsorted(at, hits, "right") - 1
-                sure = (high > low) & (hits + n <= at[text + 1])  # windows that run over the end of a text are none
-                yield n, hits[sure], low[sure], high[sure]
+        for n, own, every in _mixtures(value, kind, list(self.tables)):
+            held, _, _, near, mask = self.tables[n]
+            hits = np.flatnonzero(near[(every & mask).view(np.int64)])
+            low, high = (np.searchsorted(held, every[hits], side) for side in ("left", "right"))
+            hits = own[hits]
+            text = np.searchsorted(at, hits, "right") - 1
+            sure = (high > low) & (hits + n <= at[text + 1])  # windows that run over the end of a text are none
+            yield n, hits[sure], low[sure], high[sure]
 
     def find(self, made) -> list[tuple[int, int, int]]:
         """(text, item, windows of the text that are in runs that count)."""
@@ -332,7 +349,7 @@ def _item_hashes(window: int):
 
 
 def _text_hashes(lengths: list[int]):
-    """(id, row, text) -> (hash, n, id, row) of every window in both readings."""
+    """(id, row, text) -> (hash, n, id, row) of every window in all its readings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
@@ -340,14 +357,13 @@ def _text_hashes(lengths: list[int]):
             ids, rows, texts = batch["id"], batch["row"].to_numpy(), texts_of(batch["text"])
             for a, b in slices(texts):
                 value, kind, at = templates.of(texts[a:b])
-                for names in (False, True):
-                    for n, h in _hashes(_reading(value, kind, names), lengths).items():
-                        text = np.searchsorted(at, np.arange(len(h)), "right") - 1
-                        sure = np.flatnonzero(np.arange(len(h)) + n <= at[text + 1])
-                        for c in range(0, len(sure), 50_000):
-                            own = sure[c : c + 50_000]
-                            columns = [pa.array(signed(h[own])), pa.array(np.full(len(own), n)), ids.take(pa.array(a + text[own])), pa.array(rows[a + text[own]])]
-                            yield pa.RecordBatch.from_arrays(columns, ["hash", "n", "id", "row"])
+                for n, own, h in _mixtures(value, kind, lengths):
+                    text = np.searchsorted(at, own, "right") - 1
+                    sure = np.flatnonzero(own + n <= at[text + 1])
+                    for c in range(0, len(sure), 50_000):
+                        some = sure[c : c + 50_000]
+                        columns = [pa.array(signed(h[some])), pa.array(np.full(len(some), n)), ids.take(pa.array(a + text[some])), pa.array(rows[a + text[some]])]
+                        yield pa.RecordBatch.from_arrays(columns, ["hash", "n", "id", "row"])
 
     return run
 

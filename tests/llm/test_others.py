@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 import unicodedata
 from collections import defaultdict
@@ -55,6 +56,49 @@ def test_short_items(spark, documents):
     assert windows(df, bench) == windows(df, bench, held=0) == [(1, 1, 1), (3, 2, 1), (5, 3, 1)]
 
 
+def slow_windows(text, item, window, own_words):
+    """Windows of a text in runs that count, over all alignments with the item in which one window of eight tokens reads the same."""
+    templates = dc.Templates()
+    made = templates.of([text.encode()])
+    value, kind, _ = templates.of([item.encode()])
+    items = dc.Items([value.tobytes()], [kind.tobytes()], window, own_words)
+
+    def alike(i, j):
+        a, b = kind[i], made[1][j]
+        word = a in (dc.WORD, dc.EITHER) and b in (dc.WORD, dc.EITHER) and value[i] == made[0][j]
+        return word or (a in (dc.NAME, dc.EITHER) and b in (dc.NAME, dc.EITHER)) or (a == b and a in (dc.NUM, dc.UNIT))
+
+    n, found = min(len(kind), window, dc.KEY), set()
+    for shift in range(-len(kind), len(made[1])):
+        fit = [0 <= i + shift < len(made[1]) and alike(i, i + shift) for i in range(len(kind))]
+        if n and any(all(fit[i : i + n]) for i in range(len(kind) - n + 1)):
+            found.update(items._along(made, 0, 0, shift))
+    return len(found)
+
+
+@pytest.mark.parametrize("window", [3, 8, 11])
+def test_every_reading_of_sentence_starts(spark, documents, window):
+    """Items and texts of few words with random full stops and capitals, against all alignments one by one."""
+    r = random.Random(window)
+    words = ["yes", "no", "anna", "bought", "12", "kg", "pears", "the", "7", "why", "old"]
+
+    def said(tokens):
+        return " ".join((w.title() if r.random() < 0.5 else w) + r.choice(["", "", ".", "!"]) for w in tokens)
+
+    items = [[r.choice(words) for _ in range(r.choice([4, 9, 14]))] for _ in range(12)]
+    bench = [(k, said(item)) for k, item in enumerate(items)]
+    texts = [(100 + i, said([r.choice(words) for _ in range(5)] + items[i % 12][i % 3 :] + [r.choice(words)])) for i in range(40)]
+    df, b = documents(texts), spark.createDataFrame(bench, "item_id long, text string")
+    want = sorted((d, k, n) for d, text in texts for k, item in bench if (n := slow_windows(text, item, window, 5)))
+    assert want and windows(df, b, window=window) == windows(df, b, window=window, held=0) == want
+
+
+def test_full_stops_hide_nothing(spark, documents):
+    bench = spark.createDataFrame([(1, "Yes. No. Why. So. Go. Up. On. It. end"), (2, "yesterday old Anna bought red pears the next")], "item_id long, text string")
+    df = documents([(1, "Yes. No. Why. so Go. Up. On. It. end"), (2, "... old. Yesterday old. Anna bought red pears. The next")])
+    assert windows(df, bench) == windows(df, bench, held=0) == [(1, 1, 2), (2, 2, 1)]
+
+
 def test_windows_of_repeated_rows(spark, documents):
     bench = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, ITEM)], "item_id long, text string")
     df = documents([(1, ITEM), (1, ITEM), (1, "so " + OTHER), (2, ITEM), (3, ITEM + " " + ITEM)])
@@ -244,6 +288,17 @@ def test_letters_and_ties(documents):
     assert [x["lang_pred"] for x in out] == ["und", "und", "xx", "xx", "xx"] and [x["score"] for x in out[:3]] == [0, 0, 0.5]
 
 
+def test_many_languages_share_one_class():
+    """A thousand languages don't make the model larger than its bound."""
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["scum", "moron"] if i % 2 else ["fine", "good"]) + f" w{i % 1000}" for _ in range(5)) for i in range(1200)]
+    word, prefix, at = tx.word_buckets(texts)
+    language = [f"l{i % 1000}" if i % 3 else "en" for i in range(1200)]
+    model, z, told = tx.train(word, prefix, at, np.array([i % 2 for i in range(1200)]), language)
+    assert len(model.languages) == tx.LANGUAGES and model.languages[-1] == tx.OTHERS and "en" in model.languages and told.max() < tx.LANGUAGES
+    assert len(pickle.dumps(model)) < 4 * tx.BUCKETS * (tx.DIM + tx.LANGUAGES) + (1 << 20) and z[1::2].mean() > z[::2].mean()
+
+
 def test_toxicity(spark, documents):
     r = random.Random(2)
     clean, bad = [f"w{i}" for i in range(300)], ["vile", "nasty", "foul"]
