@@ -11,6 +11,7 @@ threshold of the text's language.
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,10 @@ WORDS_AT_ONCE = 60_000
 SHRINK = 4
 #: Languages with fewer rows of either label use the threshold of all.
 LEAST_ROWS = 8
+#: Languages that are told apart, those with most rows in the sample; where there are more, the last of these is all others together. So a
+#: model has BUCKETS * (DIM + LANGUAGES) * 4 bytes and a bit, 30 MB, at most.
+LANGUAGES = 16
+OTHERS = "other languages"
 #: Logits of rows outside the sample are counted in steps of 1 / STEPS, up to MOST on either side.
 STEPS, MOST = 64, 40
 
@@ -218,8 +223,11 @@ def _trained(word: np.ndarray, prefix: np.ndarray, at: np.ndarray, label: np.nda
                 memory[0][hit] += grad**2
                 embedding[hit] -= RATE * grad / np.sqrt(memory[0][hit])
 
-    names = sorted({x for x in language if x is not None}) or [""]
-    number = np.array([names.index(x) if x is not None else -1 for x in language])
+    rows_of = Counter(x for x in language if x is not None)
+    known = sorted(rows_of, key=lambda x: (-rows_of[x], x))
+    names = sorted(known) if len(known) <= LANGUAGES else [*sorted(known[: LANGUAGES - 1]), OTHERS]
+    names, place = names or [""], {x: i for i, x in enumerate(names)}
+    number = np.array([-1 if x is None else place.get(x, len(names) - 1) for x in language])
     odds = np.zeros((BUCKETS, len(names)))
     for i in rows[number[rows] >= 0]:
         np.add.at(odds[:, number[i]], word[at[i] : at[i + 1]], 1)
@@ -340,7 +348,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     rows = docs.drop("score", "predicted")
     schema = rows.schema
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the size of the data
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 30 MB at most, see LANGUAGES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
