@@ -55,6 +55,7 @@ class Search:
     metric: str = "cosine"
     min_score: float | None = None
     mode: str = "websearch"
+    language: str | None = None
 
 
 class Predicate:
@@ -338,8 +339,8 @@ def not_exists(query: Any) -> Predicate:
 
 
 class FullText:
-    def matches(self, query: str, k: int, mode: str = "websearch", min_score: float | None = None) -> Predicate:
-        return Predicate(None, (Search("fulltext", "", query, k, "", min_score, mode),))
+    def matches(self, query: str, k: int, mode: str = "websearch", min_score: float | None = None, language: str | None = None) -> Predicate:
+        return Predicate(None, (Search("fulltext", "", query, k, "", min_score, mode, language),))
 
 
 ROW_FIELDS = {

@@ -42,6 +42,7 @@ class NodeKind:
     embeddings: Mapping[str, str] = field(default_factory=dict)  # field: default metric
     annotations: Mapping[str, Any] = field(default_factory=dict)
     deprecated: bool = False
+    language: str = "simple"  # of searchable properties
 
 
 @dataclass(frozen=True)
@@ -292,7 +293,7 @@ class GraphDef:
         """The schema as JSON-ready data, in a canonical order."""
         return {
             "name": self.name,
-            "nodes": {n: {"schema": k.schema.jsonValue(), "unique": [u.__dict__ for u in k.unique], "onDelete": k.on_delete, "searchable": list(k.searchable), "embeddings": dict(k.embeddings), "annotations": dict(k.annotations), "deprecated": k.deprecated} for n, k in sorted(self.nodes.items())},
+            "nodes": {n: {"schema": k.schema.jsonValue(), "unique": [u.__dict__ for u in k.unique], "onDelete": k.on_delete, "searchable": list(k.searchable), "language": k.language, "embeddings": dict(k.embeddings), "annotations": dict(k.annotations), "deprecated": k.deprecated} for n, k in sorted(self.nodes.items())},
             "edges": {n: {"from": sorted(k.from_kinds), "to": sorted(k.to_kinds), "schema": k.schema.jsonValue(), "cardinality": k.cardinality, "endpointExistence": k.endpoint_existence, "annotations": dict(k.annotations), "deprecated": k.deprecated} for n, k in sorted(self.edges.items())},
             "ontology": sorted(self.ontology.relations),
         }

@@ -14,39 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConvergenceError, InvalidEdgeWeightError, NodeNotFoundError, OscillationError, QueryError
-from ..functions.tables import forget, materialize
+from ..functions.tables import materialize
 from ..store import GraphStore
 
 HOPS, MOST_HOPS, ROUNDS = 10, 1000, 1000
 #: Largest weight of an edge, so that sums over a path stay finite.
 MOST_WEIGHT = 1.7976931348623157e308 / 2.0**64
-#: Nodes and edges of a graph that one task iterates over in memory; larger ones take a job for some rounds.
-IN_TASK = 500_000
-
-
-def _scores(damping: float, tolerance: float, rounds: int, every: int):
-    """One graph in one task, with the looks of the other way: rows (s, t, share) and (s, null, null) with p of node s."""
-
-    def run(pdf: Any) -> Any:
-        import numpy as np
-
-        own = pdf[pdf["t"].isna()]
-        number = {n: i for i, n in enumerate(own["s"])}
-        p = own["p"].to_numpy(float)
-        links = pdf[~pdf["t"].isna()]
-        a, b, share = links["s"].map(number).to_numpy(int), links["t"].map(number).to_numpy(int), links["share"].to_numpy(float)
-        dangling = np.ones(len(p), bool)
-        dangling[a] = False
-        score = np.full(len(p), 1 / len(p))
-        for done in range(1, rounds + 1):
-            after = p * (1 - damping + damping * score[dangling].sum()) + damping * np.bincount(b, score[a] * share, len(p))
-            moved = np.abs(after - score).max()
-            score = after
-            if moved <= tolerance and (done % every == 0 or done == rounds):
-                return pdf.__class__({"s": own["s"], "score": score})
-        raise ConvergenceError(f"scores still move after {rounds} rounds")
-
-    return run
 
 
 def key(kind: str = "kind", id_: str = "id") -> Column:
@@ -89,19 +62,27 @@ class Algorithms:
         return self.store.nodes([kind]).where(F.col("id") == id_).select(key().alias("n"))
 
     # Breadth first
-    def _levels(self, source: DataFrame, edges: Iterable[str], direction: str, hops: int, stop: Column | None = None) -> list[DataFrame]:
-        """Frames (n, before) by depth; each node once, at its smallest depth, with its smallest predecessor."""
-        edges = list(edges)
-        steps = self._edges(edges, direction).select("s", "t")
+    @staticmethod
+    def _next(frontier: DataFrame, steps: DataFrame, visited: DataFrame) -> DataFrame:
+        """Nodes that a step leads to for the first time, each with its smallest predecessor."""
+        found = frontier.select(F.col("n").alias("s")).join(steps, "s").groupBy(F.col("t").alias("n")).agg(F.min("s").alias("before"))
+        return materialize(found.join(visited, "n", "left_anti"), "level")
+
+    def _seen_steps(self, edges: list[str], direction: str) -> DataFrame:
+        """Steps s -> t to visible nodes."""
         seen = self._nodes(self._ends(edges))
+        return self._edges(edges, direction).select("s", "t").join(seen.withColumnRenamed("n", "t"), "t", "left_semi").select("s", "t")
+
+    def _levels(self, source: DataFrame, edges: Iterable[str], direction: str, hops: int) -> list[DataFrame]:
+        """Frames (n, before) by depth; each node once, at its smallest depth, with its smallest predecessor."""
+        steps = self._seen_steps(list(edges), direction)
+        if hops > 2:
+            steps = materialize(steps, "steps")
         frontier = materialize(source.select("n", F.lit(None).cast(source.schema["n"].dataType).alias("before")), "level")
         levels, visited = [frontier], frontier.select("n")
         for _ in range(hops):
-            if stop is not None and levels[-1].where(stop).head(1):
-                break
-            found = frontier.select(F.col("n").alias("s")).join(steps, "s").groupBy(F.col("t").alias("n")).agg(F.min("s").alias("before"))
-            frontier = materialize(found.join(visited, "n", "left_anti").join(seen, "n", "left_semi"), "level")
-            if not frontier.head(1):
+            frontier = self._next(frontier, steps, visited)
+            if not frontier.count():
                 break
             levels.append(frontier)
             visited = visited.unionAll(frontier.select("n"))
@@ -119,22 +100,54 @@ class Algorithms:
     def neighbors(self, kind: str, id_: str, edges: Iterable[str], direction: str = "out", depth: int = 1) -> DataFrame:
         return self.reachable(kind, id_, edges, direction, depth).where("depth > 0")
 
+    def _between(self, source: tuple[str, str], target: tuple[str, str], edges: list[str], direction: str, hops: int) -> list[DataFrame] | None:
+        """Frames (n, before) of the nodes at each place of the paths of fewest edges, with the smallest node before each; None if there is no path.
+
+        The search goes on from both ends, always from the one with fewer nodes to leave, so that it looks at about twice the square root of what a search
+        from one end would."""
+        steps = materialize(self._seen_steps(edges, direction), "steps")
+        back = steps.select(F.col("t").alias("s"), F.col("s").alias("t"))
+        kind = steps.schema["s"].dataType
+        ends = [self._source(*end).select("n", F.lit(None).cast(kind).alias("before")) for end in (source, target)]
+        levels = [[materialize(end, "level")] for end in ends]
+        sizes, visited = [level[0].count() for level in levels], [level[0].select("n") for level in levels]
+        if not all(sizes):
+            return None
+        while True:
+            meet = levels[0][-1].join(levels[1][-1].select("n"), "n", "left_semi")
+            if meet.head(1):
+                break
+            if len(levels[0]) + len(levels[1]) - 2 >= hops:
+                return None
+            side = 0 if sizes[0] <= sizes[1] else 1
+            more = self._next(levels[side][-1], (steps, back)[side], visited[side])
+            sizes[side] = more.count()
+            if not sizes[side]:
+                return None
+            levels[side].append(more)
+            visited[side] = visited[side].unionAll(more.select("n"))
+        # Of the second half only what the meeting nodes lead to is on a path.
+        now, rest = meet, []
+        for level in reversed(levels[1][:-1]):
+            now = materialize(now.select(F.col("n").alias("s")).join(steps, "s").groupBy(F.col("t").alias("n")).agg(F.min("s").alias("before")).join(level.select("n"), "n", "left_semi"), "level")
+            rest.append(now)
+        return [*levels[0][:-1], meet, *rest]
+
     def shortest_path(self, source: tuple[str, str], target: tuple[str, str], edges: Iterable[str], direction: str = "out", max_hops: int = HOPS) -> DataFrame:
         """position, id, kind along a path of fewest edges, of such the one with the smallest predecessors; empty if there is none."""
-        at = (F.col("n.id") == target[1]) & (F.col("n.kind") == target[0])
-        levels = self._levels(self._source(*source), edges, direction, self._hops(max_hops), at)
+        levels = self._between(source, target, list(edges), direction, self._hops(max_hops))
         path: list[tuple[str, str]] = []
-        if levels[-1].where(at).head(1):
-            now = target
-            for level in reversed(levels):
-                path.append(now)
-                before = level.where((F.col("n.id") == now[1]) & (F.col("n.kind") == now[0])).first()["before"]
-                now = (before["kind"], before["id"]) if before else None
+        now = target
+        for level in reversed(levels or []):
+            path.append(now)
+            before = level.where((F.col("n.id") == now[1]) & (F.col("n.kind") == now[0])).first()["before"]
+            now = (before["kind"], before["id"]) if before else now
         rows = [(i, id_, kind) for i, (kind, id_) in enumerate(reversed(path))]
         return self.store.spark.createDataFrame(rows, "position int, id string, kind string")
 
     def can_reach(self, source: tuple[str, str], target: tuple[str, str], edges: Iterable[str], direction: str = "out", max_hops: int = HOPS) -> DataFrame:
-        return self.shortest_path(source, target, edges, direction, max_hops).agg((F.count("*") > 0).alias("can_reach"))
+        found = self._between(source, target, list(edges), direction, self._hops(max_hops)) is not None
+        return self.store.spark.createDataFrame([(found,)], "can_reach boolean")
 
     def weighted_shortest_path(self, source: tuple[str, str], target: tuple[str, str], edges: Iterable[str], weight: str, direction: str = "out", default: float | None = None) -> DataFrame:
         """position, id, kind, total_weight along a path of least weight (ties: the smallest predecessor).
@@ -191,11 +204,11 @@ class Algorithms:
         return rows.groupBy("s").agg(F.count("*").alias("degree")).select("s.id", "s.kind", "degree")
 
     # The whole graph
-    def _scope(self, edges: Iterable[str], node_kinds: Iterable[str] | None, direction: str = "both") -> tuple[DataFrame, DataFrame]:
+    def _scope(self, edges: Iterable[str], node_kinds: Iterable[str] | None, direction: str = "both", weight: Column | None = None) -> tuple[DataFrame, DataFrame]:
         """Visible nodes of the kinds, and the edges with both ends among them."""
         edges = list(edges)
         nodes = materialize(self._nodes(self._ends(edges) if node_kinds is None else list(node_kinds)), "nodes")
-        rows = self._edges(edges, direction)
+        rows = self._edges(edges, direction, weight)
         for end in ("s", "t"):
             rows = rows.join(nodes.withColumnRenamed("n", end), end, "left_semi")
         return nodes, materialize(rows.select("s", "t", "w"), "edges")
@@ -231,11 +244,16 @@ class Algorithms:
                 raise ConvergenceError(f"labels still move after {max_iterations} rounds")
         return now.select("n.id", "n.kind", F.col("label.id").alias("label_id"), F.col("label.kind").alias("label_kind")).orderBy("id", "kind")
 
-    def page_rank(self, edges: Iterable[str], node_kinds: Iterable[str] | None = None, direction: str = "out", damping: float = 0.85, tolerance: float = 1e-8, max_iterations: int = ROUNDS, weight: str | None = None, seeds: Mapping[tuple[str, str], float] | None = None, top_k: int | None = None, every: int = 5, in_task: int = IN_TASK) -> DataFrame:
+    def page_rank(self, edges: Iterable[str], node_kinds: Iterable[str] | None = None, direction: str = "out", damping: float = 0.85, tolerance: float = 1e-8, max_iterations: int = ROUNDS, weight: str | None = None, seeds: Mapping[tuple[str, str], float] | None = None, top_k: int | None = None, every: int = 5) -> DataFrame:
         """id, kind, score. Parallel edges count each; a loop counts half a side in ``both``. Mass of nodes without
-        outgoing weight goes where a jump goes. ``every``: rounds between two looks at the largest change. Graphs of
-        ``in_task`` nodes and edges at most are iterated in one task, with the same looks; others a job for every look."""
-        nodes, links = self._scope(edges, node_kinds, direction)
+        outgoing weight goes where a jump goes. ``every``: rounds between two looks at the largest change.
+
+        What such nodes give back is the same share of every jump, so it only scales all scores: the rounds leave it out and the
+        end divides by the total. So a round needs no number from all nodes, and ``every`` rounds are one plan and one job, in which
+        the flows are dealt once.
+        """
+        w = F.col(f"p__{weight}").cast("double") if weight else None
+        nodes, links = self._scope(edges, node_kinds, direction, w)
         if direction == "both":
             links = links.withColumn("w", F.when(F.col("s") == F.col("t"), F.col("w") / 2).otherwise(F.col("w")))
         n = nodes.count()
@@ -246,37 +264,26 @@ class Algorithms:
             if rows.join(nodes, "n", "left_anti").head(1):
                 raise NodeNotFoundError("a seed isn't in scope")
             total = sum(seeds.values())
-            base = nodes.join(F.broadcast(rows), "n", "left").select("n", (F.coalesce("p", F.lit(0.0)) / total).alias("p"))
+            base = materialize(nodes.join(F.broadcast(rows), "n", "left").select("n", (F.coalesce("p", F.lit(0.0)) / total).alias("p")), "base")
         else:
             base = nodes.withColumn("p", F.lit(1.0 / n))
-        flows = links.groupBy("s", "t").agg(F.sum("w").alias("w"))
-        out = flows.groupBy("s").agg(F.sum("w").alias("out"))
-        flows = materialize(flows.join(out, "s").select("s", "t", (F.col("w") / F.col("out")).alias("share")), "flows")
-        base = materialize(base.join(out.select(F.col("s").alias("n"), "out"), "n", "left").select("n", "p", (F.col("out").isNull() | (F.col("out") == 0)).alias("dangling")), "base")
-        if n <= in_task and flows.count() <= in_task:
-            kind = nodes.schema["n"].dataType.simpleString()
-            text = lambda c: F.to_json(c).alias(c)
-            none = F.lit(None)
-            rows = base.select(text("n").alias("s"), none.cast("string").alias("t"), none.cast("double").alias("share"), "p").unionAll(flows.select(text("s"), text("t"), "share", none.cast("double").alias("p")))
-            solved = rows.withColumn("graph", F.lit(0)).groupBy("graph").applyInPandas(_scores(damping, tolerance, max_iterations, every), "s string, score double")
-            ranked = solved.select(F.from_json("s", kind).alias("n"), "score").select("n.id", "n.kind", "score").orderBy(F.col("score").desc(), "id", "kind")
-            return ranked.limit(top_k) if top_k else ranked
-        # Each round is written, since it is read twice (for what flows and what is lost); so the plan stays one round deep.
-        score = materialize(base.select("n", "p", "dangling", F.lit(1.0 / n).alias("score"), F.lit(1.0).alias("was")), "scores")
-        look = [F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)), F.max(F.abs(F.col("score") - F.col("was")))]
-        lost = score.agg(*look).first()[0]
-        for done in range(1, max_iterations + 1):
-            got = flows.join(score.select(F.col("n").alias("s"), "score"), "s").groupBy(F.col("t").alias("n")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-            after = F.col("p") * (1 - damping + damping * lost) + damping * F.coalesce("got", F.lit(0.0))
-            step = materialize(score.join(got, "n", "left").select("n", "p", "dangling", after.alias("score"), F.col("score").alias("was")), "scores")
-            forget(score)
-            score = step
-            lost, moved = score.agg(*look).first()
-            if moved <= tolerance and (done % every == 0 or done == max_iterations):
+        flows = links.groupBy("s", "t").agg(F.sum("w").alias("w")).where("w > 0")
+        flows = materialize(flows.join(flows.groupBy("s").agg(F.sum("w").alias("out")), "s").select("s", "t", (F.col("w") / F.col("out")).alias("share")), "flows")
+        score, done = base.select("n", (F.col("p") * (1 - damping)).alias("score")), 0
+        while done < max_iterations:
+            for _ in range(min(every, max_iterations - done)):
+                was = score
+                got = flows.join(was.select(F.col("n").alias("s"), "score"), "s").groupBy(F.col("t").alias("n")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+                score = base.join(got, "n", "left").select("n", (F.col("p") * (1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+                done += 1
+            step = materialize(score.join(was.withColumnRenamed("score", "was"), "n"), "scores")
+            total, moved = step.agg(F.sum("score"), F.max(F.abs(F.col("score") - F.col("was")))).first()
+            score = step.select("n", "score")
+            if moved <= tolerance * total:
                 break
         else:
             raise ConvergenceError(f"scores still move after {max_iterations} rounds")
-        ranked = score.select("n.id", "n.kind", "score").orderBy(F.col("score").desc(), "id", "kind")
+        ranked = score.select("n.id", "n.kind", (F.col("score") / total).alias("score")).orderBy(F.col("score").desc(), "id", "kind")
         return ranked.limit(top_k) if top_k else ranked
 
     def personalized_page_rank(self, seeds: Mapping[tuple[str, str], float] | Iterable[tuple[str, str]], edges: Iterable[str], **how: Any) -> DataFrame:

@@ -171,6 +171,65 @@ def window_pairs(rows: DataFrame, window: int, parts: int = 64) -> DataFrame:
     return pairs.where("kind = m.kind").select("kind", "a", F.struct("m.id", "m.text", "m.vector").alias("b"))
 
 
+def similar_links(rows: DataFrame, threshold: float, block: Column | None = None) -> DataFrame:
+    """a, b (structs of kind and id), score: the links of rows (kind, id, text[, fresh]) of one kind and block whose texts have a Dice coefficient of
+    ``threshold`` or more. With ``fresh``, links have a fresh row at one end at least.
+
+    No block is too large. Equal texts are one text, and its rows are tied to one of them (a fresh one) instead of each to each, with
+    the same components. Of different texts only those are compared that share one of their rarest trigrams: two multisets of which
+    2c / (x + y) >= t share at least x t / (2 - t), so that many of x, less one, can be left out of the search, the
+    most frequent ones. Null and empty texts have no links.
+    """
+    fresh = F.coalesce(F.col("fresh"), F.lit(False)) if "fresh" in rows.columns else F.lit(True)
+    keyed = rows.select("kind", "id", "text", fresh.alias("fresh"), (F.lit("") if block is None else F.coalesce(block.cast("string"), F.lit("unblocked"))).alias("block")).where("text <> ''")
+    keyed = materialize(keyed.withColumn("text", F.lower("text")), "similar-rows")
+    groups = keyed.groupBy("kind", "block", "text").agg(F.min(F.when(F.col("fresh"), F.col("id"))).alias("own")).withColumn("g", F.xxhash64("kind", "block", "text"))
+    numbered = "transform(array_sort(trigrams), (x, i) -> concat(x, cast(i - array_position(array_sort(trigrams), x) + 1 as string)))"
+    groups = groups.withColumn("trigrams", trigrams(F.col("text"))).withColumn("size", F.size("trigrams"))
+    groups = materialize(groups.withColumn("tokens", F.expr(numbered)).drop("trigrams"), "similar-texts")
+    tokens = groups.select("g", "kind", "block", "size", F.explode("tokens").alias("token"))
+    frequency = tokens.groupBy("kind", "block", "token").agg(F.count("*").alias("n"))
+    ranked = tokens.join(frequency, ["kind", "block", "token"]).groupBy("g", "kind", "block", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
+    least = F.ceil(F.col("size") * (threshold / (2 - threshold)) - 1e-9)
+    prefix = ranked.select("g", "kind", "block", "size", F.explode(F.slice("tokens", F.lit(1), (F.col("size") - F.greatest(least, F.lit(1)) + 1).cast("int"))).alias("t")).select("g", "kind", "block", "size", "t.token")
+    prefix = materialize(prefix, "prefixes")
+    left, right = prefix.withColumnsRenamed({"g": "g1", "size": "s1"}), prefix.withColumnsRenamed({"g": "g2", "size": "s2"})
+    near = left.join(right, ["kind", "block", "token"]).where(f"(s1 < s2 or s1 = s2 and g1 < g2) and s2 * {threshold} <= s1 * {2 - threshold} + 1e-9").select("g1", "g2").distinct()
+    side = lambda i: groups.select(F.col("g").alias(f"g{i}"), "kind", F.col("own").alias(f"own{i}"), F.col("tokens").alias(f"t{i}"))
+    score = 2.0 * F.size(F.array_intersect("t1", "t2")) / (F.size("t1") + F.size("t2"))
+    pairs = near.join(side(1), "g1").join(side(2).drop("kind"), "g2").withColumn("score", score).where((F.col("score") >= threshold) & F.coalesce("own1", "own2").isNotNull())
+    pairs = materialize(pairs.select("kind", "g1", "g2", "own1", "own2", "score"), "similar-pairs")
+    node = lambda c: F.struct(F.col("kind"), F.col(c).alias("id"))
+    both = pairs.where("own1 is not null and own2 is not null").select(node("own1").alias("a"), node("own2").alias("b"), "score")
+    half = pairs.where("own1 is null or own2 is null").select(F.coalesce("own1", "own2").alias("own"), F.when(F.col("own1").isNull(), F.col("g1")).otherwise(F.col("g2")).alias("g"), "score")
+    members = keyed.withColumn("g", F.xxhash64("kind", "block", "text"))
+    far = half.join(members, "g").select(node("own").alias("a"), node("id").alias("b"), "score")
+    within = members.join(groups.where("own is not null").select("g", "own"), "g").where("id <> own").select(node("own").alias("a"), node("id").alias("b"), F.lit(1.0).alias("score"))
+    links = both.unionByName(far).unionByName(within)
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("score"))
+
+
+def unique_links(graph: GraphDef, frame: DataFrame) -> DataFrame:
+    """a, b (structs of kind and id): nodes of a merge frame that share the key of a uniqueness constraint, each tied to the smallest of them. For
+    ``plan_merge(forced=...)``. Rows with a null among the fields that a constraint wants are left out."""
+    parts = []
+    for name, kind in sorted(graph.nodes.items()):
+        for u in kind.unique:
+            kinds = graph.node_kinds(name, True) if u.scope == "kindWithSubClasses" else [name]
+            value = lambda f: F.try_element_at("props", F.lit(f))
+            own = frame.where(F.col("deleted_at").isNull() & F.col("kind").isin(kinds))
+            for f in u.where_not_null:
+                own = own.where(value(f).isNotNull())
+            text = [F.lower(value(f)) if u.collation == "caseInsensitive" else value(f) for f in u.fields]
+            key = F.concat_ws("\0", *[F.coalesce(F.concat(F.lit("v"), t), F.lit("n")) for t in text])
+            parts.append(own.select(F.lit(f"{name}:{u.name}").alias("constraint"), key.alias("key"), F.struct("kind", "id").alias("n")))
+    if not parts:
+        return frame.limit(0).select(F.struct("kind", "id").alias("a"), F.struct("kind", "id").alias("b"))
+    keyed = materialize(functools.reduce(DataFrame.unionByName, parts), "keys")
+    first = keyed.groupBy("constraint", "key").agg(F.min("n").alias("a"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    return keyed.join(first, ["constraint", "key"]).where("a <> n").select("a", F.col("n").alias("b")).distinct()
+
+
 def accepted(pairs: DataFrame, threshold: float, forced: DataFrame | None = None) -> DataFrame:
     """a, b, score of links at or above the threshold, and forced ones with score 1."""
     out = pairs.where(F.col("score") >= threshold).select(F.struct("kind", "a.id").alias("a"), F.struct("kind", "b.id").alias("b"), "score")
@@ -312,6 +371,7 @@ class Options:
     window: int | None = None
     ceiling: int | None = 10_000
     diameter: int | None = None
+    by_id_only: bool = False  # no candidates: only forced links join nodes
     weights: dict[str, float] = field(default_factory=dict)
 
 
@@ -362,7 +422,7 @@ def merge_assertions(base: DataFrame, branches: Sequence[DataFrame], survivors:
 
 def plan_merge(base: DataFrame, branches: dict[str, DataFrame], edges: DataFrame, options: Options = Options(), branch_edges: Sequence[DataFrame] = (), forced: DataFrame | None = None, graph: GraphDef | None = None) -> Plan:
     """``branches`` in rank order, all as merge frames. New nodes of branches are resolved against each other and the base by
-    similarity of a property and by ``forced`` links (a, b: structs of kind and id, such as those of a shared key); clusters go
+    similarity of a property (by trigrams: over whole kinds or blocks, of any size) and by ``forced`` links (a, b: structs of kind and id, such as those of a shared key); clusters go
     to their smallest member, those of the base before new ones, and with ``graph`` to the most specific of their
     kinds. ``edges``: those of the base; with ``branch_edges`` (edge frames as ``canonical_edges`` makes them) three-way merged."""
     changes = None
@@ -380,9 +440,16 @@ def plan_merge(base: DataFrame, branches: dict[str, DataFrame], edges: DataFrame
     kept = materialize(kept, "kept")
     text = F.from_json(F.try_element_at("props", F.lit(options.text)), "v string")["v"]
     rows = kept.select("kind", "id", text.alias("text"), F.lit(None).cast("array<double>").alias("vector")).where("text is not null")
-    pairs = window_pairs(rows, options.window) if options.window else blocked_pairs(rows, options.block() if options.block else F.substring("text", 1, 3), options.ceiling)
     fresh = changes.where("change = 'new'").select("kind", "id").distinct().withColumn("fresh", F.lit(True))
-    links = accepted(scored(pairs, options.how), options.threshold, forced)
+    if options.by_id_only:
+        links = accepted(scored(blocked_pairs(rows.limit(0), F.col("text"))), options.threshold, forced)
+    elif options.how == "fulltext" and not options.window:
+        links = similar_links(rows.join(fresh, ["kind", "id"], "left"), options.threshold, options.block() if options.block else None)
+        if forced is not None:
+            links = links.unionByName(forced.select("a", "b", F.lit(1.0).alias("score"))).groupBy("a", "b").agg(F.max("score").alias("score"))
+    else:
+        pairs = window_pairs(rows, options.window) if options.window else blocked_pairs(rows, options.block() if options.block else F.substring("text", 1, 3), options.ceiling)
+        links = accepted(scored(pairs, options.how), options.threshold, forced)
     marks = fresh.select(F.struct("kind", "id").alias("n"), "fresh")
     links = links.join(marks.withColumnRenamed("n", "a").withColumnRenamed("fresh", "fa"), "a", "left").join(marks.withColumnRenamed("n", "b").withColumnRenamed("fresh", "fb"), "b", "left")
     links = links.where("fa or fb or score = 1 and a.kind <> b.kind" if forced is not None else "fa or fb").select("a", "b", "score")  # two nodes of the base are never joined by a guess

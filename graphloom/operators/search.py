@@ -1,8 +1,6 @@
 """Vector, full-text and fused search.
 
-Distances are computed on Arrow batches as numpy matrices. Full-text ranks are BM25
-over an analyser of our own (lower case, words of letters and digits, accents dropped); its scores aren't
-those of any database.
+Distances are computed on Arrow batches as numpy matrices. Full text: see ``fulltext``.
 """
 
 from __future__ import annotations
@@ -11,7 +9,6 @@ import functools
 import math
 import re
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -23,17 +20,10 @@ from pyspark.sql import functions as F
 from ..errors import QueryError, TemporalError
 from ..functions.predicates import Predicate, Ref, Search
 from ..store import GraphStore
+from . import ann
+from . import fulltext as ft
 
 METRICS = ("cosine", "l2", "inner_product")
-K1, B = 1.2, 0.75
-_ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-
-
-def _sum(parts: list[Column]) -> Column:
-    """A balanced tree of additions."""
-    while len(parts) > 1:
-        parts = [a + b for a, b in zip(parts[::2], parts[1::2], strict=False)] + (parts[-1:] if len(parts) % 2 else [])
-    return parts[0]
 
 
 # Vectors
@@ -95,97 +85,30 @@ def nearest(rows: DataFrame, field: str, query: Sequence[float], k: int, metric:
 
 
 # Full text
-def content(rows: DataFrame, fields: Sequence[str]) -> Column:
-    """Searchable fields that aren't empty, one a line."""
-    return F.concat_ws("\n", *[F.when(F.col(f"p__{f}") != "", F.col(f"p__{f}")) for f in fields])
-
-
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.lower(text), *_ACCENTS), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
-def _words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+", text.lower().translate(str.maketrans(*_ACCENTS)))
-
-
-@dataclass(frozen=True)
-class Parsed:
-    """A disjunction of conjunctions of (phrase, negated)."""
-
-    any_of: tuple[tuple[tuple[tuple[str, ...], bool], ...], ...]
-
-    def terms(self) -> list[str]:
-        return sorted({w for group in self.any_of for phrase, negated in group if not negated for w in phrase})
-
-    def holds(self, tokens_: Column, text: Column) -> Column:
-        """``text``: the tokens joined by spaces, with one at either end, for phrases."""
-
-        def one(phrase: tuple[str, ...]) -> Column:
-            return F.array_contains(tokens_, phrase[0]) if len(phrase) == 1 else text.contains(f" {' '.join(phrase)} ")
-
-        groups = []
-        for group in self.any_of:
-            parts = [~one(p) if negated else one(p) for p, negated in group]
-            groups.append(functools.reduce(lambda a, b: a & b, parts))
-        return functools.reduce(lambda a, b: a | b, groups) if groups else F.lit(False)
-
-
-def parse(query: str, mode: str = "websearch") -> Parsed:
-    """plain: all words. phrase: the words in a row. websearch: "quoted phrases", -not, OR. raw: the same with AND and
-    NOT as words and parentheses ignored."""
-    if mode not in ("plain", "phrase", "websearch", "raw"):
-        raise QueryError(f"mode: {mode}")
-    words = tuple(_words(query))
-    if mode == "plain":
-        return Parsed((tuple(((w,), False) for w in words),) if words else ())
-    if mode == "phrase":
-        return Parsed((((words, False),),) if words else ())
-    groups: list[list[tuple[tuple[str, ...], bool]]] = [[]]
-    negate = False
-    for m in re.finditer(r'(-)?"([^"]*)"|(\S+)', query):
-        minus, quoted, bare = m.groups()
-        if bare is not None:
-            if bare == "OR":
-                groups.append([])
-                continue
-            if mode == "raw" and bare in ("AND", "NOT"):
-                negate = negate or bare == "NOT"
-                continue
-            minus, bare = (True, bare[1:]) if bare.startswith("-") else (False, bare)
-        phrase = tuple(_words(quoted if bare is None else bare))
-        if phrase:
-            groups[-1].append((phrase, bool(minus) or negate))
-        negate = False
-    return Parsed(tuple(tuple(g) for g in groups if any(not n for _, n in g)))
-
-
-def matching(rows: DataFrame, fields: Sequence[str], query: str, k: int, mode: str = "websearch", min_score: float | None = None, corpus: DataFrame | None = None, offset: int = 0) -> DataFrame:
-    """The k rows that match best, with score (BM25 of the query's words) and ord (ties by id, kind).
-
-    Word statistics are those of ``corpus`` (by default of ``rows``): one pass, for the query's words only.
+def matching(rows: DataFrame, fields: Sequence[str], query: str, k: int, mode: str = "websearch", min_score: float | None = None, corpus: DataFrame | None = None, offset: int = 0, language: str = "simple") -> DataFrame:
+    """The k rows that match best, with score (BM25 of the query's words) and ord (ties by id, kind), by a scan of the texts.
+
+    Word statistics are those of ``corpus`` (by default of ``rows``): one pass, for the query's words only. For searches within a query's own
+    candidates; searches over a kind read its index where there is one.
     """
     if k <= 0:
         raise QueryError("k is positive")
-    parsed = parse(query, mode)
-    terms = parsed.terms()
-    with_tokens = lambda df: df.withColumn("__tokens", tokens(content(df, fields))).withColumn("__size", F.size("__tokens"))
-    times = lambda t: F.size(F.filter("__tokens", lambda x: x == t))
-    counted = with_tokens(corpus if corpus is not None else rows).where("__size > 0").agg(
-        F.count("*").alias("n"), F.avg("__size").alias("size"), *[F.sum(F.array_contains("__tokens", t).cast("long")).alias(f"d{i}") for i, t in enumerate(terms)]
-    )
+    e = ft.parse(query, mode, language)
+    terms = ft.terms_of(e, False)
+    with_tokens = lambda df: df.withColumn("__tokens", ft.tokens(ft.content(df, fields), language)).withColumn("__size", F.size("__tokens")).where("__size > 0")
+    phrase = ft.in_tokens(F.col("__tokens"))
+    counted = with_tokens(corpus if corpus is not None else rows).agg(F.count("*").alias("n"), F.avg("__size").alias("size"), *[F.sum(phrase((t,)).cast("long")).alias(f"d{i}") for i, t in enumerate(terms)])
     stats = counted.first()
-    text = F.concat(F.lit(" "), F.array_join("__tokens", " "), F.lit(" "))
-    # A row without any of the words can't match: that is seen before it is cut into words.
-    line = F.translate(F.lower(content(rows, fields)), *_ACCENTS)
-    near = rows.where(functools.reduce(lambda a, b: a | b, [line.contains(t) for t in terms])) if terms else rows.limit(0)
-    found = with_tokens(near).where("__size > 0").where(parsed.holds(F.col("__tokens"), text))
+    near = rows
+    if language == "simple" and not ft.of_nothing(e):  # a row without any of the words can't match: that is seen before it is cut into words
+        line = F.translate(F.lower(ft.content(rows, fields)), *ft._ACCENTS)
+        near = rows.where(functools.reduce(lambda a, b: a | b, [line.contains(t.word) for t in ft.terms_of(e)])) if ft.terms_of(e) else rows.limit(0)
+    found = with_tokens(near).where(ft.holds(e, phrase))
     parts = [F.lit(0.0)]
     for i, t in enumerate(terms):
-        df = stats[f"d{i}"] or 0
-        idf = math.log(1 + (stats["n"] - df + 0.5) / (df + 0.5))
-        tf = times(t).cast("double")
-        parts.append(F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__size") / F.lit(stats["size"] or 1.0))))
-    found = found.withColumn("score", _sum(parts))
+        tf = F.size(F.filter("__tokens", t.matches)).cast("double")
+        parts.append(F.lit(ft.idf(stats["n"], stats[f"d{i}"] or 0)) * ft.weight(tf, F.col("__size"), stats["size"]))
+    found = found.withColumn("score", ft.total(parts))
     if min_score is not None:
         found = found.where(F.col("score") >= min_score)
     order = [F.col("score").desc(), F.col("id").asc(), F.col("kind").asc()]
@@ -193,12 +116,13 @@ def matching(rows: DataFrame, fields: Sequence[str], query: str, k: int, mode: s
     return top.withColumn("ord", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).drop("__tokens", "__size")
 
 
-def snippet(text: Column, query: str, mode: str = "websearch", width: int = 60) -> Column:
-    """The text around the first word of the query that it has, words of the query in <mark>."""
-    terms = parse(query, mode).terms()
+def snippet(text: Column, query: str, mode: str = "websearch", width: int = 60, language: str = "simple") -> Column:
+    """The text around the first word of the query that it has, words of the query in <mark>. Of stemmed words, those that begin with the stem."""
+    terms = ft.terms_of(ft.parse(query, mode, language), False)
     if not terms:
         return F.substring(text, 1, 2 * width)
-    either = "|".join(re.escape(t) for t in terms)
+    open_end = lambda t: t.prefix or language != "simple"
+    either = "|".join(re.escape(t.word) + (r"[\p{L}\p{N}]*" if open_end(t) else "") for t in terms)
     pattern = rf"(?iu)(?<![\p{{L}}\p{{N}}])({either})(?![\p{{L}}\p{{N}}])"
     around = F.regexp_extract(text, rf"(?s)(.{{0,{width}}}{pattern}.{{0,{width}}})", 1)
     return F.regexp_replace(around, pattern, "<mark>$1</mark>")
@@ -215,7 +139,8 @@ def ranked_ids(store: GraphStore, kinds: list[str], candidates: DataFrame, s: Se
     fields = list(dict.fromkeys(f for k in kinds for f in store.graph.node(k).searchable))
     if not fields:
         raise QueryError(f"{kinds} have no searchable property")
-    return matching(candidates, fields, s.query, s.k, s.mode, s.min_score)
+    language = s.language or store.graph.node(next(k for k in kinds if store.graph.node(k).searchable)).language
+    return matching(candidates, fields, s.query, s.k, s.mode, s.min_score, language=language)
 
 
 class StoreSearch:
@@ -229,19 +154,52 @@ class StoreSearch:
             raise TemporalError("searches don't read recorded time")
         return self.store.find(kind, where, sub_classes=sub_classes)
 
-    def vector(self, kind: str, field: str, query: Sequence[float], limit: int = 10, metric: str | None = None, min_score: float | None = None, where: Any = None, offset: int = 0, sub_classes: bool = False) -> DataFrame:
-        metric = metric or self.store.graph.node(kind).embeddings.get(field)
-        if metric is None:
+    def vector(self, kind: str, field: str, query: Sequence[float], limit: int = 10, metric: str | None = None, min_score: float | None = None, where: Any = None, offset: int = 0, sub_classes: bool = False, approximate: bool = False) -> DataFrame:
+        """The nearest rows with distance, score and ord. ``approximate``: from the kind's index, in its own metric."""
+        declared = self.store.graph.node(kind).embeddings.get(field)
+        if (metric or declared) is None:
             raise QueryError(f"{kind}.{field} is no embedding")
+        if approximate:
+            if sub_classes or metric not in (None, declared):
+                raise QueryError("an index has the vectors of one kind, in its own metric")
+            rows = self._rows(kind, False, where)
+            top = self.vectors(kind, field).search(query, limit + offset, rows if where else None)
+            near = rows.join(F.broadcast(top.drop("distance")) if limit + offset <= 10_000 else top.drop("distance"), ["kind", "id"], "left_semi")
+            return nearest(near.select(*rows.columns), field, query, limit, declared, min_score, offset)
+        metric = metric or declared
         return nearest(self._rows(kind, sub_classes, where), field, query, limit, metric, min_score, offset)
 
-    def fulltext(self, kind: str, query: str, limit: int = 10, mode: str = "websearch", min_score: float | None = None, snippets: bool = False, where: Any = None, offset: int = 0, sub_classes: bool = False) -> DataFrame:
-        fields = self.store.graph.node(kind).searchable
+    def build_vectors(self, kind: str, field: str, target: float = ann.TARGET, place: str | None = None) -> ann.VectorIndex:
+        """Indexes a kind's embeddings as this store's coordinate sees them, for ``vector(..., approximate=True)`` and ``neighbours``."""
+        metric = self.store.graph.node(kind).embeddings.get(field)
+        if metric is None:
+            raise QueryError(f"{kind}.{field} is no embedding")
+        index = ann.VectorIndex.build(self._rows(kind, False, None), f"p__{field}", metric, target=target, place=place)
+        self.store.indexes[kind, field, self.store.coordinate] = index
+        return index
+
+    def vectors(self, kind: str, field: str) -> ann.VectorIndex:
+        """The index of a kind's embeddings, built unless there is one."""
+        return self.store.indexes.get((kind, field, self.store.coordinate)) or self.build_vectors(kind, field)
+
+    def fulltext(self, kind: str, query: str, limit: int = 10, mode: str = "websearch", min_score: float | None = None, snippets: bool = False, where: Any = None, offset: int = 0, sub_classes: bool = False, language: str | None = None) -> DataFrame:
+        """Rows with score and ord. Reads the index of the kind where ``rebuild_fulltext`` has made one for this store's coordinate and the language; else the
+        texts are scanned. Both give the same scores."""
+        fields, language = self.store.graph.node(kind).searchable, language or self.store.graph.node(kind).language
         if not fields:
             raise QueryError(f"{kind} has no searchable property")
-        corpus = self._rows(kind, sub_classes, None)
-        out = matching(self._rows(kind, sub_classes, where), fields, query, limit, mode, min_score, corpus, offset)
-        return out.withColumn("snippet", snippet(content(out, fields), query, mode)) if snippets else out
+        if limit <= 0:
+            raise QueryError("k is positive")
+        rows = self._rows(kind, sub_classes, where)
+        index = None if sub_classes else self.store.indexes.get((kind, language, self.store.coordinate))
+        if index is None:
+            out = matching(rows, fields, query, limit, mode, min_score, self._rows(kind, sub_classes, None), offset, language)
+        else:
+            top = index.search(ft.parse(query, mode, language), limit, min_score, rows if where else None, offset)
+            order = [F.col("score").desc(), F.col("id").asc(), F.col("kind").asc()]
+            top = top.withColumn("ord", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # as many rows as asked for
+            out = rows.join(F.broadcast(top) if limit <= 10_000 else top, ["kind", "id"]).select(*rows.columns, "score", "ord").orderBy("ord")
+        return out.withColumn("snippet", snippet(ft.content(out, fields), query, mode, language=language)) if snippets else out
 
     def hybrid(self, kind: str, field: str, vector: Sequence[float], text: str, limit: int = 10, k: int = 60, vector_weight: float = 1.0, fulltext_weight: float = 1.0, per_source: int | None = None, where: Any = None, offset: int = 0, mode: str = "websearch") -> DataFrame:
         """kind, id, score: sum of weight / (k + rank) over both searches (ties by kind, id)."""
@@ -250,16 +208,33 @@ class StoreSearch:
             limit, k, vector_weight, fulltext_weight, offset,
         )
 
-    def rebuild_fulltext(self, kind: str) -> DataFrame:
-        """The derived text table: kind, id, content, tokens."""
-        rows = self._rows(kind, False, None)
-        return rows.select("kind", "id", content(rows, self.store.graph.node(kind).searchable).alias("content")).withColumn("tokens", tokens(F.col("content")))
+    def rebuild_fulltext(self, kind: str, language: str | None = None, place: str | None = None) -> ft.FulltextIndex:
+        """Indexes the kind's texts as this store's coordinate sees them; searches of this store and its views at the same coordinate read the index. ``place``: a
+        folder to keep it in, for ``open_fulltext``; by default it goes with the application."""
+        node = self.store.graph.node(kind)
+        if not node.searchable:
+            raise QueryError(f"{kind} has no searchable property")
+        index = ft.FulltextIndex.build(self._rows(kind, False, None), node.searchable, language or node.language, place)
+        self.store.indexes[kind, index.language, self.store.coordinate] = index
+        return index
+
+    def open_fulltext(self, kind: str, place: str) -> ft.FulltextIndex:
+        """An index that ``rebuild_fulltext`` has left in a folder. It must be of these rows."""
+        index = ft.FulltextIndex(self.store.spark, place)
+        self.store.indexes[kind, index.language, self.store.coordinate] = index
+        return index
+
+    def ensure_fulltext(self, kind: str, language: str | None = None) -> StoreSearch:
+        """Builds the index unless there is one."""
+        if (kind, language or self.store.graph.node(kind).language, self.store.coordinate) not in self.store.indexes:
+            self.rebuild_fulltext(kind, language)
+        return self
 
     def reembed(self, kind: str, field: str, embed: Callable[[Any], Any]) -> DataFrame:
         """The kind's frame with the field made again: ``embed`` takes pandas strings and returns pandas lists of floats."""
         rows = self._rows(kind, False, None)
         made = F.pandas_udf(embed, "array<float>")
-        return rows.withColumn(f"p__{field}", made(content(rows, self.store.graph.node(kind).searchable)))
+        return rows.withColumn(f"p__{field}", made(ft.content(rows, self.store.graph.node(kind).searchable)))
 
 
 def fuse(one: DataFrame, two: DataFrame, limit: int, k: int = 60, one_weight: float = 1.0, two_weight: float = 1.0, offset: int = 0) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Ref, exists, not_exists, param
+from ..operators import ann
+from ..operators import fulltext as ft
 from ..operators import merge as mg
 from ..operators import writes as wr
 from ..operators.algorithms import Algorithms
@@ -289,26 +291,27 @@ def project_whole(s: GraphStore) -> DataFrame:
     return q.to_df().select("n_id", "r.name")
 
 
-# Recursion over the small symmetric graph of nations
-_NB = "nb AS (SELECT n AS a, n + s AS b, CASE WHEN s = 1 THEN 1.0 ELSE 3.0 END + n % 3 AS w FROM range(25) t(n) CROSS JOIN (VALUES (1), (7)) v(s) WHERE n + s < 25), ub AS (SELECT a, b, w FROM nb UNION ALL SELECT b, a, w FROM nb)"
+# Recursion over orders, each with the next of its customer and the next of its day
+_LEAD = "SELECT o_orderkey::VARCHAR AS a, lead(o_orderkey::VARCHAR) OVER w AS b, date_diff('day', o_orderdate::DATE, (lead(o_orderdate) OVER w)::DATE) + {c} AS w FROM orders WINDOW w AS (PARTITION BY {k} ORDER BY o_orderdate, o_orderkey)"
+_NB = f"nb AS MATERIALIZED (SELECT * FROM ({_LEAD.format(c='1.0', k='o_custkey')} UNION ALL {_LEAD.format(c='3.0', k='o_orderdate')}) WHERE b IS NOT NULL), ub AS MATERIALIZED (SELECT a, b, w FROM nb UNION ALL SELECT b, a, w FROM nb)"
 
 
-@query(f"WITH RECURSIVE {_NB}, r AS (SELECT 0::BIGINT AS x, 0 AS d, [0::BIGINT] AS path UNION ALL SELECT b, d + 1, list_append(path, b) FROM r JOIN ub ON a = x WHERE d < 4 AND NOT list_contains(path, b)) SELECT x::VARCHAR AS id, d::INT AS depth, list_transform(path, lambda p: p::VARCHAR) AS path FROM r WHERE d >= 1")
+@query(f"WITH RECURSIVE {_NB}, r AS (SELECT '7' AS x, 0 AS d, ['7'] AS path UNION ALL SELECT b, d + 1, list_append(path, b) FROM r JOIN ub ON a = x WHERE d < 4 AND NOT list_contains(path, b)) SELECT x AS id, d::INT AS depth, path FROM r WHERE d >= 1")
 def recursive_paths(s: GraphStore) -> DataFrame:
-    q = s.query().from_("Nation", "n").where_node("n", lambda n: n.id.eq("0")).traverse("neighbour", "e").recursive(max_hops=4, path="path", depth="depth").to("Nation", "m")
+    q = s.query().from_("Order", "n").where_node("n", lambda n: n.id.eq("7")).traverse("neighbour", "e").recursive(max_hops=4, path="path", depth="depth").to("Order", "m")
     return q.select({"id": ("m", "id")}).to_df()
 
 
-@query(f"WITH RECURSIVE {_NB}, r AS (SELECT 3::BIGINT AS x, 0 AS d UNION ALL SELECT b, d + 1 FROM r JOIN nb ON a = x WHERE d < 6) SELECT x::VARCHAR AS id, count(*) AS n FROM r WHERE d BETWEEN 2 AND 6 GROUP BY 1")
+@query(f"WITH RECURSIVE {_NB}, r AS (SELECT '3' AS x, 0 AS d UNION ALL SELECT b, d + 1 FROM r JOIN nb ON a = x WHERE d < 6) SELECT x AS id, count(*) AS n FROM r WHERE d BETWEEN 2 AND 6 GROUP BY 1")
 def recursive_allow(s: GraphStore) -> DataFrame:
-    q = s.query().from_("Nation", "n").where_node("n", lambda n: n.id.eq("3")).traverse("neighbour", "e", expand="none").recursive(min_hops=2, max_hops=6, cycles="allow").to("Nation", "m")
+    q = s.query().from_("Order", "n").where_node("n", lambda n: n.id.eq("3")).traverse("neighbour", "e", expand="none").recursive(min_hops=2, max_hops=6, cycles="allow").to("Order", "m")
     return q.group_by_node("m").aggregate({"id": ("m", "id"), "n": count("n")}).to_df()
 
 
-@query(f"WITH RECURSIVE {_NB}, r AS (SELECT 0::BIGINT AS x, 0 AS d, [0::BIGINT] AS path UNION ALL SELECT b, d + 1, list_append(path, b) FROM r JOIN nb ON a = x WHERE d < 10 AND NOT list_contains(path, b) AND w < 5 AND b <> 8) SELECT x::VARCHAR AS id, d::INT AS depth FROM r")
+@query(f"WITH RECURSIVE {_NB}, start AS (SELECT o_orderkey::VARCHAR AS o FROM orders WHERE o_totalprice > 300000), r AS (SELECT o AS x, 0 AS d, [o] AS path FROM start UNION ALL SELECT b, d + 1, list_append(path, b) FROM r JOIN nb ON a = x JOIN orders ON o_orderkey::VARCHAR = b WHERE d < 3 AND NOT list_contains(path, b) AND w < 60 AND o_orderstatus <> 'F') SELECT r.x AS id, d::INT AS depth FROM r JOIN orders ON o_orderkey::VARCHAR = x WHERE d > 0 OR o_orderstatus <> 'F'")
 def recursive_filtered(s: GraphStore) -> DataFrame:
-    q = s.query().from_("Nation", "n").where_node("n", lambda n: n.id.eq("0")).traverse("neighbour", "e", expand="none").where_edge(lambda e: e.weight.lt(5)).recursive(min_hops=0, depth="depth").to("Nation", "m")
-    return q.where_node("m", lambda n: n.id.neq("8")).select({"id": ("m", "id")}).to_df()
+    q = s.query().from_("Order", "n").where_node("n", lambda n: n.totalprice.gt(300000)).traverse("neighbour", "e", expand="none").where_edge(lambda e: e.weight.lt(60)).recursive(min_hops=0, max_hops=3, depth="depth").to("Order", "m")
+    return q.where_node("m", lambda n: n.status.neq("F")).select({"id": ("m", "id")}).to_df()
 
 
 # Aggregates
@@ -433,36 +436,56 @@ def set_chained(s: GraphStore) -> DataFrame:
     return a.union(b).except_(out).order_by("nation", "desc").limit(6).offset(1).to_df()
 
 
-# Algorithms
-_REACH = f"WITH RECURSIVE {_NB}, r AS (SELECT 0::BIGINT AS x, 0 AS d UNION SELECT b, d + 1 FROM r JOIN {{e}} ON a = x WHERE d < {{h}}) SELECT x::VARCHAR AS id, 'Nation' AS kind, min(d)::INT AS depth FROM r GROUP BY x"
+# Algorithms over the same graph
+def _bfs_sql(source: str, edges: str, hops: int) -> str:
+    """CTEs l0, l1 ... and ``found`` (n, before, d): each node at its least depth, with the smallest node before it."""
+    steps = [f"l0 AS (SELECT '{source}' AS n, NULL::VARCHAR AS before, 0 AS d)"]
+    for i in range(1, hops + 1):
+        past = " UNION ALL ".join(f"SELECT n FROM l{j}" for j in range(i))
+        steps.append(f"l{i} AS MATERIALIZED (SELECT b AS n, min(a) AS before, {i} AS d FROM l{i - 1} JOIN {edges} ON a = n WHERE b NOT IN ({past}) GROUP BY b)")
+    return ", ".join(steps) + ", found AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(hops + 1)) + ")"
 
 
-@query(_REACH.format(e="ub", h=10))
+@query(f"WITH {_NB}, {_bfs_sql('0', 'ub', 8)} SELECT n AS id, 'Order' AS kind, d::INT AS depth FROM found")
 def algo_reachable(s: GraphStore) -> DataFrame:
-    return Algorithms(s).reachable("Nation", "0", ["neighbour"], "both")
+    return Algorithms(s).reachable("Order", "0", ["neighbour"], "both", 8)
 
 
-@query(f"SELECT * FROM ({_REACH.format(e='nb', h=2)}) WHERE depth > 0")
+@query(f"WITH {_NB}, {_bfs_sql('0', 'nb', 2)} SELECT n AS id, 'Order' AS kind, d::INT AS depth FROM found WHERE d > 0")
 def algo_neighbors(s: GraphStore) -> DataFrame:
-    return Algorithms(s).neighbors("Nation", "0", ["neighbour"], depth=2)
+    return Algorithms(s).neighbors("Order", "0", ["neighbour"], depth=2)
 
 
-@query(f"WITH RECURSIVE {_NB}, r AS (SELECT 0::BIGINT AS x, 0 AS d UNION SELECT b, d + 1 FROM r JOIN ub ON a = x WHERE d < 10) SELECT min(d)::BIGINT AS hops FROM r WHERE x = 24")
+@query(f"WITH RECURSIVE {_NB}, {_bfs_sql('0', 'ub', 14)}, p AS (SELECT * FROM found WHERE n = '1001' UNION ALL SELECT found.* FROM found JOIN p ON found.n = p.before) SELECT d::INT AS position, n AS id, 'Order' AS kind FROM p")
 def algo_shortest_path(s: GraphStore) -> DataFrame:
-    return Algorithms(s).shortest_path(("Nation", "0"), ("Nation", "24"), ["neighbour"], "both").agg((F.count("*") - 1).alias("hops"))
+    return Algorithms(s).shortest_path(("Order", "0"), ("Order", "1001"), ["neighbour"], "both", 14)
 
 
-@query("SELECT true AS forward, false AS backward")
+@query(f"WITH RECURSIVE {_NB}, f AS (SELECT '0' AS x, 0 AS d UNION SELECT b, d + 1 FROM f JOIN nb ON a = x WHERE d < 6), g AS (SELECT '0' AS x, 0 AS d UNION SELECT a, d + 1 FROM g JOIN nb ON b = x WHERE d < 6), t AS (SELECT max(x) AS t FROM f) SELECT t AS target, true AS forward, t IN (SELECT x FROM g) AS backward FROM t")
 def algo_can_reach(s: GraphStore) -> DataFrame:
+    """The last by id of what an order leads to in six steps: it is reached, and leads back or doesn't."""
     a = Algorithms(s)
-    forward = a.can_reach(("Nation", "0"), ("Nation", "20"), ["neighbour"]).first()[0]
-    backward = a.can_reach(("Nation", "20"), ("Nation", "0"), ["neighbour"]).first()[0]
-    return s.spark.createDataFrame([(forward, backward)], "forward boolean, backward boolean")
+    target = a.reachable("Order", "0", ["neighbour"], max_hops=6).agg(F.max("id")).first()[0]
+    forward = a.can_reach(("Order", "0"), ("Order", target), ["neighbour"], max_hops=6).first()[0]
+    backward = a.can_reach(("Order", "0"), ("Order", target), ["neighbour"], "in", max_hops=6).first()[0]
+    return s.spark.createDataFrame([(target, forward, backward)], "target string, forward boolean, backward boolean")
 
 
-@query(f"WITH RECURSIVE {_NB}, r AS (SELECT 0::BIGINT AS x, 0.0::DOUBLE AS d, 0 AS h UNION SELECT b, d + w, h + 1 FROM r JOIN nb ON a = x WHERE h < 24) SELECT min(d) AS total_weight FROM r WHERE x = 24")
+def _lightest_sql(source: str, target: str, rounds: int) -> str:
+    steps = [f"b0 AS (SELECT '{source}' AS n, 0.0::DOUBLE AS d)"]
+    steps += [f"b{i} AS MATERIALIZED (SELECT n, min(d) AS d FROM (SELECT n, d FROM b{i - 1} UNION ALL SELECT b, d + w FROM b{i - 1} JOIN ub ON a = n) GROUP BY n)" for i in range(1, rounds + 1)]
+    return f"WITH {_NB}, {', '.join(steps)} SELECT d AS total_weight, d AS along_edges FROM b{rounds} WHERE n = '{target}'"
+
+
+@query(_lightest_sql("0", "1001", 40))
 def algo_weighted_shortest_path(s: GraphStore) -> DataFrame:
-    return Algorithms(s).weighted_shortest_path(("Nation", "0"), ("Nation", "24"), ["neighbour"], "weight").select("total_weight").distinct()
+    """The weight of the lightest path, and the same again from the edges along it."""
+    path = Algorithms(s).weighted_shortest_path(("Order", "0"), ("Order", "1001"), ["neighbour"], "weight", "both")
+    ends = s.edges(["neighbour"]).select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.col("p__weight").alias("w"))
+    ends = ends.unionAll(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.min("w").alias("w"))
+    hops = path.select(F.col("id").alias("a"), (F.col("position") + 1).alias("p")).join(path.select(F.col("id").alias("b"), F.col("position").alias("p")), "p")
+    along = hops.join(ends, ["a", "b"]).agg(F.sum("w").alias("along_edges"))
+    return path.select("total_weight").distinct().withColumn("along_edges", along.scalar())
 
 
 @query("SELECT id::VARCHAR AS id, kind, count(*) AS degree FROM (SELECT o_custkey AS id, 'Customer' AS kind FROM orders UNION ALL SELECT o_orderkey, 'Order' FROM orders) GROUP BY 1, 2")
@@ -478,11 +501,10 @@ def algo_wcc(s: GraphStore) -> DataFrame:
 
 
 def _cdlp_sql(rounds: int) -> str:
-    steps = ["l0 AS (SELECT n_nationkey::VARCHAR AS x, n_nationkey::VARCHAR AS l FROM nation), e AS (SELECT DISTINCT n_nationkey::VARCHAR AS a, n_regionkey::VARCHAR AS b FROM nation)"]
-    steps[0] = f"{_NB}, l0 AS (SELECT n::VARCHAR AS x, n::VARCHAR AS l FROM range(25) t(n)), e AS (SELECT DISTINCT a::VARCHAR AS a, b::VARCHAR AS b FROM ub)"
+    steps = [f"{_NB}, l0 AS (SELECT o_orderkey::VARCHAR AS x, o_orderkey::VARCHAR AS l FROM orders), e AS MATERIALIZED (SELECT DISTINCT a, b FROM ub)"]
     for i in range(rounds):
-        steps.append(f"l{i + 1} AS (SELECT o.x, coalesce(v.l, o.l) AS l FROM l{i} o LEFT JOIN (SELECT a, l FROM (SELECT a, l, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, l) AS r FROM e JOIN l{i} ON b = x GROUP BY a, l) WHERE r = 1) v ON v.a = o.x)")
-    return f"WITH {', '.join(steps)} SELECT x AS id, 'Nation' AS kind, l AS label_id, 'Nation' AS label_kind FROM l{rounds}"
+        steps.append(f"l{i + 1} AS MATERIALIZED (SELECT o.x, coalesce(v.l, o.l) AS l FROM l{i} o LEFT JOIN (SELECT a, l FROM (SELECT a, l, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, l) AS r FROM e JOIN l{i} ON b = x GROUP BY a, l) WHERE r = 1) v ON v.a = o.x)")
+    return f"WITH {', '.join(steps)} SELECT x AS id, 'Order' AS kind, l AS label_id, 'Order' AS label_kind FROM l{rounds}"
 
 
 @query(_cdlp_sql(5))
@@ -490,23 +512,24 @@ def algo_label_propagation(s: GraphStore) -> DataFrame:
     return Algorithms(s).label_propagation(["neighbour"], max_iterations=5, on_max="return")
 
 
-def _pagerank_sql(rounds: int, seed: str) -> str:
-    steps = [f"{_NB}, p AS (SELECT n AS x, {seed} AS p FROM range(25) t(n)), o AS (SELECT a, count(*) AS k FROM nb GROUP BY a), s0 AS (SELECT x, 1.0::DOUBLE / 25 AS s FROM p)"]
+def _pagerank_sql(rounds: int, damping: float, seed: str) -> str:
+    """Scores times a million, by rounds that give the mass of nodes without a way out to the jumps."""
+    steps = [f"{_NB}, p AS (SELECT o_orderkey::VARCHAR AS x, {seed} AS p FROM orders), o AS (SELECT a, count(*) AS k FROM nb GROUP BY a), s0 AS (SELECT x, 1.0::DOUBLE / (SELECT count(*) FROM orders) AS s FROM p)"]
     for i in range(rounds):
         lost = f"(SELECT coalesce(sum(s), 0) FROM s{i} WHERE x NOT IN (SELECT a FROM o))"
         got = f"(SELECT b, sum(s / k) AS g FROM nb JOIN s{i} ON x = a JOIN o USING (a) GROUP BY b)"
-        steps.append(f"s{i + 1} AS MATERIALIZED (SELECT p.x, p.p * (0.15 + 0.85 * {lost}) + 0.85 * coalesce(g, 0) AS s FROM p LEFT JOIN {got} ON b = p.x)")
-    return f"WITH {', '.join(steps)} SELECT x::VARCHAR AS id, 'Nation' AS kind, round(s, 4) AS score FROM s{rounds}"
+        steps.append(f"s{i + 1} AS MATERIALIZED (SELECT p.x, p.p * ({1 - damping} + {damping} * {lost}) + {damping} * coalesce(g, 0) AS s FROM p LEFT JOIN {got} ON b = p.x)")
+    return f"WITH {', '.join(steps)} SELECT x AS id, 'Order' AS kind, round(s * 1e6, 4) AS score FROM s{rounds}"
 
 
-@query(_pagerank_sql(60, "1.0::DOUBLE / 25"))
+@query(_pagerank_sql(45, 0.6, "1.0::DOUBLE / (SELECT count(*) FROM orders)"))
 def algo_page_rank(s: GraphStore) -> DataFrame:
-    return Algorithms(s).page_rank(["neighbour"]).withColumn("score", F.round("score", 4))
+    return Algorithms(s).page_rank(["neighbour"], damping=0.6, tolerance=1e-12).withColumn("score", F.round(F.col("score") * 1e6, 4))
 
 
-@query(_pagerank_sql(60, "CASE n WHEN 0 THEN 0.75 WHEN 7 THEN 0.25 ELSE 0 END"))
+@query(_pagerank_sql(45, 0.6, "CASE o_orderkey WHEN 0 THEN 0.75 WHEN 7 THEN 0.25 ELSE 0 END"))
 def algo_personalized_page_rank(s: GraphStore) -> DataFrame:
-    return Algorithms(s).personalized_page_rank({("Nation", "0"): 3.0, ("Nation", "7"): 1.0}, ["neighbour"]).withColumn("score", F.round("score", 4))
+    return Algorithms(s).personalized_page_rank({("Order", "0"): 3.0, ("Order", "7"): 1.0}, ["neighbour"], damping=0.6, tolerance=1e-12).withColumn("score", F.round(F.col("score") * 1e6, 4))
 
 
 @query("SELECT 'node' AS what, count(*) AS n FROM (SELECT c_custkey FROM customer WHERE c_custkey = 8 UNION ALL SELECT o_orderkey FROM orders WHERE o_custkey = 8 UNION ALL SELECT DISTINCT l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey = 8) UNION ALL SELECT 'edge', count(*) FROM (SELECT o_orderkey FROM orders WHERE o_custkey = 8 UNION ALL SELECT l_orderkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey = 8)")
@@ -545,33 +568,134 @@ def vector_query_min_score(s: GraphStore) -> DataFrame:
     return q.to_df().select("id")
 
 
+_NEAR = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+@query(f"SELECT a.vec_id::VARCHAR AS query, b.vec_id::VARCHAR AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - {_NEAR}, b.vec_id::VARCHAR) AS rank, round({_NEAR}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 QUALIFY rank <= 10")
+def vector_nearest_to_each(s: GraphStore) -> DataFrame:
+    """Exactly, every row against each whose id is divisible by 50."""
+    rows = s.nodes(["Vector"]).select("kind", "id", F.col("p__embedding").alias("vector"))
+    found = ann.nearest_to_each(rows, rows.where(F.col("id").cast("long") % 50 == 0).select(F.col("id").alias("query"), "vector"))
+    return found.select("query", "id", F.col("rank").cast("long").alias("rank"), F.round(1 - F.col("distance"), 6).alias("score"))
+
+
+def _approximate(s: GraphStore) -> DataFrame:
+    rows = s.nodes(["Vector"]).where(F.col("id").cast("long") % 50 == 0)
+    return StoreSearch(s).vectors("Vector", "embedding").search_all(rows.select(F.col("id").alias("query"), F.col("p__embedding").alias("vector")))
+
+
+@query()
+def vector_ann(s: GraphStore) -> DataFrame:
+    """The same by the index; tests hold it against brute force."""
+    return _approximate(s).select("query", "id", F.col("rank").cast("long").alias("rank"), F.round(1 - F.col("distance"), 6).alias("score"))
+
+
+@query("SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
+def vector_ann_recall(s: GraphStore) -> DataFrame:
+    """Whether the index finds nine of ten true neighbours or more, over all queries."""
+    exact = vector_nearest_to_each(s).select("query", "id")
+    both = exact.join(_approximate(s).select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left")
+    return both.agg(F.count_distinct("query").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
+
+
+_TOKENS = "list_filter(string_split(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+
 def _bm25(terms: list[str], holds: str, k: int, extra: str = "") -> str:
-    tf = lambda t: f"len(list_filter(tok, lambda x: x = '{t}'))::DOUBLE"
-    idf = lambda t: f"ln(1 + (n - d_{t} + 0.5) / (d_{t} + 0.5))"
+    """``word*`` stands for all words that begin so."""
+    name = lambda t: t.replace("*", "_all")
+    of = lambda t: f"starts_with(x, '{t[:-1]}')" if t.endswith("*") else f"x = '{t}'"
+    tf = lambda t: f"len(list_filter(tok, lambda x: {of(t)}))::DOUBLE"
+    idf = lambda t: f"ln(1 + (n - d_{name(t)} + 0.5) / (d_{name(t)} + 0.5))"
     parts = " + ".join(f"{idf(t)} * {tf(t)} * 2.2 / ({tf(t)} + 1.2 * (0.25 + 0.75 * len(tok) / size))" for t in terms)
-    counts = ", ".join(f"sum(list_contains(tok, '{t}')::INT)::BIGINT AS d_{t}" for t in terms)
-    clean = "regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+', ' ', 'g')"
-    return f"WITH t AS (SELECT doc_id::VARCHAR AS id, lang, list_filter(string_split({clean}, ' '), lambda x: x <> '') AS tok FROM documents), u AS (SELECT *, ' ' || array_to_string(tok, ' ') || ' ' AS line FROM t WHERE len(tok) > 0), c AS (SELECT count(*) AS n, avg(len(tok)) AS size, {counts} FROM u) SELECT id, round({parts}, 5) AS score FROM u CROSS JOIN c WHERE {holds} {extra} ORDER BY {parts} DESC, id LIMIT {k}"
+    counts = ", ".join(f"sum(({tf(t)} > 0)::INT)::BIGINT AS d_{name(t)}" for t in terms)
+    return f"WITH t AS (SELECT doc_id::VARCHAR AS id, lang, {_TOKENS} AS tok FROM documents), u AS (SELECT *, ' ' || array_to_string(tok, ' ') || ' ' AS line FROM t WHERE len(tok) > 0), c AS (SELECT count(*) AS n, avg(len(tok)) AS size, {counts} FROM u) SELECT id, round({parts}, 5) AS score FROM u CROSS JOIN c WHERE {holds} {extra} ORDER BY {parts} DESC, id LIMIT {k}"
+
+
+def _porter_sql(words: str) -> str:
+    """CTEs that give ``stems`` (w, s): the words of the CTE ``words`` (w) with Porter's stems, one step each by regular expressions. A y that begins a word is
+    written Y, so that it counts as a consonant."""
+    con, vow = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+    m0, m1, one, vowel, cvc = f"^({con})?{vow}{con}", f"^({con})?{vow}{con}{vow}{con}", f"^({con})?{vow}{con}({vow})?$", f"^({con})?[aeiouy]", f"^{con}[aeiouy][^aeiouwxy]$"
+    has = lambda x, r: f"regexp_matches({x}, '{r}')"
+
+    def swap(rules: dict[str, str], above: str) -> str:
+        cases = []
+        for end in sorted(rules, key=len, reverse=True):
+            rest = f"s[:-{len(end) + 1}]"
+            more = f" AND right({rest}, 1) IN ('s', 't')" if end == "ion" else ""
+            cases.append(f"WHEN s LIKE '%{end}' THEN CASE WHEN {has(rest, above)}{more} THEN {rest} || '{rules[end]}' ELSE s END")
+        return "CASE " + " ".join(cases) + " ELSE s END"
+
+    cut = "regexp_replace(s, '(ed|ing)$', '')"
+    steps = [
+        "CASE WHEN regexp_matches(s, '(ss|i)es$') THEN s[:-3] WHEN regexp_matches(s, '[^s]s$') THEN s[:-2] ELSE s END",
+        f"CASE WHEN s LIKE '%eed' THEN CASE WHEN {has('s[:-4]', m0)} THEN s[:-2] ELSE s END WHEN regexp_matches(s, '(ed|ing)$') AND {has(cut, vowel)} THEN {cut} || '+' ELSE s END",
+        f"CASE WHEN s NOT LIKE '%+' THEN s WHEN regexp_matches(s, '(at|bl|iz).$') THEN s[:-2] || 'e' WHEN s[-2] = s[-3] AND s[-2] NOT IN ('a', 'e', 'i', 'o', 'u', 'l', 's', 'z') THEN s[:-3] WHEN {has('s[:-2]', one)} AND {has('s[:-2]', cvc)} THEN s[:-2] || 'e' ELSE s[:-2] END",
+        f"CASE WHEN s LIKE '%y' AND {has('s[:-2]', vowel)} THEN s[:-2] || 'i' ELSE s END",
+        swap(ft._STEP_2, m0), swap(ft._STEP_3, m0), swap(ft._STEP_4, m1),
+        f"CASE WHEN s LIKE '%e' AND ({has('s[:-2]', m1)} OR ({has('s[:-2]', one)} AND NOT {has('s[:-2]', cvc)})) THEN s[:-2] ELSE s END",
+        f"CASE WHEN s LIKE '%ll' AND {has('s', m1)} THEN s[:-2] ELSE s END",
+    ]
+    made = [f"s0 AS (SELECT w, regexp_replace(w, '^y', 'Y') AS s FROM {words} WHERE regexp_matches(w, '^[a-z]{{3,}}$'))"]
+    made += [f"s{i} AS (SELECT w, {step} AS s FROM s{i - 1})" for i, step in enumerate(steps, 1)]
+    return ", ".join(made) + f", stems AS (SELECT w, lower(s) AS s FROM s{len(steps)} UNION ALL SELECT w, w FROM {words} WHERE NOT regexp_matches(w, '^[a-z]{{3,}}$'))"
+
+
+def _stemmed_sql(stems: list[str], k: int) -> str:
+    """The best of the texts that have all these stems."""
+    tf = [f"t{i}" for i in range(len(stems))]
+    parts = " + ".join(f"ln(1 + (n - d{t} + 0.5) / (d{t} + 0.5)) * {t} * 2.2 / ({t} + 1.2 * (0.25 + 0.75 * size / average))" for t in tf)
+    return (
+        f"WITH tok AS (SELECT doc_id::VARCHAR AS id, unnest({_TOKENS}) AS w FROM documents), words AS (SELECT DISTINCT w FROM tok), {_porter_sql('words')}, "
+        f"d AS (SELECT id, count(*) AS size, {', '.join(f'count(*) FILTER (s = {chr(39)}{x}{chr(39)})::DOUBLE AS {t}' for x, t in zip(stems, tf, strict=True))} FROM tok JOIN stems USING (w) GROUP BY id), "
+        f"c AS (SELECT count(*) AS n, avg(size) AS average, {', '.join(f'count(*) FILTER ({t} > 0) AS d{t}' for t in tf)} FROM d) "
+        f"SELECT id, round({parts}, 5) AS score FROM d CROSS JOIN c WHERE {' AND '.join(f'{t} > 0' for t in tf)} ORDER BY {parts} DESC, id LIMIT {k}"
+    )
+
+
+def _texts(s: GraphStore, language: str | None = None) -> StoreSearch:
+    """A search over the documents' index, which is built once for a folder and application."""
+    return StoreSearch(s).ensure_fulltext("Document", language)
 
 
 @query(_bm25(["the", "idiot"], "list_contains(tok, 'the') AND list_contains(tok, 'idiot')", 10))
 def fulltext_plain(s: GraphStore) -> DataFrame:
-    return StoreSearch(s).fulltext("Document", "the Idiot", mode="plain").select("id", F.round("score", 5).alias("score"))
+    return _texts(s).fulltext("Document", "the Idiot", mode="plain").select("id", F.round("score", 5).alias("score"))
 
 
 @query(_bm25(["of", "the"], "contains(line, ' of the ')", 12))
 def fulltext_phrase(s: GraphStore) -> DataFrame:
-    return StoreSearch(s).fulltext("Document", "of the", 12, mode="phrase").select("id", F.round("score", 5).alias("score"))
+    return _texts(s).fulltext("Document", "of the", 12, mode="phrase").select("id", F.round("score", 5).alias("score"))
 
 
 @query(_bm25(["der", "scum"], "(list_contains(tok, 'scum') AND NOT list_contains(tok, 'loser')) OR list_contains(tok, 'der')", 15))
 def fulltext_websearch(s: GraphStore) -> DataFrame:
-    return StoreSearch(s).fulltext("Document", "scum -loser OR der", 15).select("id", F.round("score", 5).alias("score"))
+    return _texts(s).fulltext("Document", "scum -loser OR der", 15).select("id", F.round("score", 5).alias("score"))
 
 
 @query(_bm25(["moron"], "list_contains(tok, 'moron')", 8, "AND lang = 'en'"))
 def fulltext_where(s: GraphStore) -> DataFrame:
-    return StoreSearch(s).fulltext("Document", "moron", 8, where=lambda n: n.lang.eq("en")).select("id", F.round("score", 5).alias("score"))
+    return _texts(s).fulltext("Document", "moron", 8, where=lambda n: n.lang.eq("en")).select("id", F.round("score", 5).alias("score"))
+
+
+@query(_bm25(["mor*", "scum", "the"], "(list_contains(tok, 'scum') OR len(list_filter(tok, lambda x: starts_with(x, 'mor'))) > 0) AND NOT (list_contains(tok, 'loser') OR contains(line, ' of the ')) AND list_contains(tok, 'the')", 20))
+def fulltext_raw(s: GraphStore) -> DataFrame:
+    """Parentheses, NOT before a group, a word's beginning."""
+    return _texts(s).fulltext("Document", '(scum OR mor*) NOT (loser OR "of the") AND the', 20, mode="raw").select("id", F.round("score", 5).alias("score"))
+
+
+@query(_stemmed_sql(["and", "the"], 25))
+def fulltext_stemmed(s: GraphStore) -> DataFrame:
+    """Ands, anded and anding are one word where the language is english."""
+    return _texts(s, "english").fulltext("Document", "thes anding", 25, mode="plain", language="english").select("id", F.round("score", 5).alias("score"))
+
+
+@query("SELECT id, count(*) AS n FROM (SELECT doc_id::VARCHAR AS id, unnest(" + _TOKENS + ") AS w FROM documents) WHERE starts_with(w, 'id') GROUP BY id")
+def fulltext_postings(s: GraphStore) -> DataFrame:
+    """Occurrences of words with a given beginning, straight from the index."""
+    index = _texts(s).store.indexes["Document", "simple", s.coordinate]
+    return index._read([ft.Term("id", True)]).groupBy("id").agg(F.sum("tf").alias("n"))
 
 
 _PASSAGES = _bm25(["der", "scum"], "list_contains(tok, 'scum') OR list_contains(tok, 'der')", 20).replace("FROM documents)", "FROM documents JOIN embeddings ON doc_id = vec_id)")
@@ -591,7 +715,7 @@ def fulltext_in_query(s: GraphStore) -> DataFrame:
 
 @query("SELECT true AS marked, true AS short")
 def fulltext_snippet(s: GraphStore) -> DataFrame:
-    out = StoreSearch(s).fulltext("Document", "moron", 5, snippets=True)
+    out = _texts(s).fulltext("Document", "moron", 5, snippets=True)
     return out.agg(F.min(F.lower("snippet").contains("<mark>moron</mark>")).alias("marked"), (F.max(F.char_length("snippet")) < 400).alias("short"))
 
 
@@ -606,13 +730,16 @@ def hybrid_rrf(s: GraphStore) -> DataFrame:
     return fuse(f.vector("Vector", "embedding", _VEC, 20), f.vector("Vector", "embedding", _VEC, 20, "l2"), 10, 60, 2.0, 1.0).withColumn("score", F.round("score", 8))
 
 
-# Identity: suppliers are the customers of the same key up to 50; customer k is customer k + 40 for k up to 5
+# Identity: a supplier is the customer of the same key; where nine divides the key, also the customer of the next one. Where ten leaves three, it is not the customer of the next but one
 def _identity(s: GraphStore) -> Identity:
-    n = s.spark.range(1, 51).select(F.col("id").cast("string").alias("k"))
-    one = n.select(F.lit("same").alias("rel"), F.lit("Supplier").alias("a_kind"), F.col("k").alias("a_id"), F.lit("Customer").alias("b_kind"), F.col("k").alias("b_id"))
-    two = n.where("int(k) <= 5").select(F.lit("same").alias("rel"), F.lit("Customer").alias("a_kind"), F.col("k").alias("a_id"), F.lit("Customer").alias("b_kind"), (F.col("k").cast("int") + 40).cast("string").alias("b_id"))
-    three = n.where("int(k) between 10 and 12").select(F.lit("different").alias("rel"), F.lit("Supplier").alias("a_kind"), F.col("k").alias("a_id"), F.lit("Customer").alias("b_kind"), (F.col("k").cast("int") + 1).cast("string").alias("b_id"))
-    rows = one.unionAll(two).unionAll(three)
+    k = F.col("id").cast("long")
+    suppliers = s.frames["Supplier"].select(k.alias("k"))
+
+    def said(rows: DataFrame, rel: str, a_kind: str, step: int) -> DataFrame:
+        text = lambda c: c.cast("string")
+        return rows.select(F.lit(rel).alias("rel"), F.lit(a_kind).alias("a_kind"), text(F.col("k")).alias("a_id"), F.lit("Customer").alias("b_kind"), text(F.col("k") + step).alias("b_id"))
+
+    rows = said(suppliers, "same", "Supplier", 0).unionAll(said(suppliers.where("k % 9 = 0"), "same", "Customer", 1)).unionAll(said(suppliers.where("k % 10 = 3"), "different", "Supplier", 2))
     null = F.lit(None).cast("timestamp")
     rows = rows.select(F.concat_ws("|", "rel", "a_kind", "a_id", "b_kind", "b_id").alias("id"), "*", null.alias("valid_from"), null.alias("valid_to"), null.alias("deleted_at"))
     store = s.at(s.coordinate)
@@ -621,26 +748,29 @@ def _identity(s: GraphStore) -> Identity:
     return Identity(store)
 
 
-_CLASS = "CASE WHEN k BETWEEN 41 AND 45 THEN least(k::VARCHAR, (k - 40)::VARCHAR) WHEN k BETWEEN 1 AND 5 THEN least(k::VARCHAR, (k + 40)::VARCHAR) ELSE k::VARCHAR END"
+_GROUP = "cls AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 9 = 0 AND c_custkey IN (SELECT s_suppkey FROM supplier) THEN c_custkey WHEN c_custkey % 9 = 1 AND c_custkey - 1 IN (SELECT s_suppkey FROM supplier) THEN c_custkey - 1 ELSE c_custkey END AS g FROM customer), cid AS (SELECT k, g, min(k::VARCHAR) OVER (PARTITION BY g) AS class_id FROM cls)"
 
 
-@query(f"WITH p AS (SELECT 'Customer' AS kind, c_custkey AS k FROM customer UNION ALL SELECT 'Supplier', s_suppkey FROM supplier) SELECT kind, k::VARCHAR AS id, CASE WHEN k BETWEEN 1 AND 50 THEN 'Customer' ELSE kind END AS class_kind, {_CLASS} AS class_id FROM p")
+@query(f"WITH {_GROUP} SELECT 'Customer' AS kind, k::VARCHAR AS id, 'Customer' AS class_kind, class_id FROM cid UNION ALL SELECT 'Supplier', s_suppkey::VARCHAR, 'Customer', class_id FROM supplier JOIN cid ON k = s_suppkey")
 def identity_classes(s: GraphStore) -> DataFrame:
     return _identity(s).classes(["Customer", "Supplier"])
 
 
-@query("SELECT * FROM (VALUES ('Customer', '3'), ('Supplier', '3'), ('Customer', '43'), ('Supplier', '43')) v(kind, id)")
+@query(f"WITH {_GROUP}, m AS (SELECT k FROM cls WHERE g = (SELECT g FROM cls WHERE k = 9)) SELECT 'Customer' AS kind, k::VARCHAR AS id FROM m UNION ALL SELECT 'Supplier', s_suppkey::VARCHAR FROM supplier JOIN m ON k = s_suppkey")
 def identity_members(s: GraphStore) -> DataFrame:
-    return _identity(s).members_of("Supplier", "43")
+    return _identity(s).members_of("Supplier", "9")
 
 
-@query("SELECT * FROM (VALUES ('10', '11', true), ('11', '10', true), ('10', '12', false), ('12', '13', true)) v(a_id, b_id, different)")
+@query(f"WITH {_GROUP}, a AS (SELECT x.g AS p, y.g AS q FROM supplier JOIN cls x ON x.k = s_suppkey JOIN cls y ON y.k = s_suppkey + 2 WHERE s_suppkey % 10 = 3) SELECT x.s_suppkey::VARCHAR AS a_id, y.s_suppkey::VARCHAR AS b_id, EXISTS (SELECT 1 FROM a JOIN cls u ON u.k = x.s_suppkey JOIN cls v ON v.k = y.s_suppkey WHERE (p = u.g AND q = v.g) OR (p = v.g AND q = u.g)) AS different FROM supplier x JOIN supplier y ON y.s_suppkey = x.s_suppkey + 2")
 def identity_different(s: GraphStore) -> DataFrame:
-    pairs = s.spark.createDataFrame([("Customer", a, "Supplier", b) for a, b in (("10", "11"), ("11", "10"), ("10", "12"), ("12", "13"))], "a_kind string, a_id string, b_kind string, b_id string")
+    """Each supplier against the next but one, as customer and as supplier."""
+    one = s.frames["Supplier"].select(F.col("id").alias("b_id"))
+    pairs = s.frames["Supplier"].select(F.col("id").alias("a_id"), (F.col("id").cast("long") + 2).cast("string").alias("b_id")).join(one, "b_id", "left_semi")
+    pairs = pairs.select(F.lit("Customer").alias("a_kind"), "a_id", F.lit("Supplier").alias("b_kind"), "b_id")
     return _identity(s).are_different(pairs).select("a_id", "b_id", "different")
 
 
-@query("SELECT s_suppkey::VARCHAR AS supplier, count(*) AS n FROM supplier JOIN (SELECT s_suppkey AS k, s_suppkey AS c FROM supplier UNION SELECT k, k + 40 FROM range(1, 6) t(k) UNION SELECT k + 40, k FROM range(1, 6) t(k)) m ON m.k = s_suppkey JOIN orders ON o_custkey = m.c WHERE s_suppkey BETWEEN 1 AND 50 GROUP BY 1")
+@query(f"WITH {_GROUP} SELECT s_suppkey::VARCHAR AS supplier, count(*) AS n FROM supplier JOIN cls x ON x.k = s_suppkey JOIN cls y ON y.g = x.g JOIN orders ON o_custkey = y.k GROUP BY 1")
 def identity_hop(s: GraphStore) -> DataFrame:
     q = _identity(s).store.query().from_("Supplier", "s").traverse("placed", "e", identity=True).to("Order", "o")
     return q.group_by_node("s").aggregate({"supplier": ("s", "id"), "n": count("o")}).to_df()
@@ -771,14 +901,21 @@ def merge_edges(s: GraphStore) -> DataFrame:
     return plan.edges.select("id", "from_id")
 
 
-@query("SELECT 'kept' AS outcome, count(*) AS n FROM range(1, 51) t(k) WHERE k % 10 <> 0 UNION ALL SELECT 'new', 2 UNION ALL SELECT 'contradicted', 1")
+@query("SELECT 'kept' AS outcome, count(*) AS n FROM supplier WHERE s_suppkey % 10 <> 0 UNION ALL SELECT 'new', count(*) FROM supplier WHERE s_suppkey % 7 = 2 UNION ALL SELECT 'contradicted', count(*) FROM supplier WHERE s_suppkey % 7 = 3")
 def merge_identity(s: GraphStore) -> DataFrame:
-    """One branch drops every tenth assertion, the other adds four: two hold, one says again what is known, one is contradicted by the merge."""
+    """One branch drops every tenth assertion, the other says of new customers that turn out to be known ones: that they are another supplier too,
+    that they are not the known one, and what is known already."""
     base = _identity(s).store.assertions.where("rel = 'same' and a_kind = 'Supplier'")
-    survivors = s.spark.createDataFrame([("Customer", "new60", "Customer", "60"), ("Customer", "new1", "Customer", "1")], "kind string, id string, to_kind string, to_id string")
-    said = [("z1", "same", "Supplier", "90", "Customer", "new60"), ("z2", "different", "Customer", "new1", "Customer", "60"), ("z3", "same", "Customer", "new1", "Supplier", "1"), ("z4", "different", "Customer", "new60", "Customer", "60")]
-    fresh = s.spark.createDataFrame(said, "id string, rel string, a_kind string, a_id string, b_kind string, b_id string")
-    rows, wrong = mg.merge_assertions(base, [base.where("int(a_id) % 10 <> 0"), base.unionByName(fresh, allowMissingColumns=True)], survivors)
+    k = s.frames["Supplier"].select(F.col("id").cast("long").alias("k"), "id")
+    survivors = k.select(F.lit("Customer").alias("kind"), F.concat(F.lit("new"), "id").alias("id"), F.lit("Customer").alias("to_kind"), F.col("id").alias("to_id"))
+
+    def fresh(where: str, rel: str, a_kind: str, a_id: Any, b_kind: str, b_id: Any) -> DataFrame:
+        return k.where(where).select(F.concat(F.lit("z"), "id").alias("id"), F.lit(rel).alias("rel"), F.lit(a_kind).alias("a_kind"), a_id.alias("a_id"), F.lit(b_kind).alias("b_kind"), b_id.alias("b_id"))
+
+    new, own = F.concat(F.lit("new"), "id"), F.col("id")
+    said = fresh("k % 7 = 2", "same", "Supplier", F.concat(F.lit("x"), "id"), "Customer", new).unionByName(fresh("k % 7 = 3", "different", "Customer", new, "Customer", own))
+    said = said.unionByName(fresh("k % 7 = 4 and k % 10 <> 0", "same", "Customer", new, "Supplier", own))
+    rows, wrong = mg.merge_assertions(base, [base.where("int(a_id) % 10 <> 0"), base.unionByName(said, allowMissingColumns=True)], survivors)
     named = rows.select(F.when(F.col("id").startswith("z"), "new").otherwise("kept").alias("outcome")).unionAll(wrong.select(F.lit("contradicted")))
     return named.groupBy("outcome").agg(F.count("*").alias("n"))
 
@@ -789,10 +926,39 @@ def merge_window_pairs(s: GraphStore) -> DataFrame:
     return mg.window_pairs(rows, 5).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
-@query("SELECT 1.0::DOUBLE AS same, round(6.0 / 14, 6) AS near, 0.0::DOUBLE AS far, 1.0::DOUBLE AS empty")
+def _trigrams_sql(text: str) -> str:
+    return f"list_transform(range(1, length({text}) + 1), lambda i: substr(' ' || lower({text}) || ' ', i, 3))"
+
+
+def _numbered_sql(rows: str) -> str:
+    """CTEs from ``rows`` (id, text): g (id, token, size), the trigrams of each text, equal ones numbered."""
+    return f"t AS ({rows}), u AS (SELECT id, length(text) AS size, unnest({_trigrams_sql('text')}) AS x FROM t WHERE text <> ''), g AS (SELECT id, size, x || row_number() OVER (PARTITION BY id, x) AS token FROM u)"
+
+
+@query(f"WITH {_numbered_sql('SELECT p_partkey AS id, p_name AS text FROM part')}, {_numbered_sql('SELECT p_partkey AS id, p_type AS text FROM part').replace('t AS', 't2 AS').replace('FROM t WHERE', 'FROM t2 WHERE').replace('u AS', 'u2 AS').replace('FROM u)', 'FROM u2)').replace('g AS', 'h AS')}, c AS (SELECT g.id, count(*) AS n FROM g JOIN h ON g.token = h.token AND g.id = h.id GROUP BY 1) SELECT p_partkey::VARCHAR AS id, round(2.0 * coalesce(n, 0) / (length(p_name) + length(p_type)), 6) AS score FROM part LEFT JOIN c ON id = p_partkey")
 def merge_dice(s: GraphStore) -> DataFrame:
-    d = lambda a, b: F.round(mg.dice(F.lit(a), F.lit(b)), 6)
-    return s.spark.range(1).select(d("Night", "night").alias("same"), d("abcdefg", "abcdxyz").alias("near"), d("ab", "xyz").alias("far"), d("", "").alias("empty"))
+    """How alike each part's name and type are."""
+    return s.frames["Part"].select("id", F.round(mg.dice(F.col("name"), F.col("type")), 6).alias("score"))
+
+
+def _similar_sql(rows: str, threshold: float) -> str:
+    """Pairs of different texts by all their common trigrams."""
+    return f"WITH {_numbered_sql(rows)}, p AS (SELECT x.id AS a, y.id AS b, 2.0 * count(*) / (x.size + y.size) AS score FROM g x JOIN g y ON x.token = y.token AND x.id < y.id GROUP BY x.id, y.id, x.size, y.size) SELECT a, b, round(score, 6) AS score FROM p WHERE score >= {threshold} - 1e-12"
+
+
+@query(_similar_sql("SELECT min(s_suppkey::VARCHAR) AS id, lower(s_name) AS text FROM supplier GROUP BY lower(s_name)", 0.85))
+def merge_similar_names(s: GraphStore) -> DataFrame:
+    """Suppliers whose names are alike, without blocks: by their rarest trigrams."""
+    rows = s.frames["Supplier"].select(F.lit("Supplier").alias("kind"), "id", F.col("name").alias("text"))
+    return mg.similar_links(rows, 0.85).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT c_custkey::VARCHAR AS a, 'new' || c_custkey AS b FROM customer WHERE c_custkey % 50 = 0 AND c_custkey % 11 <> 3")
+def merge_unique_links(s: GraphStore) -> DataFrame:
+    """New customers of a branch that have the unique name of a known one."""
+    _, _, b = _branches(s)
+    links = mg.unique_links(s.graph, b.where(F.col("id").startswith("new") | (F.col("id").cast("long") % 11 != 3)))
+    return links.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 # Writes and rules
@@ -859,6 +1025,11 @@ def interchange_round_trip(s: GraphStore) -> DataFrame:
     return q.select({"kind": ("n", "kind"), "id": ("n", "id"), "name": ("n", "name"), "region": ("r", "id")}).to_df()
 
 
-@query("SELECT 'node' AS what, 'Nation' AS kind, count(*) AS rows, 0::BIGINT AS deleted FROM nation UNION ALL SELECT 'edge', 'openFor', count(*), count(*) FILTER (o_orderkey % 17 = 0) FROM orders")
+_ROWS = {"Region": "region", "Nation": "nation", "Customer": "customer", "Supplier": "supplier", "Part": "part", "Order": "orders", "Document": "documents", "Vector": "embeddings", "Event": "events", "Passage": "documents JOIN embeddings ON doc_id = vec_id", "User": "(SELECT DISTINCT user_id FROM events)", "EventType": "(SELECT DISTINCT event_type FROM events)"}
+_LINES = {"inRegion": "nation", "customerIn": "customer", "supplierIn": "supplier", "placed": "orders", "contains": "lineitem", "supplies": "lineitem", "performed": "events", "neighbour": "nb"}
+
+
+@query(f"WITH {_NB} " + " UNION ALL ".join(f"SELECT '{what}' AS what, '{k}' AS kind, count(*) AS rows, 0::BIGINT AS deleted FROM {t}" for what, of in (("node", _ROWS), ("edge", _LINES)) for k, t in of.items()) + " UNION ALL SELECT 'edge', 'openFor', count(*), count(*) FILTER (o_orderkey % 17 = 0) FROM orders")
 def introspect(s: GraphStore) -> DataFrame:
-    return s.introspect().where("kind in ('Nation', 'openFor')")
+    """Rows of every kind."""
+    return s.introspect()

@@ -17,6 +17,7 @@ from ..errors import ImportConflictError, ValidationError
 from ..model import GraphDef, struct
 from ..operators.writes import create, create_edges, enforce, upsert
 from ..store import GraphStore
+from ..temporal import Coordinate
 
 VERSION = "2.0"
 _END = "struct<kind: string, id: string>"
@@ -128,23 +129,39 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partition: tuple[str, i
     return reader.load()
 
 
+_FRAMES = ("nodes", "edges", "recorded_nodes", "recorded_edges")
+
+
 def save(store: GraphStore, path: str, files: int | None = None) -> None:
-    """Every kind as Parquet under path/nodes/kind=K and path/edges/kind=K; edges are sorted by source within files, so
-    that statistics skip row groups."""
-    for what, frames in (("nodes", store.frames), ("edges", store.edge_frames)):
+    """The whole store as Parquet: kinds under path/nodes/kind=K and path/edges/kind=K, recorded rows likewise, assertions, and the coordinate, so that
+    ``open_saved`` reads what this store reads. Edges are sorted by source within files, so that statistics skip row groups."""
+    for what, frames in zip(_FRAMES, (store.frames, store.edge_frames, store.recorded_nodes, store.recorded_edges), strict=True):
         for k, f in frames.items():
-            rows = f.repartition(files, "from_id").sortWithinPartitions("from_id") if what == "edges" and files else f.sortWithinPartitions("from_id") if what == "edges" else f
+            edges = "from_id" in f.columns
+            rows = f.repartition(files, "from_id").sortWithinPartitions("from_id") if edges and files else f.sortWithinPartitions("from_id") if edges else f
             rows.write.mode("overwrite").parquet(f"{path}/{what}/kind={k}")
+    if store.assertions is not None:
+        store.assertions.write.mode("overwrite").parquet(f"{path}/assertions")
+    at = store.coordinate
+    row = (at.mode, at.as_of, at.recorded, at.now)
+    store.spark.createDataFrame([row], _COORDINATE).coalesce(1).write.mode("overwrite").parquet(f"{path}/coordinate")
+
+
+_COORDINATE = "mode string, as_of timestamp_ntz, recorded long, now timestamp_ntz"
 
 
 def open_saved(spark: SparkSession, graph: GraphDef, path: str) -> GraphStore:
-    def frames(what: str, names: Iterable[str]) -> dict[str, DataFrame]:
-        jvm = spark.sparkContext._jvm
-        out = {}
-        for k in names:
-            at = jvm.org.apache.hadoop.fs.Path(f"{path}/{what}/kind={k}")
-            if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-                out[k] = spark.read.parquet(f"{path}/{what}/kind={k}")
-        return out
-
-    return GraphStore(spark, graph, frames("nodes", graph.nodes), frames("edges", graph.edges))
+    """A store that ``save`` has written, at the coordinate it had."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def found(place: str) -> DataFrame | None:
+        at = jvm.org.apache.hadoop.fs.Path(place)
+        return spark.read.parquet(place) if at.getFileSystem(hadoop).exists(at) else None
+
+    def frames(what: str) -> dict[str, DataFrame]:
+        kinds = graph.edges if what.endswith("edges") else graph.nodes
+        return {k: f for k in kinds if (f := found(f"{path}/{what}/kind={k}")) is not None}
+
+    kept = spark.read.schema(_COORDINATE).parquet(f"{path}/coordinate").first()
+    nodes, edges, recorded_nodes, recorded_edges = map(frames, _FRAMES)
+    return GraphStore(spark, graph, nodes, edges, Coordinate(**kept.asDict()), recorded_nodes, recorded_edges, found(f"{path}/assertions"))

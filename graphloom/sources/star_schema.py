@@ -44,7 +44,7 @@ GRAPH = GraphDef(
         EdgeKind("contains", ("Order",), ("Part",), struct("quantity double, extendedprice double, discount double, tax double, revenue double, returnflag string, linestatus string, shipdate timestamp")),
         EdgeKind("supplies", ("Supplier",), ("Part",), struct("quantity double")),
         EdgeKind("performed", ("User",), ("EventType",), struct("value double")),
-        EdgeKind("neighbour", ("Nation",), ("Nation",), struct("weight double")),
+        EdgeKind("neighbour", ("Order",), ("Order",), struct("weight double")),
     ],
     ontology=[
         ("Customer", "subClassOf", "Party"), ("Supplier", "subClassOf", "Party"), ("customerIn", "implies", "locatedIn"), ("supplierIn", "implies", "locatedIn"),
@@ -58,8 +58,13 @@ def _key(name: str) -> Column:
     return F.col(name).cast("string")
 
 
+#: Indexes of a folder's texts that an application has built.
+_INDEXES: dict[tuple[str, str], dict] = {}
+
+
 def load(spark: SparkSession, sf_dir: str) -> GraphStore:
-    """The tables of a folder as a store. Scans read only the columns that a query uses."""
+    """The tables of a folder as a store. Scans read only the columns that a query uses. Stores of one folder share their search indexes while the application runs; where
+    tables change, they are to be rebuilt."""
     t = functools.cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
     def bound(table: str, key: str, **props: str) -> Callable[[], DataFrame]:
@@ -78,11 +83,15 @@ def load(spark: SparkSession, sf_dir: str) -> GraphStore:
         return make
 
     def neighbours() -> DataFrame:
-        """Each nation with the next key and with the one seven further: a small graph for path queries."""
-        n = F.col("n").cast("string")
-        to = (F.col("n") + F.col("step")).cast("string")
-        pairs = spark.range(25).select(F.explode(F.array(F.lit(1), F.lit(7))).alias("step"), F.col("id").alias("n")).where("n + step < 25")
-        return pairs.select(F.concat_ws("-", n, to).alias("id"), n.alias("from_id"), to.alias("to_id"), (F.when(F.col("step") == 1, 1.0).otherwise(3.0) + F.col("n") % 3).alias("weight"))
+        """Each order with the next of its customer and with the next of its day; a weight of 1 or 3 and of the days between."""
+        orders = t("orders")
+        parts = []
+        for mark, keys, cost in (("c", ["o_custkey"], 1.0), ("d", ["o_orderdate"], 3.0)):
+            order = Window.partitionBy(*keys).orderBy("o_orderdate", "o_orderkey")
+            days = F.datediff(F.lead("o_orderdate").over(order), "o_orderdate")
+            parts.append(orders.select(F.lit(mark).alias("mark"), _key("o_orderkey").alias("from_id"), F.lead(_key("o_orderkey")).over(order).alias("to_id"), (days + cost).alias("weight")))
+        both = parts[0].unionByName(parts[1]).where("to_id is not null")
+        return both.select(F.concat_ws("-", "mark", "from_id", "to_id").alias("id"), "from_id", "to_id", "weight")
 
     # An object with an array for even k, with a member named 0 for multiples of 3, and with a string.
     k, tags = F.get_json_object("props", "$.k").cast("int"), F.split("event_type", "r")
@@ -115,4 +124,6 @@ def load(spark: SparkSession, sf_dir: str) -> GraphStore:
         "performed": ends("events", "user_id", "event_type", _key("event_id"), F.col("value")),
         "neighbour": neighbours,
     }
-    return GraphStore(spark, GRAPH, LazyFrames(nodes), LazyFrames(edges), Coordinate(now=NOW))
+    store = GraphStore(spark, GRAPH, LazyFrames(nodes), LazyFrames(edges), Coordinate(now=NOW))
+    store.indexes = _INDEXES.setdefault((spark.sparkContext.applicationId, sf_dir), {})
+    return store

@@ -67,6 +67,7 @@ class GraphStore:
         self.frames, self.edge_frames = (f if isinstance(f, LazyFrames) else dict(f) for f in (nodes, edges))
         self.recorded_nodes, self.recorded_edges = dict(recorded_nodes or {}), dict(recorded_edges or {})
         self.assertions = assertions
+        self.indexes: dict = {}  # by kind, language and coordinate; views share them
         self.coordinate = (coordinate or Coordinate()).pinned()
         for k in self.frames:
             graph.node(k)
@@ -75,7 +76,9 @@ class GraphStore:
 
     # Views
     def at(self, coordinate: Coordinate) -> GraphStore:
-        return GraphStore(self.spark, self.graph, self.frames, self.edge_frames, coordinate, self.recorded_nodes, self.recorded_edges, self.assertions)
+        out = GraphStore(self.spark, self.graph, self.frames, self.edge_frames, coordinate, self.recorded_nodes, self.recorded_edges, self.assertions)
+        out.indexes = self.indexes
+        return out
 
     def as_of(self, when: str | dt.datetime) -> GraphStore:
         return self.at(replace(self.coordinate, mode="asOf", as_of=instant(when)))
