@@ -136,35 +136,54 @@ def _hashes(code: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
     return out
 
 
-def _mixtures(value: np.ndarray, kind: np.ndarray, lengths: list[int], starts: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, starts, hashes) of all windows of these lengths (that begin at ``starts``) in every mixture of readings of their
+def _window_hashes(code: np.ndarray, n: int, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the n tokens from each of these places; of few places one by one, of many for all places at once."""
+    if n * len(starts) > 3 * len(code):
+        return _hashes(code, [n])[n][starts]
+    total = code[starts]
+    for i in range(1, n):
+        total = total * _power(1) + code[starts + i]
+    return total
+
+
+def _mixtures(value: np.ndarray, kind: np.ndarray, n: int, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, hashes) of the windows of n tokens from these places in every mixture of readings of their
     sentence starts: all as words and all as names first, then those between of windows that have two or more."""
-    as_words, as_names = (_hashes(_reading(value, kind, names), lengths) for names in (False, True))
+    if not len(starts):
+        return
+    words = _window_hashes(_reading(value, kind, False), n, starts)
+    yield starts, words
     free = np.flatnonzero(kind == EITHER)
     before = np.concatenate([[0], np.cumsum(kind == EITHER)])
+    many = before[starts + n] - before[starts]
+    some = starts[many > 0]
+    yield some, _window_hashes(_reading(value, kind, True), n, some)
     change = _CODE[NAME] - value[free]
-    for n in lengths:
-        own = np.arange(len(as_words[n])) if starts is None else starts[starts < len(as_words[n])]
-        if not len(own):
-            continue
-        yield n, own, as_words[n][own]
-        many = before[own + n] - before[own]
-        some = own[many > 0]
-        yield n, some, as_names[n][some]
-        power = np.array([pow(_POLY, n - 1 - i, 1 << 64) for i in range(n)], np.uint64)
-        for j in range(2, n + 1):
-            every = own[many == j]
-            for c in range(0, len(every), 1 << 16):
-                at = every[c : c + (1 << 16)]
-                place = before[at][:, None] + np.arange(j)
-                step = change[place] * power[free[place] - at[:, None]]
-                h, mask = as_words[n][at].copy(), 0
-                for i in range(1, 1 << j):  # Gray code: one reading changes at a time
-                    bit = (i & -i).bit_length() - 1
-                    mask ^= 1 << bit
-                    h = h + step[:, bit] if mask >> bit & 1 else h - step[:, bit]
-                    if mask != (1 << j) - 1:
-                        yield n, at, h
+    power = np.array([pow(_POLY, n - 1 - i, 1 << 64) for i in range(n)], np.uint64)
+    for j in range(2, n + 1):
+        every = np.flatnonzero(many == j)
+        for c in range(0, len(every), 1 << 16):
+            rows = every[c : c + (1 << 16)]
+            at = starts[rows]
+            place = before[at][:, None] + np.arange(j)
+            step = change[place] * power[free[place] - at[:, None]]
+            h, mask = words[rows], 0
+            for i in range(1, 1 << j):  # Gray code: one reading changes at a time
+                bit = (i & -i).bit_length() - 1
+                mask ^= 1 << bit
+                h = h + step[:, bit] if mask >> bit & 1 else h - step[:, bit]
+                if mask != (1 << j) - 1:
+                    yield at, h
+
+
+def _pairs(value: np.ndarray, kind: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, hashes) of each token and the next in all their readings."""
+    word, name = _reading(value, kind, False), _reading(value, kind, True)
+    either = kind == EITHER
+    every = np.arange(max(0, len(word) - 1))
+    for one, two, where in ((word, word, None), (name, word, either[:-1]), (word, name, either[1:]), (name, name, either[:-1] & either[1:])):
+        at = every if where is None else np.flatnonzero(where)
+        yield at, one[at] * _power(1) + two[at + 1]
 
 
 def _consistent(one: np.ndarray, two: np.ndarray, kind: np.ndarray, own_words: int) -> bool:
@@ -227,8 +246,13 @@ class Items:
         lengths = np.unique(length).tolist()
         rows: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in lengths}
         for n in lengths:
-            for _, own, h in _mixtures(self.value, self.kind, [n], starts[length[starts] == n]):
+            for own, h in _mixtures(self.value, self.kind, n, starts[length[starts] == n]):
                 rows[n].append((h, own))
+        # A window of a text can be an item's only if each two tokens in a row are two in a row of an item, in some reading.
+        both = np.concatenate([h for _, h in _pairs(self.value, self.kind)])
+        self.pair_mask = np.uint64((1 << min(25, max(16, (32 * len(both)).bit_length()))) - 1)
+        self.pairs = np.zeros(int(self.pair_mask) + 1, bool)
+        self.pairs[(both & self.pair_mask).view(np.int64)] = True
         self.tables = {}
         for n, parts in rows.items():
             h, own = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
@@ -244,14 +268,20 @@ class Items:
     def met(self, made) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(window length, starts in the texts, first and last row of the table) of windows whose hash the items have."""
         value, kind, at = made
-        for n, own, every in _mixtures(value, kind, list(self.tables)):
-            held, _, _, near, mask = self.tables[n]
-            hits = np.flatnonzero(near[(every & mask).view(np.int64)])
-            low, high = (np.searchsorted(held, every[hits], side) for side in ("left", "right"))
-            hits = own[hits]
-            text = np.searchsorted(at, hits, "right") - 1
-            sure = (high > low) & (hits + n <= at[text + 1])  # windows that run over the end of a text are none
-            yield n, hits[sure], low[sure], high[sure]
+        fits = np.zeros(max(0, len(value) - 1), bool)
+        for places, h in _pairs(value, kind):
+            fits[places] |= self.pairs[(h & self.pair_mask).view(np.int64)]
+        in_a_row = np.concatenate([[0], np.cumsum(fits)])
+        for n, (held, _, _, near, mask) in self.tables.items():
+            starts = np.arange(max(0, len(value) - n + 1))
+            starts = starts[in_a_row[starts + n - 1] - in_a_row[starts] == n - 1]
+            for own, every in _mixtures(value, kind, n, starts):
+                hits = np.flatnonzero(near[(every & mask).view(np.int64)])
+                low, high = (np.searchsorted(held, every[hits], side) for side in ("left", "right"))
+                hits = own[hits]
+                text = np.searchsorted(at, hits, "right") - 1
+                sure = (high > low) & (hits + n <= at[text + 1])  # windows that run over the end of a text are none
+                yield n, hits[sure], low[sure], high[sure]
 
     def find(self, made) -> list[tuple[int, int, int]]:
         """(text, item, windows of the text that are in runs that count)."""
@@ -357,7 +387,8 @@ def _text_hashes(lengths: list[int]):
             ids, rows, texts = batch["id"], batch["row"].to_numpy(), texts_of(batch["text"])
             for a, b in slices(texts):
                 value, kind, at = templates.of(texts[a:b])
-                for n, own, h in _mixtures(value, kind, lengths):
+                every = ((n, own, h) for n in lengths for own, h in _mixtures(value, kind, n, np.arange(max(0, len(value) - n + 1))))
+                for n, own, h in every:
                     text = np.searchsorted(at, own, "right") - 1
                     sure = np.flatnonzero(own + n <= at[text + 1])
                     for c in range(0, len(sure), 50_000):
