@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +34,12 @@ UNITS = frozenset(
 #: Windows and bytes of token arrays of the benchmark that each task may hold; beyond either both sides are joined by a shuffle.
 HELD_WINDOWS, HELD_BYTES = 2_000_000, 64 << 20
 
+_UNITS = frozenset(x.encode() for x in UNITS)
 _CORE = regex.compile(r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", regex.DOTALL)
 _NUMBER = regex.compile(r"[+-]?\p{N}[\p{N}.,:/]*")
 _ENDS = regex.compile(r"[.!?:]\W*$")
+_STOPS = frozenset(".!?:")
+_MARKS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 NUM, NAME, UNIT, EITHER, WORD = 1, 2, 3, 4, 0
 #: Tokens that are hashed together at most: a longer window holds windows of so many, and these have 2^KEY mixtures of readings at most.
 KEY = 8
@@ -45,11 +49,18 @@ _POLY = 0x9E3779B97F4A7C15
 
 def _hash(word: str) -> int:
     """A hash of a word that is the same in every process."""
-    h = 0xCBF29CE484222325
-    for b in word.encode("utf-8", "surrogatepass"):
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD & 0xFFFFFFFFFFFFFFFF
-    return h ^ h >> 29
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def _parts(token: str) -> tuple[str, bool]:
+    """The token from its first letter or number to its last, and whether a sentence ends with it."""
+    core = token.strip(_MARKS)
+    if core.isalpha() or (core.isascii() and core.isalnum()):  # nearly all: what else is there are ASCII marks on either side
+        tail = token[token.rindex(core) + len(core) :]
+        if "_" not in tail:
+            return core, not _STOPS.isdisjoint(tail)
+    found = _CORE.search(token)
+    return found[0] if found else "", bool(_ENDS.search(token))
 
 
 class Templates:
@@ -59,42 +70,50 @@ class Templates:
 
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.size = 0
-        self.word, self.kind, self.end = np.zeros(1024, np.uint64), np.zeros(1024, np.int8), np.zeros(1024, bool)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known.clear()
+        self.word, self.kind, self.end = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool)
+        self.new: tuple[list[int], list[int], list[bool]] = ([], [], [])
 
     def _learn(self, spelling: bytes) -> int:
         """Row of the hash of the word, what it may become (-1: only marks), and whether a sentence ends with it."""
-        token = spelling.decode("utf-8", "replace")
-        core = _CORE.search(token)
-        core = core[0] if core else ""
-        word = core.lower()
-        if self.size == len(self.word):
-            self.word, self.kind, self.end = (np.concatenate([x, np.zeros_like(x)]) for x in (self.word, self.kind, self.end))
-        row = self.size
-        self.word[row] = _hash(word)
-        self.kind[row] = -1 if not core else NUM if _NUMBER.fullmatch(core) else UNIT if word in UNITS else NAME if core[:1].isupper() else WORD
-        self.end[row] = bool(_ENDS.search(token))
-        self.size += 1
+        words, kinds, ends = self.new
+        row = len(self.word) + len(words)
+        if spelling.isalpha():  # letters a-z alone
+            word = spelling.lower()
+            words.append(xxhash.xxh3_64_intdigest(word))
+            kinds.append(UNIT if word in _UNITS else NAME if spelling[0] < 97 else WORD)
+            ends.append(False)
+        else:
+            core, end = _parts(spelling.decode("utf-8", "replace"))
+            word = core.lower()
+            words.append(_hash(word))
+            kinds.append(-1 if not core else NUM if not core[0].isalpha() and _NUMBER.fullmatch(core) else UNIT if word in UNITS else NAME if core[:1].isupper() else WORD)
+            ends.append(end)
         if len(spelling) <= 64:
             self.known[spelling] = row
         return row
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Value hash and kind of every token of all texts, and the offsets of each text's."""
-        if self.size > self.KEPT:
-            self.known.clear()
-            self.size = 0
+        if len(self.word) > self.KEPT:
+            self._forget()
         known, learn, at, parts = self.known, self._learn, [0], []
         for text in texts:
             tokens = text.split()  # bytes split at exactly \x20 and \x09-\x0D
             rows = list(map(known.get, tokens))
-            if None in rows:
-                for i, r in enumerate(rows):
-                    if r is None:
-                        r = known.get(tokens[i])
-                        rows[i] = learn(tokens[i]) if r is None else r
+            i = -1
+            for _ in range(rows.count(None)):
+                i = rows.index(None, i + 1)
+                row = known.get(tokens[i])
+                rows[i] = learn(tokens[i]) if row is None else row
             parts.append(np.array(rows, np.int64))
             at.append(at[-1] + len(rows))
+        if self.new[0]:
+            self.word, self.kind, self.end = (np.concatenate([old, np.array(x, old.dtype)]) for old, x in zip((self.word, self.kind, self.end), self.new, strict=True))
+            self.new = ([], [], [])
         offsets, flat = np.array(at), np.concatenate([np.zeros(0, np.int64), *parts])
         word, kind, end = self.word[flat], self.kind[flat], self.end[flat]
         begins = np.zeros(len(word) + 1, bool)
@@ -275,7 +294,8 @@ class Items:
         for n, (held, _, _, near, mask) in self.tables.items():
             starts = np.arange(max(0, len(value) - n + 1))
             starts = starts[in_a_row[starts + n - 1] - in_a_row[starts] == n - 1]
-            for own, every in _mixtures(value, kind, n, starts):
+            for c in range(0, len(starts), 1 << 16):
+                own, every = self._readings(value, kind, n, starts[c : c + (1 << 16)])
                 hits = np.flatnonzero(near[(every & mask).view(np.int64)])
                 low, high = (np.searchsorted(held, every[hits], side) for side in ("left", "right"))
                 hits = own[hits]
@@ -283,6 +303,21 @@ class Items:
                 sure = (high > low) & (hits + n <= at[text + 1])  # windows that run over the end of a text are none
                 yield n, hits[sure], low[sure], high[sure]
 
+    def _readings(self, value: np.ndarray, kind: np.ndarray, n: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows of n tokens in those readings in which each two tokens in a row are two in a row of an item."""
+        word, either = _reading(value, kind, False), kind == EITHER
+        at, total, last = starts, np.zeros(len(starts), np.uint64), None
+        for i in range(n):
+            free = np.flatnonzero(either[at + i])
+            code = np.concatenate([word[at + i], np.full(len(free), _CODE[NAME])])
+            at, total = np.concatenate([at, at[free]]), np.concatenate([total, total[free]])
+            if last is not None:
+                last = np.concatenate([last, last[free]])
+                fits = np.flatnonzero(self.pairs[((last * _power(1) + code) & self.pair_mask).view(np.int64)])
+                at, total, code = at[fits], total[fits], code[fits]
+            total, last = total * _power(1) + code, code
+        return at, total
+
     def find(self, made) -> list[tuple[int, int, int]]:
         """(text, item, windows of the text that are in runs that count)."""
         at, lines = made[2], set()

@@ -18,6 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each text, as told from its words."""
     from .language_id import fit, identify
     from .toxicity import held_out
 
@@ -27,6 +28,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for each text, and whether it is toxic."""
     from .toxicity import fit, held_out, score
 
     docs = _table(spark, sf_dir, "documents")
@@ -35,6 +37,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
     from ._shared import written
     from .mixing import mix, word_count
 
@@ -44,24 +47,28 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of each document."""
     from .sharding import shard
 
     return shard(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that repeat a benchmark item, and in how many windows."""
     from .decontaminate import contaminated
 
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each text, of an edited one and of the next document's, and how near they are."""
     from .fingerprints import fingerprint_edits
 
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each text."""
     import public_tokenizers
 
     from .token_counts import token_counts
@@ -70,6 +77,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the audit of ``pages`` against a damaged replica finds."""
     from .fixity import damaged, fixity
 
     pages = _table(spark, sf_dir, "pages")
@@ -77,6 +85,7 @@ def op8_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each conversation, read back from its rendered form."""
     from .chat_format import events_of, fold, read_back, render
 
     said = "\\### Assistant: </turn> ok"
@@ -86,6 +95,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document by shared shingles."""
     from .jaccard_join import jaccard_components
 
     return jaccard_components(_table(spark, sf_dir, "documents"))

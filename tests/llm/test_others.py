@@ -15,7 +15,6 @@ from graphloom.llm import decontaminate as dc
 from graphloom.llm import fixity as fx
 from graphloom.llm import language_id as li
 from graphloom.llm import toxicity as tx
-from graphloom.operators.components import components
 
 ITEM = "In the village Anna Berg sold 12 kg of apples to her friend Otto for 30 euros. How many apples did she keep after the market closed?"
 OTHER = "In the village Maria Lund sold 45 kg of apples to her friend Karl for 99 euros. How many apples did she keep after the market closed?"
@@ -116,6 +115,16 @@ def test_one_mapping_along_an_item(spark, documents):
     assert got == windows(df, bench, held=0) and got[0] == (1, 1, size) and got[1][2] < size
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(min_size=1, max_size=8) | st.text("aZé7½²_.!?:,-+ß中٣ \u0301", min_size=1, max_size=6))
+def test_parts_of_a_token(token):
+    """The short way gives what the patterns give."""
+    found = dc._CORE.search(token)
+    core = found[0] if found else ""
+    assert dc._parts(token) == (core, bool(dc._ENDS.search(token)))
+    assert bool(core) and (not core[0].isalpha() and bool(dc._NUMBER.fullmatch(core))) == bool(dc._NUMBER.fullmatch(core)) or not core
+
+
 def test_slots_must_agree():
     kinds = np.array([0, 0, 0, 0, 0, 1, 1, 2], np.int8)
     a = np.array([1, 2, 3, 4, 5, 6, 6, 7], np.uint64)
@@ -339,34 +348,3 @@ def test_thresholds_from_all_labels(spark, documents, monkeypatch):
     free = {x[0] for x in marks.where(~tx.held_out(F.col("doc_id"))).collect()}
     used = [(x, t) for (i, _, x), (_, t) in zip(rows, labels, strict=True) if i in free]
     assert seen == [(len(used), sum(t for _, t in used)), *[(len(own), sum(own)) for own in ([t for x, t in used if x == k] for k in model.languages)]]
-
-
-def test_components(spark):
-    r = random.Random(4)
-    edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)] + [(3, 3), (None, 1)]
-    parent = {x: x for e in edges for x in e if x is not None}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        if a is not None and b is not None:
-            parent[max(find(a), find(b))] = min(find(a), find(b))
-    linked = {x for a, b in edges if a != b and a is not None for x in (a, b)}
-    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in linked}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
-def test_components_of_hubs(spark, monkeypatch):
-    """Hubs are looked up, not dealt to one task; labels are the same."""
-    from graphloom.functions import tables
-
-    monkeypatch.setattr(tables, "HOT_ROWS", 10)
-    monkeypatch.setattr(tables, "SMALL", 0)
-    monkeypatch.setattr(tables, "HOT_KEYS", 3)
-    edges = [(0, i) for i in range(1, 80)] + [(500 + i, 500) for i in range(60)] + [(700 + i, 900) for i in range(50)] + [(900, 559)] + [(1000 + i, 1001 + i) for i in range(30)]
-    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {n: 0 if n < 80 else 500 if n < 1000 else 1000 for e in edges for n in e}
