@@ -58,22 +58,28 @@ def create(store: GraphStore, kind: str, rows: DataFrame, check: bool = True) ->
     return out
 
 
-def update_where(store: GraphStore, kind: str, where: Callable[[Ref], Predicate], values: dict[str, Column]) -> GraphStore:
-    """Live rows that fit get new values and a higher version."""
-    old = _flat(store, kind)
-    rows = old.select(*[n for n in NODE_ROW if n != "kind"], *[F.col(f.name).alias(f"p__{f.name}") for f in store.graph.node(kind).schema]).withColumn("kind", F.lit(kind))
-    hit = F.coalesce(where(Ref(store.graph.node(kind).schema)).column & store.coordinate.visible(), F.lit(False))
-    now = F.lit(store.coordinate.now).cast("timestamp")
-    fields = store.graph.node(kind).schema.fieldNames()
+def _updated(store: GraphStore, kind: str, where: Callable[[Ref], Predicate], values: dict[str, Column], edge: bool) -> GraphStore:
+    old, k = _flat(store, kind, edge), store.graph.edge(kind) if edge else store.graph.node(kind)
+    fields = k.schema.fieldNames()
     if unknown := set(values) - set(fields):
         raise ValidationError(f"{kind} has no properties {sorted(unknown)}")
-    rows = rows.withColumn("__hit", hit)
-    out = rows.select(
-        "id", F.when(F.col("__hit"), F.col("version") + 1).otherwise(F.col("version")).alias("version"), "valid_from", "valid_to", "created_at",
-        F.when(F.col("__hit"), now).otherwise(F.col("updated_at")).alias("updated_at"), "deleted_at",
-        *[(F.when(F.col("__hit"), values[f]).otherwise(F.col(f"p__{f}")) if f in values else F.col(f"p__{f}")).alias(f) for f in fields],
-    )
-    return _with(store, kind, out)
+    own = [n for n in (EDGE_ROW if edge else NODE_ROW) if n != "kind"]
+    rows = old.select(*own, *[F.col(f).alias(f"p__{f}") for f in fields]).withColumn("kind", F.lit(kind))
+    rows = rows.withColumn("__hit", F.coalesce(where(Ref(k.schema)).column & store.coordinate.visible(), F.lit(False)))
+    changed = lambda c, new: F.when(F.col("__hit"), new).otherwise(F.col(c))
+    special = {"version": changed("version", F.col("version") + 1), "updated_at": changed("updated_at", F.lit(store.coordinate.now).cast("timestamp"))}
+    out = rows.select(*[special.get(n, F.col(n)).alias(n) for n in own], *[(changed(f"p__{f}", values[f]) if f in values else F.col(f"p__{f}")).alias(f) for f in fields])
+    return _with(store, kind, out, edge)
+
+
+def update_where(store: GraphStore, kind: str, where: Callable[[Ref], Predicate], values: dict[str, Column]) -> GraphStore:
+    """Live rows that fit get new values (of ``p__`` columns) and a higher version."""
+    return _updated(store, kind, where, values, False)
+
+
+def update_edges(store: GraphStore, kind: str, where: Callable[[Ref], Predicate], values: dict[str, Column]) -> GraphStore:
+    """The same for edges; their ends stay."""
+    return _updated(store, kind, where, values, True)
 
 
 def upsert(store: GraphStore, kind: str, rows: DataFrame) -> GraphStore:

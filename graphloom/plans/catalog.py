@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Ref, exists, not_exists, param
+from ..functions.variants import set_path, unset_path
 from ..operators import ann
 from ..operators import fulltext as ft
 from ..operators import merge as mg
@@ -1015,6 +1016,21 @@ def write_capture(s: GraphStore) -> DataFrame:
     return wr.capture(None, before, after, 2).groupBy("op", "recorded_from", F.col("recorded_to").alias("t")).agg(F.count("*").alias("n")).drop("t")
 
 
+@query("SELECT event_id::VARCHAR AS id, CASE WHEN value > 50 THEN value * 2 ELSE value END AS value, CASE WHEN value > 50 THEN 2 ELSE 1 END::INT AS version FROM events")
+def write_update_edges(s: GraphStore) -> DataFrame:
+    out = wr.update_edges(s, "performed", lambda e: e.value.gt(50), {"value": F.col("p__value") * 2})
+    return out.edges(["performed"]).select("id", F.col("p__value").alias("value"), "version")
+
+
+@query("SELECT event_id::VARCHAR AS id, event_type AS seen_by, CASE WHEN value > 50 THEN NULL ELSE json_extract_string(props, '$.k') END AS k FROM events")
+def write_json_patch(s: GraphStore) -> DataFrame:
+    """A member set two levels down, and one taken out where a value is large."""
+    done = set_path(F.col("p__props"), ["seen", "by"], F.col("p__event_type"))
+    out = wr.update_where(s, "Event", lambda e: e.event_type.is_not_null(), {"props": F.when(F.col("p__value") > 50, unset_path(done, ["k"])).otherwise(done)})
+    read = lambda path: F.expr(f"try_variant_get(p__props, '{path}', 'string')")
+    return out.nodes(["Event"]).select("id", read("$.seen.by").alias("seen_by"), read("$.k").alias("k"))
+
+
 # Interchange
 @query("SELECT 'Nation' AS kind, n_nationkey::VARCHAR AS id, n_name AS name, n_regionkey::VARCHAR AS region FROM nation")
 def interchange_round_trip(s: GraphStore) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import datetime as dt
+import itertools
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
@@ -24,7 +25,7 @@ from ..store import EDGE_ROW, NODE_ROW, GraphStore
 from ..temporal import Coordinate, instant
 
 #: Depth of a recursion without a limit, and the largest limit; rows of a page and of a streamed batch.
-OPEN_DEPTH, MOST_DEPTH, PAGE, BATCH = 10, 1000, 20, 1000
+OPEN_DEPTH, MOST_DEPTH, PAGE = 10, 1000, 20
 
 Where = Callable[[Ref], Predicate]
 
@@ -534,9 +535,25 @@ class Query:
 
     to_sql = explain
 
-    def stream(self, batch: int = BATCH) -> Iterator[Any]:
-        """Rows one by one; ``batch`` bounds what Spark fetches ahead only in part, a partition at most is held."""
-        return self.to_df().toLocalIterator(prefetchPartitions=False)
+    def stream(self, batch: int | None = None) -> Iterator[Any]:
+        """Rows one by one. By default one partition at most is held. With ``batch``, which needs an order, so many rows at most are: the rows come in keyset pages,
+        each a query of its own, so a stream may go on after a pause and sees no row twice."""
+        if batch is None:
+            return self.to_df().toLocalIterator(prefetchPartitions=False)
+        if batch <= 0:
+            raise QueryError("a batch is positive")
+        first = self.offset_ or 0
+        if isinstance(first, Param) or isinstance(self.limit_, Param):
+            raise QueryError("a stream by pages has no parameters")
+        return itertools.islice(self._by_pages(batch), first, None if self.limit_ is None else first + self.limit_)
+
+    def _by_pages(self, batch: int) -> Iterator[Any]:
+        page = self.paginate(first=batch)
+        while True:
+            yield from page.data
+            if not page.has_next:
+                return
+            page = self.paginate(first=batch, after=page.end_cursor)
 
     # Pages
     def _page_orders(self) -> list[Order]:

@@ -66,7 +66,7 @@ def library(spark):
     rows = [(str(i), " ".join(r.choice(WORDS) for _ in range(r.choice([0, 1, 5, 30]))), None if i % 5 else "the red note", i % 3) for i in range(300)]
     rows += [("long", "the " * 3000 + "tree red", None, 0), ("none", None, None, 0), ("marks", "?! --", "", 1)]
     graph = GraphDef("library", [NodeKind("Text", struct("body string, note string, shelf int"), searchable=("body", "note")), NodeKind("Plain", struct("n int"))], [])
-    return GraphStore(spark, graph, {"Text": spark.createDataFrame(rows, "id string, body string, note string, shelf int"), "Plain": spark.createDataFrame([], "id string, n int")}, {})
+    return GraphStore(spark, graph, {"Text": spark.createDataFrame(rows, "id string, body string, note string, shelf int").coalesce(2), "Plain": spark.createDataFrame([], "id string, n int")}, {})
 
 
 @pytest.mark.parametrize("language", ["simple", "english"])
@@ -75,21 +75,20 @@ def test_index_and_scan_agree(library, language):
     indexed = library.snapshot()
     indexed.indexes = {}
     StoreSearch(indexed).rebuild_fulltext("Text", language)
-    for query, mode in QUERIES:
-        for where in (None, lambda n: n.shelf.eq(1)):
-            how = {"mode": mode, "language": language, "where": where, "limit": 7, "offset": 2}
-            want = [(x.id, round(x.score, 9), x.ord) for x in StoreSearch(library).fulltext("Text", query, **how).collect()]
-            got = [(x.id, round(x.score, 9), x.ord) for x in StoreSearch(indexed).fulltext("Text", query, **how).collect()]
-            assert got == want, (query, mode)
+    for i, (query, mode) in enumerate(QUERIES if language == "simple" else QUERIES[::3]):
+        how = {"mode": mode, "language": language, "where": (lambda n: n.shelf.eq(1)) if i % 3 == 1 else None, "limit": 7, "offset": 2}
+        want = [(x.id, round(x.score, 9), x.ord) for x in StoreSearch(library).fulltext("Text", query, **how).collect()]
+        got = [(x.id, round(x.score, 9), x.ord) for x in StoreSearch(indexed).fulltext("Text", query, **how).collect()]
+        assert got == want, (query, mode)
 
 
 def test_blocks_prune_without_loss(library, monkeypatch):
     monkeypatch.setattr(ft, "COMMON", 20)
     index = StoreSearch(library.snapshot()).rebuild_fulltext("Text")
     assert index.blocks.count() > 10
-    for query in ("the red", "the OR of OR tree", "x1 OR é", "redding OR reds OR blue", "the OR missing"):
+    for query in ("the red", "the OR of OR tree", "redding OR reds OR blue", "the OR missing"):
         e = parse(query, "raw")
-        for k in (1, 5, 40):
+        for k in (1, 20):
             whole, pruned = ([(x.id, round(x.score, 9)) for x in index.search(e, k, prune_from=n).collect()] for n in (1 << 60, 0))
             assert whole == pruned
     bounds, rest = index.bounds(terms_of(parse("the")), [1.0])

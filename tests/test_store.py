@@ -157,6 +157,11 @@ def test_fragments_streams_and_sets(people):
     top = compose(ordered_by("p", "age", "desc"), limited(2))
     q = people.query().from_("Person", "p").where_node("p", lambda n: n.age.is_not_null()).select({"id": ("p", "id")})
     assert [r["id"] for r in q.pipe(top).stream()] == ["kira", "hana"]
+    by_age = people.query().from_("Person", "p").select({"id": ("p", "id")}).order_by("p", "age")
+    assert [r["id"] for r in by_age.stream(2)] == [r["id"] for r in by_age.stream()] == ["ivo", "mona", "lars", "hana", "kira", "jun"]
+    assert [r["id"] for r in by_age.offset(1).limit(3).stream(2)] == ["mona", "lars", "hana"]
+    with pytest.raises(QueryError):
+        by_age.stream(0)
     assert q.union(q).to_df().count() == 5 and q.union_all(q).to_df().count() == 10 and q.except_(q).to_df().count() == 0
     with pytest.raises(QueryError):
         q.union(q).order_by("nothing").to_df()
