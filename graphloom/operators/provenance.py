@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import Growing, materialize
+from ..functions.tables import Growing, forget, materialize
 
 
 @dataclass
@@ -31,23 +31,30 @@ class Provenance:
                 mark = ids.select("id").distinct().withColumn("__mark", F.lit(value))
                 rows = rows.join(mark, "id", "left").withColumn("gone", F.coalesce("__mark", "gone")).drop("__mark")
         spark = rows.sparkSession
-        pairs = materialize(self.premises.select("justification", "premise").distinct(), "premises")
-        derives = materialize(self.derives.select("justification", "fact").distinct(), "derives")
-        need = derives.select("justification").distinct().join(pairs.groupBy("justification").agg(F.count("*").alias("need")), "justification", "left").fillna(0, ["need"])
-        need = materialize(need, "need")
+        known = materialize(rows.where("not gone and not deleted").select("id").distinct(), "known")
+        derives = self.derives.select("justification", "fact").where("justification is not null")
+        lacks = self.premises.select("justification", "premise").join(known.withColumnRenamed("id", "premise"), "premise", "left_anti")
+        lacking = materialize(lacks.select("premise").distinct(), "lacking")
+        later = materialize(derives.select(F.col("fact").alias("premise")).join(lacking, "premise", "left_semi").distinct(), "later").withColumn("fact", F.lit(True))
+        # What lacks nothing fires at once; what lacks a premise that no justification derives never does. Rounds are about the rest alone.
+        short = lacks.join(later, "premise", "left").groupBy("justification").agg(F.bool_and(F.coalesce("fact", F.lit(False))).alias("waits"))
+        short = materialize(short, "short")
+        waits = materialize(short.where("waits").select("justification"), "waits")
+        believed = Growing(spark, "believed")
+        fresh = believed.append(derives.join(short.select("justification"), "justification", "left_anti").select(F.col("fact").alias("id")).distinct())
+        pairs = materialize(lacks.join(waits, "justification", "left_semi").select("justification", "premise").distinct(), "premises")
+        derives = materialize(derives.join(waits, "justification", "left_semi").distinct(), "derives")
+        need = materialize(pairs.groupBy("justification").agg(F.count("*").alias("need")), "need")
         # Semi-naive: only justifications that the last round's facts are premises of are looked at, and their
         # counts of premises met are kept, so a justification fires in the one round that completes it.
-        known, counts, believed = Growing(spark, "known"), Growing(spark, "met"), Growing(spark, "believed")
-        fresh = known.append(rows.where("not gone and not deleted").select("id").distinct())
-        fired = need.where("need = 0").select("justification")
-        while True:
+        counts = Growing(spark, "met")
+        while pairs.head(1):
             hits = pairs.join(fresh.withColumnRenamed("id", "premise"), "premise", "left_semi").groupBy("justification").agg(F.count("*").alias("met"))
             hits = counts.append(hits)
             total = counts.read().join(hits.select("justification"), "justification", "left_semi").groupBy("justification").agg(F.sum("met").alias("met"))
-            done = need.join(total, "justification").where("met = need").select("justification").unionAll(fired)
-            facts = believed.append(derives.join(done, "justification", "left_semi").select(F.col("fact").alias("id")).distinct())
-            fired = fired.limit(0)
-            fresh = known.append(facts.join(known.read(), "id", "left_anti"))
+            done = need.join(total, "justification").where("met = need").select("justification")
+            facts = derives.join(done, "justification", "left_semi").select(F.col("fact").alias("id")).distinct()
+            fresh = believed.append(facts.join(believed.read(), "id", "left_anti"))
             if not fresh.head(1):
                 break
         supported = believed.read().distinct()
@@ -57,11 +64,12 @@ class Provenance:
 
     def affected(self, ids: DataFrame) -> DataFrame:
         """Facts downstream of the ids."""
-        edges = self.premises.join(self.derives, "justification").select("premise", "fact").distinct()
         seen = front = materialize(ids.select("id").distinct(), "front")
         start = seen
         while True:
-            front = materialize(front.join(edges, F.col("id") == F.col("premise")).select(F.col("fact").alias("id")).distinct().join(seen, "id", "left_anti"), "front")
+            moved = materialize(self.premises.join(front.withColumnRenamed("id", "premise"), "premise", "left_semi").select("justification"), "moved")
+            front = materialize(self.derives.join(moved, "justification", "left_semi").select(F.col("fact").alias("id")).distinct().join(seen, "id", "left_anti"), "front")
+            forget(moved)
             if not front.head(1):
                 return seen.join(start, "id", "left_anti")
             seen = seen.unionAll(front)
